@@ -28,7 +28,7 @@ from inkstrata.llm._spark import staged, table, texts
 WINDOW = 10
 GRAM = 5
 BLOCK_BYTES = 8 << 20
-SLICE = 4 << 20
+SLICE = 1 << 20
 
 WORD = np.zeros(256, bool)
 WORD[0x30:0x3A] = WORD[0x61:0x7B] = WORD[0x80:] = True

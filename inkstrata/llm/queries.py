@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from inkstrata.llm.decontaminate import op5_winnowing
 from inkstrata.llm.packing import op1_packing
+from inkstrata.llm.pii import op7_pii
+from inkstrata.llm.quality import op2_quality
+from inkstrata.llm.secrets import op10_secrets
 from inkstrata.llm.simhash import op3_simhash
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_quality": op2_quality,
     "op3_simhash": op3_simhash,
     "op5_winnowing": op5_winnowing,
+    "op7_pii": op7_pii,
+    "op10_secrets": op10_secrets,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -28,7 +28,7 @@ P1, P2, P3, P4, P5 = (U64(x) for x in (11400714785074694791, 1402946736689701972
 RADIUS = 2
 SHINGLE = 3
 SPLIT = 4096
-SLICE = 4 << 20
+SLICE = 1 << 20
 
 
 def _rotl(x: np.ndarray, r: int) -> np.ndarray:
