@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from inkstrata.llm.decontaminate import op5_winnowing
+from inkstrata.llm.embedding_dedup import op6_embeddings
+from inkstrata.llm.katz import op8_katz
 from inkstrata.llm.packing import op1_packing
 from inkstrata.llm.pii import op7_pii
 from inkstrata.llm.quality import op2_quality
@@ -14,7 +16,9 @@ QUERIES = {
     "op2_quality": op2_quality,
     "op3_simhash": op3_simhash,
     "op5_winnowing": op5_winnowing,
+    "op6_embeddings": op6_embeddings,
     "op7_pii": op7_pii,
+    "op8_katz": op8_katz,
     "op10_secrets": op10_secrets,
 }
 
