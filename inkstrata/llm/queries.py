@@ -10,6 +10,7 @@ from inkstrata.llm.pii import op7_pii
 from inkstrata.llm.quality import op2_quality
 from inkstrata.llm.secrets import op10_secrets
 from inkstrata.llm.simhash import op3_simhash
+from inkstrata.llm.substring_dedup import op9_suffix_dedup
 
 QUERIES = {
     "op1_packing": op1_packing,
@@ -19,6 +20,7 @@ QUERIES = {
     "op6_embeddings": op6_embeddings,
     "op7_pii": op7_pii,
     "op8_katz": op8_katz,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_secrets": op10_secrets,
 }
 
