@@ -195,6 +195,36 @@ def _merge(group: pa.Table) -> pa.Table:
     return pa.table({"row": group["row"][:1], "doc_id": group["doc_id"][:1], "n_words": group["n_words"][:1], "spans": pa.array([_ranges(hit)], pa.list_(pa.int64())), "items": pa.array([items], pa.list_(pa.int64()))})
 
 
+def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[Block]:
+    """The benchmark in blocks of about block_bytes, one at a time in the driver."""
+    bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text")).where("item_id is not null and text is not null").distinct()
+    size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-size // block_bytes))
+    for k in range(blocks):
+        yield Block([tuple(r) for r in bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()])
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Rows of docs without any hit, with all their columns; each block is one map pass."""
+    at = docs.columns.index("text")
+
+    def keep(block: Block) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                data, offsets = utf8(batch.column(at))
+                good = np.ones(batch.num_rows, bool)
+                for a, b in slices(offsets, SLICE):
+                    good[[a + k for k in hits(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], block)[2]]] = False
+                yield batch.filter(pa.array(good))
+
+        return run
+
+    schema = docs.schema
+    for block in _blocks(benchmark, block_bytes):
+        docs = docs.mapInArrow(keep(block), schema)
+    return docs
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, hit word spans (start, end, ...) and item ids for every row of docs.
 
@@ -202,19 +232,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOC
     benchmark hit nothing; repeated items count once.  A repeated row of docs
     repeats in the result.
     """
-    spark = docs.sparkSession
-    bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text")).where("item_id is not null and text is not null").distinct()
-    size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
     own = texts(docs)
-    if blocks == 1:
-        return own.mapInArrow(_pass(Block([tuple(r) for r in bench.collect()])), FOUND)
-    out = None
+    blocks = _blocks(benchmark, block_bytes)
+    one, more = next(blocks), next(blocks, None)
+    if more is None:
+        return own.mapInArrow(_pass(one), FOUND)
     numbered = staged(own.withColumn("row", F.monotonically_increasing_id()), "winnow").select("row", "text", "doc_id")
-    for k in range(blocks):
-        items = [tuple(r) for r in bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()]
-        one = numbered.select("row", "text").mapInArrow(_pass(Block(items)), FOUND).withColumnRenamed("doc_id", "row")
-        out = one if out is None else out.unionByName(one)
+    out = None
+    for block in (one, more, *blocks):
+        found = numbered.select("row", "text").mapInArrow(_pass(block), FOUND).withColumnRenamed("doc_id", "row")
+        out = found if out is None else out.unionByName(found)
     out = out.join(numbered.select("row", "doc_id"), "row")
     return out.groupBy("row").applyInArrow(_merge, "row long, " + FOUND).drop("row")
 

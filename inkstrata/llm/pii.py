@@ -131,7 +131,7 @@ def learn(found: DataFrame) -> tuple[tuple[float, list], dict[str, float]]:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """row, doc_id, base and spans: arrays of (kind, start, end) in order of kind and start.
+    """row, doc_id, text_hash, base and spans: arrays of (kind, start, end) in order of kind and start.
 
     base holds the valid matches of the base patterns; spans also holds the
     accepted other candidates, those of one kind that overlap being one span,
@@ -156,15 +156,15 @@ def find(docs: DataFrame) -> DataFrame:
     judged = judged.withColumn("head", F.col("base") | (F.col("extra") & F.coalesce(chain <= F.col("start"), F.lit(True))))
     group = F.sum(F.col("head").cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0))
     judged = judged.withColumn("part", F.when(F.col("base") | F.col("extra"), group))
-    merged = judged.groupBy("row", "doc_id", "kind", "part").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("base").alias("base"))
+    merged = judged.groupBy("row", "doc_id", "text_hash", "kind", "part").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("base").alias("base"))
     one = F.when(F.col("part").isNotNull(), F.struct("kind", "start", "end"))
-    per_doc = merged.groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(F.when(F.col("base"), one))).alias("base"), F.array_sort(F.collect_list(one)).alias("spans"))
+    per_doc = merged.groupBy("row", "doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.when(F.col("base"), one))).alias("base"), F.array_sort(F.collect_list(one)).alias("spans"))
     names = F.array(*[F.lit(k) for k in KINDS])
 
     def named(c: str) -> Column:
         return F.transform(c, lambda s: F.struct(F.element_at(names, s["kind"] + 1).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
 
-    return per_doc.select("row", "doc_id", named("base").alias("base"), named("spans").alias("spans"))
+    return per_doc.select("row", "doc_id", "text_hash", named("base").alias("base"), named("spans").alias("spans"))
 
 
 def redacted(text: Column, spans: Column) -> Column:
@@ -181,6 +181,17 @@ def redacted(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) == 0, text).otherwise(done)
 
 
+def redact(docs: DataFrame) -> DataFrame:
+    """Every row of docs with its personal data replaced; n_chars, where there is one, follows the text."""
+    found = find(docs).where(F.size("spans") > 0).select(F.col("doc_id").alias("found_id"), F.col("text_hash").alias("found_hash"), "spans").dropDuplicates(["found_id", "found_hash"]).withColumnRenamed("spans", "found_spans")
+    both = docs.join(found, (F.col("doc_id").cast("long") == F.col("found_id")) & (F.xxhash64("text") == F.col("found_hash")), "left")
+    text = F.when(F.col("found_spans").isNull(), F.col("text")).otherwise(redacted(F.col("text"), F.col("found_spans")))
+    out = both.select(*[text.alias(c) if c == "text" else docs[c] for c in docs.columns], F.col("found_spans").isNotNull().alias("changed"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("changed"), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return out.drop("changed")
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find(table(spark, sf_dir, "documents"))
     counts = [F.size(F.array_remove(F.transform("base", lambda s: s["kind"] == k), False)).cast("long").alias(f"n_{k}") for k in KINDS]

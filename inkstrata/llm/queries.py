@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from inkstrata.llm.decontaminate import op5_winnowing
 from inkstrata.llm.embedding_dedup import op6_embeddings
+from inkstrata.llm.html_render import op4_html
 from inkstrata.llm.katz import op8_katz
 from inkstrata.llm.packing import op1_packing
 from inkstrata.llm.pii import op7_pii
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op2_quality": op2_quality,
     "op3_simhash": op3_simhash,
+    "op4_html": op4_html,
     "op5_winnowing": op5_winnowing,
     "op6_embeddings": op6_embeddings,
     "op7_pii": op7_pii,

@@ -15,7 +15,7 @@ CONTEXT = 32
 
 
 def candidates(docs: DataFrame, patterns: dict[str, tuple[str, Column]]) -> DataFrame:
-    """One row per match: row, doc_id, gen, m, start, end, pre, post.
+    """One row per match: row, doc_id, text_hash, gen, m, start, end, pre, post.
 
     patterns: generator -> (Java regex, cheap condition on `text` without which
     there is no match).  A document without any match gives one row with a
@@ -25,6 +25,7 @@ def candidates(docs: DataFrame, patterns: dict[str, tuple[str, Column]]) -> Data
     cut = docs.select(
         F.monotonically_increasing_id().alias("row"),
         "doc_id",
+        F.xxhash64("text").alias("text_hash"),
         *[F.when(gate, F.split("text", p, -1)).alias(f"g_{g}") for g, (p, gate) in patterns.items()],
         *[F.when(gate, F.regexp_extract_all("text", F.lit(p), F.lit(0))).alias(f"m_{g}") for g, (p, gate) in patterns.items()],
     )
@@ -40,7 +41,7 @@ def candidates(docs: DataFrame, patterns: dict[str, tuple[str, Column]]) -> Data
         )
         return F.coalesce(rows, F.array().cast("array<struct<gen:string,i:int,gap:int,m:string,pre:string,post:string>>"))
 
-    flat = cut.select("row", "doc_id", F.explode_outer(F.concat(*[one(g) for g in patterns])).alias("c")).select("row", "doc_id", "c.*")
+    flat = cut.select("row", "doc_id", "text_hash", F.explode_outer(F.concat(*[one(g) for g in patterns])).alias("c")).select("row", "doc_id", "text_hash", "c.*")
     order = Window.partitionBy("row", "gen").orderBy("i")
     start = F.sum("gap").over(order.rowsBetween(Window.unboundedPreceding, 0)) + F.coalesce(F.sum(F.length("m")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return flat.withColumn("start", start).withColumn("end", F.col("start") + F.length("m")).drop("gap", "i")

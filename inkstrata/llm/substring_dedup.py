@@ -33,9 +33,9 @@ from inkstrata.llm.suffix_array import suffix_array
 
 LENGTH = 400
 GRAM = 32
-AHEAD = 24
+AHEAD = 32
 LOOK = AHEAD + 8 - 1
-LONGEST = 192
+LONGEST = 240
 SLICE = 1 << 20
 SHARD_BYTES = 3 << 20
 BASE = 0x2545F4914F6CDD1D
@@ -141,12 +141,8 @@ def borders(cat: np.ndarray) -> np.ndarray:
     for step in (1, 2, 4):
         h[:-step] = mix(h[:-step] * GOLDEN + h[step:])
     low = h.copy()
-    reach = {}
-    for step in (1, 2, 4, 8):
+    for step in (1, 2, 4, 8, 16):
         low[:-step] = np.minimum(low[:-step], low[step:])
-        reach[2 * step] = low.copy() if step >= 4 else None
-    low = reach[16]
-    low[:-16] = np.minimum(low[:-16], reach[8][16:])
     return h == low
 
 
@@ -217,21 +213,25 @@ def repeated_windows(contents: list[bytes], anchors: np.ndarray) -> list[np.ndar
         common[live] = done
     common[1:] = np.minimum(common[1:], most)
     out = np.zeros(len(cat), bool)
-    room, before = left, gap[order]
-    head = start[own[order]]
+    before = gap[order]
     both = np.maximum(common, np.append(common[1:], 0))
-    hashes = np.zeros(len(order), U64)
+    some = np.flatnonzero(both >= LENGTH - int(before.max()) + 1)  # no other suffix decides a window
+    link = np.where(np.diff(some, prepend=-2) == 1, common[some], 0)
+    pos, room, before, both = pos[some], left[some], before[some], both[some]
+    live = np.arange(len(some))
+    hashes = np.zeros(len(some), U64)
     tables = byte_table(9)
-    for d in range(int(before.max())):
+    for d in range(int(before.max()) if len(some) else 0):
+        live = live[before[live] > d]
         if d:
-            hashes = mix(hashes * GOLDEN + tables[padded[np.maximum(pos - d, 0)]])
-        who = np.flatnonzero((before > d) & (pos - d >= head) & (room + d >= LENGTH) & (both >= LENGTH - d))
+            hashes[live] = mix(hashes[live] * GOLDEN + tables[padded[pos[live] - d]])
+        who = live[(room[live] + d >= LENGTH) & (both[live] >= LENGTH - d)]
         if len(who) < 2:
             continue
-        part = np.cumsum(common < LENGTH - d)[who].astype(U64)
+        part = np.cumsum(link < LENGTH - d)[who].astype(U64)
         key = mix(part * GOLDEN) ^ hashes[who]
-        _, at_, count = np.unique(key, return_inverse=True, return_counts=True)
-        out[pos[who[count[at_] > 1]] - d] = True
+        _, which, count = np.unique(key, return_inverse=True, return_counts=True)
+        out[pos[who[count[which] > 1]] - d] = True
     return [out[a : a + n - LENGTH + 1] for a, n in zip(start, size, strict=True)]
 
 
