@@ -1,4 +1,6 @@
 """Registered queries with their oracle SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from inkstrata.plans import catalogs, overlay, residual, search, segment, state, streams, universe
+from inkstrata.plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "catalogs", "overlay", "residual", "search", "segment", "state", "streams", "universe"]
