@@ -1,7 +1,8 @@
 """Supervised subword embeddings for document quality.
 
-Words and byte 4-grams of the lower-cased whole text are hashed to rows of one
-embedding table; a document is the average of its rows; a softmax layer reads
+Words, word pairs and byte 4-grams of the lower-cased whole text are hashed to
+rows of one embedding table (all pairs of a word with itself share a row, so
+repetition shows whatever the word); a document is the average of its rows; a softmax layer reads
 that average.  Tables and layer are learned by numpy stochastic gradient
 descent on a bounded sample of labelled rows (`SAMPLE`, smallest hash of
 doc_id first).  Because the softmax reads a plain average, scoring needs one
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstrata.llm._bytes import U64, lower_ascii, runs, slices, span_hashes, utf8
+from inkstrata.llm._bytes import GOLDEN, U64, lower_ascii, mix, runs, slices, span_hashes, utf8
 from inkstrata.llm._spark import table, texts
 
 SAMPLE = 6000
@@ -34,9 +35,13 @@ SLICE = 1 << 20
 def features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(rows of the embedding table, index of the first one of each document or -1) by feature family."""
     low = lower_ascii(data)
-    starts, ends, _ = runs(~((low == 32) | ((low >= 9) & (low <= 13))), offsets)
-    rows = (span_hashes(low, starts, ends, 3) >> U64(64 - BITS)).astype(np.int64)
-    yield rows, np.searchsorted(starts, offsets)
+    starts, ends, doc = runs(~((low == 32) | ((low >= 9) & (low <= 13))), offsets)
+    h = span_hashes(low, starts, ends, 3)
+    yield (h >> U64(64 - BITS)).astype(np.int64), np.searchsorted(starts, offsets)
+    second = np.flatnonzero(doc[1:] == doc[:-1]) + 1
+    pair = mix(h[second - 1] * GOLDEN + h[second]) >> U64(64 - BITS)
+    rows = np.where(h[second] == h[second - 1], 0, np.maximum(pair, U64(1)).astype(np.int64)) + (2 << BITS)
+    yield rows, np.searchsorted(starts[second], offsets)
     n = max(len(low) - GRAM + 1, 0)
     padded = np.concatenate([low, np.zeros(GRAM, np.uint8)])
     grams = np.ndarray((n,), "<u4", padded.data, strides=(1,))
@@ -77,13 +82,13 @@ def train(bags: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 11) -> tup
     With no example, or one label only, every weight is zero and the bias is
     the log-odds of the (smoothed) label counts.
     """
-    weights = np.zeros(2 << BITS)
+    weights = np.zeros(3 << BITS)
     good = sum(y for _, _, y in bags)
     prior = float(np.log((good + 1) / (len(bags) - good + 1)))
     if good in (0, len(bags)):
         return weights, prior
     rng = np.random.default_rng(seed)
-    table_ = rng.normal(0, 1 / DIM, (2 << BITS, DIM)).astype(np.float32)
+    table_ = rng.normal(0, 1 / DIM, (3 << BITS, DIM)).astype(np.float32)
     layer = rng.normal(0, 1 / DIM, (2, DIM)).astype(np.float32)
     bias = np.array([0.0, prior], np.float32)
     shares = [(c / c.sum() if len(c) else c).astype(np.float32) for _, c, _ in bags]
