@@ -72,7 +72,7 @@ def title_overlap(spark, d):
     return a.join(b, "p_partkey").select("p_partkey", F.round(T.overlap(F.col("x"), F.col("y")), 6).alias("overlap"))
 
 
-@query("SELECT * FROM (VALUES ('Signals and Systems', 'Alan Oppenheim', 1.0), ('Signals and Systems', 'Hall', 0.6), ('Organic Chemistry', 'Clayden', 0.3), ('Calculus', '', 0.0)) v(title, author, confidence)")
+@query("SELECT title, author, CAST(confidence AS DOUBLE) AS confidence FROM (VALUES ('Signals and Systems', 'Alan Oppenheim', 1.0), ('Signals and Systems', 'Hall', 0.6), ('Organic Chemistry', 'Clayden', 0.3), ('Calculus', '', 0.0)) v(title, author, confidence)")
 def match_confidence(spark, d):
     rows = spark.sql("SELECT * FROM VALUES ('Signals and Systems', 'Alan Oppenheim', 'Signals & Systems', 'Oppenheim, Willsky'), ('Signals and Systems', 'Hall', 'Signals and Systems', 'Marshall'), ('Organic Chemistry', 'Clayden', 'Chemistry of Food', 'X'), ('Calculus', '', 'Algebra', '') AS v(title, author, ct, ca)")
     return rows.select("title", "author", T.confidence(F.col("title"), F.col("author"), F.col("ct"), F.col("ca")).alias("confidence"))
@@ -85,7 +85,7 @@ def exact_unique_match(spark, d):
     return U.exact_unique(targets, found)
 
 
-@query("SELECT * FROM (VALUES ('sig', CAST(1 AS BIGINT), 1.0), ('org', 2, 1.0)) v(slug, cid, confidence)")
+@query("SELECT slug, cid, CAST(confidence AS DOUBLE) AS confidence FROM (VALUES ('sig', CAST(1 AS BIGINT), 1.0), ('org', 2, 1.0)) v(slug, cid, confidence)")
 def best_candidates(spark, d):
     targets = spark.sql("SELECT 'main' AS kind, * FROM VALUES ('sig', 'Signals and Systems', 'Alan Oppenheim'), ('org', 'Organic Chemistry', 'Clayden') AS v(slug, title, author)")
     found = spark.sql("SELECT 'pdf' AS extension, * FROM VALUES (1L, 'Signals and Systems', 'Oppenheim', 9.0), (2L, 'Organic Chemistry', 'Clayden', 8.0), (3L, 'Organic Chemistry', 'Clayden', 2.0), (4L, 'Solutions Manual to Organic Chemistry', 'Clayden', 9.9) AS v(cid, title, author, score)")
