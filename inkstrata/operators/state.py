@@ -184,7 +184,7 @@ def change_status(proposals: DataFrame, wanted: DataFrame, new: str, allowed: li
     bad = j.agg(F.count_if(F.col("status").isNull() | ~F.col("status").isin(*allowed)).alias("bad"))
     guard = bad.select(F.when(F.col("bad") > 0, F.raise_error(F.lit("some proposals cannot change"))).otherwise(F.lit(True)).alias("_ok"))
     out = proposals.join(wanted.select("id", F.lit(True).alias("_w")).distinct(), "id", "left").crossJoin(F.broadcast(guard))
-    return out.where("_ok").withColumn("status", F.when("_w", F.lit(new)).otherwise(F.col("status"))).drop("_w", "_ok")
+    return out.where("_ok").withColumn("status", F.when(F.col("_w"), F.lit(new)).otherwise(F.col("status"))).drop("_w", "_ok")
 
 
 def lease_verdict(alive: Column, same_process: Column, age_s: Column, ttl_s: Column, grace_s: Column, terminated: Column) -> Column:
