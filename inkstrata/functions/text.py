@@ -24,11 +24,15 @@ def _latin() -> tuple[str, str]:
 
 
 ACCENTED, PLAIN = _latin()
+#: translate() drops characters that have no counterpart: all marks of the basic plane.
+MARKS = "".join(chr(c) for c in range(0x300, 0x10000) if unicodedata.category(chr(c)) == "Mn")
+RUN = r"(?<![\p{L}\p{N}])[\p{L}\p{N}]{2,30}(?![\p{L}\p{N}])"
 
 
 def fold(c: Column) -> Column:
     """Lower case without diacritics: Latin and Greek letters natively, loose marks dropped."""
-    return F.regexp_replace(F.translate(F.lower(F.coalesce(c, F.lit(""))), ACCENTED, PLAIN), r"\p{Mn}+", "")
+    low = F.lower(F.coalesce(c, F.lit("")))
+    return F.when(F.octet_length(low) == F.length(low), low).otherwise(F.translate(low, ACCENTED + MARKS, PLAIN))
 
 
 @F.pandas_udf(Ty.StringType())
@@ -39,11 +43,12 @@ def fold_exact(s: pd.Series) -> pd.Series:
 
 def tokens(folded: Column) -> Column:
     """Distinct tokens of folded text: runs of letters and digits of length 2 to 30; CJK runs as pairs of characters."""
+    usual = F.array_distinct(F.regexp_extract_all(folded, F.lit(RUN), F.lit(0)))
     runs = F.regexp_extract_all(folded, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     plain = F.filter(runs, lambda w: ~w.rlike(f"[{CJK}]") & F.length(w).between(2, 30))
     wide = F.filter(runs, lambda w: w.rlike(f"[{CJK}]"))
     pairs = F.flatten(F.transform(wide, lambda w: F.when(F.length(w) == 1, F.array(w)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - 1, F.lit(1))), lambda k: F.substr(w, k, F.lit(2))))))
-    return F.array_distinct(F.concat(plain, pairs))
+    return F.when(folded.rlike(f"[{CJK}]"), F.array_distinct(F.concat(plain, pairs))).otherwise(usual)
 
 
 def query_terms(folded: Column) -> Column:

@@ -10,9 +10,13 @@ from inkstrata.functions import text as T
 COMMON_RATIO = 0.6
 
 
-def postings(chunks: DataFrame, key: list[str], text: str = "text") -> DataFrame:
-    """(key..., token) once per chunk and token."""
-    return chunks.select(*key, F.explode(T.tokens(T.fold(F.col(text)))).alias("token"))
+def postings(chunks: DataFrame, key: list[str], text: str = "text", prefixes: list[str] | None = None) -> DataFrame:
+    """(key..., token) once per chunk and token; with prefixes only the tokens that begin with one of them."""
+    folded = chunks.select(*key, T.fold(F.col(text)).alias("_folded"))
+    found = T.tokens(F.col("_folded"))
+    if prefixes is not None:
+        found = F.filter(found, lambda t: _any([t.startswith(p) for p in prefixes]))
+    return folded.select(*key, F.explode(found).alias("token"))
 
 
 def cutoff(n: Column, ratio: float = COMMON_RATIO) -> Column:
@@ -43,7 +47,7 @@ def candidates(chunks: DataFrame, book: str, chunk: str, terms: list[str], text:
     Only tokens that begin with a term leave the scan, so the lists stay short.
     """
     n = len(terms)
-    parts = postings(chunks, [book, chunk], text).where(_any([F.col("token").startswith(t) for t in terms]))
+    parts = postings(chunks, [book, chunk], text, terms)
     sizes = chunks.groupBy(book).agg(F.countDistinct(chunk).alias("n"))
     df = parts.groupBy(book, "token").agg(F.count(F.lit(1)).alias("df")).join(sizes, book).select(book, "token", (F.col("df") >= cutoff(F.col("n"))).alias("common"))
     term = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(t).alias("term")) for k, t in enumerate(terms)]))

@@ -12,9 +12,20 @@ BLOCK_SCHEMA = (
 SLUG = "^[a-z0-9_]{1,64}$"
 
 
+SMALL = 24 << 20
+
+
+def spread(df: DataFrame, small: int = SMALL) -> DataFrame:
+    """A small input, which may be one row group and so one task, dealt over all cores; larger ones are split by their files."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= small else df
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table; timestamps without zone become instants (UTC) here and nowhere else."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name in ("documents", "pages"):
+        df = spread(df)
     return df.select(*[F.col(c).cast("timestamp").alias(c) if t == "timestamp_ntz" else F.col(c) for c, t in df.dtypes])
 
 
