@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from inkstrata.llm._bytes import GOLDEN, U64, mix
 from inkstrata.llm._graph import components
-from inkstrata.llm._spark import staged, table, width
+from inkstrata.llm._spark import NO_ID, given, staged, table, width
 
 COSINE = 0.98
 STEP = 1.6
@@ -146,10 +146,11 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, chunk: int = CHU
     Rows link only within one label that is not null.  Vectors that are null,
     empty, zero or hold null or non-finite numbers link with nothing, as do
     vectors of different length.  n_links counts copies too.  vec_id is taken
-    as unique; rows that repeat one count as copies of each other.
+    as unique; rows that repeat one count as copies of each other, and a null one
+    as larger than any other.
     """
     spark = vectors.sparkSession
-    own = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").alias("embedding"))
+    own = vectors.select(F.coalesce(F.col("vec_id").cast("long"), F.lit(NO_ID)).alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").alias("embedding"))
     rows = staged(own.mapInArrow(_usable, "vec_id long, label long, key binary, vector binary"), "vectors")
     good = rows.where("key is not null")
     reps = staged(good.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("w"), F.first("label").alias("label"), F.first("vector").alias("vector")), "distinct-vectors")
@@ -166,7 +167,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, chunk: int = CHU
     known = reps.join(links, "rep", "left").join(roots, "rep", "left").select("key", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
     out = rows.select("vec_id", "key").join(known, "key", "left")
     component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    return out.select(given("vec_id"), "n_links", given("component_id"), "kept")
 
 
 def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:

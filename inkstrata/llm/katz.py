@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstrata.llm._bytes import GOLDEN, U64, lower_ascii, mix, runs, span_hashes, utf8
-from inkstrata.llm._spark import staged, table
+from inkstrata.llm._spark import NO_ID, given, staged, table, texts
 
 CHUNK_BYTES = 10 << 20
 K = 5
@@ -263,10 +263,11 @@ def score(docs: DataFrame, train, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
 
     train: boolean column over doc_id of the documents to learn from.  A text
     is its words and one end token; null and blank texts are the end token
-    alone.  Repeated rows count and are scored each.  Without training
+    alone.  Repeated rows count and are scored each.  A null
+    doc_id is held out.  Without training
     documents every token is unknown and each score is zero.
     """
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).select("doc_id", "text", F.coalesce(train, F.lit(False)).alias("train"))
+    own = texts(docs.withColumn("doc_id", F.col("doc_id").cast("long"))).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text", F.coalesce(train, F.lit(False)).alias("train"))
     size = own.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     chunks = max(1, -(-size // chunk_bytes))
     dealt = own.mapInArrow(_dealt(chunks), DEALT)
@@ -280,7 +281,7 @@ def score(docs: DataFrame, train, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     weights = mass.select("context", F.log10(F.col("taken") / F.col("c") / (1 - F.col("lower"))).alias("alpha"))
     backed = scored.where("what = 1").join(weights, "context").groupBy("row").agg(F.sum(F.col("k") * F.col("alpha")).alias("more"))
     return scored.where("what = 0").join(backed, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score")
+        given("doc_id"), "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score")
     )
 
 

@@ -136,7 +136,8 @@ def _scorer(weights: np.ndarray, bias: float):
 
 
 def held_out(folds: int = FOLDS):
-    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(folds)) == 0
+    """The fold by crc32 of doc_id; a null doc_id is not held out."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(folds)) == 0, F.lit(False))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:

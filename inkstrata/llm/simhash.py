@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from inkstrata.llm._bytes import U64, lower_ascii, slices, utf8
 from inkstrata.llm._graph import components
-from inkstrata.llm._spark import staged, table, texts, width
+from inkstrata.llm._spark import given, staged, table, texts, width
 
 # The primes of the public XXH64 specification.
 P1, P2, P3, P4, P5 = (U64(x) for x in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))
@@ -241,18 +241,18 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable by links).
 
     Null or blank texts have fingerprint zero and link like any other.  A row
-    per input row; rows that repeat a doc_id repeat in the result.  Extra
-    columns are ignored.  An empty table gives no rows.
+    per input row; rows that repeat a doc_id repeat in the result.  A null
+    doc_id counts as larger than any other.  Extra columns are ignored.  An empty table gives no rows.
     """
     spark = docs.sparkSession
-    marked = staged(texts(docs).mapInArrow(_map, "doc_id long, fp long"), "simhash")
+    marked = staged(texts(docs, ids=True).mapInArrow(_map, "doc_id long, fp long"), "simhash")
     reps = marked.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     cuts = F.array(*[F.struct(F.lit(k).alias("band"), F.shiftrightunsigned("fp", shift).bitwiseAND((1 << wide) - 1).alias("key")) for k, (shift, wide) in enumerate(bands(radius))])
     routed = reps.withColumn("cut", F.explode(cuts)).select("fp", "rep", "cut.band", "cut.key").withColumn("bucket", F.pmod(F.xxhash64("band", "key"), F.lit(width(spark))))
     edges = routed.groupBy("bucket").applyInArrow(_shards(radius), "a long, b long")
     roots = components(edges, "simhash")
     known = reps.join(roots, F.col("rep") == F.col("node"), "left").select(F.col("fp").alias("of"), F.coalesce("root", "rep").alias("component_id"))
-    return marked.join(known, F.col("fp") == F.col("of")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return marked.join(known, F.col("fp") == F.col("of")).select(given("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), given("component_id"))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

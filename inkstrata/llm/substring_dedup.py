@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstrata.llm._bytes import GOLDEN, U64, byte_table, gram_hashes, mix, powers, slices, utf8
-from inkstrata.llm._spark import staged, table, texts, width
+from inkstrata.llm._spark import given, staged, table, texts, width
 from inkstrata.llm.suffix_array import suffix_array
 
 LENGTH = 400
@@ -277,11 +277,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (start, end, ... of removed bytes) and kept (bytes) per row.
 
     Null texts are empty; texts under LENGTH bytes keep all.  Repeated rows
-    are copies of each other.  Other columns are ignored.  Hashes that stand
+    are copies of each other.  A null doc_id stays null.  Other columns are ignored.  Hashes that stand
     for content have 128 bits with their anchor.
     """
     spark = docs.sparkSession
-    own = texts(docs).withColumn("rid", F.xxhash64("doc_id", "text"))
+    own = texts(docs, ids=True).withColumn("rid", F.xxhash64("doc_id", "text"))
     asked = own.select("doc_id", "rid", "text").mapInArrow(_ask, ROWS).withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(width(spark))))
     met = staged(asked.groupBy("bucket").applyInArrow(_meet, ROWS), "segments")
     open_ = met.where("what = 2")
@@ -292,7 +292,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     found = cut.withColumn("shard", F.pmod(F.xxhash64("anchor", F.lit(1)), F.lit(shards))).groupBy("shard").applyInArrow(_array, RANGES)
     ranges = staged(met.where("what = 1").select("doc_id", "rid", "first", "last").unionByName(found), "ranges")
     per_doc = ranges.groupBy("doc_id", "rid").agg(F.collect_list(F.struct("first", "last")).alias("found"))
-    return own.join(per_doc.hint("shuffle_hash"), ["doc_id", "rid"], "left").select("doc_id", "text", "found").mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, spans array<long>, kept binary")
+    return own.join(per_doc.hint("shuffle_hash"), ["doc_id", "rid"], "left").select(given("doc_id"), "text", "found").mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, spans array<long>, kept binary")
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

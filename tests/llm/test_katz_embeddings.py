@@ -111,8 +111,10 @@ def test_embeddings_against_all_pairs(spark, chunk):
         x = np.asarray(v) + rng.normal(0, 0.012 * (k % 3), len(v)) * np.linalg.norm(v)
         rows.append((70000 + k, [float(np.float32(y)) for y in x], label))
     rows += [(90001, None, 1), (90002, [], 1), (90003, [0.0] * 64, 1), (90004, [1.0, None], 1), (90005, [float("nan")] * 64, 1), (90006, base[0][1], None), (90007, [1.0, 0.0], 1), (90008, [1.0, 0.0], 1), (90009, [1e-30, 0.0], 1)]
-    df = spark.createDataFrame([(*r, 5) for r in rows], "vec_id long, embedding array<float>, label int, key int")
+    nameless = [(None, None, 1)]
+    df = spark.createDataFrame([(*r, 5) for r in rows + nameless], "vec_id long, embedding array<float>, label int, key int")
     got = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(df, chunk=chunk).collect()}
+    assert got.pop(None)["kept"]
     assert len(got) == len(rows)
     links = brute_links(rows)
     want = Counter(x for pair in links for x in pair)
