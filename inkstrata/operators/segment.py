@@ -131,9 +131,10 @@ def smoke(chapters: DataFrame, keys: list[str], order: str) -> DataFrame:
     wide = (prior >= 50) & (F.col("body_count") >= 50) & (ratio > 5)
     checks = F.array_compact(
         F.array(
-            F.when((F.col("body_count") < 5) & (F.col("problem_count") > 20), "H1"),
+            F.when((F.col("body_count") < 20) & (F.col("problem_count") > 30), "H1"),
             F.when(F.col("duplicate_numbers") > 0, "H2"),
             F.when((F.col("problem_count") > 0) & (F.col("empty_bodies") == F.col("problem_count")), "H3"),
+            F.when(F.coalesce("is_appendix", F.lit(False)) & (F.col("body_count") > 1500), "H4") if "is_appendix" in chapters.columns else F.lit(None),
             F.when(wide, "H5"),
         )
     )
@@ -286,3 +287,59 @@ def merge_subcaptions(rows: DataFrame, keys: list[str], order: str, main: str) -
     out = rows.withColumn("_takes", takes).withColumn("_next", F.lead("caption").over(figs)).withColumn("_gave", gave)
     out = out.withColumn("caption", F.when(F.col("_takes"), F.col("_next")).when(~F.col("_gave"), F.col("caption")))
     return out.withColumn("id", F.when(F.col("_gave"), F.lit(None)).otherwise(F.coalesce(F.when(F.col("_takes"), N.figure_id(F.col("caption"))), F.col("id")))).drop("_takes", "_next", "_gave")
+
+
+def flatten_chunks(chunks: DataFrame) -> DataFrame:
+    """Nested chunks (slug, stem, body, problems with num, body, solution) as one row per block with its locator."""
+    body = chunks.select("slug", "stem", F.lit("body").alias("section"), F.lit(None).cast("string").alias("num"), F.lit(0).alias("occ"), F.posexplode("body").alias("idx", "b"))
+    probs = chunks.select("slug", "stem", F.posexplode("problems").alias("_p", "p"))
+    occ = F.row_number().over(Window.partitionBy("slug", "stem", "p.num").orderBy("_p")) - 1
+    probs = probs.withColumn("occ", occ)
+    parts = [probs.select("slug", "stem", F.lit(f"problem.{s}").alias("section"), F.col("p.num").alias("num"), "occ", F.posexplode(f"p.{s}").alias("idx", "b")) for s in ("body", "solution")]
+    out = body.unionByName(parts[0]).unionByName(parts[1])
+    place = F.concat(F.when(F.col("num").isNull(), F.lit("body")).otherwise(F.concat(F.lit("problem["), F.col("num"), F.lit("]."), F.regexp_replace("section", r"^problem\.", ""))), F.lit("["), F.col("idx").cast("string"), F.lit("]"))
+    return out.select("slug", "stem", "section", "num", "occ", "idx", "b.*", F.concat(F.col("stem"), F.lit(":"), place).alias("locator"))
+
+
+def running_headers(blocks: DataFrame, keys: list[str], order: str, is_heading: Column, start: str) -> DataFrame:
+    """Flags headings that only repeat at a page top: the next text is an item whose number is above one."""
+    said = F.when(~is_heading & (F.trim(F.coalesce("text", F.lit(""))) != ""), F.col("text"))
+    after = F.first(said, True).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(1, Window.unboundedFollowing))
+    num = F.element_at(F.split(F.regexp_replace(F.regexp_extract(after, start, 1), r"\s+", ""), r"\."), 1).try_cast("int")
+    return blocks.withColumn("running", is_heading & F.coalesce(num > 1, F.lit(False)))
+
+
+def parse(blocks: DataFrame, ranges: DataFrame, noise: list[str], section: str, subsection: str, levels: list[int], main_caption: str | None = None) -> DataFrame:
+    """Typed body blocks of the chapters in `ranges` (slug, chapter, start, stop): noise dropped, headings found, captions merged."""
+    inside = without_noise(slice_ranges(blocks, ranges, ["slug"]), noise)
+    heads = inside.withColumn("h", heading(F.coalesce("text", F.lit("")), F.col("text_level"), levels, section, subsection)).withColumn("_head", (F.col("type") == "text") & F.col("h").isNotNull())
+    titles = heads.where("_head").select("slug", "chapter", "idx", F.col("h.t").alias("t"), F.col("h.id").alias("id"), F.col("h.title").alias("title"))
+    body = to_struct(heads.where(~F.coalesce("_head", F.lit(False))))
+    out = titles.unionByName(body.select("slug", "chapter", "idx", "t", "id", "md", "tex", "label", "src", "kind", "aspect", "html", "caption", "footnote"), allowMissingColumns=True)
+    return merge_subcaptions(out, ["slug", "chapter"], "idx", main_caption) if main_caption else out
+
+
+def level_mode(blocks: DataFrame, keys: list[str], pattern: str) -> DataFrame:
+    """The most frequent level of section-like headings, the lowest of equals."""
+    n = blocks.where(F.col("text").rlike(pattern) & F.col("text_level").isNotNull()).groupBy(*keys, "text_level").agg(F.count(F.lit(1)).alias("n"))
+    return n.groupBy(*keys).agg(F.max_by("text_level", F.struct("n", -F.col("text_level"))).alias("level"))
+
+
+def type_shares(blocks: DataFrame, keys: list[str], least: int) -> DataFrame:
+    """How often each block type occurs, and whether it is a candidate for the noise filter."""
+    n = blocks.groupBy(*keys, "type").agg(F.count(F.lit(1)).alias("n"))
+    return n.withColumn("noise", F.col("type").isin("header", "footer", "page_number", "aside_text", "page_footnote") & (F.col("n") >= least))
+
+
+def samples(blocks: DataFrame, keys: list[str], order: str, pattern: str, most: int) -> DataFrame:
+    """The first matches of a pattern per key."""
+    hit = blocks.withColumn("sample", F.regexp_extract("text", pattern, 0)).where("sample <> ''")
+    return hit.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).where(F.col("_n") <= most).select(*keys, order, "sample")
+
+
+def boundaries(headings: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """First index and bibliography heading, and every appendix heading."""
+    kind = F.when(F.lower(F.trim("text")).rlike("^(subject |author )?index$"), "index").when(F.lower(F.trim("text")).rlike("^(bibliography|references)$"), "bibliography").when(F.lower("text").rlike("^appendix"), "appendix")
+    rows = headings.withColumn("kind", kind).where("kind is not null")
+    rank = F.row_number().over(Window.partitionBy(*keys, "kind").orderBy(order))
+    return rows.withColumn("_n", rank).where("kind = 'appendix' or _n = 1").select(*keys, "kind", order)

@@ -157,9 +157,17 @@ def blocking(flags: Column) -> Column:
     return F.filter(flags, lambda f: F.array_contains(names, F.element_at(F.split(f, r"\("), 1)))
 
 
-def triage(text_ratio: Column, chars_median: Column, image_ratio: Column) -> Column:
-    """born_digital, scanned_with_text or scanned, from page metrics."""
-    return F.when((text_ratio >= 0.8) & (chars_median >= 500), "born_digital").when(text_ratio >= 0.3, "scanned_with_text").when(image_ratio > 0, "scanned").otherwise("unknown")
+def triage(pages: DataFrame, key: str = "path") -> DataFrame:
+    """Type, quality and verdict per file from sampled pages (chars, cover, dpi: null where there is no image)."""
+    m = pages.groupBy(key).agg(
+        F.avg("chars").alias("chars"), F.avg("cover").alias("cover"), F.round(F.median("dpi"), 0).alias("dpi"), F.avg(((F.col("chars") < 10) & (F.col("cover") < 0.05)).cast("int")).alias("blank")
+    )
+    kind = F.when((F.col("chars") < 30) & (F.col("cover") > 0.85), "scanned_image").when((F.col("chars") >= 100) & (F.col("cover") > 0.85), "ocr_sandwich").when((F.col("chars") >= 600) & (F.col("cover") < 0.6), "born_digital").otherwise("hybrid")
+    scan = F.when(F.col("dpi").isNull(), "marginal").when(F.col("dpi") < 150, "bad").when(F.col("dpi") < 250, "marginal").otherwise("good")
+    out = m.withColumn("type", kind).withColumn("quality", F.when(F.col("type").isin("scanned_image", "ocr_sandwich"), scan).otherwise("good"))
+    out = out.withColumn("quality", F.when((F.col("blank") > 0.25) & (F.col("quality") == "good"), "bad").otherwise(F.col("quality")))
+    fine = (F.col("quality") == "good") & ((F.col("type") == "born_digital") | ((F.col("type") == "hybrid") & (F.col("chars") > 300)))
+    return out.select(key, "type", "quality", F.when(fine, "proceed").otherwise("review").alias("verdict"))
 
 
 def longest_prefix(keys: DataFrame, slugs: DataFrame) -> DataFrame:

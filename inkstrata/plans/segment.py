@@ -98,7 +98,7 @@ def dup_numbers(spark, d):
 @query("""
     WITH c AS (SELECT user_id % 7 AS book, CAST(floor(date_part('day', ts)) AS BIGINT) AS num, count(*) * 3 AS body_count, count(*) FILTER (event_type = 'click') AS problem_count, count(*) FILTER (event_type = 'error') AS empty_bodies FROM events GROUP BY 1, 2),
     w AS (SELECT *, lag(body_count) OVER (PARTITION BY book ORDER BY num) AS prior FROM c)
-    SELECT book, num, 'H1' AS code FROM w WHERE body_count < 5 AND problem_count > 20 UNION ALL
+    SELECT book, num, 'H1' AS code FROM w WHERE body_count < 20 AND problem_count > 30 UNION ALL
     SELECT book, num, 'H3' FROM w WHERE problem_count > 0 AND empty_bodies = problem_count UNION ALL
     SELECT book, num, 'H5' FROM w WHERE prior >= 50 AND body_count >= 50 AND greatest(body_count, prior) * 1.0 / least(body_count, prior) > 5
 """)

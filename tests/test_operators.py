@@ -294,7 +294,9 @@ def test_metadata_and_resolution(spark):
     assert row[1] == ["block:companion", "block:no_overlap", "advisory:title_mismatch"] and row[2] == []
     assert values(spark, TT.surname, "John David Jackson", "Goldstein, Poole & Safko", "") == ["jackson", "goldstein", ""]
     assert values(spark, TT.normal_title, "Real Analysis: Modern (2nd)", "A. B", "Plain") == ["real analysis", "a", "plain"]
-    assert spark.range(1).select(U.triage(F.lit(0.9), F.lit(900), F.lit(0.0))).first()[0] == "born_digital"
+    pages = [("a", 900, 0.1, None), ("b", 10, 0.9, 120), ("c", 200, 0.9, 300), ("d", 5, 0.0, None), ("d", 800, 0.7, 300), ("e", 400, 0.7, 200)]
+    got = {r["path"]: (r["type"], r["quality"], r["verdict"]) for r in U.triage(spark.createDataFrame(pages, "path string, chars int, cover double, dpi int")).collect()}
+    assert got == {"a": ("born_digital", "good", "proceed"), "b": ("scanned_image", "bad", "review"), "c": ("ocr_sandwich", "good", "review"), "d": ("hybrid", "bad", "review"), "e": ("hybrid", "good", "proceed")}
 
 
 def test_residual_flow(spark):
