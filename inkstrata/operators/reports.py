@@ -8,6 +8,8 @@ from datetime import datetime, timedelta, timezone
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkstrata.operators.ranks import global_rank
+
 
 def since(expr: str, now: datetime) -> datetime:
     """12h, 3d, 90m, today or an ISO time as an instant; the caller gives the present."""
@@ -48,7 +50,7 @@ def daemon_health(lines: DataFrame, interval_s: int, now: Column) -> DataFrame:
 def proposals_feed(rows: DataFrame, resolved_limit: int) -> DataFrame:
     """All open proposals, newest first, then the latest resolved ones; pos orders them."""
     open_ = F.col("status").isin("proposed", "parked")
-    a = rows.where(open_).withColumn("pos", F.row_number().over(Window.orderBy(F.desc("created"), "id")))
+    a = global_rank(rows.where(open_), [-F.datediff("created", F.lit("1970-01-01"))], [F.desc("created"), F.col("id")], "pos")
     b = rows.where(~open_).orderBy(F.desc("updated"), "id").limit(resolved_limit).withColumn("pos", F.row_number().over(Window.orderBy(F.desc("updated"), "id")) + (1 << 30))
     return a.unionByName(b)
 
@@ -120,7 +122,7 @@ def kept_newest(rows: DataFrame, order: list[str], most: int) -> DataFrame:
 def known_gaps(targets: DataFrame, seen: DataFrame) -> DataFrame:
     """Discovered works that are not known yet, with the derived row of a solution book; they come after all listed ones."""
     fresh = targets.join(seen.select("slug").distinct(), "slug", "left_anti")
-    return fresh.withColumn("order", F.lit(10_000) + F.row_number().over(Window.orderBy("field_id", "slug")))
+    return global_rank(fresh, [F.col("field_id")], [F.col("slug")], "order").withColumn("order", F.col("order") + 10_000)
 
 
 def first_wins(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkstrata.operators.ranks import global_rank
+
 
 def stage(has_unified: Column, has_parsed: Column, pending: Column, raw: Column, has_rules: Column, blocked: Column, problems: Column, solved: Column, translated: Column) -> Column:
     """Where a book stands, derived from what exists; earlier steps win."""
@@ -155,8 +157,9 @@ def provider_health(workers: DataFrame, chain: list[str]) -> DataFrame:
 def quota_slots(accounts: DataFrame, picks: DataFrame, order: list[str]) -> DataFrame:
     """The first picks zipped with the free slots of the accounts, in order of account."""
     slots = accounts.where("remaining > 0").withColumn("slot", F.explode(F.sequence(F.lit(1), F.col("remaining").cast("int"))))
-    slots = slots.withColumn("_k", F.row_number().over(Window.orderBy("account", "slot")))
-    mine = picks.withColumn("_k", F.row_number().over(Window.orderBy(*order)))
+    slots = global_rank(slots, [F.col("account")], [F.col("slot")], "_k")
+    most = accounts.agg(F.sum(F.greatest("remaining", F.lit(0)))).first()[0] or 0  # quotas are few, so the picks that fit are too
+    mine = picks.orderBy(*order).limit(int(most)).withColumn("_k", F.row_number().over(Window.orderBy(*order)))
     return mine.join(slots.select("_k", "account", "slot"), "_k").drop("_k")
 
 

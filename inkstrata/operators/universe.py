@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkstrata.functions import titles as T
+from inkstrata.operators.ranks import global_rank
 
 STATES = ["candidate", "pending", "qualified", "owned", "rejected"]
 
@@ -72,8 +73,7 @@ def work_remaining(works: DataFrame, now: Column, days: int) -> DataFrame:
 def ordered(works: DataFrame, fields: DataFrame) -> DataFrame:
     """Rank by live field order, subject rank, book rank, main before solution."""
     j = works.join(F.broadcast(fields) if fields.isLocal() else fields, "field_id", "left")
-    keys = [F.coalesce("field_order", F.lit(9999)), F.col("field_id"), F.col("subject_rank"), F.col("book_rank"), (F.col("kind") != "main").cast("int"), F.col("slug")]
-    return j.withColumn("rank", F.row_number().over(Window.orderBy(*keys)))
+    return global_rank(j, [F.coalesce("field_order", F.lit(9999)), F.col("field_id")], [F.col("subject_rank"), F.col("book_rank"), (F.col("kind") != "main").cast("int"), F.col("slug")])
 
 
 def with_solutions(works: DataFrame) -> DataFrame:
@@ -112,11 +112,10 @@ def nested(works: DataFrame) -> DataFrame:
     return books.groupBy("field_id").agg(F.array_sort(F.collect_list(F.struct("first", "subject", "books"))).alias("sublists"))
 
 
-def matched(targets: DataFrame, found: DataFrame, block: str = "first_token") -> DataFrame:
-    """Candidates of the same kind with their confidence; blocking by shared title tokens keeps pairs few."""
-    left = targets.withColumn("_b", F.explode(T.title_tokens(F.col("title"))))
-    right = found.where(F.lower("extension") == "pdf").select(F.col("title").alias("c_title"), F.col("author").alias("c_author"), "cid", "score", T.is_solution(F.col("title")).alias("c_solution"), F.explode(T.title_tokens(F.col("title"))).alias("_b"))
-    pairs = left.join(right, "_b").drop("_b").dropDuplicates(["slug", "cid"])
+def matched(targets: DataFrame, found: DataFrame) -> DataFrame:
+    """Each work with the candidates that its own search found (slug, cid), of the same kind, and their confidence."""
+    right = found.where(F.lower("extension") == "pdf").select("slug", F.col("title").alias("c_title"), F.col("author").alias("c_author"), "cid", "score", T.is_solution(F.col("title")).alias("c_solution"))
+    pairs = targets.join(right, "slug")
     same = pairs.where((F.col("kind") == "solution") == F.col("c_solution"))
     return same.withColumn("confidence", T.confidence(F.col("title"), F.col("author"), F.col("c_title"), F.col("c_author")))
 

@@ -88,7 +88,7 @@ def exact_unique_match(spark, d):
 @query("SELECT slug, cid, CAST(confidence AS DOUBLE) AS confidence FROM (VALUES ('sig', CAST(1 AS BIGINT), 1.0), ('org', 2, 1.0)) v(slug, cid, confidence)")
 def best_candidates(spark, d):
     targets = spark.sql("SELECT 'main' AS kind, * FROM VALUES ('sig', 'Signals and Systems', 'Alan Oppenheim'), ('org', 'Organic Chemistry', 'Clayden') AS v(slug, title, author)")
-    found = spark.sql("SELECT 'pdf' AS extension, * FROM VALUES (1L, 'Signals and Systems', 'Oppenheim', 9.0), (2L, 'Organic Chemistry', 'Clayden', 8.0), (3L, 'Organic Chemistry', 'Clayden', 2.0), (4L, 'Solutions Manual to Organic Chemistry', 'Clayden', 9.9) AS v(cid, title, author, score)")
+    found = spark.sql("SELECT 'pdf' AS extension, * FROM VALUES ('sig', 1L, 'Signals and Systems', 'Oppenheim', 9.0), ('org', 2L, 'Organic Chemistry', 'Clayden', 8.0), ('org', 3L, 'Organic Chemistry', 'Clayden', 2.0), ('org', 4L, 'Solutions Manual to Organic Chemistry', 'Clayden', 9.9) AS v(slug, cid, title, author, score)")
     return U.pick(U.matched(targets, found)).select("slug", "cid", "confidence")
 
 
