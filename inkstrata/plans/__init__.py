@@ -1,6 +1,6 @@
 """Registered queries with their oracle SQL."""
 
-from inkstrata.plans import catalogs, overlay, residual, search, segment, state, streams, universe
+from inkstrata.plans import catalogs, details, overlay, residual, search, segment, state, streams, universe
 from inkstrata.plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "catalogs", "overlay", "residual", "search", "segment", "state", "streams", "universe"]
+__all__ = ["ORACLE_SQL", "QUERIES", "catalogs", "details", "overlay", "residual", "search", "segment", "state", "streams", "universe"]

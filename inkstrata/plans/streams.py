@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from inkstrata.plans.registry import ORACLE_SQL, query
 from inkstrata.plans import state  # noqa: F401  registers the batch twins
-from inkstrata.sources import read
+from inkstrata.sources import read, shared_dir
 from inkstrata.streaming import changes
 
 def _events(spark, d):
@@ -18,7 +18,7 @@ def _events(spark, d):
 
 
 def _checkpoint(spark) -> str:
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/inkstrata'}/stream-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 @query(ORACLE_SQL["stage_timeline"])
