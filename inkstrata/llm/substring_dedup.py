@@ -14,8 +14,11 @@ Pieces start where the hash of eight bytes is smallest among the next
 `AHEAD` places, so piece borders follow from the bytes ahead; a piece is named
 by its bytes and that look-ahead, which keeps the order of pieces the order of
 bytes.  A window is judged at the first border inside it: equal bytes before
-the border, common prefix after it.  Nothing here compares all pairs, and a
-text is moved twice whatever it holds.
+the border, common prefix after it.  Nothing here compares all pairs.
+
+An anchor that more than `HOT` segments have (a line in a third of all texts)
+would make one shard too large for a task: its windows are spread by their own
+hashes and counted with a map-side sum instead.
 """
 
 from __future__ import annotations
@@ -38,6 +41,7 @@ LOOK = AHEAD + 8 - 1
 LONGEST = 240
 SLICE = 1 << 20
 SHARD_BYTES = 3 << 20
+HOT = 8_000
 BASE = 0x2545F4914F6CDD1D
 
 
@@ -251,6 +255,34 @@ def _array(rows: pa.Table) -> pa.Table:
     return pa.table({n: pa.array(c, t) for n, c, t in zip(("doc_id", "rid", "first", "last"), cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)})
 
 
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every window of the wanted segments by its hash."""
+    w = LENGTH - GRAM + 1
+    for batch in batches:
+        data, offsets = utf8(batch.column(2))
+        for i, wanted in enumerate(batch.column(3).to_pylist()):
+            body = data[offsets[i] : offsets[i + 1]]
+            for s in wanted:
+                part = body[s["first"] : s["last"] + LENGTH]
+                n, h = s["last"] - s["first"] + 1, gram_hashes(part)
+                total = np.zeros(len(part) + 1, U64)
+                np.cumsum(h * powers(BASE, len(part)), out=total[1:])
+                start = np.arange(n)
+                seen = mix((total[start + w] - total[start]) * powers(pow(BASE, -1, 2**64), n))
+                same = {"doc_id": batch.column(0)[i].as_py(), "rid": batch.column(1)[i].as_py(), "anchor": s["anchor"], "many": 1 + s["many"]}
+                cols = [pa.array(np.full(n, v, np.int64)) for v in same.values()]
+                yield pa.record_batch([*cols, pa.array(seen.view(np.int64)), pa.array((s["first"] + start).astype(np.int32))], [*same, "window", "first"])
+
+
+def _spread(own: DataFrame, segments_: DataFrame) -> DataFrame:
+    """Ranges of the repeated windows of hot anchors."""
+    wanted = segments_.groupBy("doc_id", "rid").agg(F.collect_list(F.struct("anchor", "first", "last", "many")).alias("wanted"))
+    cut = own.join(wanted.hint("shuffle_hash"), ["doc_id", "rid"]).select("doc_id", "rid", "text", "wanted")
+    windows = staged(cut.mapInArrow(_windows, "doc_id long, rid long, anchor long, many long, window long, first int"), "windows")
+    again = windows.groupBy("anchor", "window").agg(F.sum("many").alias("n")).where("n > 1").select("anchor", "window")
+    return windows.join(again, ["anchor", "window"], "left_semi").select("doc_id", "rid", "first", F.col("first").alias("last"))
+
+
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = utf8(batch.column(1))
@@ -273,7 +305,7 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column(0), pa.array(n), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "spans", "kept"])
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (start, end, ... of removed bytes) and kept (bytes) per row.
 
     Null texts are empty; texts under LENGTH bytes keep all.  Repeated rows
@@ -282,15 +314,22 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     own = texts(docs, ids=True).withColumn("rid", F.xxhash64("doc_id", "text"))
-    asked = own.select("doc_id", "rid", "text").mapInArrow(_ask, ROWS).withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(width(spark))))
-    met = staged(asked.groupBy("bucket").applyInArrow(_meet, ROWS), "segments")
+    asked = staged(own.select("doc_id", "rid", "text").mapInArrow(_ask, ROWS), "anchors")
+    often = staged(asked.where("what = 0").groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("anchor"), "hot-anchors")
+    any_hot = bool(often.head(1))
+    usual = asked.join(often, "anchor", "left_anti").select(*NAMES) if any_hot else asked
+    bucket = F.pmod(F.xxhash64("anchor"), F.lit(width(spark)))
+    met = staged(usual.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(_meet, ROWS), "segments")
     open_ = met.where("what = 2")
     size = open_.agg(F.sum(F.col("last") - F.col("first") + LENGTH)).first()[0] or 0
     shards = max(1, -(-size // SHARD_BYTES))
     wanted = open_.groupBy("doc_id", "rid").agg(F.collect_list(F.struct("anchor", "first", "last", "many")).alias("wanted"))
     cut = own.join(wanted.hint("shuffle_hash"), ["doc_id", "rid"]).select("doc_id", "rid", "text", "wanted").mapInArrow(_cut, "anchor long, doc_id long, rid long, first int, many int, content binary")
     found = cut.withColumn("shard", F.pmod(F.xxhash64("anchor", F.lit(1)), F.lit(shards))).groupBy("shard").applyInArrow(_array, RANGES)
-    ranges = staged(met.where("what = 1").select("doc_id", "rid", "first", "last").unionByName(found), "ranges")
+    ranges = met.where("what = 1").select("doc_id", "rid", "first", "last").unionByName(found)
+    if any_hot:
+        ranges = ranges.unionByName(_spread(own, asked.where("what = 0").join(often, "anchor", "left_semi").select(*NAMES)))
+    ranges = staged(ranges, "ranges")
     per_doc = ranges.groupBy("doc_id", "rid").agg(F.collect_list(F.struct("first", "last")).alias("found"))
     return own.join(per_doc.hint("shuffle_hash"), ["doc_id", "rid"], "left").select(given("doc_id"), "text", "found").mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, spans array<long>, kept binary")
 

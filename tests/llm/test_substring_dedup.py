@@ -56,9 +56,10 @@ def planted():
     return [(600000 + k, t) for k, t in enumerate(out)] + [(600001, out[1])]
 
 
-@pytest.mark.parametrize("shard", [3 << 20, 20_000])
-def test_removal_against_all_windows(spark, tmp_path, monkeypatch, shard):
+@pytest.mark.parametrize(("shard", "hot"), [(3 << 20, S.HOT), (20_000, 5)])
+def test_removal_against_all_windows(spark, tmp_path, monkeypatch, shard, hot):
     monkeypatch.setattr(S, "SHARD_BYTES", shard)
+    monkeypatch.setattr(S.remove_repeats, "__defaults__", (hot,))
     rows = [(r["doc_id"], r["text"]) for r in pq.read_table(f"{SF}/documents.parquet").to_pylist()] + planted()
     spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, rid int").write.parquet(f"{tmp_path}/documents.parquet")
     got = S.op9_suffix_dedup(spark, str(tmp_path)).collect()
