@@ -7,7 +7,7 @@ Two fingerprints within radius r agree on one of r + 1 bands of bits
 keyed by the integer Hamming distance to their parent, and a query follows
 only the edges within the radius.  The trees grow with the corpus, so none is
 broadcast: a shard's tree meets the fingerprints routed to it in one task.
-A shard above `SPLIT` members is divided again by bands of its other bits.
+A shard above `SPLIT` members is divided by narrower bands before it is routed.
 """
 
 from __future__ import annotations
@@ -186,7 +186,7 @@ class BKTree:
         return found
 
 
-def _forest(fps: list[int], reps: list[int], radius: int, divide: bool, out: dict[int, int]) -> None:
+def _forest(fps: list[int], reps: list[int], radius: int, out: dict[int, int]) -> None:
     """Unite the members of one shard in `out`, a union-find that keeps the smallest rep."""
 
     def root(x: int) -> int:
@@ -195,16 +195,6 @@ def _forest(fps: list[int], reps: list[int], radius: int, divide: bool, out: dic
             x = out[x]
         return x
 
-    if divide and len(fps) > SPLIT:
-        # of 2 (r + 1) narrower bands those that differ inside the shard still leave one that a linked pair agrees on
-        for shift, wide in bands(2 * radius + 1):
-            shards: dict[int, list[int]] = {}
-            for i, x in enumerate(fps):
-                shards.setdefault(x >> shift & (1 << wide) - 1, []).append(i)
-            for members in shards.values() if len(shards) > 1 else ():
-                if len(members) > 1:
-                    _forest([fps[i] for i in members], [reps[i] for i in members], radius, False, out)
-        return
     tree = BKTree()
     for i, x in enumerate(fps):
         for j in tree.link(x, radius):
@@ -223,7 +213,7 @@ def _shards(radius: int):
         to: dict[int, int] = {}
         for a, b in zip(new, np.append(new[1:], len(key)), strict=True):
             if b - a > 1:
-                _forest(fps[a:b].tolist(), reps[a:b].tolist(), radius, True, to)
+                _forest(fps[a:b].tolist(), reps[a:b].tolist(), radius, to)
         a, b = [], []
         for x in list(to):
             top = x
@@ -237,18 +227,44 @@ def _shards(radius: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+def route(rows: DataFrame, count: int, *keep: str) -> DataFrame:
+    """Each fingerprint once per band of count + 1: fp, rep, kept columns, band and the band's bits as key."""
+    cuts = F.array(*[F.struct(F.lit(k).alias("band"), F.shiftrightunsigned("fp", shift).bitwiseAND((1 << wide) - 1).alias("key")) for k, (shift, wide) in enumerate(bands(count))])
+    return rows.withColumn("cut", F.explode(cuts)).select("fp", "rep", *keep, "cut.band", "cut.key")
+
+
+def shards(reps: DataFrame, radius: int, split: int = SPLIT) -> DataFrame:
+    """fp, rep, band, key: every pair within the radius shares a (band, key).
+
+    A shard above `split` members is routed again by twice as many bands, of
+    which those that differ inside it count; a pair differs in at most `radius`
+    of them, so with more than that one agrees.  A shard that differs in fewer
+    bands stays whole: it has few bits to differ in.
+    """
+    routed = route(reps, radius).withColumn("shard", F.xxhash64("band", "key"))
+    big = staged(routed.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > split).select("shard"), "big-shards")
+    if not big.head(1):
+        return routed.drop("shard")
+    inner = route(routed.join(big, "shard", "left_semi"), 2 * radius + 1, "shard")
+    varied = inner.groupBy("shard", "band").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b").select("shard", "band")
+    varied = staged(varied.join(varied.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > radius), "shard").select("shard", "band"), "varied-bands")
+    divided = inner.join(varied, ["shard", "band"], "left_semi").select("fp", "rep", (F.col("band") + 1000).alias("band"), F.xxhash64("shard", "band", "key").alias("key"))
+    return routed.join(varied.select("shard").distinct(), "shard", "left_anti").select("fp", "rep", "band", "key").unionByName(divided)
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, split: int = SPLIT) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable by links).
 
     Null or blank texts have fingerprint zero and link like any other.  A row
     per input row; rows that repeat a doc_id repeat in the result.  A null
-    doc_id counts as larger than any other.  Extra columns are ignored.  An empty table gives no rows.
+    doc_id counts as larger than any other.  Extra columns are ignored.  An
+    empty table gives no rows.
     """
     spark = docs.sparkSession
     marked = staged(texts(docs, ids=True).mapInArrow(_map, "doc_id long, fp long"), "simhash")
     reps = marked.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    cuts = F.array(*[F.struct(F.lit(k).alias("band"), F.shiftrightunsigned("fp", shift).bitwiseAND((1 << wide) - 1).alias("key")) for k, (shift, wide) in enumerate(bands(radius))])
-    routed = reps.withColumn("cut", F.explode(cuts)).select("fp", "rep", "cut.band", "cut.key").withColumn("bucket", F.pmod(F.xxhash64("band", "key"), F.lit(width(spark))))
+    routed = shards(reps, radius, split)
+    routed = routed.withColumn("bucket", F.pmod(F.xxhash64("band", "key"), F.lit(width(spark))))
     edges = routed.groupBy("bucket").applyInArrow(_shards(radius), "a long, b long")
     roots = components(edges, "simhash")
     known = reps.join(roots, F.col("rep") == F.col("node"), "left").select(F.col("fp").alias("of"), F.coalesce("root", "rep").alias("component_id"))

@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow.parquet as pq
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from inkstrata.llm import decontaminate, packing, simhash
@@ -75,21 +76,48 @@ def test_simhash_against_brute_force(docs):
     assert Counter(got) == Counter((i, f"{x:016x}", root(i)) for i, x in fps)
 
 
-def test_bk_shards_divide(monkeypatch):
+@pytest.mark.parametrize("split", [10**6, 4])
+def test_shards_lose_no_link(spark, split):
+    """Families that vary in all bits, in few bands, or in one band only."""
     rng = np.random.default_rng(2)
-    base = [int(x) for x in rng.integers(0, 2**63, 30)]
-    fps = list({b ^ (1 << int(i)) ^ (1 << int(j)) for b in base for i, j in rng.integers(0, 40, (20, 2))})
-    whole, split = {}, {}
-    simhash._forest(fps, list(range(len(fps))), 2, True, whole)
-    monkeypatch.setattr(simhash, "SPLIT", 8)
-    simhash._forest(fps, list(range(len(fps))), 2, True, split)
-
-    def top(d, x):
-        while d.get(x, x) != x:
-            x = d[x]
+    fps = {int(x) for x in rng.integers(0, 2**63, 40)}
+    for base, lo, hi in ((12345678901234567, 0, 64), (98765432109876543, 30, 64), (55555555555555555, 40, 50), (77777777777777777, 12, 30)):
+        for _ in range(60):
+            x = base
+            for k in rng.integers(lo, hi, rng.integers(0, 5)):
+                x ^= 1 << int(k)
+            fps.add(x & (2**64 - 1))
+    fps = sorted(fps)
+    df = spark.createDataFrame([(x - 2**64 if x >= 2**63 else x, i) for i, x in enumerate(fps)], "fp long, rep long")
+    routed = simhash.shards(df, 2, split)
+    met = {}
+    for r in routed.collect():
+        met.setdefault((r["band"], r["key"]), set()).add(r["rep"])
+    together = {(a, b) for m in met.values() for a in m for b in m if a < b}
+    links = {(i, j) for j, y in enumerate(fps) for i, x in enumerate(fps[:j]) if (x ^ y).bit_count() <= 2}
+    assert links and links <= together
+    if split == 4:
+        whole = {}
+        for r in simhash.route(df, 2).collect():
+            whole.setdefault((r["band"], r["key"]), set()).add(r["rep"])
+        assert len(together) < len({(a, b) for m in whole.values() for a in m for b in m if a < b})
+    to = {}
+    edges = routed.withColumn("bucket", F.lit(0)).groupBy("bucket").applyInArrow(simhash._shards(2), "a long, b long").collect()
+
+    def root(x):
+        while to.setdefault(x, x) != x:
+            x = to[x]
         return x
 
-    assert [top(whole, i) for i in range(len(fps))] == [top(split, i) for i in range(len(fps))]
+    for a, b in [(r["a"], r["b"]) for r in edges]:
+        a, b = root(a), root(b)
+        to[max(a, b)] = min(a, b)
+    got = [root(i) for i in range(len(fps))]
+    to = {}
+    for a, b in links:
+        a, b = root(a), root(b)
+        to[max(a, b)] = min(a, b)
+    assert got == [root(i) for i in range(len(fps))]
 
 
 def test_empty_tables(spark):
