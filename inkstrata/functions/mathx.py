@@ -136,6 +136,7 @@ def category(err: Column) -> Column:
             out = out | e.contains(w)
         return out
 
+    # Words of the renderer's messages, in order of precedence.
     return (
         F.when(macro(err).isNotNull(), "undefined_macro")
         .when(has("double superscript", "double subscript", "double exponent"), "double_script")

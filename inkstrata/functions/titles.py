@@ -92,6 +92,7 @@ def confidence(title: Column, author: Column, found_title: Column, found_author:
 
 def suitability(size: Column, extension: Column, publisher: Column, year: Column, interest: Column, pages: Column) -> Column:
     """Additive score of a candidate file."""
+    # The weights and bounds of the score.
     mb = F.coalesce(size, F.lit(0)) / 1e6
     y, i = F.coalesce(year.try_cast("int"), F.lit(0)), F.coalesce(interest.try_cast("double"), F.lit(0.0))
     return (

@@ -128,6 +128,7 @@ def smoke(chapters: DataFrame, keys: list[str], order: str) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(order)
     prior = F.lag("body_count").over(w)
     ratio = F.greatest("body_count", prior) / F.least("body_count", prior)
+    # The thresholds of the anomaly codes.
     wide = (prior >= 50) & (F.col("body_count") >= 50) & (ratio > 5)
     checks = F.array_compact(
         F.array(

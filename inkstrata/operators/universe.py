@@ -161,6 +161,7 @@ def triage(pages: DataFrame, key: str = "path") -> DataFrame:
     m = pages.groupBy(key).agg(
         F.avg("chars").alias("chars"), F.avg("cover").alias("cover"), F.round(F.median("dpi"), 0).alias("dpi"), F.avg(((F.col("chars") < 10) & (F.col("cover") < 0.05)).cast("int")).alias("blank")
     )
+    # The bounds of the page metrics.
     kind = F.when((F.col("chars") < 30) & (F.col("cover") > 0.85), "scanned_image").when((F.col("chars") >= 100) & (F.col("cover") > 0.85), "ocr_sandwich").when((F.col("chars") >= 600) & (F.col("cover") < 0.6), "born_digital").otherwise("hybrid")
     scan = F.when(F.col("dpi").isNull(), "marginal").when(F.col("dpi") < 150, "bad").when(F.col("dpi") < 250, "marginal").otherwise("good")
     out = m.withColumn("type", kind).withColumn("quality", F.when(F.col("type").isin("scanned_image", "ocr_sandwich"), scan).otherwise("good"))
