@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from inkstrata.llm._bytes import GOLDEN, U64, lower_ascii, mix, runs, span_hashes, utf8
 from inkstrata.llm._spark import NO_ID, given, staged, table, texts
 
-CHUNK_BYTES = 10 << 20
+CHUNK_BYTES = 5 << 20
 K = 5
 FOLDS, HELD = 7, 2
 
@@ -110,6 +110,7 @@ class Chunk:
         pair = mix(mix(self.context * GOLDEN) + tokens)
         self.words, self.word_at = np.unique(tokens, return_inverse=True)
         self.pairs, self.pair_first, self.pair_at = np.unique(pair, return_index=True, return_inverse=True)
+        del pair, doc, words, tokens
         taught = self.train[self.doc]
         self.asked = [
             (self.words, np.bincount(self.word_at[taught], minlength=len(self.words))),
@@ -271,7 +272,7 @@ def score(docs: DataFrame, train, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     size = own.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     chunks = max(1, -(-size // chunk_bytes))
     dealt = own.mapInArrow(_dealt(chunks), DEALT)
-    asked = dealt.groupBy("chunk").applyInArrow(_ask(chunks), ASKED)
+    asked = dealt.groupBy("chunk").applyInArrow(_ask(-(-chunks // 2)), ASKED)
     answers = staged(asked.groupBy("ord", "range").applyInArrow(_answer, ANSWER), "counts")
     stats = {(r["ord"], r["c"]): r["n"] for r in answers.where("chunk is null").groupBy("ord", "c").agg(F.sum("n").alias("n")).collect()}
     model = Model(stats)
