@@ -41,7 +41,7 @@ LOOK = AHEAD + 8 - 1
 LONGEST = 240
 SLICE = 1 << 20
 SHARD_BYTES = 3 << 20
-HOT = 8_000
+HOT = 20_000
 BASE = 0x2545F4914F6CDD1D
 
 
@@ -125,18 +125,32 @@ def _meet(rows: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_batch(**p) for p in (*parts, hit, keep)])
 
 
+CUT = "anchor long, doc_id long, rid long, first int, many int, content binary, window long"
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contents of the wanted segments of each document."""
+    """Wanted segments of each document: what 2 by content, what 0 (hot anchors) as one hash per window."""
+    names = [x.split()[0] for x in CUT.split(", ")]
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64())
+    w = LENGTH - GRAM + 1
     for batch in batches:
         data, offsets = utf8(batch.column(2))
         out: list[tuple] = []
         for i, wanted in enumerate(batch.column(3).to_pylist()):
+            body, doc_id, rid = data[offsets[i] : offsets[i + 1]], batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
             for s in wanted:
-                at = offsets[i] + s["first"]
-                out.append((s["anchor"], batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), s["first"], s["many"], data[at : at + s["last"] - s["first"] + LENGTH].tobytes()))
+                part = body[s["first"] : s["last"] + LENGTH]
+                if s["what"] == 2:
+                    out.append((s["anchor"], doc_id, rid, s["first"], s["many"], part.tobytes(), None))
+                    continue
+                start = np.arange(s["last"] - s["first"] + 1)
+                total = np.zeros(len(part) + 1, U64)
+                np.cumsum(gram_hashes(part) * powers(BASE, len(part)), out=total[1:])
+                seen = mix((total[start + w] - total[start]) * powers(pow(BASE, -1, 2**64), len(start)))
+                same = [pa.array(np.full(len(start), v)).cast(t) for v, t in ((s["anchor"], types[0]), (doc_id, types[1]), (rid, types[2]))]
+                yield pa.record_batch([*same, pa.array(s["first"] + start).cast(types[3]), pa.array(np.full(len(start), s["many"])).cast(types[4]), pa.nulls(len(start), types[5]), pa.array(seen.view(np.int64))], names)
         if out:
-            cols = list(zip(*out, strict=True))
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["anchor", "doc_id", "rid", "first", "many", "content"])
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
 
 def borders(cat: np.ndarray) -> np.ndarray:
@@ -255,31 +269,9 @@ def _array(rows: pa.Table) -> pa.Table:
     return pa.table({n: pa.array(c, t) for n, c, t in zip(("doc_id", "rid", "first", "last"), cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)})
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every window of the wanted segments by its hash."""
-    w = LENGTH - GRAM + 1
-    for batch in batches:
-        data, offsets = utf8(batch.column(2))
-        for i, wanted in enumerate(batch.column(3).to_pylist()):
-            body = data[offsets[i] : offsets[i + 1]]
-            for s in wanted:
-                part = body[s["first"] : s["last"] + LENGTH]
-                n, h = s["last"] - s["first"] + 1, gram_hashes(part)
-                total = np.zeros(len(part) + 1, U64)
-                np.cumsum(h * powers(BASE, len(part)), out=total[1:])
-                start = np.arange(n)
-                seen = mix((total[start + w] - total[start]) * powers(pow(BASE, -1, 2**64), n))
-                same = {"doc_id": batch.column(0)[i].as_py(), "rid": batch.column(1)[i].as_py(), "anchor": s["anchor"], "many": 1 + s["many"]}
-                cols = [pa.array(np.full(n, v, np.int64)) for v in same.values()]
-                yield pa.record_batch([*cols, pa.array(seen.view(np.int64)), pa.array((s["first"] + start).astype(np.int32))], [*same, "window", "first"])
-
-
-def _spread(own: DataFrame, segments_: DataFrame) -> DataFrame:
-    """Ranges of the repeated windows of hot anchors."""
-    wanted = segments_.groupBy("doc_id", "rid").agg(F.collect_list(F.struct("anchor", "first", "last", "many")).alias("wanted"))
-    cut = own.join(wanted.hint("shuffle_hash"), ["doc_id", "rid"]).select("doc_id", "rid", "text", "wanted")
-    windows = staged(cut.mapInArrow(_windows, "doc_id long, rid long, anchor long, many long, window long, first int"), "windows")
-    again = windows.groupBy("anchor", "window").agg(F.sum("many").alias("n")).where("n > 1").select("anchor", "window")
+def _spread(windows: DataFrame) -> DataFrame:
+    """Ranges of the repeated windows of hot anchors, counted by their own hashes."""
+    again = windows.groupBy("anchor", "window").agg(F.sum(F.col("many") + 1).alias("n")).where("n > 1").select("anchor", "window")
     return windows.join(again, ["anchor", "window"], "left_semi").select("doc_id", "rid", "first", F.col("first").alias("last"))
 
 
@@ -323,12 +315,16 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     open_ = met.where("what = 2")
     size = open_.agg(F.sum(F.col("last") - F.col("first") + LENGTH)).first()[0] or 0
     shards = max(1, -(-size // SHARD_BYTES))
-    wanted = open_.groupBy("doc_id", "rid").agg(F.collect_list(F.struct("anchor", "first", "last", "many")).alias("wanted"))
-    cut = own.join(wanted.hint("shuffle_hash"), ["doc_id", "rid"]).select("doc_id", "rid", "text", "wanted").mapInArrow(_cut, "anchor long, doc_id long, rid long, first int, many int, content binary")
-    found = cut.withColumn("shard", F.pmod(F.xxhash64("anchor", F.lit(1)), F.lit(shards))).groupBy("shard").applyInArrow(_array, RANGES)
+    if any_hot:
+        open_ = open_.unionByName(asked.where("what = 0").join(often, "anchor", "left_semi").select(*NAMES))
+    wanted = open_.groupBy("doc_id", "rid").agg(F.collect_list(F.struct("what", "anchor", "first", "last", "many")).alias("wanted"))
+    cut = own.join(wanted.hint("shuffle_hash"), ["doc_id", "rid"]).select("doc_id", "rid", "text", "wanted").mapInArrow(_cut, CUT)
+    cut = staged(cut, "cut") if any_hot else cut
+    texts_ = cut.where("content is not null").drop("window").withColumn("shard", F.pmod(F.xxhash64("anchor", F.lit(1)), F.lit(shards)))
+    found = texts_.groupBy("shard").applyInArrow(_array, RANGES)
     ranges = met.where("what = 1").select("doc_id", "rid", "first", "last").unionByName(found)
     if any_hot:
-        ranges = ranges.unionByName(_spread(own, asked.where("what = 0").join(often, "anchor", "left_semi").select(*NAMES)))
+        ranges = ranges.unionByName(_spread(cut.where("content is null")))
     ranges = staged(ranges, "ranges")
     per_doc = ranges.groupBy("doc_id", "rid").agg(F.collect_list(F.struct("first", "last")).alias("found"))
     return own.join(per_doc.hint("shuffle_hash"), ["doc_id", "rid"], "left").select(given("doc_id"), "text", "found").mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, spans array<long>, kept binary")
