@@ -127,10 +127,23 @@ def work_remaining(spark, d):
 """)
 def expanded_lists(spark, d):
     docs = read(spark, d, "documents").where("doc_id % 3 = 0 AND trim(text) <> ''")
+    return _expanded(docs)
+
+
+def _expanded(docs):
     b = docs.select("doc_id", F.lit("list").alias("type"), F.lit("").alias("text"), F.split("text", "\n").alias("list_items"), F.lit(1).alias("text_level"))
     return G.expand_lists(b, ["doc_id"]).select("doc_id", F.col("item").cast("long").alias("item"), "text")
 
 
+@query("""
+    WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS items FROM documents), b AS (SELECT doc_id, CASE WHEN len(items) > 0 THEN items ELSE [''] END AS items FROM l)
+    SELECT doc_id, k - 1 AS item, items[k] AS text FROM (SELECT doc_id, items, unnest(generate_series(1, len(items))) AS k FROM b)
+""")
+def expanded_lists_whole(spark, d):
+    """Every document; one without items stays one block."""
+    return _expanded(read(spark, d, "documents"))
+
+
 @query("""
     SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'section' ELSE 'subsection' END AS t, CAST(conv_id AS VARCHAR) || '.' || CAST(turn AS VARCHAR) || CASE WHEN turn % 2 = 0 THEN '' ELSE '.1' END AS id, role AS title FROM conversations WHERE turn < 4
 """)
