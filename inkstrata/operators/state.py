@@ -176,9 +176,22 @@ def frontier(proposals: DataFrame) -> DataFrame:
 
 
 def stale(proposals: DataFrame, commits: DataFrame) -> DataFrame:
-    """Open proposals whose files changed since they were verified."""
-    j = proposals.where(F.col("status").isin("proposed", "parked")).join(commits, "domain").where(F.col("committed_at") > F.col("verified_at"))
-    return j.groupBy("id").agg(F.count(F.lit(1)).alias("commits"))
+    """Open proposals whose files changed since they were verified, and how often.
+
+    Commits are counted once per domain and instant; later days and later
+    instants of the same day are summed apart, so no pairs are made and no
+    window holds more than the days of a domain or the instants of one day.
+    """
+    open_ = proposals.where(F.col("status").isin("proposed", "parked")).select("id", "domain", F.col("verified_at").alias("at"))
+    marks = open_.select("domain", "at", F.lit(0).alias("n")).unionByName(commits.select("domain", F.col("committed_at").alias("at"), F.lit(1).alias("n")))
+    marks = marks.where("domain IS NOT NULL AND at IS NOT NULL").groupBy("domain", "at").agg(F.sum("n").alias("n")).withColumn("day", F.to_date("at"))
+
+    def later(*keys: str, order: str) -> Column:
+        return F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    days = marks.groupBy("domain", "day").agg(F.sum("n").alias("n")).select("domain", "day", later("domain", order="day").alias("_days"))
+    after = marks.withColumn("_own", later("domain", "day", order="at")).join(days, ["domain", "day"]).select("domain", "at", (F.col("_own") + F.col("_days")).alias("commits")).where("commits > 0")
+    return open_.join(after, ["domain", "at"]).groupBy("id").agg(F.sum("commits").alias("commits"))
 
 
 def change_status(proposals: DataFrame, wanted: DataFrame, new: str, allowed: list[str]) -> DataFrame:

@@ -137,6 +137,17 @@ def stale_items(spark, d):
     return P.stale(open_, o.where("o_orderkey % 101 = 0").select(F.col("o_orderpriority").alias("domain"), F.col("o_orderdate").alias("committed_at")))
 
 
+@query("""
+    WITH c AS (SELECT o_orderpriority AS domain, o_orderdate AS at, count(*) AS n FROM orders GROUP BY 1, 2)
+    SELECT o.o_orderkey AS id, CAST(sum(c.n) AS BIGINT) AS commits FROM orders o JOIN c ON c.domain = o.o_orderpriority AND c.at > o.o_orderdate WHERE o.o_orderstatus <> 'F' GROUP BY 1
+""")
+def stale_items_whole(spark, d):
+    """Every order as a proposal and as a commit."""
+    s = F.when(F.col("o_orderstatus") == "O", "proposed").when(F.col("o_orderstatus") == "P", "parked").otherwise("resolved")
+    o = read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("domain"), s.alias("status"), F.col("o_orderdate").alias("at"))
+    return P.stale(o.withColumnRenamed("at", "verified_at"), o.select("domain", F.col("at").alias("committed_at")))
+
+
 @query("SELECT user_id, count(*) AS touched, count(*) FILTER (value / 60 >= 0.02) AS started, count(*) FILTER (value / 60 >= 0.9) AS read, max(event_id) AS last_at FROM events GROUP BY user_id")
 def reading_stats(spark, d):
     return P.reading_stats(read(spark, d, "events").withColumn("ratio", F.col("value") / 60), "user_id", "ratio", "event_id")
