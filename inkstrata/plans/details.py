@@ -43,6 +43,14 @@ def query_terms(spark, d):
     return read(spark, d, "documents").select("doc_id", F.size(T.query_terms(T.fold(F.left("text", F.lit(200))))).cast("long").alias("terms"))
 
 
+@query(r"""
+    SELECT doc_id, len(list_filter(regexp_split_to_array(strip_accents(lower(coalesce(text, ''))), '[^\p{L}\p{N}]+'), lambda t: t <> '')) AS terms FROM documents
+""")
+def query_terms_whole(spark, d):
+    """Terms of the whole text."""
+    return read(spark, d, "documents").select("doc_id", F.size(T.query_terms(T.fold(F.col("text")))).cast("long").alias("terms"))
+
+
 @query(r"SELECT * FROM (VALUES (CAST(0 AS BIGINT), 'x = 1', '3.2'), (1, 'y', NULL), (2, 'a $ b', NULL), (3, '\alpha', '1.4a')) v(id, tex, label)")
 def equation_labels(spark, d):
     raw = ["$$\nx = 1 \\tag{3.2}\n$$", "$$ y $$", "a $ b", "\\alpha \\tag*{1.4a}"]

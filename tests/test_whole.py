@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from datetime import datetime, timedelta
 
@@ -52,3 +53,10 @@ def test_stale_items_whole_has_every_order(spark):
         last[r["o_orderpriority"]] = max(last.get(r["o_orderpriority"], r["o_orderdate"]), r["o_orderdate"])
     got = QUERIES["stale_items_whole"](spark, SF).select("id").collect()
     assert sorted(r[0] for r in got) == sorted(r["o_orderkey"] for r in rows if r["o_orderstatus"] != "F" and r["o_orderdate"] < last[r["o_orderpriority"]])
+
+
+def test_query_terms_whole_reads_past_200_characters(spark, docs):
+    got = {r["doc_id"]: r["terms"] for r in QUERIES["query_terms_whole"](spark, SF).collect()}
+    plain = {r["doc_id"]: len(re.findall("[A-Za-z0-9]+", r["text"])) for r in docs if r["text"].isascii()}
+    assert plain and max(map(len, (r["text"] for r in docs))) > 200
+    assert plain == {k: got[k] for k in plain}
