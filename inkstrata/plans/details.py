@@ -249,11 +249,25 @@ def realigned_patches(spark, d):
 """)
 def judged_formulas(spark, d):
     r = read(spark, d, "documents").select(F.regexp_extract("text", "^[A-Za-z]+", 0).alias("tex"), F.lit(False).alias("display"), F.col("doc_id").cast("string").alias("locator")).where("tex <> ''")
-    f = X.formulas(r, "locator")
+    return _judged(r)
+
+
+def _judged(rows):
+    f = X.formulas(rows, "locator")
     v = f.select("tex", "display", (F.length("tex") % 2 == 1).alias("ok"), F.when(F.length("tex") % 2 == 0, "Missing } inserted").alias("err"))
     return X.judged(f, v).select("tex", "occ", "category")
 
 
+@query("""
+    WITH r AS (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS tex FROM documents), f AS (SELECT tex, count(*) AS occ FROM r GROUP BY tex)
+    SELECT tex, occ, CASE WHEN length(tex) % 2 = 0 THEN 'missing_brace' END AS category FROM f
+""")
+def judged_formulas_whole(spark, d):
+    """Every word of every text."""
+    words = F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)))
+    return _judged(read(spark, d, "documents").select(words.alias("tex"), F.lit(False).alias("display"), F.col("doc_id").cast("string").alias("locator")))
+
+
 @query("""
     SELECT source AS slug, sum(1) AS spans_total, count(*) AS unique_n, count(*) FILTER (n_chars % 3 = 0) AS bad_unique, CAST(sum(CASE WHEN n_chars % 3 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS bad_occ FROM documents GROUP BY source
 """.replace("sum(1) AS", "CAST(sum(1) AS BIGINT) AS"))

@@ -45,6 +45,20 @@ def residual_groups(spark, d):
     return R.groups(rows).select("tex", "total_occ", "books")
 
 
+def _words(spark, d, *keep):
+    """Every word of every text."""
+    return read(spark, d, "documents").select(*keep, F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("tex"))
+
+
+@query("""
+    WITH w AS (SELECT source AS slug, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS tex FROM documents)
+    SELECT tex, count(*) AS total_occ, count(DISTINCT slug) AS books FROM w GROUP BY tex
+""")
+def residual_groups_whole(spark, d):
+    rows = _words(spark, d, F.col("source").alias("slug")).select("*", F.lit(1).alias("occ"), F.lit(False).alias("display"))
+    return R.groups(rows).select("tex", "total_occ", "books")
+
+
 @query("""
     WITH u AS (SELECT doc_id, unnest(regexp_extract_all(text, '[a-z]{6,}')) AS span FROM documents), s AS (SELECT doc_id % 50 AS unit, span, count(*) AS n FROM u WHERE doc_id % 100 < 50 GROUP BY 1, 2), o AS (SELECT doc_id % 50 AS unit, span, count(*) AS n FROM u WHERE doc_id % 100 >= 50 GROUP BY 1, 2)
     SELECT unit, bool_and(coalesce(o.n, 0) >= coalesce(s.n, 0)) AS contains, bool_or(coalesce(o.n, 0) > coalesce(s.n, 0)) AS extra FROM s FULL JOIN o USING (unit, span) GROUP BY unit
@@ -134,6 +148,11 @@ def finding_ids(spark, d):
     return w.select(R.gid(F.lit("b"), F.col("w"), F.lit(False)).alias("gid"))
 
 
+@query("SELECT DISTINCT 'b' || ':' || left(sha1('0' || chr(0) || w), 8) AS gid FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM documents)")
+def finding_ids_whole(spark, d):
+    return _words(spark, d).distinct().select(R.gid(F.lit("b"), F.col("tex"), F.lit(False)).alias("gid")).distinct()
+
+
 @query("SELECT 'de' AS lang, count(*) AS n FROM documents WHERE lang = 'de' AND length(trim(text)) > 0 UNION ALL SELECT 'src', count(*) FROM documents WHERE lang = 'de'")
 def text_units(spark, d):
     docs = read(spark, d, "documents").where("lang = 'de'").select("doc_id", F.col("text").alias("lang_text"), F.col("source"))

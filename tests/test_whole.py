@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from datetime import datetime, timedelta
+from hashlib import sha1
 
 import pyarrow.parquet as pq
 import pytest
@@ -60,3 +61,16 @@ def test_query_terms_whole_reads_past_200_characters(spark, docs):
     plain = {r["doc_id"]: len(re.findall("[A-Za-z0-9]+", r["text"])) for r in docs if r["text"].isascii()}
     assert plain and max(map(len, (r["text"] for r in docs))) > 200
     assert plain == {k: got[k] for k in plain}
+
+
+def test_all_words_of_a_text_are_findings(spark, docs):
+    want, books = Counter(), {}
+    for r in docs:
+        for w in re.findall("[A-Za-z]+", r["text"]):
+            want[w] += 1
+            books.setdefault(w, set()).add(r["source"])
+    groups = QUERIES["residual_groups_whole"](spark, SF).collect()
+    assert {r["tex"]: (r["total_occ"], r["books"]) for r in groups} == {w: (n, len(books[w])) for w, n in want.items()}
+    assert {r["tex"]: r["occ"] for r in QUERIES["judged_formulas_whole"](spark, SF).collect()} == want
+    ids = sorted(r["gid"] for r in QUERIES["finding_ids_whole"](spark, SF).collect())
+    assert ids == sorted({"b:" + sha1(b"0\0" + w.encode()).hexdigest()[:8] for w in want})
