@@ -124,6 +124,13 @@ def fill_only_merge(spark, d):
     return O.fill_only(base, read(spark, d, "documents").where("doc_id % 5 = 0").select("doc_id", F.lit(-1).alias("quality")), ["doc_id"])
 
 
+@query("SELECT doc_id, quality FROM labels UNION ALL SELECT doc_id, -1 FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def fill_only_merge_whole(spark, d):
+    """All labels, and every document that has none."""
+    base = read(spark, d, "labels").select("doc_id", "quality")
+    return O.fill_only(base, read(spark, d, "documents").select("doc_id", F.lit(-1).alias("quality")), ["doc_id"])
+
+
 @query("""
     SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_type || '!' ELSE p_type END AS p_type, CASE p_partkey % 4 WHEN 0 THEN 'applied' WHEN 1 THEN 'noop' WHEN 2 THEN 'skip-drift' ELSE 'none' END AS outcome FROM part
 """)
@@ -140,6 +147,13 @@ def override_merge_counts(spark, d):
     return O.merge_overrides(c.where("id < 100"), c.where("id % 7 = 0"))[1]
 
 
+@query("SELECT count(*) FILTER (s_suppkey IS NULL) AS added, count(s_suppkey) AS replaced FROM customer LEFT JOIN (SELECT DISTINCT s_suppkey FROM supplier) s ON s_suppkey = c_custkey")
+def override_merge_counts_whole(spark, d):
+    """All suppliers as base, all customers as overrides of the same ids."""
+    base = read(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+    return O.merge_overrides(base, read(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")))[1]
+
+
 @query("SELECT conv_id, turn, instr(text, substr(text, 11, 20)) AS at FROM conversations WHERE length(text) > 40")
 def quote_locate(spark, d):
     c = read(spark, d, "conversations").where(F.length("text") > 40)

@@ -160,3 +160,8 @@ def text_units(spark, d):
     return u.groupBy(F.when(F.col("field") == "source", "src").otherwise("de").alias("lang")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("SELECT lang, 'text' AS field, count(*) AS n FROM documents WHERE length(trim(text)) > 0 GROUP BY lang UNION ALL SELECT lang, 'source', count(*) FROM documents WHERE length(trim(source)) > 0 GROUP BY lang")
+def text_units_whole(spark, d):
+    """Documents of every language."""
+    u = R.units(read(spark, d, "documents"), ["lang"], ["text", "source"])
+    return u.groupBy("lang", "field").agg(F.count(F.lit(1)).alias("n"))

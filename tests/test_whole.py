@@ -74,3 +74,11 @@ def test_all_words_of_a_text_are_findings(spark, docs):
     assert {r["tex"]: r["occ"] for r in QUERIES["judged_formulas_whole"](spark, SF).collect()} == want
     ids = sorted(r["gid"] for r in QUERIES["finding_ids_whole"](spark, SF).collect())
     assert ids == sorted({"b:" + sha1(b"0\0" + w.encode()).hexdigest()[:8] for w in want})
+
+
+def test_merges_and_units_whole_return_every_row(spark, docs):
+    labels = {r["doc_id"]: r["quality"] for r in pq.read_table(f"{SF}/labels.parquet").to_pylist()}
+    got = {r["doc_id"]: r["quality"] for r in QUERIES["fill_only_merge_whole"](spark, SF).collect()}
+    assert got == {r["doc_id"]: -1 for r in docs} | labels
+    assert sum(QUERIES["override_merge_counts_whole"](spark, SF).first()) == pq.read_table(f"{SF}/customer.parquet").num_rows
+    assert {(r["lang"], r["field"]): r["n"] for r in QUERIES["text_units_whole"](spark, SF).collect()} == Counter((r["lang"], f) for r in docs for f in ("text", "source") if r[f].strip(" "))
