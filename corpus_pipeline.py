@@ -20,11 +20,15 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group of near-duplicates."""
-    groups = simhash.near_duplicates(docs)
-    keep = groups.where("doc_id = component_id").select(F.col("doc_id").alias("keep_id")).distinct()
-    kept = docs.join(keep, F.col("doc_id").cast("long") == F.col("keep_id"), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One row of each group of near-duplicates: that of the smallest doc_id, null ids last.
+
+    Rows are numbered, so null and repeated ids stand for as many rows as they have.
+    """
+    rows = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    groups = simhash.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
+    named = rows.select("_row", F.col("doc_id").cast("long").alias("id")).join(groups, "_row")
+    keep = named.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "_row")).alias("k")).select("k._row")
+    return rows.join(keep, "_row", "left_semi").select(*docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,6 +28,8 @@ P1, P2, P3, P4, P5 = (U64(x) for x in (11400714785074694791, 1402946736689701972
 RADIUS = 2
 SHINGLE = 3
 SPLIT = 4096
+#: A component meets its smallest doc_id in so many parts.
+PARTS = 32
 SLICE = 1 << 20
 
 
@@ -257,17 +259,21 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, split: int = SPLIT) -
 
     Null or blank texts have fingerprint zero and link like any other.  A row
     per input row; rows that repeat a doc_id repeat in the result.  A null
-    doc_id counts as larger than any other.  Extra columns are ignored.  An
-    empty table gives no rows.
+    doc_id counts as larger than any other.  Fingerprints are linked, not ids:
+    sharing an id, or having none, joins nothing.  Extra columns are ignored.
+    An empty table gives no rows.
     """
     spark = docs.sparkSession
     marked = staged(texts(docs, ids=True).mapInArrow(_map, "doc_id long, fp long"), "simhash")
     reps = marked.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    routed = shards(reps, radius, split)
+    routed = shards(reps.select("fp", F.col("fp").alias("rep")), radius, split)
     routed = routed.withColumn("bucket", F.pmod(F.xxhash64("band", "key"), F.lit(width(spark))))
     edges = routed.groupBy("bucket").applyInArrow(_shards(radius), "a long, b long")
-    roots = components(edges, "simhash")
-    known = reps.join(roots, F.col("rep") == F.col("node"), "left").select(F.col("fp").alias("of"), F.coalesce("root", "rep").alias("component_id"))
+    linked = staged(reps.join(components(edges, "simhash"), F.col("fp") == F.col("node"), "left").select("fp", "rep", "root"), "simhash-linked")
+    of, alone, part = F.col("fp").alias("of"), F.col("root").isNull(), F.pmod(F.xxhash64("fp"), F.lit(PARTS)).cast("int")
+    first = linked.where(~alone).groupBy("root").agg(F.min("rep").alias("component_id")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    grouped = linked.where(~alone).withColumn("part", part).join(first, ["root", "part"]).select(of, "component_id")
+    known = grouped.unionByName(linked.where(alone).select(of, F.col("rep").alias("component_id")))
     return marked.join(known, F.col("fp") == F.col("of")).select(given("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), given("component_id"))
 
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pyarrow.parquet as pq
 
 import corpus_pipeline
-from inkstrata.llm import packing, quality
+from inkstrata.llm import packing, quality, simhash
 from inkstrata.llm._spark import staged, table
 from test_simhash_pack_winnow import brute_fp, brute_hits
 from test_spans import brute_pii
@@ -80,3 +81,32 @@ def test_repeated_and_null_rows(spark):
             assert sorted(r["doc_id"] for r in out.collect()) == [1, 2]
         elif name in ("decontamination", "pii"):
             assert out.count() == 3
+
+
+def test_null_and_shared_ids_keep_their_rows(spark):
+    a, b, c, d = ("one clean text about rivers and hills", "quite another matter of ships at sea", "third words on bread with salt", "last of all a note on winter birds")
+    rows = [(None, a), (None, b), (7, c), (7, d), (None, c), (3, d), (None, a)]
+    df = staged(spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long"), "ids")
+    out = dict(corpus_pipeline.STAGES)["simhash"](spark, df, SF)
+    assert out.columns == df.columns
+    assert sorted(((r["doc_id"] or 0, r["text"]) for r in out.collect())) == sorted([(0, a), (0, b), (7, c), (3, d)])
+
+
+def test_ids_do_not_link_fingerprints(spark):
+    rows = [(None, 0), (None, 1), (None, 2**40 - 1), (2, 2**50 - 1), (2, 2**60 - 1), (1, 2**60 - 2)]
+    want = {0: None, 1: None, 2**40 - 1: None, 2**50 - 1: 2, 2**60 - 1: 1, 2**60 - 2: 1}
+    texts = {f"{fp:x}": fp for _, fp in rows}
+    df = spark.createDataFrame([(i, f"{fp:x}") for i, fp in rows], "doc_id long, text string")
+    real = simhash._map
+
+    def planted(batches):
+        for batch in batches:
+            fps = [texts[t] for t in batch.column("text").to_pylist()]
+            yield pa.record_batch([batch.column("doc_id"), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+
+    simhash._map = planted
+    try:
+        got = {int(r["fingerprint"], 16): r["component_id"] for r in simhash.near_duplicates(df).collect()}
+    finally:
+        simhash._map = real
+    assert got == want
