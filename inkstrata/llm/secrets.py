@@ -2,8 +2,9 @@
 
 Native DataFrame functions only.  Base patterns stand alone.  Weak candidates
 (access identifiers of other prefixes, unlabelled high-variety strings) are
-reported only where their complement lies within `SCOPE` characters: an
-interval join of the parts of one document, as a band over their starts.
+reported only where their complement lies within `SCOPE` characters, measured
+between the nearest ends: an interval join of the parts of one document, by the
+first start after and the last end before.
 Where both parts of a pair are weak, an endpoint in the scope is needed too.
 """
 
@@ -24,7 +25,7 @@ PATTERNS = {
     "access": r"AKIA[A-Z0-9]{14,}",
     "hex": r"(?<![0-9a-f])[0-9a-f]{16,}",
     "weak_access": r"(?<![A-Za-z0-9])(?:ASIA|AIDA|AROA|AGPA|AKIA)[A-Z0-9]{12,}(?![A-Za-z0-9])",
-    "weak_secret": r"(?<![A-Za-z0-9+/=_.-])[A-Za-z0-9+/=_-]{24,}(?![A-Za-z0-9+/=_.-])",
+    "weak_secret": r"(?<![A-Za-z0-9+/=_.-])[A-Za-z0-9+/=_-]{24,}(?![A-Za-z0-9+/=_-]|\.[A-Za-z0-9+/=_-])",
     "endpoint": r"(?i)(?:https?|ftps?|jdbc:[a-z0-9]{1,20}|postgres(?:ql)?|mysql|mongodb|redis|amqps?|s3)://[^\s\"'<>]{3,}|(?<![a-z0-9.-])[a-z0-9-]{1,63}(?:\.[a-z0-9-]{1,63}){1,8}\.(?:com|net|org|io|internal|local)(?![a-z0-9-])",
 }
 KIND = {"assign": "assign", "access": "access", "hex": "hex", "weak_access": "access", "weak_secret": "assign"}
@@ -54,10 +55,13 @@ def link(found: DataFrame, scope: int = SCOPE) -> DataFrame:
     weak = F.when(gen == "weak_access", F.lit(True)).when(gen == "weak_secret", varied)
     rows = found.withColumn("base", F.coalesce(base, F.lit(False))).withColumn("weak", F.coalesce(weak, F.lit(False)))
     part = F.col("base") | F.col("weak") | (gen == "endpoint")
-    near = Window.partitionBy("row").orderBy("start").rangeBetween(-scope, scope)
+    upto = Window.partitionBy("row").orderBy("start").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    onward = Window.partitionBy("row").orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
 
     def there(*gens: str) -> Column:
-        return F.coalesce(F.max(gen.isin(*gens) & part).over(near), F.lit(False))
+        one = gen.isin(*gens) & part
+        before, after = F.max(F.when(one, F.col("end"))).over(upto), F.min(F.when(one, F.col("start"))).over(onward)
+        return F.coalesce(F.col("start") - before <= scope, F.lit(False)) | F.coalesce(after - F.col("end") <= scope, F.lit(False))
 
     point = there("endpoint")
     rows = rows.withColumn("pair", F.when(gen == "weak_access", there("assign", "hex") | (there("weak_secret") & point)).when(gen == "weak_secret", there("access") | (there("weak_access") & point)))
