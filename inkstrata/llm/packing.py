@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -28,6 +29,9 @@ GROUP_TOKENS = 4 << 20
 LINEAR, QUADRATIC = 1.0, 1.0 / 512
 END = 0
 
+#: The fast core's pattern matcher backtracks over white space and gives up on runs of some hundred thousand; texts with longer runs than this go to the tokenizers library.
+LONG_BLANK = 50_000
+
 _LOADED: dict[str, object] = {}
 
 
@@ -35,10 +39,12 @@ def encoder(path: str) -> Callable[[str], list[int]]:
     """Ids of a byte-level BPE file of the tokenizers library, through the faster tiktoken core.
 
     The vocabulary and the added special strings come from the file; ids are
-    those of Tokenizer.encode(text, add_special_tokens=False) (tested).
+    those of Tokenizer.encode(text, add_special_tokens=False) (tested).  A text
+    with a run of more than LONG_BLANK blanks is encoded by that library.
     """
     if path not in _LOADED:
         import tiktoken
+        import tokenizers
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -49,8 +55,11 @@ def encoder(path: str) -> Callable[[str], list[int]]:
         ranks = {bytes(to_byte[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         core = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+        whole = tokenizers.Tokenizer.from_file(path)
 
         def encode(text: str) -> list[int]:
+            if len(text) > LONG_BLANK and any(m.end() - m.start() > LONG_BLANK for m in re.finditer(r"\s+", text)):
+                return whole.encode(text, add_special_tokens=False).ids
             if any(s in text for s in special):
                 return core.encode(text, allowed_special="all")
             return core.encode_ordinary(text)

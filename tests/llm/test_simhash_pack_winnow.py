@@ -204,3 +204,12 @@ def test_winnowing_against_brute_force(spark, docs, block, tmp_path):
     finally:
         decontaminate.contamination.__defaults__ = old
     assert Counter(tuple(r) for r in got) == Counter((i, *brute_hits(t, [b for b in bench if b[1]])) for i, t, _ in rows + extra)
+
+
+def test_long_blank_runs_are_encoded_like_the_library(spark):
+    whole = Tokenizer.from_file(packing.byte_bpe())
+    encode = packing.encoder(packing.byte_bpe())
+    for text in ("\n" * 1_000_000, " " * 1_000_000 + "x", "a " + "\t \n" * 100_000 + "b", "word" + "　" * 60_000, " " * 50_001, " " * 50_000):
+        assert list(encode(text)) == whole.encode(text, add_special_tokens=False).ids
+    df = spark.createDataFrame([(1, "\n" * 300_000)], "doc_id long, text string")
+    assert sum(r["length"] for r in packing.pack(df, packing.byte_bpe()).collect()) == len(whole.encode("\n" * 300_000, add_special_tokens=False).ids) + 1
