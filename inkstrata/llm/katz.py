@@ -48,6 +48,17 @@ def unplanes(b: bytes, dtype: str) -> np.ndarray:
     return np.ascontiguousarray(flat.reshape(size, len(flat) // size).T).view(dtype).ravel()
 
 
+def pack_counts(x: np.ndarray) -> bytes:
+    """Counts in the fewest of 1, 2, 4 or 8 bytes that hold the largest, said by the first byte; none wraps."""
+    top = int(x.max()) if len(x) else 0
+    size = next(s for s in (1, 2, 4, 8) if top < 1 << 8 * s)
+    return bytes([size]) + planes(x.astype(f"<u{size}"))
+
+
+def unpack_counts(b: bytes) -> np.ndarray:
+    return unplanes(b[1:], f"<u{b[0]}").astype(np.int64)
+
+
 def pack_keys(keys: np.ndarray) -> bytes:
     return planes(np.diff(keys, prepend=U64(0)))
 
@@ -127,7 +138,7 @@ def _ask(ranges: int) -> Callable[[pa.Table], pa.Table]:
             cut = np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
             for r in np.flatnonzero(np.diff(cut)):
                 a, b = cut[r], cut[r + 1]
-                out.append((order, int(r), chunk, pack_keys(keys[a:b]), planes(counts[a:b].astype("<u4"))))
+                out.append((order, int(r), chunk, pack_keys(keys[a:b]), pack_counts(counts[a:b])))
         cols = list(zip(*out, strict=True))
         return pa.table({n: pa.array(c, t) for n, c, t in zip(("ord", "range", "chunk", "keys", "counts"), cols, (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)})
 
@@ -143,16 +154,17 @@ def _answer(rows: pa.Table) -> pa.Table:
     rows = rows.sort_by("chunk")
     order, range_ = rows["ord"][0].as_py(), rows["range"][0].as_py()
     parts = [unpack_keys(b) for b in rows["keys"].to_pylist()]
-    own = np.concatenate([unplanes(b, "<u4") for b in rows["counts"].to_pylist()]).astype(np.int64)
+    own = np.concatenate([unpack_counts(b) for b in rows["counts"].to_pylist()])
     keys, at = np.unique(np.concatenate(parts), return_inverse=True)
-    total = np.bincount(at, weights=own, minlength=len(keys)).astype(np.int64)
+    total = np.zeros(len(keys), np.int64)
+    np.add.at(total, at, own)  # whole numbers: a float sum would round above 2**53
     taught = np.flatnonzero(own > 0)
     first = np.full(len(keys), -1)
     first[at[taught[::-1]]] = taught[::-1]  # the lowest chunk that trained on it
     owner = np.zeros(len(own), np.uint8)
     owner[first[first >= 0]] = 1
     cut = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-    out = [(order, range_, c, planes(total[at[a:b]].astype("<u4")), np.packbits(owner[a:b]).tobytes(), None, None) for c, a, b in zip(rows["chunk"].to_pylist(), cut, cut[1:], strict=False)]
+    out = [(order, range_, c, pack_counts(total[at[a:b]]), np.packbits(owner[a:b]).tobytes(), None, None) for c, a, b in zip(rows["chunk"].to_pylist(), cut, cut[1:], strict=False)]
     small = np.bincount(np.minimum(total, K + 2), minlength=K + 3)
     out += [(order, range_, None, None, None, c, int(small[c])) for c in range(1, K + 2)]
     out += [(order, range_, None, None, None, -1, int((total > 0).sum())), (order, range_, None, None, None, -2, int(total.sum()))]
@@ -210,8 +222,8 @@ def _score(model: Model) -> Callable[[pa.Table, pa.Table], pa.Table]:
         counts, owned = {}, []
         for order in (1, 2):
             mine = [a for a in answers if a["ord"] == order]
-            parts = [unplanes(a["counts"], "<u4") for a in mine]
-            counts[order] = np.concatenate(parts).astype(np.int64)
+            parts = [unpack_counts(a["counts"]) for a in mine]
+            counts[order] = np.concatenate(parts)
             if order == 2:
                 owned = np.concatenate([np.unpackbits(np.frombuffer(a["owner"], np.uint8), count=len(p)) for a, p in zip(mine, parts, strict=True)]).astype(bool)
         cw = counts[1][chunk.word_at]

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -139,3 +140,15 @@ def test_embeddings_against_all_pairs(spark, chunk):
 
 def test_embeddings_empty(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def test_counts_never_wrap():
+    for top in (0, 200, 300, 70_000, 2**32 - 1, 2**32, 2**53 + 1, 2**62):
+        x = np.array([0, 1, top], np.int64)
+        assert (katz.unpack_counts(katz.pack_counts(x)) == x).all()
+    big = 2**40 + 1
+    keys = np.array([5, 9], np.uint64)
+    rows = [{"ord": 1, "range": 0, "chunk": c, "keys": katz.pack_keys(keys), "counts": katz.pack_counts(np.array([big, c]))} for c in (0, 1, 2)]
+    out = katz._answer(pa.Table.from_pylist(rows, pa.schema([("ord", pa.int32()), ("range", pa.int32()), ("chunk", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())]))).to_pylist()
+    assert [katz.unpack_counts(r["counts"]).tolist() for r in out if r["chunk"] is not None] == [[3 * big, 3]] * 3
+    assert next(r["n"] for r in out if r["c"] == -2) == 3 * big + 3
