@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkstrata.llm._spark import table, texts
-from inkstrata.llm.spans import candidates, joined
+from inkstrata.llm.spans import candidates, clear_of, joined
 
 SCOPE = 200
 KINDS = ["assign", "access", "hex"]
@@ -33,7 +33,7 @@ KIND = {"assign": "assign", "access": "access", "hex": "hex", "weak_access": "ac
 
 def gates() -> dict[str, tuple[str, Column]]:
     t = F.col("text")
-    access = t.rlike(r"(?:ASIA|AIDA|AROA|AGPA|AKIA)[A-Z0-9]{12}")
+    access = (t.contains("ASIA") | t.contains("AIDA") | t.contains("AROA") | t.contains("AGPA") | t.contains("AKIA")) & t.rlike(r"A(?:SIA|IDA|ROA|GPA|KIA)[A-Z0-9]{12}")
     mixed = t.rlike(r"[A-Za-z0-9+/=_-]{24}")
     cond = {
         "assign": t.rlike(r"(?i)(?:passw|secret|token|api_?key)"),
@@ -41,7 +41,7 @@ def gates() -> dict[str, tuple[str, Column]]:
         "hex": t.rlike(r"[0-9a-f]{16}"),
         "weak_access": access,
         "weak_secret": mixed,
-        "endpoint": (access | mixed) & (t.contains("://") | t.rlike(r"(?i)\.(?:com|net|org|io|internal|local)")),
+        "endpoint": (access | mixed) & (t.contains("://") | t.rlike(r"\.(?i:com|net|org|io|internal|local)")),
     }
     return {g: (p, cond[g]) for g, p in PATTERNS.items()}
 
@@ -78,8 +78,8 @@ def find(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """
     rows = link(candidates(texts(docs), gates()), scope)
     by = Window.partitionBy("row").orderBy("start", "end", "gen")
-    past, next_ = by.rowsBetween(Window.unboundedPreceding, -1), by.rowsBetween(1, Window.unboundedFollowing)
-    base_end, base_start = F.max(F.when(F.col("base"), F.col("end"))).over(past), F.min(F.when(F.col("base"), F.col("start"))).over(next_)
+    past = by.rowsBetween(Window.unboundedPreceding, -1)
+    base_end, base_start = clear_of("base", "row")
     clear = F.coalesce(base_end <= F.col("start"), F.lit(True)) & F.coalesce(base_start >= F.col("end"), F.lit(True))
     rows = rows.withColumn("extra", F.col("extra") & clear)
     rows = rows.withColumn("extra", F.col("extra") & F.coalesce(F.max(F.when(F.col("extra"), F.col("end"))).over(past) <= F.col("start"), F.lit(True)))
@@ -96,4 +96,4 @@ def find(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find(table(spark, sf_dir, "documents"))
     counts = [F.size(F.array_remove(F.transform("base", lambda s: s["kind"] == k), False)).cast("long").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
