@@ -22,26 +22,29 @@ def candidates(docs: DataFrame, patterns: dict[str, tuple[str, Column]]) -> Data
     null gen.  pre and post are up to CONTEXT characters around the match,
     inside the gaps to its neighbours.  `row` tells repeated doc_ids apart.
     """
-    cut = docs.select(
-        F.monotonically_increasing_id().alias("row"),
-        "doc_id",
-        F.xxhash64("text").alias("text_hash"),
-        *[F.when(gate, F.split("text", p, -1)).alias(f"g_{g}") for g, (p, gate) in patterns.items()],
-        *[F.when(gate, F.regexp_extract_all("text", F.lit(p), F.lit(0))).alias(f"m_{g}") for g, (p, gate) in patterns.items()],
-    )
 
     def one(gen: str) -> Column:
-        gaps = F.col(f"g_{gen}")
-        zipped = F.arrays_zip(gaps.alias("a"), F.col(f"m_{gen}").alias("m"), F.slice(gaps, 2, F.greatest(F.size(gaps) - 1, F.lit(0))).alias("b"))
+        pattern = patterns[gen][0]
+        # bound once, so each text is cut and matched once; only lengths and CONTEXT characters of a gap go on
+        both = F.array(F.struct(F.split("text", pattern, -1).alias("gaps"), F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("m")))
         rows = F.transform(
-            F.filter(zipped, lambda z: z["m"].isNotNull()),
-            lambda z, i: F.struct(
-                F.lit(gen).alias("gen"), i.alias("i"), F.length(z["a"]).alias("gap"), z["m"].alias("m"), F.right(z["a"], F.lit(CONTEXT)).alias("pre"), F.left(z["b"], F.lit(CONTEXT)).alias("post")
+            both,
+            lambda x: F.transform(
+                x["m"],
+                lambda m, i: F.struct(
+                    F.lit(gen).alias("gen"),
+                    i.alias("i"),
+                    F.length(F.get(x["gaps"], i)).alias("gap"),
+                    m.alias("m"),
+                    F.right(F.get(x["gaps"], i), F.lit(CONTEXT)).alias("pre"),
+                    F.left(F.get(x["gaps"], i + 1), F.lit(CONTEXT)).alias("post"),
+                ),
             ),
         )
-        return F.coalesce(rows, F.array().cast("array<struct<gen:string,i:int,gap:int,m:string,pre:string,post:string>>"))
+        return F.when(F.col(f"gate_{gen}"), F.get(rows, F.lit(0))).otherwise(F.array().cast("array<struct<gen:string,i:int,gap:int,m:string,pre:string,post:string>>"))
 
-    flat = cut.select("row", "doc_id", "text_hash", F.explode_outer(F.concat(*[one(g) for g in patterns])).alias("c")).select("row", "doc_id", "text_hash", "c.*")
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("text_hash"), "text", *[gate.alias(f"gate_{g}") for g, (_, gate) in patterns.items()])
+    flat = numbered.select("row", "doc_id", "text_hash", F.explode_outer(F.concat(*[one(g) for g in patterns])).alias("c")).select("row", "doc_id", "text_hash", "c.*")
     order = Window.partitionBy("row", "gen").orderBy("i")
     start = F.sum("gap").over(order.rowsBetween(Window.unboundedPreceding, 0)) + F.coalesce(F.sum(F.length("m")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return flat.withColumn("start", start).withColumn("end", F.col("start") + F.length("m")).drop("gap", "i")
@@ -68,3 +71,14 @@ def luhn(number: Column) -> Column:
 def joined(spans: Column) -> Column:
     """kind:start:end, comma-joined, of an array of structs that is already in order."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def clear_of(flag: str, *by: str) -> tuple[Column, Column]:
+    """(largest end of flagged rows before, smallest start of flagged rows after) each row, by start, end and gen.
+
+    Both frames run from their first row to the one before, the second in
+    descending order: each is one pass over the sorted rows of a document.
+    """
+    down = Window.partitionBy(*by).orderBy("start", "end", "gen").rowsBetween(Window.unboundedPreceding, -1)
+    up = Window.partitionBy(*by).orderBy(F.desc("start"), F.desc("end"), F.desc("gen")).rowsBetween(Window.unboundedPreceding, -1)
+    return F.max(F.when(F.col(flag), F.col("end"))).over(down), F.min(F.when(F.col(flag), F.col("start"))).over(up)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -172,3 +173,78 @@ def test_quality_without_labels_or_text(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     scores = [r["score"] for r in quality.score(docs, *quality.fit(docs, none)).collect()]
     assert scores == [0.5, 0.5, 0.5]
+
+
+#: Wording and values that are in none of the written examples: text, generator, span, personal or not.
+OUTSIDE = [
+    ("please telephone 813-555-2290 before noon", "phone", "813-555-2290", 1),
+    ("her cell: (617) 440-2381.", "phone", "(617) 440-2381", 1),
+    ("sms 206.337.4410 to join", "phone", "206.337.4410", 1),
+    ("the hotline 888 241 7765 is open", "phone", "888 241 7765", 1),
+    ("you can reach 972-604-3358", "phone", "972-604-3358", 1),
+    ("whatsapp (919) 286-4471", "phone", "(919) 286-4471", 1),
+    ("fax number (312) 744-5000", "phone", "(312) 744-5000", 1),
+    ("lot 813-555-2290 was recalled", "phone", "813-555-2290", 0),
+    ("issn 617-440-2381", "phone", "617-440-2381", 0),
+    ("batch 206.337.4410", "phone", "206.337.4410", 0),
+    ("figures 110 210 3100 up", "phone", "110 210 3100", 0),
+    ("reference 972-604-3358", "phone", "972-604-3358", 0),
+    ("contact lena.s (at) verlag (dot) de", "email", "lena.s (at) verlag (dot) de", 1),
+    ("e-mail: tom at mailbox dot net", "email", "tom at mailbox dot net", 1),
+    ("send to ops[at]node[dot]io", "email", "ops[at]node[dot]io", 1),
+    ("address kim at lab dot uni dot edu", "email", "kim at lab dot uni dot edu", 1),
+    ("shout at every dot you", "email", "shout at every dot you", 0),
+    ("glance at this dot again", "email", "glance at this dot again", 0),
+    ("laugh at my dot painting", "email", "laugh at my dot painting", 0),
+    ("mastercard 5454.5454.5454.5454", "card", "5454.5454.5454.5454", 1),
+    ("payment 4000/0566/5566/5556", "card", "4000/0566/5566/5556", 1),
+    ("credit 4242_4242_4242_4242", "card", "4242_4242_4242_4242", 1),
+    ("case 4242_4242_4242_4242", "card", "4242_4242_4242_4242", 0),
+    ("invoice 5454.5454.5454.5454", "card", "5454.5454.5454.5454", 0),
+    ("credit 4242_4242_4242_4243", "card", "4242_4242_4242_4243", 0),
+]
+
+
+def test_pii_wide_generators_outside_the_examples(spark):
+    written = {t for t, _, _ in pii.written()}
+    assert not written & {t for t, *_ in OUTSIDE}
+    path = [(r["doc_id"], r["text"]) for r in pq.read_table(f"{SF}/documents.parquet").to_pylist()]
+    df = spark.createDataFrame(path + [(700000 + k, t) for k, (t, *_) in enumerate(OUTSIDE)], "doc_id long, text string")
+    got = {r["doc_id"] - 700000: {(s["kind"], s["start"], s["end"]) for s in r["spans"]} for r in pii.find(df).collect()}
+    for kind in ("phone", "email", "card"):
+        right = wrong = missed = 0
+        for k, (t, g, m, y) in enumerate(OUTSIDE):
+            if g == kind:
+                hit = (kind, t.index(m), t.index(m) + len(m)) in got[k]
+                right, wrong, missed = right + (hit and y), wrong + (hit and not y), missed + (not hit and y)
+        print(f"{kind}: precision {right / max(right + wrong, 1):.2f}, recall {right / (right + missed):.2f}")
+        assert right / (right + wrong) >= 0.8 and right / (right + missed) >= 0.75
+
+
+def test_no_check_among_the_features_and_folds_are_apart(spark):
+    rows = pii.seed_rows(spark).collect()
+    assert {r["out"] for r in rows} == {True, False} and all(r["ok"] for r in rows)
+    both = {g: {r["label"] for r in rows if r["gen"] == g and r["out"]} for g in pii.WIDE}
+    assert all(v == {0, 1} for v in both.values())
+    assert all(0 <= r[f] < n for r in rows for f, n in pii.FEATURES.items())
+
+
+@pytest.mark.parametrize("find, one", [(pii.find, "1.2.3.4 a@b.cd "), (secrets.find, "deadbeefdeadbeef ")])
+def test_many_matches_in_one_document_cost_in_proportion(spark, find, one):
+    def seconds(n):
+        df = spark.createDataFrame([(1, one * n)], "doc_id long, text string")
+        began = time.time()
+        assert len(find(df).first()["spans"]) == n * (2 if "@" in one else 1)
+        return time.time() - began
+
+    seconds(1000)
+    few, many = seconds(4000), seconds(40_000)
+    assert many < 4 * few + 8  # ten times the matches; a square would be a hundred times
+
+
+def test_redaction_of_many_spans_and_of_rows_without_id(spark):
+    n = 3000
+    df = spark.createDataFrame([(None, "x a@b.cd y", 10), (1, "日本 1.2.3.4 a@b.cd " * n, 0), (2, "none", 7), (None, None, None)], "doc_id long, text string, n_chars int")
+    got = {(r["doc_id"], r["text"], r["n_chars"]) for r in pii.redact(df).collect()}
+    long = "日本 [IP] [EMAIL] " * n
+    assert got == {(None, "x [EMAIL] y", 11), (1, long, len(long)), (2, "none", 7), (None, None, None)}
