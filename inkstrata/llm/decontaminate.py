@@ -5,7 +5,9 @@ with the smallest hash is kept, on both sides, by the same rule.  A shared
 span of ten words therefore always shares a kept gram.  Test and training
 fingerprints are joined, hits are extended to the longest common span, and
 spans of at least ten words count.  Items of fewer words are one window each
-and are joined by the gram of their own length.
+and are joined by the gram of their own length.  A document whose fingerprints
+hit so often that extending each would cost more than its length is compared
+window by window, so no text costs the product of its repeats and an item's.
 
 The benchmark is read in blocks of bounded bytes; each block is broadcast and
 meets every document once, so nothing is shuffled and no list of candidate
@@ -29,6 +31,8 @@ WINDOW = 10
 GRAM = 5
 BLOCK_BYTES = 8 << 20
 SLICE = 1 << 20
+#: Hits of one document, besides eight a word, up to which each is extended by itself.
+HEAVY = 4096
 
 WORD = np.zeros(256, bool)
 WORD[0x30:0x3A] = WORD[0x61:0x7B] = WORD[0x80:] = True
@@ -79,12 +83,19 @@ class Block:
         g, at = grams(self.h, self.doc, GRAM)
         kept = winnow(g, at, self.doc, WINDOW - GRAM + 1)
         self.prints = self._table(g[kept], at[kept])
+        self.long: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
         self.short: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for n in np.unique(count[(count > 0) & (count < WINDOW)]).tolist():
             g, at = grams(self.h, self.doc, n)
             own = count[self.doc[at]] == n
             self.short[n] = self._table(g[own], at[own])
 
+    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Every window of the items of at least WINDOW words, made when a document first needs it."""
+        if self.long is None:
+            self.long = self._table(*grams(self.h, self.doc, WINDOW))
+        return self.long
+
     @staticmethod
     def _table(g: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct hashes, then for each the run of item positions that have it."""
@@ -93,9 +104,9 @@ class Block:
         return keys, np.append(first, len(g)), at[order]
 
 
-def _meet(prints: tuple[np.ndarray, np.ndarray, np.ndarray], g: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Equal hashes of both sides: word positions in the documents and in the items."""
-    keys, first, items = prints
+def _known(prints: tuple[np.ndarray, np.ndarray, np.ndarray], g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of g are among the keys, and the key of each."""
+    keys = prints[0]
     if not len(keys) or not len(g):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     low = (keys[:, None] >> U64(44)).ravel() if len(keys) < 2**16 else None
@@ -107,10 +118,7 @@ def _meet(prints: tuple[np.ndarray, np.ndarray, np.ndarray], g: np.ndarray, at:
         some = np.arange(len(g))
     k = np.minimum(np.searchsorted(keys, g[some]), len(keys) - 1)
     ok = keys[k] == g[some]
-    k, some = k[ok], some[ok]
-    n = first[k + 1] - first[k]
-    each = np.repeat(first[k] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    return at[np.repeat(some, n)], items[each]
+    return some[ok], k[ok]
 
 
 def hits(data: np.ndarray, offsets: np.ndarray, block: Block) -> tuple[np.ndarray, np.ndarray, dict[int, set[int]]]:
@@ -130,10 +138,35 @@ def hits(data: np.ndarray, offsets: np.ndarray, block: Block) -> tuple[np.ndarra
             mark[i + length] -= 1
             found.setdefault(int(doc[i]), set()).add(int(block.ids[block.doc[j]]))
 
+    def take_windows(length: int, prints: tuple[np.ndarray, np.ndarray, np.ndarray], own: np.ndarray | None = None) -> None:
+        """Every place of a window, each once, however many items have it; own: the documents to look at."""
+        g, at = grams(h, doc, length)
+        if own is not None:
+            g, at = g[own[doc[at]]], at[own[doc[at]]]
+        some, k = _known(prints, g)
+        at = at[some]
+        good = np.array([same(i, j, length) for i, j in zip(at.tolist(), prints[2][prints[1][k]].tolist(), strict=True)], bool)
+        at, k = at[good], k[good]
+        np.add.at(mark, at, 1)
+        np.add.at(mark, at + length, -1)
+        for of, key in np.unique(np.stack([doc[at], k]), axis=1).T.tolist():
+            found.setdefault(of, set()).update(block.ids[block.doc[prints[2][prints[1][key] : prints[1][key + 1]]]].tolist())
+
     if len(h):
         g, at = grams(h, doc, GRAM)
         kept = winnow(g, at, doc, WINDOW - GRAM + 1)
-        i, j = _meet(block.prints, g[kept], at[kept])
+        g, at = g[kept], at[kept]
+        some, k = _known(block.prints, g)
+        first, items = block.prints[1:]
+        pairs = first[k + 1] - first[k]
+        # a document whose hits repeat (one word over and over, a phrase of many items) is read window by window instead of hit by hit
+        heavy = np.bincount(doc[at[some]], weights=pairs, minlength=len(n)) > HEAVY + 8 * n
+        if heavy.any():
+            take_windows(WINDOW, block.windows(), heavy)
+            light = ~heavy[doc[at[some]]]
+            some, k, pairs = some[light], k[light], pairs[light]
+        each = np.repeat(first[k] - (np.cumsum(pairs) - pairs), pairs) + np.arange(int(pairs.sum()))
+        i, j = at[np.repeat(some, pairs)], items[each]
         # two hits on one diagonal and in one span are extended once
         done: dict[tuple[int, int, int], int] = {}
         for a, b in sorted(zip(i.tolist(), j.tolist(), strict=True)):
@@ -151,9 +184,7 @@ def hits(data: np.ndarray, offsets: np.ndarray, block: Block) -> tuple[np.ndarra
             if left + right >= WINDOW:
                 take(a - left, b - left, left + right)
         for length, prints in block.short.items():
-            g, at = grams(h, doc, length)
-            for a, b in zip(*(x.tolist() for x in _meet(prints, g, at)), strict=True):
-                take(a, b, length)
+            take_windows(length, prints)
     return n, np.cumsum(mark[:-1]) > 0, found
 
 

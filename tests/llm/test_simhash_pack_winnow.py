@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -213,3 +214,20 @@ def test_long_blank_runs_are_encoded_like_the_library(spark):
         assert list(encode(text)) == whole.encode(text, add_special_tokens=False).ids
     df = spark.createDataFrame([(1, "\n" * 300_000)], "doc_id long, text string")
     assert sum(r["length"] for r in packing.pack(df, packing.byte_bpe()).collect()) == len(whole.encode("\n" * 300_000, add_special_tokens=False).ids) + 1
+
+
+@pytest.mark.parametrize("n, m", [(400, 90), (40_000, 8_000)])
+def test_winnowing_of_repeats_costs_no_product(n, m):
+    items = [(1, "spam " * m), (2, "one two three four five six seven eight nine ten eleven"), (3, "spam " * 9), (4, "spam eggs " * (m // 2)), (5, "two")]
+    texts = ["spam " * n + "x", "a spam eggs spam " + "eggs spam " * (n // 4), "zero one two three four five six seven eight nine ten", "spam " * 8]
+    block = decontaminate.Block(items)
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.cumsum([0, *map(len, texts)])
+    began = time.time()
+    words, hit, found = decontaminate.hits(data, offsets, block)
+    assert time.time() - began < 10
+    assert found == {0: {1, 3}, 1: {4}, 2: {2, 5}}
+    last = np.cumsum(words)
+    assert words[0] == n + 1 and hit[: n + 1].tolist() == [True] * n + [False]
+    assert hit[n + 1 : last[1]].tolist() == [False] + [True] * (words[1] - 1)
+    assert hit[last[1] : last[2]].tolist() == [False] + [True] * 10 and not hit[last[2] :].any()
