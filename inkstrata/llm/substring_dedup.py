@@ -42,6 +42,7 @@ LONGEST = 240
 SLICE = 1 << 20
 SHARD_BYTES = 3 << 20
 HOT = 20_000
+BUCKET_ROWS = 200_000
 BASE = 0x2545F4914F6CDD1D
 
 
@@ -310,7 +311,8 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     often = staged(asked.where("what = 0").groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("anchor"), "hot-anchors")
     any_hot = bool(often.head(1))
     usual = asked.join(often, "anchor", "left_anti").select(*NAMES) if any_hot else asked
-    bucket = F.pmod(F.xxhash64("anchor"), F.lit(width(spark)))
+    buckets = max(width(spark), -(-usual.count() // BUCKET_ROWS))  # more rows make more buckets, not larger ones
+    bucket = F.pmod(F.xxhash64("anchor"), F.lit(buckets))
     met = staged(usual.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(_meet, ROWS), "segments")
     open_ = met.where("what = 2")
     size = open_.agg(F.sum(F.col("last") - F.col("first") + LENGTH)).first()[0] or 0
