@@ -30,6 +30,7 @@ SHINGLE = 3
 SPLIT = 4096
 #: A component meets its smallest doc_id in so many parts.
 PARTS = 32
+BUCKET_ROWS = 200_000
 SLICE = 1 << 20
 
 
@@ -267,7 +268,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, split: int = SPLIT) -
     marked = staged(texts(docs, ids=True).mapInArrow(_map, "doc_id long, fp long"), "simhash")
     reps = marked.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     routed = shards(reps.select("fp", F.col("fp").alias("rep")), radius, split)
-    routed = routed.withColumn("bucket", F.pmod(F.xxhash64("band", "key"), F.lit(width(spark))))
+    buckets = max(width(spark), -(-marked.count() * (radius + 1) // BUCKET_ROWS))  # more rows make more buckets, not larger ones
+    routed = routed.withColumn("bucket", F.pmod(F.xxhash64("band", "key"), F.lit(buckets)))
     edges = routed.groupBy("bucket").applyInArrow(_shards(radius), "a long, b long")
     linked = staged(reps.join(components(edges, "simhash"), F.col("fp") == F.col("node"), "left").select("fp", "rep", "root"), "simhash-linked")
     of, alone, part = F.col("fp").alias("of"), F.col("root").isNull(), F.pmod(F.xxhash64("fp"), F.lit(PARTS)).cast("int")
