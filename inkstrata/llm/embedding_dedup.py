@@ -28,8 +28,11 @@ COSINE = 0.98
 STEP = 1.6
 HASHES = 14
 TABLES = 20
-CHUNK = 1024
+CHUNK = 4096
 BATCH = 4096
+#: Rows of a chunk compared at once, and vectors that meet in one group.
+STRIP = 256
+BUCKET_ROWS = 32_768
 
 _PLANES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -105,26 +108,28 @@ def _linked(cosine: float) -> Callable[[pa.Table], pa.Table]:
             left = np.flatnonzero(own == cols["i"][lo])
             right = np.flatnonzero(own == cols["j"][lo])
             same = cols["i"][lo] == cols["j"][lo]
-            near = x[left] @ x[right].T >= cosine
+            near = np.empty((len(left), len(right)), bool)
+            h = codes(x) if t else None
+            strips = [slice(k, k + STRIP) for k in range(0, len(left), STRIP)]
+            for k in strips:
+                near[k] = x[left[k]] @ x[right].T >= cosine
+                for s in range(t):
+                    near[k] &= h[left[k], s][:, None] != h[right, s][None, :]
             if same:
                 np.fill_diagonal(near, False)
             if not near.any():
                 continue
-            if t:
-                h = codes(x)
-                for s in range(t):
-                    near &= h[left, s][:, None] != h[right, s][None, :]
-            n = near @ w[right]
+            n = np.concatenate([near[k] @ w[right] for k in strips])
             reps.append(rep[left[n > 0]])
             links.append(n[n > 0])
             if not same:
-                n = near.T @ w[left]
+                n = sum(w[left[k]] @ near[k] for k in strips)
                 reps.append(rep[right[n > 0]])
                 links.append(n[n > 0])
             top_l, top_r, none = rep[left].copy(), rep[right].copy(), np.iinfo(np.int64).max
             while True:
-                new_l = np.minimum(top_l, np.where(near, top_r[None, :], none).min(axis=1))
-                new_r = np.minimum(top_r, np.where(near, new_l[:, None], none).min(axis=0))
+                new_l = np.minimum(top_l, np.concatenate([np.where(near[k], top_r[None, :], none).min(axis=1) for k in strips]))
+                new_r = np.minimum(top_r, np.min([np.where(near[k], new_l[k, None], none).min(axis=0) for k in strips], axis=0))
                 if (new_l == top_l).all() and (new_r == top_r).all():
                     break
                 top_l, top_r = new_l, new_r
@@ -156,11 +161,13 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, chunk: int = CHU
     reps = staged(good.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("w"), F.first("label").alias("label"), F.first("vector").alias("vector")), "distinct-vectors")
     marked = reps.select("rep", "label", "vector").mapInArrow(_bucketed, "rep long, codes array<long>")
     flat = staged(marked.select("rep", F.posexplode("codes").alias("t", "code")), "buckets")
-    many = flat.groupBy("t", "code").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    many = staged(flat.groupBy("t", "code").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared-buckets")
+    moved = many.agg(F.sum(F.col("n") * F.ceil(F.col("n") / chunk))).first()[0] or 0
+    groups = max(4 * width(spark), -(-moved // BUCKET_ROWS))  # more vectors make more groups, not larger ones
     parts = F.ceil(F.col("n") / chunk).cast("int")
     met = flat.join(many, ["t", "code"]).select("t", "code", "rep", parts.alias("parts"), F.pmod(F.xxhash64("rep"), parts).cast("int").alias("own"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("t", "code", "rep", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    full = met.join(reps.select("rep", "w", "vector"), "rep").withColumn("bucket", F.pmod(F.xxhash64("t", "code", "i", "j"), F.lit(4 * width(spark))))
+    full = met.join(reps.select("rep", "w", "vector"), "rep").withColumn("bucket", F.pmod(F.xxhash64("t", "code", "i", "j"), F.lit(groups)))
     found = staged(full.groupBy("bucket").applyInArrow(_linked(cosine), "rep long, links long, root long"), "links")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")), "vectors").withColumnRenamed("node", "rep")
