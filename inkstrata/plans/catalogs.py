@@ -14,34 +14,6 @@ LONG_CAPTIONS = CAPTIONS.replace("(1,", "(1L,").replace("(2,", "(2L,").replace("
 NUM = "[A-Z]?[0-9]+[A-Z]?(?:[.\\-–—][0-9]+)+[A-Za-z]?"
 
 
-@query(f"""
-    SELECT CAST(id AS BIGINT) AS id,
-      CASE WHEN regexp_matches(s, '(?i)\\bFig(?:ure|\\.)?\\s*({NUM})') THEN 'fig-' || regexp_replace(regexp_extract(s, '(?i)\\bFig(?:ure|\\.)?\\s*({NUM})', 1), '[\\-–—]', '.', 'g') END AS fig,
-      CASE WHEN regexp_matches(s, '(?i)\\b(?:Table|Tab\\.?)\\s*({NUM})') THEN 'tbl-' || regexp_replace(regexp_extract(s, '(?i)\\b(?:Table|Tab\\.?)\\s*({NUM})', 1), '[\\-–—]', '.', 'g') END AS tbl
-    FROM (VALUES {CAPTIONS}) v(id, s)
-""")
-def caption_ids(spark, d):
-    rows = spark.sql(f"SELECT * FROM VALUES {LONG_CAPTIONS} AS v(id, s)")
-    return rows.select("id", N.figure_id(F.col("s")).alias("fig"), N.table_id(F.col("s")).alias("tbl"))
-
-
-@query("SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'figure', '1.4', 'Figure 1.4: Load and source'), (2, 'figure', '2.10b', 'Figure 2.10b: Curves'), (3, 'table', '3.1', 'Table 3.1: Values; see'), (3, 'figure', '1.2', 'Figure 1.2'), (4, 'table', '4.2', 'Table 4.2: Sizes')) v(id, type, num, display)")
-def caption_labels(spark, d):
-    rows = spark.sql(f"SELECT * FROM VALUES {LONG_CAPTIONS} AS v(id, s)")
-    return rows.select("id", F.inline(N.caption_labels(F.col("s")))).select("id", "type", "num", "display")
-
-
-@query(f"""
-    WITH t AS (SELECT * FROM (VALUES (1, 'see Fig. 1.4 and Figure 2.3b, Table 1.1'), (2, 'Figure 1.4 again; figures 7'), (3, 'Table 1.1 Table 1–2')) v(id, s)),
-    r AS (SELECT id, 'figure' AS kind, unnest(regexp_extract_all(s, '(?i)\\b(?:Fig\\.?|Figure)\\s+({NUM})', 1)) AS ref FROM t UNION ALL SELECT id, 'table', unnest(regexp_extract_all(s, '(?i)\\b(?:Tab\\.?|Table)\\s+({NUM})', 1)) FROM t)
-    SELECT kind, regexp_replace(ref, '[\\-–—]', '.', 'g') AS ref, CAST(min(id) AS BIGINT) AS first_id, count(*) AS total FROM r GROUP BY 1, 2
-""")
-def ref_extract(spark, d):
-    t = spark.sql("SELECT 'b' AS slug, * FROM VALUES (1L, 'see Fig. 1.4 and Figure 2.3b, Table 1.1'), (2L, 'Figure 1.4 again; figures 7'), (3L, 'Table 1.1 Table 1–2') AS v(id, text)")
-    found = C.text_references(t, ["slug"], "id")
-    return found.groupBy("kind", "ref").agg(F.min("id").alias("first_id"), F.max("total").alias("total"))
-
-
 @query("""
     WITH r AS (SELECT DISTINCT l_orderkey AS slug, CAST(l_suppkey AS VARCHAR) || '.' || CAST(l_linenumber AS VARCHAR) || CASE WHEN l_returnflag = 'R' THEN 'b' ELSE '' END AS ref FROM lineitem),
     h AS (SELECT DISTINCT l_orderkey AS slug, CAST(l_suppkey AS VARCHAR) || '.' || CAST(l_linenumber AS VARCHAR) AS num FROM lineitem WHERE l_quantity > 10),
@@ -116,22 +88,3 @@ def zip_groups(spark, d):
     a = rows.where("l_returnflag = 'A'").select("l_orderkey", "l_partkey", F.struct("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice").alias("oa"))
     b = rows.where("l_returnflag = 'R'").select("l_orderkey", "l_suppkey", F.struct("l_suppkey", "l_partkey", "l_quantity", "l_extendedprice").alias("ob"))
     return C.zip_by_ordinal(a, b, ["l_orderkey"], "oa", "ob").select("l_orderkey", "l_partkey", "l_suppkey")
-
-
-@query("SELECT * FROM (VALUES ('body[7]', 'body', NULL, CAST(0 AS BIGINT), CAST(7 AS BIGINT)), ('problem:3.2:body[1]', 'problem.body', '3.2', 0, 1), ('problem:5#2:solution[0]', 'problem.solution', '5', 2, 0), ('junk', NULL, NULL, NULL, NULL)) v(path, section, num, occ, idx)")
-def selectors(spark, d):
-    rows = spark.sql("SELECT * FROM VALUES ('body[7]'), ('problem:3.2:body[1]'), ('problem:5#2:solution[0]'), ('junk') AS v(path)").withColumn("s", C.selector(F.col("path")))
-    return rows.select("path", "s.section", "s.num", F.col("s.occ").cast("long").alias("occ"), F.col("s.idx").cast("long").alias("idx"))
-
-
-@query("SELECT * FROM (VALUES ('ch03:body[7]', 'ch03', 'body[7]'), ('ch03:problem[5].solution[1]', 'ch03', 'problem:5:solution[1]'), ('appA:title', 'appA', 'title')) v(locator, chunk, selector)")
-def locator_targets(spark, d):
-    rows = spark.sql("SELECT * FROM VALUES ('ch03:body[7]'), ('ch03:problem[5].solution[1]'), ('appA:title') AS v(locator)").withColumn("t", C.target_of(F.col("locator")))
-    return rows.select("locator", "t.chunk", "t.selector")
-
-
-@query("SELECT * FROM (VALUES ('1.2b', CAST(10 AS BIGINT), 'x.png'), ('2.1', 20, 'y.png'), ('9.9', NULL, NULL)) v(ref, pos, src)")
-def caption_candidates(spark, d):
-    wanted = spark.sql("SELECT 's' AS slug, 'figure' AS kind, * FROM VALUES ('1.2b'), ('2.1'), ('9.9') AS v(ref)")
-    found = spark.sql("SELECT 's' AS slug, 'figure' AS kind, * FROM VALUES ('1.2', 10L, 'x.png'), ('2.1', 20L, 'y.png'), ('2.1', 30L, 'z.png') AS v(num, pos, src)")
-    return C.caption_candidates(found, wanted, ["slug"]).select("ref", "pos", "src")

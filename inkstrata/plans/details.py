@@ -36,13 +36,6 @@ def context_snippets(spark, d):
     return p.select("page_id", F.length("text").cast("long").alias("n_chars"), T.snippet_cut(F.col("text")).alias("cut"))
 
 
-@query(r"""
-    SELECT doc_id, len(list_filter(regexp_split_to_array(strip_accents(lower(left(text, 200))), '[^\p{L}\p{N}]+'), lambda t: t <> '')) AS terms FROM documents
-""")
-def query_terms(spark, d):
-    return read(spark, d, "documents").select("doc_id", F.size(T.query_terms(T.fold(F.left("text", F.lit(200))))).cast("long").alias("terms"))
-
-
 @query(r"""
     SELECT doc_id, len(list_filter(regexp_split_to_array(strip_accents(lower(coalesce(text, ''))), '[^\p{L}\p{N}]+'), lambda t: t <> '')) AS terms FROM documents
 """)
@@ -51,13 +44,6 @@ def query_terms_whole(spark, d):
     return read(spark, d, "documents").select("doc_id", F.size(T.query_terms(T.fold(F.col("text")))).cast("long").alias("terms"))
 
 
-@query(r"SELECT * FROM (VALUES (CAST(0 AS BIGINT), 'x = 1', '3.2'), (1, 'y', NULL), (2, 'a $ b', NULL), (3, '\alpha', '1.4a')) v(id, tex, label)")
-def equation_labels(spark, d):
-    raw = ["$$\nx = 1 \\tag{3.2}\n$$", "$$ y $$", "a $ b", "\\alpha \\tag*{1.4a}"]
-    rows = spark.range(1).select(F.posexplode(F.array(*[F.lit(x) for x in raw])).alias("id", "raw")).withColumn("t", N.strip_display(F.col("raw")))
-    return rows.select(F.col("id").cast("long").alias("id"), N.without_label(F.col("t")).alias("tex"), N.equation_label(F.col("t")).alias("label"))
-
-
 @query("SELECT o_orderkey, CAST(o_custkey AS BIGINT) AS lead, CASE WHEN o_custkey % 2 = 0 THEN CAST(o_custkey AS VARCHAR) || '-' || CAST(o_orderkey AS VARCHAR) ELSE CAST(o_custkey AS VARCHAR) || '-' || CAST(o_orderkey AS VARCHAR) END AS dashed FROM orders")
 def number_prefixes(spark, d):
     k = F.concat_ws(".", F.col("o_custkey").cast("string"), F.col("o_orderkey").cast("string"))
@@ -73,17 +59,6 @@ def scalar_formats(spark, d):
     return read(spark, d, "part").select("p_partkey", N.span_text(F.col("p_retailprice") * 20).alias("span"), N.clamp_step(F.col("p_size"), 5).alias("step"), N.slugify(F.col("p_name")).alias("slug"))
 
 
-@query("SELECT * FROM (VALUES ('John David Jackson', 'jackson'), ('Goldstein, Poole & Safko', 'goldstein'), ('van der Berg', 'berg'), ('', '')) v(author, surname)")
-def surnames(spark, d):
-    return _rows(spark, "('John David Jackson'), ('Goldstein, Poole & Safko'), ('van der Berg'), ('')", "author").select("author", TT.surname(F.col("author")).alias("surname"))
-
-
-@query("SELECT * FROM (VALUES ('Real Analysis: Modern', 'real analysis', false, NULL), ('Optics (4th)', 'optics', false, NULL), ('Solutions Manual to Optics', 'solutions manual to optics', true, 'companion'), ('Optics Study Guide', 'optics study guide', false, 'companion')) v(title, normal, solution, companion)")
-def title_kinds(spark, d):
-    t = _rows(spark, "('Real Analysis: Modern'), ('Optics (4th)'), ('Solutions Manual to Optics'), ('Optics Study Guide')", "title")
-    return t.select("title", TT.normal_title(F.col("title")).alias("normal"), TT.is_solution(F.col("title")).alias("solution"), TT.companion(F.col("title")).alias("companion"))
-
-
 @query("""
     SELECT p_partkey, concat_ws(',', CASE WHEN p_type NOT IN ('SMALL', 'PROMO') THEN 'subject_unknown' END, CASE WHEN p_size % 3 = 0 THEN 'edition_pattern' END, CASE WHEN p_partkey % 5 = 0 THEN 'author_comma' END) AS faults FROM part
 """)
@@ -129,15 +104,6 @@ def work_remaining(spark, d):
     return U.work_remaining(w, F.lit("2001-01-01 00:00:00").cast("timestamp"), 90)
 
 
-@query("""
-    WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS items FROM documents WHERE doc_id % 3 = 0)
-    SELECT doc_id, k - 1 AS item, items[k] AS text FROM (SELECT doc_id, items, unnest(generate_series(1, len(items))) AS k FROM l)
-""")
-def expanded_lists(spark, d):
-    docs = read(spark, d, "documents").where("doc_id % 3 = 0 AND trim(text) <> ''")
-    return _expanded(docs)
-
-
 def _expanded(docs):
     b = docs.select("doc_id", F.lit("list").alias("type"), F.lit("").alias("text"), F.split("text", "\n").alias("list_items"), F.lit(1).alias("text_level"))
     return G.expand_lists(b, ["doc_id"]).select("doc_id", F.col("item").cast("long").alias("item"), "text")
@@ -193,30 +159,6 @@ def missing_anchor_entries(spark, d):
     return C.missing_anchors(once, rows.where("anchor % 3 = 0").select("slug", "chunk_key", F.col("anchor").alias("id")))
 
 
-@query("SELECT * FROM (VALUES ('3.2', 13, 'near'), ('5.1', 30, 'sibling'), ('3.12b', 7, 'local'), ('8.8', NULL, NULL)) v(target, pos, source)")
-def repair_sources(spark, d):
-    wanted = _rows(spark, "('s', '3.2', 10, 'h1'), ('s', '5.1', 90, 'h9'), ('s', '3.12b', 95, 'h9'), ('s', '8.8', 99, 'h9')", "slug, target, cite_pos, heading")
-    rows = _rows(spark, "('s', 13, CAST(NULL AS string), CAST(NULL AS string), 'h1'), ('s', 8, NULL, NULL, 'h1'), ('s', 12, NULL, NULL, 'h2'), ('s', 30, '5.1a', '5.1a', 'h1'), ('s', 7, '12', '12', 'h7')", "slug, pos, num, ref, heading")
-    best = C.first_of(wanted, ["slug"], local=Q.local_candidates(wanted, rows, ["slug"]), near=C.near_candidates(rows, wanted, ["slug"]), sibling=C.sibling_candidates(rows.drop("heading"), wanted.drop("heading"), ["slug"]))
-    return best.select("target", "pos", "source")
-
-
-@query("SELECT * FROM (VALUES (CAST(1 AS BIGINT), '1.1', 'figure', 'fig-1.1'), (2, '1.1', 'figure', 'fig-1.2'), (2, '1.1', 'table', 'tbl-1.3'), (3, '1.1', 'equation', 'eq-1.4'), (4, '1.1', 'figure', NULL)) v(ord, section, type, id)")
-def catalogue_build(spark, d):
-    b = _rows(
-        spark,
-        "('s', 'ch01', 0L, 'section', '1.1', CAST(NULL AS string), CAST(NULL AS string), CAST(NULL AS string), CAST(NULL AS string)), ('s', 'ch01', 1L, 'fig', NULL, 'Fig. 1.1 A', 'f.png', NULL, NULL), ('s', 'ch01', 2L, 'fig', 'fig-1.2', 'Fig. 1.2 B Table 1.3 C', 'g.png', NULL, NULL), ('s', 'ch01', 3L, 'eq', NULL, NULL, NULL, '1.4', 'x'), ('s', 'ch01', 4L, 'fig', 'fig-ch01-4', NULL, 'h.png', NULL, NULL)",
-        "slug, chunk, ord, t, id, caption, src, label, tex",
-    )
-    return C.build(b).select("ord", "section", "type", "id")
-
-
-@query("SELECT * FROM (VALUES (3, '1.2', 'Big one', 24), (2, '1.2', 'Big one', 22)) v(idx, num, caption, score)")
-def context_references(spark, d):
-    texts = _rows(spark, "('c', 1, 'see Figure 1.1 there'), ('c', 4, 'Figure 1.2 Big one'), ('c', 9, 'nothing')", "k, idx, text")
-    return Q.context(_rows(spark, "('c', 3), ('c', 8), ('c', 2)", "k, idx"), texts, ["k"], "fig").select("idx", "num", "caption", "score")
-
-
 @query("SELECT p_partkey, CASE WHEN instr(p_name, 'r') = 0 THEN p_name WHEN p_size % 2 = 0 THEN replace(p_name, 'r', 'RR') ELSE left(p_name, instr(p_name, 'r') - 1) || 'RR' || substr(p_name, instr(p_name, 'r') + 1) END AS text FROM part")
 def replaced_text(spark, d):
     return read(spark, d, "part").select("p_partkey", O.replace_text(F.col("p_name"), F.lit("r"), F.lit("RR"), F.col("p_size") % 2 == 0).alias("text"))
@@ -235,23 +177,6 @@ def overlaid_titles(spark, d):
     return O.overlay_titles(s, s.where("s_suppkey % 3 = 0").select("s_suppkey", F.concat(F.lit("over "), F.col("s_suppkey").cast("string")).alias("s_name")), ["s_suppkey"], "s_name")
 
 
-@query("SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'resolved', CAST(1 AS BIGINT)), (2, 'resolved', 0), (3, 'dup', NULL), (4, 'unmatched', NULL), (5, 'no_english', NULL)) v(pid, outcome, new_idx)")
-def realigned_patches(spark, d):
-    blocks = _rows(spark, "('c', 0L, 'alpha'), ('c', 1L, 'beta'), ('c', 2L, 'twice'), ('c', 3L, 'twice')", "c, idx, text")
-    beta = O.anchor(md=F.lit("beta"))
-    patches = _rows(spark, "('c', 1L, 'own', ''), ('c', 2L, '00000000', 'alpha'), ('c', 3L, NULL, 'alpha'), ('c', 4L, NULL, 'twice'), ('c', 5L, NULL, ' ')", "c, pid, a, english").withColumn("a", F.when(F.col("a") == "own", beta).otherwise(F.col("a")))
-    return O.realign(patches, blocks, ["c"]).select("pid", "outcome", "new_idx")
-
-
-@query("""
-    WITH r AS (SELECT source AS slug, regexp_extract(text, '^[A-Za-z]+', 0) AS tex FROM documents), f AS (SELECT tex, count(*) AS occ FROM r WHERE tex <> '' GROUP BY tex)
-    SELECT tex, occ, CASE WHEN length(tex) % 2 = 0 THEN 'missing_brace' END AS category FROM f
-""")
-def judged_formulas(spark, d):
-    r = read(spark, d, "documents").select(F.regexp_extract("text", "^[A-Za-z]+", 0).alias("tex"), F.lit(False).alias("display"), F.col("doc_id").cast("string").alias("locator")).where("tex <> ''")
-    return _judged(r)
-
-
 def _judged(rows):
     f = X.formulas(rows, "locator")
     v = f.select("tex", "display", (F.length("tex") % 2 == 1).alias("ok"), F.when(F.length("tex") % 2 == 0, "Missing } inserted").alias("err"))
@@ -283,19 +208,6 @@ def math_audit_findings(spark, d):
     return X.math_audit(read(spark, d, "documents").select("doc_id", "text"), ["doc_id"])
 
 
-@query("SELECT * FROM (VALUES ('p', CAST(6 AS BIGINT)), ('q', -1), ('r', 0)) v(id, live_occ)")
-def live_occurrences(spark, d):
-    g = spark.range(1).select(F.inline(F.array(F.struct(F.lit("\\foo x").alias("tex"), F.lit(4).cast("long").alias("total_occ")), F.struct(F.lit("\\foo\\bar").alias("tex"), F.lit(2).cast("long").alias("total_occ")))))
-    det = spark.range(1).select(F.inline(F.array(F.struct(F.lit("p").alias("id"), F.array(F.lit("\\foo")).alias("tokens")), F.struct(F.lit("r").alias("id"), F.array(F.lit("\\baz")).alias("tokens")), F.struct(F.lit("q").alias("id"), F.array().cast("array<string>").alias("tokens")))))
-    return X.live_occurrences(g, det)
-
-
-@query(r"SELECT * FROM (VALUES ('a^{x}^{y}', CAST(0 AS BIGINT)), ('\alpha + \alpha', 1), ('', 0)) v(tex, words)")
-def control_words(spark, d):
-    rows = spark.range(1).select(F.explode(F.array(F.lit("a^{x}^{y}"), F.lit("\\alpha + \\alpha"), F.lit(""))).alias("tex"))
-    return rows.select("tex", F.size(M.control_words(F.col("tex"))).cast("long").alias("words"))
-
-
 @query("""
     WITH r AS (SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN '2 parse' WHEN 1 THEN '1 audit' WHEN 2 THEN 'R audit-blocked' WHEN 3 THEN '3 parsed' WHEN 4 THEN '0.5 ocr' ELSE 'X missing' END AS stage FROM customer)
     SELECT c_custkey, CASE WHEN c_custkey % 11 = 0 THEN 'qc-reject: n' || CAST(c_custkey AS VARCHAR) WHEN starts_with(stage, 'X') THEN stage END AS reason FROM r
@@ -384,19 +296,6 @@ def changed_files(spark, d):
     return changed(p, p.withColumn("modified", F.when(F.col("path") % 4 == 0, -1).otherwise(F.col("modified")))).select("path")
 
 
-@query("SELECT * FROM (VALUES ('#a%20b/ch/3/sec-1.2', 'a b', 'ch', '3', 'sec-1.2'), ('#slug', 'slug', NULL, NULL, NULL), ('', NULL, NULL, NULL, NULL)) v(hash, slug, kind, key, anchor)")
-def parsed_routes(spark, d):
-    rows = _rows(spark, "('#a%20b/ch/3/sec-1.2'), ('#slug'), ('')", "hash").withColumn("r", web.parse_route(F.col("hash")))
-    return rows.select("hash", "r.slug", "r.kind", "r.key", "r.anchor")
-
-
-@query("""SELECT * FROM (VALUES ('<table onclick="x"><tr><td colspan="2" style="a">a<script>bad()</script><b>c', '<table><tr><td colspan="2">a<b>c</b></td></tr></table>', 'abad()c'), ('<table><tr><th>A</th><td> b </td></tr></table>', '<table><tr><th>A</th><td> b </td></tr></table>', 'A' || chr(9) || 'b')) v(html, clean, text)""".replace("'abad()c'", "'abad()c'"))
-def table_html(spark, d):
-    raw = ['<table onclick="x"><tr><td colspan="2" style="a">a<script>bad()</script><b>c', "<table><tr><th>A</th><td> b </td></tr></table>"]
-    rows = spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in raw])).alias("html"))
-    return rows.select("html", web.sanitized("html").alias("clean"), web.table_text("html").alias("text"))
-
-
 @query("SELECT user_id, array_to_string(list(event_id ORDER BY ts DESC, event_id)[1:3], ',') AS newest FROM events GROUP BY user_id")
 def newest_per_key(spark, d):
     e = read(spark, d, "events")

@@ -79,12 +79,6 @@ def marker_validate(spark, d):
     return per.select("conv_id", F.array_join(O.marker_faults(F.col("expected"), F.col("got")), ",").alias("faults"))
 
 
-@query("SELECT * FROM (VALUES ('1', 'alpha'), ('3', 'last')) v(key, value)")
-def marked_reply(spark, d):
-    rows = spark.range(1).select(O.marked(F.lit("junk <<<1>>> alpha <<<3>>>first\n<<<3>>> last ")).alias("m"))
-    return rows.select(F.explode("m"))
-
-
 PROBLEMS = "p AS (SELECT o_orderkey, o_custkey % 10 AS ch, CAST(o_orderkey % 700 AS VARCHAR) || '.' || CAST(o_custkey % 9 AS VARCHAR) AS num FROM orders)"
 ANSWERS = "s AS (SELECT ch, num, max(qty) AS solution FROM (SELECT l_suppkey % 10 AS ch, CAST(l_partkey % 700 AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS num, l_quantity AS qty FROM lineitem) GROUP BY 1, 2)"
 
@@ -118,12 +112,6 @@ def last_key_wins(spark, d):
     return O.last_wins(read(spark, d, "events"), ["user_id", "event_type"], ["event_id"]).select("user_id", "event_type", "event_id")
 
 
-@query("SELECT doc_id, quality FROM labels WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, -1 FROM documents WHERE doc_id % 5 = 0 AND doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id % 2 = 0)")
-def fill_only_merge(spark, d):
-    base = read(spark, d, "labels").where("doc_id % 2 = 0").select("doc_id", "quality")
-    return O.fill_only(base, read(spark, d, "documents").where("doc_id % 5 = 0").select("doc_id", F.lit(-1).alias("quality")), ["doc_id"])
-
-
 @query("SELECT doc_id, quality FROM labels UNION ALL SELECT doc_id, -1 FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
 def fill_only_merge_whole(spark, d):
     """All labels, and every document that has none."""
@@ -141,12 +129,6 @@ def overrides_outcome(spark, d):
     return O.apply_overrides(part, rows, ["p_partkey"], "p_type").select("p_partkey", "p_type", "outcome")
 
 
-@query("SELECT count(*) FILTER (c_custkey >= 100) AS added, count(*) FILTER (c_custkey < 100) AS replaced FROM customer WHERE c_custkey % 7 = 0")
-def override_merge_counts(spark, d):
-    c = read(spark, d, "customer").select(F.col("c_custkey").alias("id"), "c_name")
-    return O.merge_overrides(c.where("id < 100"), c.where("id % 7 = 0"))[1]
-
-
 @query("SELECT count(*) FILTER (s_suppkey IS NULL) AS added, count(s_suppkey) AS replaced FROM customer LEFT JOIN (SELECT DISTINCT s_suppkey FROM supplier) s ON s_suppkey = c_custkey")
 def override_merge_counts_whole(spark, d):
     """All suppliers as base, all customers as overrides of the same ids."""
@@ -159,10 +141,3 @@ def quote_locate(spark, d):
     c = read(spark, d, "conversations").where(F.length("text") > 40)
     quote = F.substr("text", F.lit(11), F.lit(20))
     return c.select("conv_id", "turn", O.locate_quote(F.col("text"), F.lit("\x00"), quote, F.lit(None).cast("string")).cast("long").alias("at"))
-
-
-@query("SELECT * FROM (VALUES (CAST(1 AS BIGINT), '1', 'first' || chr(10) || 'more'), (1, '2', 'second tail'), (2, '1', 'chapter two')) v(ch, num, solution)")
-def extract_solutions(spark, d):
-    b = spark.sql("SELECT 'b' AS slug, * FROM VALUES (1L, 'intro'), (2L, 'Chapter I'), (3L, '[1] first'), (4L, 'more'), (5L, '[2] second tail'), (6L, 'Chapter II'), (7L, '[1] chapter two') AS v(pos, text)")
-    out = O.extract_solutions(b, ["slug"], "pos", r"^Chapter ([IVX]+|\d+)$", r"\[(\d+)\] ?", roman=True)
-    return out.select(F.col("ch").cast("long").alias("ch"), "num", "solution")

@@ -18,33 +18,6 @@ def _findings(spark):
     return rows.withColumn("category", M.category(F.col("err"))).withColumn("macro", M.macro(F.col("err")))
 
 
-@query(r"""
-    SELECT * FROM (VALUES (CAST(0 AS BIGINT), '· ^ { · } ^ { · }'), (1, '\frac { · } { · } · \left ·'), (2, '\alpha _ { · }'), (3, ''), (4, '· \\'), (5, '\underline { { \left · \left · \right · } }')) v(id, skeleton)
-""")
-def formula_skeletons(spark, d):
-    rows = spark.range(1).select(F.posexplode(F.array(*[F.lit(t) for t in TEX])).alias("id", "tex"))
-    return rows.select(F.col("id").cast("long").alias("id"), M.skeleton(F.col("tex")).alias("skeleton"))
-
-
-@query(r"SELECT * FROM (VALUES ('double_script', '· ^ { · } ^ { · }', CAST(5 AS BIGINT), CAST(2 AS BIGINT), CAST(2 AS BIGINT)), ('undefined_macro', '\foo', 5, 2, 2), ('left_right', '\left ·', 5, 1, 1)) v(category, signature, total_occ, uniques, books)")
-def skeleton_clusters(spark, d):
-    return R.clusters(_findings(spark)).select("category", "signature", "total_occ", "uniques", "books")
-
-
-@query(r"SELECT * FROM (VALUES ('\foo', CAST(2 AS BIGINT), CAST(5 AS BIGINT), CAST(2 AS BIGINT)), ('\bar', 1, 1, 1), ('\left', 1, 5, 1)) v(token, uniques, occ, books)")
-def token_signals(spark, d):
-    return R.token_signals(_findings(spark))
-
-
-@query("""
-    WITH w AS (SELECT source AS slug, unnest(string_split(lang, 'x')) AS lang, regexp_extract(text, '^[A-Za-z]+', 0) AS tex FROM documents)
-    SELECT tex, count(*) AS total_occ, count(DISTINCT slug) AS books FROM w WHERE tex <> '' GROUP BY tex
-""")
-def residual_groups(spark, d):
-    rows = read(spark, d, "documents").select(F.col("source").alias("slug"), F.regexp_extract("text", "^[A-Za-z]+", 0).alias("tex"), F.lit(1).alias("occ"), F.lit(False).alias("display")).where("tex <> ''")
-    return R.groups(rows).select("tex", "total_occ", "books")
-
-
 def _words(spark, d, *keep):
     """Every word of every text."""
     return read(spark, d, "documents").select(*keep, F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("tex"))
@@ -90,12 +63,6 @@ def regression_gate(spark, d):
     return R.gate(b, a)
 
 
-@query(r"SELECT * FROM (VALUES ('Double superscript', 'double_script', NULL), ('Missing $ inserted', 'math_mode', NULL), ('Misplaced alignment tab', 'alignment', NULL), ('Missing } inserted', 'missing_brace', NULL), ('Extra \left', 'left_right', NULL), ('undefined control sequence \zeta', 'undefined_macro', '\zeta'), ('what', 'other', NULL)) v(err, category, macro)")
-def error_categorize(spark, d):
-    rows = spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in ("Double superscript", "Missing $ inserted", "Misplaced alignment tab", "Missing } inserted", "Extra \\left", "undefined control sequence \\zeta", "what")])).alias("err"))
-    return rows.select("err", M.category(F.col("err")).alias("category"), M.macro(F.col("err")).alias("macro"))
-
-
 @query(r"""
     WITH c AS (SELECT doc_id, len(regexp_extract_all(text, '\$\$')) AS dd, length(regexp_replace(regexp_replace(text, '\${2,}', '', 'g'), '[^$]', '', 'g')) AS one FROM documents)
     SELECT doc_id, CASE WHEN dd % 2 = 1 THEN 'unbalanced display dollar' WHEN one % 2 = 1 THEN 'unbalanced inline dollar' END AS fault FROM c
@@ -104,12 +71,6 @@ def delimiter_faults(spark, d):
     return read(spark, d, "documents").select("doc_id", M.delimiter_fault(F.col("text")).alias("fault"))
 
 
-@query(r"SELECT * FROM (VALUES ('$\mathrm{}$', 'empty_shell'), ('$N_2$', NULL), ('\def\x{1}', 'tex_primitive'), ('\[\left. \right.\]', NULL), ('$$\complement$$', NULL), ('', 'empty_shell')) v(new, fault)")
-def semantic_faults(spark, d):
-    rows = spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in (r"$\mathrm{}$", "$N_2$", r"\def\x{1}", r"\[\left. \right.\]", r"$$\complement$$", "")])).alias("new"))
-    return rows.select("new", M.semantic_fault(F.col("new")).alias("fault"))
-
-
 @query("""
     SELECT event_id, CASE WHEN event_type = 'signup' THEN 'missing' WHEN value < 5 THEN 'unrecoverable' WHEN event_type = 'error' THEN 'render_err' WHEN value < 20 THEN 'render_fail' WHEN event_type = 'purchase' THEN 'semantic_fail' WHEN user_id % 2 = 0 THEN 'locate_fail' ELSE 'accepted' END AS outcome FROM events
 """)
@@ -142,24 +103,11 @@ query()(formula_regions)
 query()(repaired_formulas)
 
 
-@query(f"SELECT DISTINCT 'b' || ':' || left(sha1('0' || chr(0) || w), 8) AS gid FROM (SELECT regexp_extract(text, '^[A-Za-z]+', 0) AS w FROM documents) WHERE w <> ''")
-def finding_ids(spark, d):
-    w = read(spark, d, "documents").select(F.regexp_extract("text", "^[A-Za-z]+", 0).alias("w")).where("w <> ''").distinct()
-    return w.select(R.gid(F.lit("b"), F.col("w"), F.lit(False)).alias("gid"))
-
-
 @query("SELECT DISTINCT 'b' || ':' || left(sha1('0' || chr(0) || w), 8) AS gid FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM documents)")
 def finding_ids_whole(spark, d):
     return _words(spark, d).distinct().select(R.gid(F.lit("b"), F.col("tex"), F.lit(False)).alias("gid")).distinct()
 
 
-@query("SELECT 'de' AS lang, count(*) AS n FROM documents WHERE lang = 'de' AND length(trim(text)) > 0 UNION ALL SELECT 'src', count(*) FROM documents WHERE lang = 'de'")
-def text_units(spark, d):
-    docs = read(spark, d, "documents").where("lang = 'de'").select("doc_id", F.col("text").alias("lang_text"), F.col("source"))
-    u = R.units(docs, ["doc_id"], ["lang_text", "source"])
-    return u.groupBy(F.when(F.col("field") == "source", "src").otherwise("de").alias("lang")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("SELECT lang, 'text' AS field, count(*) AS n FROM documents WHERE length(trim(text)) > 0 GROUP BY lang UNION ALL SELECT lang, 'source', count(*) FROM documents WHERE length(trim(source)) > 0 GROUP BY lang")
 def text_units_whole(spark, d):
     """Documents of every language."""

@@ -51,19 +51,6 @@ def search_verified_hits(spark, d):
     return S.verified(read(spark, d, "documents"), TERMS).select("doc_id", "lang")
 
 
-@query(r"""
-    WITH s AS (SELECT * FROM (VALUES (1, '熱力學 第二定律 entropy'), (2, '場'), (3, '電磁場 and Thévenin'), (4, 'x yz')) v(id, s)),
-    w AS (SELECT id, unnest(regexp_extract_all(strip_accents(lower(s)), '[\p{L}\p{N}]+')) AS w FROM s),
-    c AS (SELECT id, w, regexp_matches(w, '[\x{3040}-\x{30ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}]') AS cjk FROM w)
-    SELECT DISTINCT CAST(id AS BIGINT) AS id, token FROM (
-      SELECT id, w AS token FROM c WHERE NOT cjk AND length(w) BETWEEN 2 AND 30 UNION ALL SELECT id, w FROM c WHERE cjk AND length(w) = 1
-      UNION ALL SELECT id, substr(w, k, 2) FROM (SELECT id, w, unnest(generate_series(1, length(w) - 1)) AS k FROM c WHERE cjk AND length(w) > 1))
-""")
-def cjk_bigrams(spark, d):
-    rows = spark.sql("SELECT * FROM VALUES (1L, '熱力學 第二定律 entropy'), (2L, '場'), (3L, '電磁場 and Thévenin'), (4L, 'x yz') AS v(id, s)")
-    return S.postings(rows, ["id"], "s")
-
-
 @query("""
     WITH a AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS line FROM documents),
     b AS (SELECT *, left(line, 200) AS cut FROM a),
@@ -104,16 +91,6 @@ def visible_range(spark, d):
     return S.page(c.withColumn("_o", -F.col("c_acctbal")), ["_o", "c_custkey"], 50, 25).select("c_custkey", "c_name")
 
 
-@query("""
-    SELECT title, chapter, starts_with(raw, '*') AS has_solution, ltrim(raw, '*') AS num
-    FROM (SELECT book_idx, chapter, unnest(nums) AS raw FROM (VALUES (0, 1, ['1', '*2', '3']), (1, 4, ['*1']), (0, 2, [])) v(book_idx, chapter, nums)) r
-    JOIN (VALUES (0, 'Alpha'), (1, 'Beta')) b(book_idx, title) ON r.book_idx = b.book_idx
-""")
-def hydrate_rows(spark, d):
-    rows = spark.sql("SELECT * FROM VALUES (0, 1, array('1', '*2', '3')), (1, 4, array('*1')), (0, 2, CAST(array() AS array<string>)) AS v(book_idx, chapter, nums)")
-    return S.hydrate(rows, spark.sql("SELECT * FROM VALUES (0, 'Alpha'), (1, 'Beta') AS b(book_idx, title)"))
-
-
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY' AND c_acctbal > 9000)")
 def late_materialized(spark, d):
     keys = read(spark, d, "customer").where("c_mktsegment = 'MACHINERY' AND c_acctbal > 9000").select(F.col("c_custkey").alias("o_custkey"))

@@ -168,15 +168,3 @@ def log_tail(spark, d):
 def upsert_latest(spark, d):
     e = read(spark, d, "events")
     return upsert(e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1"), ["user_id", "event_type"], "ts").select("user_id", "event_type", "event_id", "value")
-
-
-@query("""
-    WITH b AS (SELECT * FROM (VALUES (1, 'Problem 1 alpha'), (2, 'more'), (3, '2. beta'), (4, '1. back'), (5, 'Section end'), (6, 'lost'), (7, '3. gamma')) v(idx, text)),
-    s AS (SELECT *, TRY_CAST(regexp_extract(text, '^(?:Problem )?([0-9]+)\\.? ', 1) AS BIGINT) AS v FROM b),
-    g AS (SELECT *, v IS NOT NULL AND v > coalesce(max(v) OVER (ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ok, starts_with(text, 'Section') AS halt FROM s),
-    m AS (SELECT *, last_value(CASE WHEN halt THEN 0 WHEN ok THEN v END IGNORE NULLS) OVER (ORDER BY idx) AS num FROM g)
-    SELECT CAST(idx AS BIGINT) AS idx, CAST(num AS VARCHAR) AS num, CASE WHEN ok THEN trim(regexp_replace(text, '^(?:Problem )?([0-9]+)\\.? ', '')) ELSE text END AS text FROM m WHERE num > 0 AND NOT halt
-""".replace("\\\\", "\\"))
-def split_items(spark, d):
-    b = spark.sql("SELECT 'b' AS slug, * FROM VALUES (1L, 'Problem 1 alpha'), (2L, 'more'), (3L, '2. beta'), (4L, '1. back'), (5L, 'Section end'), (6L, 'lost'), (7L, '3. gamma') AS v(idx, text)")
-    return G.split_items_fast(b, ["slug"], "idx", r"^(?:Problem )?([0-9]+)\.? ", "^Section").select("idx", "num", "text")

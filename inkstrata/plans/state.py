@@ -126,17 +126,6 @@ def frontier_buckets(spark, d):
     return P.frontier(read(spark, d, "orders").select(F.col("o_orderpriority").alias("domain"), s.alias("status")))
 
 
-@query("""
-    WITH c AS (SELECT o_orderpriority AS domain, o_orderdate AS at FROM orders WHERE o_orderkey % 101 = 0)
-    SELECT o.o_orderkey AS id, count(*) AS commits FROM orders o JOIN c ON c.domain = o.o_orderpriority AND c.at > o.o_orderdate WHERE o.o_orderstatus <> 'F' AND o.o_orderkey % 13 = 0 GROUP BY 1
-""")
-def stale_items(spark, d):
-    o = read(spark, d, "orders")
-    s = F.when(F.col("o_orderstatus") == "O", "proposed").when(F.col("o_orderstatus") == "P", "parked").otherwise("resolved")
-    open_ = o.where("o_orderkey % 13 = 0").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("domain"), s.alias("status"), F.col("o_orderdate").alias("verified_at"))
-    return P.stale(open_, o.where("o_orderkey % 101 = 0").select(F.col("o_orderpriority").alias("domain"), F.col("o_orderdate").alias("committed_at")))
-
-
 @query("""
     WITH c AS (SELECT o_orderpriority AS domain, o_orderdate AS at, count(*) AS n FROM orders GROUP BY 1, 2)
     SELECT o.o_orderkey AS id, CAST(sum(c.n) AS BIGINT) AS commits FROM orders o JOIN c ON c.domain = o.o_orderpriority AND c.at > o.o_orderdate WHERE o.o_orderstatus <> 'F' GROUP BY 1
@@ -185,11 +174,6 @@ def lease_verdicts(spark, d):
     return read(spark, d, "part").select("p_partkey", P.lease_verdict(s % 7 != 0, s % 11 != 0, s, F.lit(20), F.lit(10), s % 2 != 0).alias("verdict"))
 
 
-@query("SELECT * FROM (VALUES ('05:07', CAST(307 AS BIGINT)), ('1:00:01', 3601), ('2-03:00:00', 183600), ('x', NULL)) v(raw, seconds)")
-def elapsed_seconds(spark, d):
-    return spark.sql("SELECT * FROM VALUES ('05:07'), ('1:00:01'), ('2-03:00:00'), ('x') AS v(raw)").select("raw", N.elapsed(F.col("raw")).alias("seconds"))
-
-
 @query("""
     WITH k AS (SELECT o_orderkey, o_orderpriority AS slug, o_orderdate AS started FROM orders), f AS (SELECT slug AS "of", o_orderkey, started FROM k UNION SELECT 'x' || CAST(o_orderkey % 5 AS VARCHAR), o_orderkey, started FROM k WHERE o_orderkey % 5 > 0)
     SELECT "of", o_orderkey AS id FROM (SELECT *, row_number() OVER (PARTITION BY "of" ORDER BY started DESC, o_orderkey) AS n FROM f) WHERE n <= 6

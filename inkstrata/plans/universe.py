@@ -72,38 +72,6 @@ def title_overlap(spark, d):
     return a.join(b, "p_partkey").select("p_partkey", F.round(T.overlap(F.col("x"), F.col("y")), 6).alias("overlap"))
 
 
-@query("SELECT title, author, CAST(confidence AS DOUBLE) AS confidence FROM (VALUES ('Signals and Systems', 'Alan Oppenheim', 1.0), ('Signals and Systems', 'Hall', 0.6), ('Organic Chemistry', 'Clayden', 0.3), ('Calculus', '', 0.0)) v(title, author, confidence)")
-def match_confidence(spark, d):
-    rows = spark.sql("SELECT * FROM VALUES ('Signals and Systems', 'Alan Oppenheim', 'Signals & Systems', 'Oppenheim, Willsky'), ('Signals and Systems', 'Hall', 'Signals and Systems', 'Marshall'), ('Organic Chemistry', 'Clayden', 'Chemistry of Food', 'X'), ('Calculus', '', 'Algebra', '') AS v(title, author, ct, ca)")
-    return rows.select("title", "author", T.confidence(F.col("title"), F.col("author"), F.col("ct"), F.col("ca")).alias("confidence"))
-
-
-@query("SELECT * FROM (VALUES ('sig', CAST(1 AS BIGINT))) v(slug, cid)")
-def exact_unique_match(spark, d):
-    targets = spark.sql("SELECT 'main' AS kind, * FROM VALUES ('sig', 'Signals and Systems', 'Alan Oppenheim'), ('org', 'Organic Chemistry', 'Clayden'), ('cal', 'Calculus', 'Spivak') AS v(slug, title, author)")
-    found = spark.sql("SELECT 'pdf' AS extension, * FROM VALUES (1L, 'Signals and Systems: Second Edition', 'Oppenheim'), (2L, 'Organic Chemistry', 'Clayden'), (3L, 'Organic Chemistry (2nd)', 'Clayden'), (4L, 'Calculus', 'Spivak'), (5L, 'Signals and Systems', 'Haykin') AS v(cid, title, author)")
-    return U.exact_unique(targets, found)
-
-
-@query("SELECT slug, cid, CAST(confidence AS DOUBLE) AS confidence FROM (VALUES ('sig', CAST(1 AS BIGINT), 1.0), ('org', 2, 1.0)) v(slug, cid, confidence)")
-def best_candidates(spark, d):
-    targets = spark.sql("SELECT 'main' AS kind, * FROM VALUES ('sig', 'Signals and Systems', 'Alan Oppenheim'), ('org', 'Organic Chemistry', 'Clayden') AS v(slug, title, author)")
-    found = spark.sql("SELECT 'pdf' AS extension, * FROM VALUES ('sig', 1L, 'Signals and Systems', 'Oppenheim', 9.0), ('org', 2L, 'Organic Chemistry', 'Clayden', 8.0), ('org', 3L, 'Organic Chemistry', 'Clayden', 2.0), ('org', 4L, 'Solutions Manual to Organic Chemistry', 'Clayden', 9.9) AS v(slug, cid, title, author, score)")
-    return U.pick(U.matched(targets, found)).select("slug", "cid", "confidence")
-
-
-@query("SELECT * FROM (VALUES ('4', '4th'), ('11', '11th'), ('22', '22nd'), ('Seventh International Edition', '7th International'), ('3rd', '3rd'), ('Second Edition', '2nd'), ('weird', 'weird'), ('', NULL)) v(raw, edition)")
-def edition_normalize(spark, d):
-    rows = spark.sql("SELECT * FROM VALUES ('4'), ('11'), ('22'), ('Seventh International Edition'), ('3rd'), ('Second Edition'), ('weird'), ('') AS v(raw)")
-    return rows.select("raw", T.edition(F.col("raw")).alias("edition"))
-
-
-@query("SELECT * FROM (VALUES ('A. One and B. Two', 'A. One; B. Two'), ('A One, B Two', 'A One; B Two'), ('A; B, C', 'A; B, C'), (' X ', 'X')) v(raw, author)")
-def author_normalize(spark, d):
-    rows = spark.sql("SELECT * FROM VALUES ('A. One and B. Two'), ('A One, B Two'), ('A; B, C'), (' X ') AS v(raw)")
-    return rows.select("raw", T.author(F.col("raw")).alias("author"))
-
-
 @query("""
     SELECT p_partkey, CASE WHEN p_type = 'PROMO' THEN 10.0 ELSE 0.0 END + CASE WHEN mb BETWEEN 3 AND 80 THEN 5.0 WHEN mb >= 1.5 AND mb <= 150 THEN 1.0 WHEN mb < 1.5 THEN -3.0 ELSE 0.0 END + 2.0 + CASE WHEN yr >= 2000 THEN least((yr - 2000) / 10.0, 2.0) ELSE 0.0 END + least(p_size / 2.0, 2.5) + CASE WHEN p_size * 3 > 50 THEN 1.0 ELSE 0.0 END AS score
     FROM (SELECT *, p_retailprice / 10 - 88 AS mb, 1990 + p_size AS yr FROM part)
@@ -115,13 +83,6 @@ def suitability_score(spark, d):
     return p.select("p_partkey", s.alias("score"))
 
 
-@query("SELECT * FROM (VALUES ('a', 'chapter_gap(2->9),companion'), ('b', ''), ('c', 'partial_source(starts@8),title_mismatch(0%)'), ('d', 'no_problems_extracted')) v(slug, flags)")
-def quality_flags(spark, d):
-    rows = spark.sql("SELECT * FROM VALUES ('a', array(1, 2, 9), 'Optics Study Guide', 'Optics', 5L), ('b', array(8, 9), 'Quantum Mechanics', 'Quantum Mechanics Vol. 2', 5L), ('c', array(8), 'Botany', 'Quantum Mechanics', 5L), ('d', array(1), 'Optics', 'Optics', 0L) AS v(slug, nums, landed, wanted, problems)")
-    flags = U.quality_flags(F.col("nums"), F.col("landed"), F.col("wanted"), F.lit(0), F.lit(True), F.col("problems"))
-    return rows.select("slug", F.array_join(U.blocking(flags), ",").alias("flags"))
-
-
 @query("""
     WITH s AS (SELECT DISTINCT left(p_name, 4) AS slug FROM part UNION SELECT DISTINCT p_name FROM part WHERE p_size > 25), k AS (SELECT DISTINCT p_name || '_x' AS key FROM part)
     SELECT key, arg_max(slug, length(slug)) AS slug FROM k JOIN s ON starts_with(key, slug) GROUP BY key
@@ -132,24 +93,8 @@ def longest_prefix(spark, d):
     return U.longest_prefix(p.select(F.concat("p_name", F.lit("_x")).alias("key")).distinct(), slugs)
 
 
-@query("SELECT * FROM (VALUES ('IV', CAST(4 AS BIGINT)), ('xlii', 42), ('MCMXC', 1990), ('IX', 9), ('ABC', NULL), ('', NULL)) v(raw, n)")
-def roman_numbers(spark, d):
-    return spark.sql("SELECT * FROM VALUES ('IV'), ('xlii'), ('MCMXC'), ('IX'), ('ABC'), ('') AS v(raw)").select("raw", N.roman(F.col("raw")).cast("long").alias("n"))
-
-
-@query("SELECT * FROM (VALUES ('15–23B', '15.23B', '15.23', '15–23B'), ('3-2c', '3.2c', '3.2', '3-2c'), ('7.1', '7.1', NULL, '7-1'), ('A', 'A', NULL, 'A')) v(raw, canonical, parent, dashed)")
-def canonical_numbers(spark, d):
-    rows = spark.sql("SELECT * FROM VALUES ('15–23B'), ('3-2c'), ('7.1'), ('A') AS v(raw)")
-    return rows.select("raw", N.canonical(F.col("raw")).alias("canonical"), N.parent(F.col("raw")).alias("parent"), N.dashed(F.col("raw")).alias("dashed"))
-
-
 @query("SELECT p_partkey, row_number() OVER (ORDER BY coalesce(n_regionkey, 9999), p_size, p_retailprice, p_partkey) AS rank FROM part LEFT JOIN nation ON n_nationkey = p_size")
 def universe_order(spark, d):
     p = read(spark, d, "part").select("p_partkey", F.col("p_size").alias("field_id"), F.col("p_size").alias("subject_rank"), F.col("p_retailprice").alias("book_rank"), F.lit("main").alias("kind"), F.lpad(F.col("p_partkey").cast("string"), 12, "0").alias("slug"))
     fields = read(spark, d, "nation").select(F.col("n_nationkey").alias("field_id"), F.col("n_regionkey").alias("field_order"))
     return U.ordered(p, fields).select("p_partkey", F.col("rank").cast("long").alias("rank"))
-
-
-@query("SELECT * FROM (VALUES ('a', 'main', NULL), ('a_sol', 'solution', 'a'), ('b', 'main', NULL)) v(slug, kind, \"of\")")
-def derived_solutions(spark, d):
-    return U.with_solutions(spark.sql("SELECT * FROM VALUES ('a', true), ('b', false) AS v(slug, has_solution)")).select("slug", "kind", "of")
