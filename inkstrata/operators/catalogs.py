@@ -107,7 +107,7 @@ def nearest_text(blocks: DataFrame, keys: list[str], order: str | list[str], vis
     by = [order] if isinstance(order, str) else order
     w = Window.partitionBy(*keys).orderBy(*by)
     said = F.when(~visual & (F.trim(F.coalesce(text, F.lit(""))) != ""), text)
-    out = blocks.withColumn("_v", visual).withColumn("before", F.last(said, True).over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("after", F.first(said, True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    out = blocks.withColumn("_v", visual).withColumn("before", F.last(said, True).over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("after", F.last(said, True).over(Window.partitionBy(*keys).orderBy(*map(F.desc, by)).rowsBetween(Window.unboundedPreceding, -1)))
     n = F.row_number().over(Window.partitionBy(*keys, "_v").orderBy(*by))
     return out.withColumn("ordinal", n).where("_v").drop("_v")
 

@@ -27,9 +27,11 @@ def cutoff(n: Column, ratio: float = COMMON_RATIO) -> Column:
 def index(chunks: DataFrame, book: str, chunk: str, text: str = "text") -> DataFrame:
     """book, token, df, common, chunks (null for common tokens)."""
     sizes = chunks.groupBy(book).agg(F.countDistinct(chunk).alias("n"))
-    lists = postings(chunks, [book, chunk], text).groupBy(book, "token").agg(F.count(F.lit(1)).alias("df"), F.sort_array(F.collect_list(chunk)).alias("chunks"))
-    both = lists.join(sizes, book).withColumn("common", F.col("df") >= cutoff(F.col("n")))
-    return both.select(book, "token", "df", "common", F.when(~F.col("common"), F.col("chunks")).alias("chunks"))
+    found = postings(chunks, [book, chunk], text)
+    df = found.groupBy(book, "token").agg(F.count(F.lit(1)).alias("df")).join(sizes, book).select(book, "token", "df", (F.col("df") >= cutoff(F.col("n"))).alias("common"))
+    # common tokens leave before any list is gathered
+    lists = found.join(df.where(~F.col("common")).select(book, "token"), [book, "token"], "left_semi").groupBy(book, "token").agg(F.sort_array(F.collect_list(chunk)).alias("chunks"))
+    return df.join(lists, [book, "token"], "left")
 
 
 def document_frequency(chunks: DataFrame, book: str, text: str = "text") -> DataFrame:

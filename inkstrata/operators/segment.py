@@ -305,7 +305,7 @@ def flatten_chunks(chunks: DataFrame) -> DataFrame:
 def running_headers(blocks: DataFrame, keys: list[str], order: str, is_heading: Column, start: str) -> DataFrame:
     """Flags headings that only repeat at a page top: the next text is an item whose number is above one."""
     said = F.when(~is_heading & (F.trim(F.coalesce("text", F.lit(""))) != ""), F.col("text"))
-    after = F.first(said, True).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(1, Window.unboundedFollowing))
+    after = F.last(said, True).over(Window.partitionBy(*keys).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1))
     num = F.element_at(F.split(F.regexp_replace(F.regexp_extract(after, start, 1), r"\s+", ""), r"\."), 1).try_cast("int")
     return blocks.withColumn("running", is_heading & F.coalesce(num > 1, F.lit(False)))
 

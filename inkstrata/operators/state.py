@@ -62,14 +62,17 @@ def histogram(rows: DataFrame, bucket: str, order: list[str], held: Column) -> D
 def gates(rows: DataFrame, rules: DataFrame, slug: str, stage_: str, default: str = "hold") -> DataFrame:
     """allowed: the action of the first matching rule (slug or *, stage or *); null slugs match * only; any invalid rule holds all.
 
-    Each row asks for its four patterns, so rules of any number meet by equality.
+    Each row meets at most one rule of each of the four patterns, by equality,
+    so rules of any number are joined and every row stays, equal ones too.
     """
-    ok = rules.agg(F.coalesce(F.bool_and(F.coalesce(F.col("slug").isNotNull() & F.col("stage").isNotNull() & F.col("action").isin("allow", "hold"), F.lit(False))), F.lit(True)).alias("_valid"))
+    ok = rules.agg(F.coalesce(F.bool_and(F.coalesce(F.col("slug").isNotNull() & F.col("stage").isNotNull() & F.col("action").isin("allow", "hold"), F.lit(False))), F.lit(True)).alias("_valid"), F.min(F.when((F.col("slug") == "*") & (F.col("stage") == "*"), F.struct("rule_idx", "action"))).alias("_all"))
     first = rules.groupBy(F.col("slug").alias("_s"), F.col("stage").alias("_g")).agg(F.min(F.struct("rule_idx", "action")).alias("_r"))
-    ways = F.array_distinct(F.array(F.coalesce(slug, F.lit("*")), F.lit("*")))
-    flat = rows.withColumn("_s", F.explode(ways)).withColumn("_g", F.explode(F.array_distinct(F.array(F.col(stage_), F.lit("*")))))
-    hit = flat.join(first, ["_s", "_g"], "left").groupBy(*rows.columns).agg(F.min("_r").alias("_r"))
-    return hit.crossJoin(F.broadcast(ok)).withColumn("allowed", F.col("_valid") & (F.coalesce("_r.action", F.lit(default)) == "allow")).drop("_r", "_valid")
+    out = rows.withColumn("_s", F.coalesce(slug, F.lit("*"))).withColumn("_g", F.col(stage_))
+    out = out.join(first.withColumnRenamed("_r", "_both"), ["_s", "_g"], "left")
+    out = out.join(first.where("_g = '*'").select("_s", F.col("_r").alias("_slug")), "_s", "left")
+    out = out.join(first.where("_s = '*'").select("_g", F.col("_r").alias("_stage")), "_g", "left")
+    hit = F.least("_both", "_slug", "_stage", "_all")
+    return out.crossJoin(F.broadcast(ok)).withColumn("allowed", F.col("_valid") & (F.coalesce(hit["action"], F.lit(default)) == "allow")).select(*rows.columns, "allowed")
 
 
 def next_actionable(rows: DataFrame, order: list[str] = ("0.2", "0.3", "0.5", "1", "2", "3", "4")) -> DataFrame:
@@ -141,7 +144,7 @@ def sessions_of(sessions: DataFrame, limit: int) -> DataFrame:
 def carried_time(lines: DataFrame, keys: list[str], pos: str, at: str) -> DataFrame:
     """The time of the line, else of the last line before that has one, else of the next."""
     w = Window.partitionBy(*keys).orderBy(pos)
-    return lines.withColumn("effective", F.coalesce(F.last(at, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first(at, True).over(w.rowsBetween(1, Window.unboundedFollowing))))
+    return lines.withColumn("effective", F.coalesce(F.last(at, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.last(at, True).over(Window.partitionBy(*keys).orderBy(F.desc(pos)).rowsBetween(Window.unboundedPreceding, -1))))
 
 
 def provider_health(workers: DataFrame, chain: list[str]) -> DataFrame:

@@ -261,7 +261,7 @@ def semantic_faults(spark, d):
     return _parts(spark, d).select("p_partkey", M.semantic_fault(new).alias("fault"))
 
 
-@query("SELECT p_partkey, unnest(['熱力', '力學', '場'] || list_distinct(string_split(p_name, ' ')) || [lower(p_type)]) AS token FROM part")
+@query("SELECT p_partkey, unnest(list_distinct(['熱力', '力學', '場'] || string_split(p_name, ' ') || [lower(p_type)])) AS token FROM part")
 def cjk_bigrams(spark, d):
     return S.postings(_parts(spark, d).select("p_partkey", _s("熱力學 ", NAME, " 場 ", TYPE).alias("s")), ["p_partkey"], "s")
 

@@ -64,7 +64,19 @@ def windowed(stream: DataFrame, at: str, size: str, late: str, *keys: str) -> Da
 
 
 def drain(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Run a stream over all that is there and return the sink's table."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Run a stream over all that is there and return what it wrote: a table beside the checkpoint.
+
+    Each micro-batch replaces its own folder, so a batch that runs again after
+    a failure leaves nothing twice.  In complete mode the last batch is the result.
+    """
+    out, done = f"{checkpoint.rstrip('/')}-{name}", []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/{number}")
+        done.append(number)
+
+    q = stream.writeStream.foreachBatch(write).queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    if not done:
+        return stream.sparkSession.createDataFrame([], stream.schema)
+    return stream.sparkSession.read.schema(stream.schema).parquet(*[f"{out}/{n}" for n in (done[-1:] if mode == "complete" else sorted(set(done)))])
