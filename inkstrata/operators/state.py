@@ -199,7 +199,7 @@ def stale(proposals: DataFrame, commits: DataFrame) -> DataFrame:
 
 def change_status(proposals: DataFrame, wanted: DataFrame, new: str, allowed: list[str]) -> DataFrame:
     """All or nothing: the job fails if any wanted id is missing or may not change."""
-    j = wanted.join(proposals.select("id", "status"), "id", "left")
+    j = wanted.select("id").join(proposals.select("id", "status"), "id", "left")
     bad = j.agg(F.count_if(F.col("status").isNull() | ~F.col("status").isin(*allowed)).alias("bad"))
     guard = bad.select(F.when(F.col("bad") > 0, F.raise_error(F.lit("some proposals cannot change"))).otherwise(F.lit(True)).alias("_ok"))
     out = proposals.join(wanted.select("id", F.lit(True).alias("_w")).distinct(), "id", "left").crossJoin(F.broadcast(guard))
