@@ -1,5 +1,9 @@
 from __future__ import annotations
 
+import re
+from collections import Counter
+from html.parser import HTMLParser
+
 import pyarrow.parquet as pq
 import pytest
 
@@ -52,3 +56,67 @@ def test_pages(spark):
     assert not any("track(" in r["text"] or "margin" in r["text"] for r in got)
     odd = spark.createDataFrame([(1, None, None, "t"), (2, "u", "", "t"), (1, None, None, "t")], "page_id long, url string, html string, text string")
     assert sorted((r["page_id"], r["text"]) for r in extract(odd).collect()) == [(1, ""), (1, ""), (2, "")]
+
+
+class Visible(HTMLParser):
+    """Words that show, by the standard library's parser and a plain stack: no layout, no shared code."""
+
+    VOID = set("area base br col embed hr img input link meta param source track wbr".split())
+    UNSHOWN = set("head script style template title noscript iframe object audio video canvas svg math datalist select noembed noframes".split())
+    ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"td", "th", "tr"}}
+    BLOCKS = set("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure hr div section article aside header footer nav main li dt dd form fieldset address details".split())
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.stack, self.words = [], []
+
+    def shut(self, tags, most=1):
+        for k in range(len(self.stack) - 1, -1, -1):
+            if self.stack[k][0] in tags:
+                del self.stack[k:]
+                return
+            if self.stack[k][0] in ("table", "ul", "ol", "dl"):
+                return
+
+    def handle_starttag(self, tag, attrs):
+        self.words.append(None)
+        if tag in self.BLOCKS and self.stack and any(t == "p" for t, _ in self.stack):
+            self.shut({"p"})
+        while tag in self.ENDS and self.stack and self.stack[-1][0] in self.ENDS[tag]:
+            self.stack.pop()
+        if tag in self.ENDS and tag != "p":
+            self.shut({tag})
+        a = dict(attrs)
+        hidden = tag in self.UNSHOWN or "hidden" in a or "display:none" in (a.get("style") or "").replace(" ", "").lower() or re.search("visibility:(hidden|collapse)", (a.get("style") or "").replace(" ", "").lower()) is not None
+        if tag not in self.VOID:
+            self.stack.append((tag, hidden or bool(self.stack and self.stack[-1][1])))
+
+    def handle_endtag(self, tag):
+        self.words.append(None)
+        if any(t == tag for t, _ in self.stack):
+            while self.stack.pop()[0] != tag:
+                pass
+
+    def handle_data(self, data):
+        if not (self.stack and self.stack[-1][1]):
+            self.words.append(data)
+
+
+def shown(page):
+    v = Visible()
+    v.feed(page)
+    v.close()
+    return Counter(re.findall(r"\w+", "".join(" " if w is None else w for w in v.words)))
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_visible_words_of_all_pages_against_the_standard_parser(sf):
+    pages = pq.read_table(f"/root/testdata/{sf}/pages.parquet").to_pylist()
+    wrong = []
+    for r in pages:
+        text = re.sub(r"(?m)^[ |]*(?:-|\d+\.) ", "", render(r["html"]))
+        have, want = Counter(re.findall(r"\w+", text)), shown(r["html"])
+        # an inline element inside a word parts it there only
+        if "".join(sorted("".join(have.elements()))) != "".join(sorted("".join(want.elements()))):
+            wrong.append((r["page_id"], list((want - have).items())[:5], list((have - want).items())[:5]))
+    assert not wrong, (len(wrong), len(pages), wrong[:3])
