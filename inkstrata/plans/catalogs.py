@@ -9,10 +9,6 @@ from inkstrata.operators import catalogs as C
 from inkstrata.plans.registry import query
 from inkstrata.sources import read
 
-CAPTIONS = "(1, 'Fig. 1.4 Load and source'), (2, 'FIGURE 2-10b: Curves'), (3, 'Table 3.1 Values; see Fig. 1.2'), (4, 'Tab. 4–2 Sizes'), (5, 'no label here'), (6, 'as in Figure 9.9'), (7, '')"
-LONG_CAPTIONS = CAPTIONS.replace("(1,", "(1L,").replace("(2,", "(2L,").replace("(3,", "(3L,").replace("(4,", "(4L,").replace("(5,", "(5L,").replace("(6,", "(6L,").replace("(7,", "(7L,")
-NUM = "[A-Z]?[0-9]+[A-Z]?(?:[.\\-–—][0-9]+)+[A-Za-z]?"
-
 
 @query("""
     WITH r AS (SELECT DISTINCT l_orderkey AS slug, CAST(l_suppkey AS VARCHAR) || '.' || CAST(l_linenumber AS VARCHAR) || CASE WHEN l_returnflag = 'R' THEN 'b' ELSE '' END AS ref FROM lineitem),

@@ -9,14 +9,6 @@ from inkstrata.operators import residual as R
 from inkstrata.plans.registry import query
 from inkstrata.sources import read
 
-TEX = [r"a^{x}^{y}", r"\frac{p}{q} + \left( r", r"\alpha_{1}", r"", r"x \\", r"\underline{{\left/ 30 \left. \right.}}"]
-FINDINGS = r"""('b1', 'a^{x}^{y}', 3, 'Double superscript'), ('b2', 'p^{m}^{n}', 2, 'double exponent'), ('b1', '\\foo{x}', 4, 'Undefined control sequence \\foo'), ('b3', '\\foo + \\bar', 1, 'Undefined control sequence \\foo'), ('b2', '\\left( x', 5, 'Missing \\right')"""
-
-
-def _findings(spark):
-    rows = spark.sql(f"SELECT * FROM VALUES {FINDINGS} AS v(slug, tex, occ, err)")
-    return rows.withColumn("category", M.category(F.col("err"))).withColumn("macro", M.macro(F.col("err")))
-
 
 def _words(spark, d, *keep):
     """Every word of every text."""
@@ -93,14 +85,7 @@ def formula_regions(spark, d):
     return docs.select("doc_id", F.posexplode(M.math_regions(F.col("text"))).alias("pos", "r")).select("doc_id", "pos", "r.start", "r.stop", "r.display")
 
 
-def repaired_formulas(spark, d):
-    """Repair rules R1 to R8 over written formulas (goldens in the tests)."""
-    rows = spark.range(1).select(F.posexplode(F.array(*[F.lit(t) for t in TEX])).alias("id", "tex"))
-    return rows.select("id", M.normalized(F.col("tex")).alias("tex"))
-
-
 query()(formula_regions)
-query()(repaired_formulas)
 
 
 @query("SELECT DISTINCT 'b' || ':' || left(sha1('0' || chr(0) || w), 8) AS gid FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM documents)")
