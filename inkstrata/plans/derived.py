@@ -23,8 +23,33 @@ from inkstrata.operators import universe as U
 from inkstrata.plans.registry import query
 from inkstrata.sources import read
 
-K, SIZE, NAME, TYPE, BRAND = (F.col(c) for c in ("p_partkey", "p_size", "p_name", "p_type", "p_brand"))
-NONE = F.lit(None).cast("string")
+
+# Columns are made when a query runs: the module is imported without a session too.
+
+
+def p_key() -> Column:
+    return F.col("p_partkey")
+
+
+def p_size() -> Column:
+    return F.col("p_size")
+
+
+def p_name() -> Column:
+    return F.col("p_name")
+
+
+def p_type() -> Column:
+    return F.col("p_type")
+
+
+def p_brand() -> Column:
+    return F.col("p_brand")
+
+
+def no_text() -> Column:
+    return F.lit(None).cast("string")
+
 
 
 def _parts(spark, d):
@@ -45,7 +70,7 @@ def _turn(key: Column, *values: Column) -> Column:
 
 
 def _caption() -> Column:
-    return _turn(K, _s("Fig. ", SIZE, ".", K, " ", NAME), _s("FIGURE ", SIZE, "-", K, "b: ", NAME), _s("Table ", SIZE, ".", K, " ", NAME, "; see Fig. ", SIZE, ".2"), _s("Tab. ", SIZE, "–", K, " ", NAME), NAME, _s("as in Figure ", K, ".", SIZE), F.lit(""))
+    return _turn(p_key(), _s("Fig. ", p_size(), ".", p_key(), " ", p_name()), _s("FIGURE ", p_size(), "-", p_key(), "b: ", p_name()), _s("Table ", p_size(), ".", p_key(), " ", p_name(), "; see Fig. ", p_size(), ".2"), _s("Tab. ", p_size(), "–", p_key(), " ", p_name()), p_name(), _s("as in Figure ", p_key(), ".", p_size()), F.lit(""))
 
 
 @query("""
@@ -72,7 +97,7 @@ def caption_labels(spark, d):
     SELECT p_brand AS slug, kind, ref, min(p_partkey) AS first_id, count(*) AS total FROM r GROUP BY 1, 2, 3
 """)
 def ref_extract(spark, d):
-    t = _parts(spark, d).select(BRAND.alias("slug"), K.alias("id"), _s("see Fig. ", SIZE, ".1 and Figure ", SIZE, ".3b; Table ", SIZE, "-2, figures ", K).alias("text"))
+    t = _parts(spark, d).select(p_brand().alias("slug"), p_key().alias("id"), _s("see Fig. ", p_size(), ".1 and Figure ", p_size(), ".3b; Table ", p_size(), "-2, figures ", p_key()).alias("text"))
     return C.text_references(t, ["slug"], "id").groupBy("slug", "kind", "ref").agg(F.min("id").alias("first_id"), F.max("total").alias("total"))
 
 
@@ -81,7 +106,7 @@ def ref_extract(spark, d):
       CAST(CASE p_partkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 0 WHEN 2 THEN p_size END AS BIGINT) AS occ, CASE p_partkey % 4 WHEN 0 THEN p_partkey WHEN 1 THEN p_partkey WHEN 2 THEN 0 END AS idx FROM part
 """)
 def selectors(spark, d):
-    path = _turn(K, _s("body[", K, "]"), _s("problem:", SIZE, ".", K, ":body[", K, "]"), _s("problem:", K, "#", SIZE, ":solution[0]"), NAME)
+    path = _turn(p_key(), _s("body[", p_key(), "]"), _s("problem:", p_size(), ".", p_key(), ":body[", p_key(), "]"), _s("problem:", p_key(), "#", p_size(), ":solution[0]"), p_name())
     return _parts(spark, d).withColumn("s", C.selector(path)).select("p_partkey", "s.section", "s.num", F.col("s.occ").cast("long").alias("occ"), F.col("s.idx").cast("long").alias("idx"))
 
 
@@ -89,7 +114,7 @@ def selectors(spark, d):
     SELECT p_partkey, CASE p_partkey % 3 WHEN 2 THEN 'appA' ELSE 'ch' || p_size END AS chunk, CASE p_partkey % 3 WHEN 0 THEN 'body[' || p_partkey || ']' WHEN 1 THEN 'problem:' || p_partkey || ':solution[1]' ELSE p_type END AS selector FROM part
 """)
 def locator_targets(spark, d):
-    where = _turn(K, _s("ch", SIZE, ":body[", K, "]"), _s("ch", SIZE, ":problem[", K, "].solution[1]"), _s("appA:", TYPE))
+    where = _turn(p_key(), _s("ch", p_size(), ":body[", p_key(), "]"), _s("ch", p_size(), ":problem[", p_key(), "].solution[1]"), _s("appA:", p_type()))
     return _parts(spark, d).withColumn("t", C.target_of(where)).select("p_partkey", "t.chunk", "t.selector")
 
 
@@ -98,14 +123,14 @@ def locator_targets(spark, d):
     SELECT w.p_brand AS slug, base || CASE WHEN lettered THEN 'b' ELSE '' END AS ref, pos, src FROM w LEFT JOIN c ON c.p_brand = w.p_brand AND c.num = w.base
 """)
 def caption_candidates(spark, d):
-    p = _parts(spark, d).select(BRAND.alias("slug"), F.lit("figure").alias("kind"), _s(SIZE, ".1").alias("num"), K.alias("pos"), NAME.alias("src"))
+    p = _parts(spark, d).select(p_brand().alias("slug"), F.lit("figure").alias("kind"), _s(p_size(), ".1").alias("num"), p_key().alias("pos"), p_name().alias("src"))
     wanted = p.select("slug", "kind", F.concat("num", F.when(F.col("pos") % 2 == 1, "b").otherwise("")).alias("ref")).distinct()
     return C.caption_candidates(p.where("pos % 3 < 2"), wanted, ["slug"]).select("slug", "ref", "pos", "src")
 
 
 @query(r"SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'x = ' || p_size WHEN 1 THEN p_name WHEN 2 THEN p_name || ' $ b' ELSE '\alpha' END AS tex, CASE p_partkey % 4 WHEN 0 THEN p_size || '.' || p_partkey WHEN 3 THEN p_size || '.' || p_partkey || 'a' END AS label FROM part")
 def equation_labels(spark, d):
-    raw = _turn(K, _s("$$\nx = ", SIZE, " \\tag{", SIZE, ".", K, "}\n$$"), _s("$$ ", NAME, " $$"), _s(NAME, " $ b"), _s("\\alpha \\tag*{", SIZE, ".", K, "a}"))
+    raw = _turn(p_key(), _s("$$\nx = ", p_size(), " \\tag{", p_size(), ".", p_key(), "}\n$$"), _s("$$ ", p_name(), " $$"), _s(p_name(), " $ b"), _s("\\alpha \\tag*{", p_size(), ".", p_key(), "a}"))
     return _parts(spark, d).withColumn("t", N.strip_display(raw)).select("p_partkey", N.without_label(F.col("t")).alias("tex"), N.equation_label(F.col("t")).alias("label"))
 
 
@@ -119,7 +144,7 @@ def surnames(spark, d):
     SELECT p_partkey, CASE WHEN p_partkey % 4 < 2 THEN p_name WHEN p_partkey % 4 = 2 THEN 'solutions manual to ' || p_name ELSE p_name || ' study guide' END AS normal, p_partkey % 4 = 2 AS solution, CASE WHEN p_partkey % 4 >= 2 THEN 'companion' END AS companion FROM part
 """)
 def title_kinds(spark, d):
-    t = _turn(K, _s(F.initcap(NAME), ": Modern"), _s(NAME, " (4th)"), _s("Solutions Manual to ", NAME), _s(NAME, " Study Guide"))
+    t = _turn(p_key(), _s(F.initcap(p_name()), ": Modern"), _s(p_name(), " (4th)"), _s("Solutions Manual to ", p_name()), _s(p_name(), " Study Guide"))
     return _parts(spark, d).withColumn("t", t).select("p_partkey", T.normal_title(F.col("t")).alias("normal"), T.is_solution(F.col("t")).alias("solution"), T.companion(F.col("t")).alias("companion"))
 
 
@@ -128,10 +153,10 @@ def title_kinds(spark, d):
 """)
 def repair_sources(spark, d):
     p = _parts(spark, d)
-    target, cite = _turn(K, _s(SIZE, ".2"), _s(SIZE, ".1"), _s(SIZE, ".12b"), F.lit("888.8")), _turn(K, F.lit(10), F.lit(90), F.lit(95), F.lit(99))
-    wanted = p.select(K.alias("slug"), target.alias("target"), cite.alias("cite_pos"), F.when(K % 4 == 0, "h1").otherwise("h9").alias("heading"))
-    one = [(13, NONE, "h1"), (8, NONE, "h1"), (12, NONE, "h2"), (30, _s(SIZE, ".1a"), "h1"), (7, F.lit("12"), "h7")]
-    rows = p.select(K.alias("slug"), F.inline(F.array(*[F.struct(F.lit(a).alias("pos"), n.alias("num"), n.alias("ref"), F.lit(h).alias("heading")) for a, n, h in one])))
+    target, cite = _turn(p_key(), _s(p_size(), ".2"), _s(p_size(), ".1"), _s(p_size(), ".12b"), F.lit("888.8")), _turn(p_key(), F.lit(10), F.lit(90), F.lit(95), F.lit(99))
+    wanted = p.select(p_key().alias("slug"), target.alias("target"), cite.alias("cite_pos"), F.when(p_key() % 4 == 0, "h1").otherwise("h9").alias("heading"))
+    one = [(13, no_text(), "h1"), (8, no_text(), "h1"), (12, no_text(), "h2"), (30, _s(p_size(), ".1a"), "h1"), (7, F.lit("12"), "h7")]
+    rows = p.select(p_key().alias("slug"), F.inline(F.array(*[F.struct(F.lit(a).alias("pos"), n.alias("num"), n.alias("ref"), F.lit(h).alias("heading")) for a, n, h in one])))
     best = C.first_of(wanted, ["slug"], local=Q.local_candidates(wanted, rows, ["slug"]), near=C.near_candidates(rows, wanted, ["slug"]), sibling=C.sibling_candidates(rows.drop("heading"), wanted.drop("heading"), ["slug"]))
     return best.select("slug", "target", "pos", "source")
 
@@ -142,31 +167,31 @@ def repair_sources(spark, d):
 """)
 def catalogue_build(spark, d):
     rows = [
-        (0, "section", _s(SIZE, ".1"), NONE, NONE, NONE, NONE),
-        (1, "fig", NONE, _s("Fig. ", SIZE, ".1 A"), F.lit("f.png"), NONE, NONE),
-        (2, "fig", _s("fig-", SIZE, ".2"), _s("Fig. ", SIZE, ".2 B Table ", SIZE, ".3 C"), F.lit("g.png"), NONE, NONE),
-        (3, "eq", NONE, NONE, NONE, _s(SIZE, ".4"), F.lit("x")),
-        (4, "fig", F.lit("fig-ch01-4"), NONE, F.lit("h.png"), NONE, NONE),
+        (0, "section", _s(p_size(), ".1"), no_text(), no_text(), no_text(), no_text()),
+        (1, "fig", no_text(), _s("Fig. ", p_size(), ".1 A"), F.lit("f.png"), no_text(), no_text()),
+        (2, "fig", _s("fig-", p_size(), ".2"), _s("Fig. ", p_size(), ".2 B Table ", p_size(), ".3 C"), F.lit("g.png"), no_text(), no_text()),
+        (3, "eq", no_text(), no_text(), no_text(), _s(p_size(), ".4"), F.lit("x")),
+        (4, "fig", F.lit("fig-ch01-4"), no_text(), F.lit("h.png"), no_text(), no_text()),
     ]
     names = ("id", "caption", "src", "label", "tex")
-    b = _parts(spark, d).select(BRAND.alias("slug"), K.alias("chunk"), F.inline(F.array(*[F.struct(F.lit(o).cast("long").alias("ord"), F.lit(t).alias("t"), *[c.alias(n) for n, c in zip(names, r, strict=True)]) for o, t, *r in rows])))
+    b = _parts(spark, d).select(p_brand().alias("slug"), p_key().alias("chunk"), F.inline(F.array(*[F.struct(F.lit(o).cast("long").alias("ord"), F.lit(t).alias("t"), *[c.alias(n) for n, c in zip(names, r, strict=True)]) for o, t, *r in rows])))
     return C.build(b).select("slug", "chunk", "ord", "section", "type", "id")
 
 
 @query("SELECT p_partkey AS k, idx, p_size || '.2' AS num, p_name AS caption, score FROM part, (VALUES (3, 24), (2, 22)) v(idx, score)")
 def context_references(spark, d):
     p = _parts(spark, d)
-    texts = p.select(K.alias("k"), F.inline(F.array(*[F.struct(F.lit(i).alias("idx"), t.alias("text")) for i, t in ((1, F.lit("see Figure 1.1 there")), (4, _s("Figure ", SIZE, ".2 ", NAME)), (9, BRAND))])))
-    seen = p.select(K.alias("k"), F.explode(F.array(*map(F.lit, (3, 8, 2)))).alias("idx"))
+    texts = p.select(p_key().alias("k"), F.inline(F.array(*[F.struct(F.lit(i).alias("idx"), t.alias("text")) for i, t in ((1, F.lit("see Figure 1.1 there")), (4, _s("Figure ", p_size(), ".2 ", p_name())), (9, p_brand()))])))
+    seen = p.select(p_key().alias("k"), F.explode(F.array(*map(F.lit, (3, 8, 2)))).alias("idx"))
     return Q.context(seen, texts, ["k"], "fig").select("k", "idx", "num", "caption", "score")
 
 
 @query("SELECT p_partkey AS c, CAST(pid AS BIGINT) AS pid, outcome, CAST(new_idx AS BIGINT) AS new_idx FROM part, (VALUES (1, 'resolved', 1), (2, 'resolved', 0), (3, 'dup', NULL), (4, 'unmatched', NULL), (5, 'no_english', NULL)) v(pid, outcome, new_idx)")
 def realigned_patches(spark, d):
     p = _parts(spark, d)
-    blocks = p.select(K.alias("c"), F.posexplode(F.array(_s("alpha ", NAME), BRAND, F.lit("twice"), F.lit("twice"))).alias("idx", "text")).withColumn("idx", F.col("idx").cast("long"))
-    rows = [(1, O.anchor(md=BRAND), F.lit("")), (2, F.lit("00000000"), _s("alpha ", NAME)), (3, NONE, _s("alpha  ", NAME)), (4, NONE, F.lit("twice")), (5, NONE, F.lit(" "))]
-    patches = p.select(K.alias("c"), F.inline(F.array(*[F.struct(F.lit(i).cast("long").alias("pid"), a.alias("a"), e.alias("english")) for i, a, e in rows])))
+    blocks = p.select(p_key().alias("c"), F.posexplode(F.array(_s("alpha ", p_name()), p_brand(), F.lit("twice"), F.lit("twice"))).alias("idx", "text")).withColumn("idx", F.col("idx").cast("long"))
+    rows = [(1, O.anchor(md=p_brand()), F.lit("")), (2, F.lit("00000000"), _s("alpha ", p_name())), (3, no_text(), _s("alpha  ", p_name())), (4, no_text(), F.lit("twice")), (5, no_text(), F.lit(" "))]
+    patches = p.select(p_key().alias("c"), F.inline(F.array(*[F.struct(F.lit(i).cast("long").alias("pid"), a.alias("a"), e.alias("english")) for i, a, e in rows])))
     return O.realign(patches, blocks, ["c"]).select("c", "pid", "outcome", "new_idx")
 
 
@@ -176,23 +201,23 @@ WORDS = "w AS (SELECT p_name, unnest(string_split(p_name, ' ')) AS word, sum(p_s
 @query(f"WITH {WORDS} SELECT word AS id, CAST(sum(occ) AS BIGINT) AS live_occ FROM w GROUP BY word UNION ALL SELECT DISTINCT p_type, -1 FROM part UNION ALL SELECT DISTINCT p_brand, 0 FROM part")
 def live_occurrences(spark, d):
     p = _parts(spark, d)
-    tex = F.array_join(F.transform(F.split(NAME, " "), lambda w: F.concat(F.lit("\\"), w)), " x ")
+    tex = F.array_join(F.transform(F.split(p_name(), " "), lambda w: F.concat(F.lit("\\"), w)), " x ")
     found = p.groupBy(tex.alias("tex")).agg(F.sum("p_size").alias("total_occ"))
-    word = p.select(F.explode(F.split(NAME, " ")).alias("id")).distinct().select("id", F.array(F.concat(F.lit("\\"), F.col("id"))).alias("tokens"))
-    none = p.select(TYPE.alias("id"), F.array().cast("array<string>").alias("tokens")).distinct()
-    absent = p.select(BRAND.alias("id"), F.array(F.lit("\\absent")).alias("tokens")).distinct()
+    word = p.select(F.explode(F.split(p_name(), " ")).alias("id")).distinct().select("id", F.array(F.concat(F.lit("\\"), F.col("id"))).alias("tokens"))
+    none = p.select(p_type().alias("id"), F.array().cast("array<string>").alias("tokens")).distinct()
+    absent = p.select(p_brand().alias("id"), F.array(F.lit("\\absent")).alias("tokens")).distinct()
     return X.live_occurrences(found, word.union(none).union(absent))
 
 
 @query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN len(list_distinct(string_split(p_name, ' '))) ELSE 0 END AS words FROM part")
 def control_words(spark, d):
-    tex = F.when(K % 2 == 0, _s("\\", F.replace(NAME, F.lit(" "), F.lit("_{1} + \\")), " \\", F.element_at(F.split(NAME, " "), 1))).otherwise(NAME)
+    tex = F.when(p_key() % 2 == 0, _s("\\", F.replace(p_name(), F.lit(" "), F.lit("_{1} + \\")), " \\", F.element_at(F.split(p_name(), " "), 1))).otherwise(p_name())
     return _parts(spark, d).select("p_partkey", F.size(M.control_words(tex)).cast("long").alias("words"))
 
 
 @query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN p_type END AS slug, CASE p_partkey % 3 WHEN 0 THEN 'ch' END AS kind, CASE p_partkey % 3 WHEN 0 THEN CAST(p_size AS VARCHAR) END AS key, CASE p_partkey % 3 WHEN 0 THEN 'sec-' || p_partkey END AS anchor FROM part")
 def parsed_routes(spark, d):
-    hash_ = _turn(K, _s("#", F.replace(NAME, F.lit(" "), F.lit("%20")), "/ch/", SIZE, "/sec-", K), _s("#", TYPE), F.lit(""))
+    hash_ = _turn(p_key(), _s("#", F.replace(p_name(), F.lit(" "), F.lit("%20")), "/ch/", p_size(), "/sec-", p_key()), _s("#", p_type()), F.lit(""))
     return _parts(spark, d).withColumn("r", web.parse_route(hash_)).select("p_partkey", "r.slug", "r.kind", "r.key", "r.anchor")
 
 
@@ -201,13 +226,13 @@ def parsed_routes(spark, d):
       CASE p_partkey % 2 WHEN 0 THEN p_name || 'bad()' || p_partkey ELSE p_brand || chr(9) || p_name END AS text FROM part
 """)
 def table_html(spark, d):
-    raw = _turn(K, _s('<table onclick="x"><tr><td colspan="', SIZE, '" style="a">', NAME, "<script>bad()</script><b>", K), _s("<table><tr><th>", BRAND, "</th><td> ", NAME, " </td></tr></table>"))
+    raw = _turn(p_key(), _s('<table onclick="x"><tr><td colspan="', p_size(), '" style="a">', p_name(), "<script>bad()</script><b>", p_key()), _s("<table><tr><th>", p_brand(), "</th><td> ", p_name(), " </td></tr></table>"))
     return _parts(spark, d).withColumn("html", raw).select("p_partkey", web.sanitized("html").alias("clean"), web.table_text("html").alias("text"))
 
 
 @query("SELECT p_partkey, '1' AS key, p_name AS value FROM part UNION ALL SELECT p_partkey, CAST(p_size + 1 AS VARCHAR), 'last ' || p_brand FROM part")
 def marked_reply(spark, d):
-    text = _s("junk <<<1>>> ", NAME, " <<<", SIZE + 1, ">>>first\n<<<", SIZE + 1, ">>> last ", BRAND, " ")
+    text = _s("junk <<<1>>> ", p_name(), " <<<", p_size() + 1, ">>>first\n<<<", p_size() + 1, ">>> last ", p_brand(), " ")
     return _parts(spark, d).select("p_partkey", F.explode(O.marked(text)))
 
 
@@ -215,22 +240,22 @@ def marked_reply(spark, d):
     SELECT p_partkey AS slug, CAST(1 AS BIGINT) AS ch, '1' AS num, p_name || chr(10) || 'more' AS solution FROM part UNION ALL SELECT p_partkey, 1, CAST(p_size + 1 AS VARCHAR), 'second ' || p_type FROM part UNION ALL SELECT p_partkey, 2, '1', p_brand FROM part
 """)
 def extract_solutions(spark, d):
-    lines = [F.lit("intro"), F.lit("Chapter I"), _s("[1] ", NAME), F.lit("more"), _s("[", SIZE + 1, "] second ", TYPE), F.lit("Chapter II"), _s("[1] ", BRAND)]
-    b = _parts(spark, d).select(K.alias("slug"), F.posexplode(F.array(*lines)).alias("pos", "text"))
+    lines = [F.lit("intro"), F.lit("Chapter I"), _s("[1] ", p_name()), F.lit("more"), _s("[", p_size() + 1, "] second ", p_type()), F.lit("Chapter II"), _s("[1] ", p_brand())]
+    b = _parts(spark, d).select(p_key().alias("slug"), F.posexplode(F.array(*lines)).alias("pos", "text"))
     out = O.extract_solutions(b, ["slug"], "pos", r"^Chapter ([IVX]+|\d+)$", r"\[(\d+)\] ?", roman=True)
     return out.select("slug", F.col("ch").cast("long").alias("ch"), "num", "solution")
 
 
 @query(r"SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '· ^ { · } ^ { · }' WHEN 1 THEN '\frac { · } { · } · \left ·' WHEN 2 THEN '\alpha _ { · }' ELSE '' END AS skeleton FROM part")
 def formula_skeletons(spark, d):
-    tex = _turn(K, _s("a^{", SIZE, "}^{", NAME, "}"), _s("\\frac{", SIZE, "}{", K, "} + \\left( r"), _s("\\alpha_{", K, "}"), F.lit(""))
+    tex = _turn(p_key(), _s("a^{", p_size(), "}^{", p_name(), "}"), _s("\\frac{", p_size(), "}{", p_key(), "} + \\left( r"), _s("\\alpha_{", p_key(), "}"), F.lit(""))
     return _parts(spark, d).select("p_partkey", M.skeleton(tex).alias("skeleton"))
 
 
 def _findings(spark, d):
-    tex = _turn(K, _s("a^{", K, "}^{", SIZE, "}"), _s("\\foo{", K, "}"), _s("\\left( ", K), K.cast("string"))
-    err = _turn(K, F.lit("Double superscript"), F.lit("Undefined control sequence \\foo"), F.lit("Missing \\right"), BRAND)
-    p = _parts(spark, d).select(BRAND.alias("slug"), tex.alias("tex"), SIZE.alias("occ"), err.alias("err"))
+    tex = _turn(p_key(), _s("a^{", p_key(), "}^{", p_size(), "}"), _s("\\foo{", p_key(), "}"), _s("\\left( ", p_key()), p_key().cast("string"))
+    err = _turn(p_key(), F.lit("Double superscript"), F.lit("Undefined control sequence \\foo"), F.lit("Missing \\right"), p_brand())
+    p = _parts(spark, d).select(p_brand().alias("slug"), tex.alias("tex"), p_size().alias("occ"), err.alias("err"))
     return p.withColumn("category", M.category(F.col("err"))).withColumn("macro", M.macro(F.col("err")))
 
 
@@ -257,13 +282,13 @@ def error_categorize(spark, d):
 
 @query(r"SELECT p_partkey, ['empty_shell', NULL, 'tex_primitive', NULL, NULL][p_partkey % 5 + 1] AS fault FROM part")
 def semantic_faults(spark, d):
-    new = _turn(K, F.lit(r"$\mathrm{}$"), _s("$N_{", SIZE, "}$"), _s("\\def\\x{", K, "}"), F.lit(r"\[\left. \right.\]"), _s("$$", NAME, "\\complement$$"))
+    new = _turn(p_key(), F.lit(r"$\mathrm{}$"), _s("$N_{", p_size(), "}$"), _s("\\def\\x{", p_key(), "}"), F.lit(r"\[\left. \right.\]"), _s("$$", p_name(), "\\complement$$"))
     return _parts(spark, d).select("p_partkey", M.semantic_fault(new).alias("fault"))
 
 
 @query("SELECT p_partkey, unnest(list_distinct(['熱力', '力學', '場'] || string_split(p_name, ' ') || [lower(p_type)])) AS token FROM part")
 def cjk_bigrams(spark, d):
-    return S.postings(_parts(spark, d).select("p_partkey", _s("熱力學 ", NAME, " 場 ", TYPE).alias("s")), ["p_partkey"], "s")
+    return S.postings(_parts(spark, d).select("p_partkey", _s("熱力學 ", p_name(), " 場 ", p_type()).alias("s")), ["p_partkey"], "s")
 
 
 @query("SELECT n_name AS title, s_suppkey AS chapter, starts_with(raw, '*') AS has_solution, ltrim(raw, '*') AS num FROM (SELECT *, unnest(['1', '*2', CAST(s_suppkey + 3 AS VARCHAR)]) AS raw FROM supplier) JOIN nation ON n_nationkey = s_nationkey")
@@ -276,8 +301,8 @@ ITEMS = "part, (VALUES (1, '1', 0), (2, '1', 1), (3, '2', 2), (4, '2', 3), (7, '
 
 
 def _items(spark, d):
-    lines = [F.lit("Problem 1 alpha"), F.lit("more"), _s("2. ", NAME), F.lit("1. back"), F.lit("Section end"), F.lit("lost"), _s("3. ", BRAND)]
-    return _parts(spark, d).select(K.alias("slug"), F.posexplode(F.array(*lines)).alias("idx", "text")).withColumn("idx", (F.col("idx") + 1).cast("long"))
+    lines = [F.lit("Problem 1 alpha"), F.lit("more"), _s("2. ", p_name()), F.lit("1. back"), F.lit("Section end"), F.lit("lost"), _s("3. ", p_brand())]
+    return _parts(spark, d).select(p_key().alias("slug"), F.posexplode(F.array(*lines)).alias("idx", "text")).withColumn("idx", (F.col("idx") + 1).cast("long"))
 
 
 @query(f"SELECT p_partkey AS slug, CAST(idx AS BIGINT) AS idx, num, ['alpha', 'more', p_name, '1. back', p_brand][w + 1] AS text FROM {ITEMS}")
@@ -287,31 +312,31 @@ def split_items(spark, d):
 
 @query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_size * 60 + 7 WHEN 1 THEN p_partkey * 3600 + 1 WHEN 2 THEN p_size * 86400 + 10800 END AS seconds FROM part")
 def elapsed_seconds(spark, d):
-    return _parts(spark, d).select("p_partkey", N.elapsed(_turn(K, _s(SIZE, ":07"), _s(K, ":00:01"), _s(SIZE, "-03:00:00"), NAME)).cast("long").alias("seconds"))
+    return _parts(spark, d).select("p_partkey", N.elapsed(_turn(p_key(), _s(p_size(), ":07"), _s(p_key(), ":00:01"), _s(p_size(), "-03:00:00"), p_name())).cast("long").alias("seconds"))
 
 
 @query("SELECT p_partkey, CAST([1.0, 0.6, 0.3, 0.0][p_partkey % 4 + 1] AS DOUBLE) AS confidence FROM part")
 def match_confidence(spark, d):
-    who, found_by = _turn(K, F.lit("Alan Oppenheim"), F.lit("Hall"), F.lit("Clayden"), F.lit("")), _turn(K, F.lit("Oppenheim, Willsky"), F.lit("Marshall"), F.lit("X"), F.lit(""))
-    found = _turn(K, _s(NAME, " & more"), _s("The ", NAME), _s(F.element_at(F.split(NAME, " "), 1), " of food"), F.lit("algebra"))
-    return _parts(spark, d).select("p_partkey", T.confidence(NAME, who, found, found_by).alias("confidence"))
+    who, found_by = _turn(p_key(), F.lit("Alan Oppenheim"), F.lit("Hall"), F.lit("Clayden"), F.lit("")), _turn(p_key(), F.lit("Oppenheim, Willsky"), F.lit("Marshall"), F.lit("X"), F.lit(""))
+    found = _turn(p_key(), _s(p_name(), " & more"), _s("The ", p_name()), _s(F.element_at(F.split(p_name(), " "), 1), " of food"), F.lit("algebra"))
+    return _parts(spark, d).select("p_partkey", T.confidence(p_name(), who, found, found_by).alias("confidence"))
 
 
 @query("SELECT CAST(p_partkey AS VARCHAR) AS slug, p_partkey AS cid FROM part WHERE p_partkey % 3 = 0")
 def exact_unique_match(spark, d):
     p = _parts(spark, d)
-    title = _s(NAME, " volume ", K)
-    targets = p.select(F.lit("main").alias("kind"), K.cast("string").alias("slug"), title.alias("title"), F.lit("Alan Oppenheim").alias("author"))
-    both = F.when(K % 3 == 1, F.array(K, K + 1_000_000)).otherwise(F.array(K))
-    found = p.select(F.lit("pdf").alias("extension"), F.explode(both).alias("cid"), _s(title, ": Second Edition").alias("title"), F.when(K % 3 == 2, "Haykin").otherwise("Oppenheim").alias("author"))
+    title = _s(p_name(), " volume ", p_key())
+    targets = p.select(F.lit("main").alias("kind"), p_key().cast("string").alias("slug"), title.alias("title"), F.lit("Alan Oppenheim").alias("author"))
+    both = F.when(p_key() % 3 == 1, F.array(p_key(), p_key() + 1_000_000)).otherwise(F.array(p_key()))
+    found = p.select(F.lit("pdf").alias("extension"), F.explode(both).alias("cid"), _s(title, ": Second Edition").alias("title"), F.when(p_key() % 3 == 2, "Haykin").otherwise("Oppenheim").alias("author"))
     return U.exact_unique(targets, found)
 
 
 @query("SELECT CAST(p_partkey AS VARCHAR) AS slug, p_partkey + 1000000 AS cid, CAST(1.0 AS DOUBLE) AS confidence FROM part")
 def best_candidates(spark, d):
-    p = _parts(spark, d).withColumn("slug", K.cast("string"))
-    targets = p.select("slug", F.lit("main").alias("kind"), NAME.alias("title"), F.lit("Alan Oppenheim").alias("author"))
-    one = [(K, NAME, "Oppenheim", SIZE), (K + 1_000_000, _s(NAME, ": 2nd"), "Oppenheim", SIZE + 1), (K + 2_000_000, _s("Solutions Manual to ", NAME), "Oppenheim", SIZE + 9), (K + 3_000_000, NAME, "Haykin", SIZE + 9)]
+    p = _parts(spark, d).withColumn("slug", p_key().cast("string"))
+    targets = p.select("slug", F.lit("main").alias("kind"), p_name().alias("title"), F.lit("Alan Oppenheim").alias("author"))
+    one = [(p_key(), p_name(), "Oppenheim", p_size()), (p_key() + 1_000_000, _s(p_name(), ": 2nd"), "Oppenheim", p_size() + 1), (p_key() + 2_000_000, _s("Solutions Manual to ", p_name()), "Oppenheim", p_size() + 9), (p_key() + 3_000_000, p_name(), "Haykin", p_size() + 9)]
     found = p.select("slug", F.lit("pdf").alias("extension"), F.inline(F.array(*[F.struct(c.alias("cid"), t.alias("title"), F.lit(a).alias("author"), s.alias("score")) for c, t, a, s in one])))
     return U.pick(U.matched(targets, found)).select("slug", "cid", "confidence")
 
@@ -321,20 +346,20 @@ ORDINAL = "p_size || CASE WHEN p_size % 100 IN (11, 12, 13) THEN 'th' WHEN p_siz
 
 @query(f"SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN {ORDINAL} WHEN 1 THEN {ORDINAL} || ' International' WHEN 2 THEN '2nd' WHEN 3 THEN p_name END AS edition FROM part")
 def edition_normalize(spark, d):
-    return _parts(spark, d).select("p_partkey", T.edition(_turn(K, SIZE.cast("string"), _s(SIZE, "th International Edition"), F.lit("Second Edition"), NAME, F.lit(""))).alias("edition"))
+    return _parts(spark, d).select("p_partkey", T.edition(_turn(p_key(), p_size().cast("string"), _s(p_size(), "th International Edition"), F.lit("Second Edition"), p_name(), F.lit(""))).alias("edition"))
 
 
 @query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_name || '; ' || p_type WHEN 1 THEN p_name || '; ' || p_type WHEN 2 THEN p_name || '; ' || p_type || ', ' || p_brand ELSE p_name END AS author FROM part")
 def author_normalize(spark, d):
-    return _parts(spark, d).select("p_partkey", T.author(_turn(K, _s(NAME, " and ", TYPE), _s(NAME, ", ", TYPE), _s(NAME, "; ", TYPE, ", ", BRAND), _s(" ", NAME, " "))).alias("author"))
+    return _parts(spark, d).select("p_partkey", T.author(_turn(p_key(), _s(p_name(), " and ", p_type()), _s(p_name(), ", ", p_type()), _s(p_name(), "; ", p_type(), ", ", p_brand()), _s(" ", p_name(), " "))).alias("author"))
 
 
 @query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'chapter_gap(2->' || (p_size + 6) || '),companion' WHEN 1 THEN '' WHEN 2 THEN 'partial_source(starts@' || (p_size + 1) || '),title_mismatch(0%)' ELSE 'no_problems_extracted' END AS flags FROM part")
 def quality_flags(spark, d):
     one = F.lit(1)
-    nums = _turn(K, F.array(one, F.lit(2), SIZE + 6), F.array(SIZE + 1, SIZE + 2), F.array(SIZE + 1), F.array(one))
-    landed, wanted = _turn(K, _s(NAME, " Study Guide"), NAME, F.lit("Botany"), NAME), _turn(K, NAME, _s(NAME, " Vol. 2"), NAME, NAME)
-    flags = U.quality_flags(nums, landed, wanted, F.lit(0), F.lit(True), F.when(K % 4 == 3, 0).otherwise(5))
+    nums = _turn(p_key(), F.array(one, F.lit(2), p_size() + 6), F.array(p_size() + 1, p_size() + 2), F.array(p_size() + 1), F.array(one))
+    landed, wanted = _turn(p_key(), _s(p_name(), " Study Guide"), p_name(), F.lit("Botany"), p_name()), _turn(p_key(), p_name(), _s(p_name(), " Vol. 2"), p_name(), p_name())
+    flags = U.quality_flags(nums, landed, wanted, F.lit(0), F.lit(True), F.when(p_key() % 4 == 3, 0).otherwise(5))
     return _parts(spark, d).select("p_partkey", F.array_join(U.blocking(flags), ",").alias("flags"))
 
 
@@ -352,7 +377,7 @@ def roman_numbers(spark, d):
       CASE p_partkey % 4 WHEN 0 THEN p_size || '–' || p_partkey || 'B' WHEN 1 THEN p_size || '-' || p_partkey || 'c' WHEN 2 THEN p_size || '-' || p_partkey ELSE p_type END AS dashed FROM part
 """)
 def canonical_numbers(spark, d):
-    raw = _turn(K, _s(SIZE, "–", K, "B"), _s(SIZE, "-", K, "c"), _s(SIZE, ".", K), TYPE)
+    raw = _turn(p_key(), _s(p_size(), "–", p_key(), "B"), _s(p_size(), "-", p_key(), "c"), _s(p_size(), ".", p_key()), p_type())
     return _parts(spark, d).select("p_partkey", N.canonical(raw).alias("canonical"), N.parent(raw).alias("parent"), N.dashed(raw).alias("dashed"))
 
 

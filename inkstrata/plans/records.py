@@ -20,7 +20,7 @@ from inkstrata.operators import rules as V
 from inkstrata.operators import segment as G
 from inkstrata.operators import state as P
 from inkstrata.operators import universe as U
-from inkstrata.plans.derived import BRAND, K, NAME, NONE, SIZE, TYPE, _items, _parts, _s, _turn
+from inkstrata.plans.derived import _items, _parts, _s, _turn, no_text, p_brand, p_key, p_name, p_size, p_type
 from inkstrata.plans.registry import query
 from inkstrata.sources import read
 from inkstrata.streaming import changes
@@ -37,11 +37,11 @@ def _folder(spark, name: str) -> str:
 def unified_blocks(spark, d):
     """One JSON array per book (a book per part type); folders with bad names and texts that are no JSON give nothing."""
     path, p = _folder(spark, "unified"), _parts(spark, d)
-    block = F.struct(K.alias("k"), F.when(SIZE % 2 == 0, "text").otherwise("list").alias("type"), F.when(SIZE % 2 == 0, NAME).alias("text"), F.when(SIZE % 2 == 1, F.array(BRAND, NAME)).alias("list_items"))
-    books = p.groupBy(TYPE).agg(F.to_json(F.array_sort(F.collect_list(block))).alias("value"))
-    for (kind,) in p.select(TYPE).distinct().collect():  # a fixed vocabulary
-        books.where(TYPE == kind).select("value").coalesce(1).write.text(f"{path}/{kind.lower()}")
-        books.where(TYPE == kind).select("value").coalesce(1).write.text(f"{path}/Bad {kind}")
+    block = F.struct(p_key().alias("k"), F.when(p_size() % 2 == 0, "text").otherwise("list").alias("type"), F.when(p_size() % 2 == 0, p_name()).alias("text"), F.when(p_size() % 2 == 1, F.array(p_brand(), p_name())).alias("list_items"))
+    books = p.groupBy(p_type()).agg(F.to_json(F.array_sort(F.collect_list(block))).alias("value"))
+    for (kind,) in p.select(p_type()).distinct().collect():  # a fixed vocabulary
+        books.where(p_type() == kind).select("value").coalesce(1).write.text(f"{path}/{kind.lower()}")
+        books.where(p_type() == kind).select("value").coalesce(1).write.text(f"{path}/Bad {kind}")
     books.select(F.lit('[{"type": ').alias("value")).limit(1).coalesce(1).write.text(f"{path}/broken")
     return src.blocks(spark, f"{path}/*/part-*").select("slug", F.col("idx").cast("long").alias("idx"), "type", "text", F.array_join("list_items", "|").alias("items")).where("idx is not null")
 
@@ -53,7 +53,7 @@ def quarantined_records(spark, d):
     read(spark, d, "nation").write.option("maxRecordsPerFile", 1).json(f"{path}/good")
     read(spark, d, "region").select(F.concat(F.lit('{"n_name": "'), "r_name").alias("value")).write.option("maxRecordsPerFile", 1).text(f"{path}/bad")
     good, bad = src.json_records(spark, f"{path}/*/part-*", "n_name string, n_regionkey int")
-    return good.select(F.lit("good").alias("kind"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("region")).union(bad.select(F.lit("bad"), NONE, F.lit(None).cast("int")))
+    return good.select(F.lit("good").alias("kind"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("region")).union(bad.select(F.lit("bad"), no_text(), F.lit(None).cast("int")))
 
 
 @query("SELECT event_id, user_id, event_type FROM events WHERE event_type <> 'error'")
@@ -69,9 +69,9 @@ def session_lines(spark, d):
 def listed_books(spark, d):
     """Book records whose own slug is that of their folder; the promo folder holds records of another."""
     path, p = _folder(spark, "books"), _parts(spark, d)
-    for (kind,) in p.select(TYPE).distinct().collect():  # a fixed vocabulary
+    for (kind,) in p.select(p_type()).distinct().collect():  # a fixed vocabulary
         slug = F.lit(kind.lower()) if kind != "PROMO" else F.lit("other")
-        p.where(TYPE == kind).agg(F.count(F.lit(1)).alias("books")).select(slug.alias("slug"), "books").coalesce(1).write.json(f"{path}/{kind.lower()}/bake")
+        p.where(p_type() == kind).agg(F.count(F.lit(1)).alias("books")).select(slug.alias("slug"), "books").coalesce(1).write.json(f"{path}/{kind.lower()}/bake")
     return src.books(spark, f"{path}/*/bake/part-*", "slug string, books long")
 
 
@@ -90,8 +90,8 @@ def books_with_rules(spark, d):
 """)
 def normalized_catalogues(spark, d):
     """Catalogue entries with anchors and chunk keys filled in; only visible ones."""
-    kind = F.when(K % 4 == 0, "figure").when(K % 4 == 1, "table").when(K % 4 == 2, "equation").otherwise("note")
-    e = _parts(spark, d).select("p_partkey", kind.alias("type"), F.when(SIZE % 3 > 0, _s("x-", K)).alias("id"), F.when(SIZE % 2 == 0, SIZE.cast("string")).alias("label"), NONE.alias("anchor"), F.when(SIZE % 5 == 0, "ch07").alias("chunk_key"), _s("body/ch", F.lpad(SIZE.cast("string"), 2, "0"), ".json").alias("source"))
+    kind = F.when(p_key() % 4 == 0, "figure").when(p_key() % 4 == 1, "table").when(p_key() % 4 == 2, "equation").otherwise("note")
+    e = _parts(spark, d).select("p_partkey", kind.alias("type"), F.when(p_size() % 3 > 0, _s("x-", p_key())).alias("id"), F.when(p_size() % 2 == 0, p_size().cast("string")).alias("label"), no_text().alias("anchor"), F.when(p_size() % 5 == 0, "ch07").alias("chunk_key"), _s("body/ch", F.lpad(p_size().cast("string"), 2, "0"), ".json").alias("source"))
     return C.normalized(e).select("p_partkey", "type", "anchor", "chunk_key")
 
 
@@ -110,7 +110,7 @@ def published_partitions(spark, d):
     """Only the partitions that come again are replaced."""
     path, p = _folder(spark, "published"), _parts(spark, d).select("p_partkey", "p_size", "p_brand")
     src.publish(p, path, "p_brand")
-    src.publish(p.where(BRAND.isin("Brand#3", "Brand#5")).withColumn("p_size", SIZE + 100), path, "p_brand")
+    src.publish(p.where(p_brand().isin("Brand#3", "Brand#5")).withColumn("p_size", p_size() + 100), path, "p_brand")
     return spark.read.schema("p_partkey long, p_size int, p_brand string").parquet(path)
 
 
@@ -128,24 +128,24 @@ def published_whole(spark, d):
 
 def _raw_blocks(spark, d):
     none = F.array().cast("array<string>")
-    kind = _turn(K, *[F.lit(x) for x in ("text", "list", "equation", "image", "chart", "table", "code", "header")])
+    kind = _turn(p_key(), *[F.lit(x) for x in ("text", "list", "equation", "image", "chart", "table", "code", "header")])
     return _parts(spark, d).select(
         "p_partkey",
         "p_size",
         kind.alias("type"),
-        F.when(kind == "text", _s(" ", NAME, " ")).when(kind == "equation", _s("$$\nx = ", SIZE, " \\tag{", SIZE, ".1}\n$$")).alias("text"),
-        F.when(kind == "list", F.array(_s(" ", NAME), F.lit(" "), BRAND)).otherwise(none).alias("list_items"),
-        F.when(kind.isin("image", "chart"), _s("images/", K, ".jpg")).alias("img_path"),
-        F.when(kind == "image", F.array(_s("Fig. ", SIZE, ".", K), NAME)).otherwise(none).alias("image_caption"),
+        F.when(kind == "text", _s(" ", p_name(), " ")).when(kind == "equation", _s("$$\nx = ", p_size(), " \\tag{", p_size(), ".1}\n$$")).alias("text"),
+        F.when(kind == "list", F.array(_s(" ", p_name()), F.lit(" "), p_brand())).otherwise(none).alias("list_items"),
+        F.when(kind.isin("image", "chart"), _s("images/", p_key(), ".jpg")).alias("img_path"),
+        F.when(kind == "image", F.array(_s("Fig. ", p_size(), ".", p_key()), p_name())).otherwise(none).alias("image_caption"),
         F.when(kind == "chart", F.array(F.lit("no label"))).otherwise(none).alias("chart_caption"),
-        F.when(kind == "table", F.array(_s("Table ", SIZE, "-2 "), NAME)).otherwise(none).alias("table_caption"),
+        F.when(kind == "table", F.array(_s("Table ", p_size(), "-2 "), p_name())).otherwise(none).alias("table_caption"),
         F.when(kind == "table", F.array(F.lit("a"), F.lit(""), F.lit(" b "))).otherwise(none).alias("table_footnote"),
-        F.when(kind == "table", _s("<table>", K, "</table>")).alias("table_body"),
-        F.when(kind == "code", _s("a < ", SIZE, " & b")).alias("code_body"),
+        F.when(kind == "table", _s("<table>", p_key(), "</table>")).alias("table_body"),
+        F.when(kind == "code", _s("a < ", p_size(), " & b")).alias("code_body"),
         none.alias("code_caption"),
-        NONE.alias("content"),
+        no_text().alias("content"),
         F.when(kind == "image", F.lit("natural_image")).alias("sub_type"),
-        F.when(kind == "image", F.array(F.lit("0"), F.lit("0"), (2 * SIZE).cast("string"), SIZE.cast("string"))).otherwise(none).alias("bbox"),
+        F.when(kind == "image", F.array(F.lit("0"), F.lit("0"), (2 * p_size()).cast("string"), p_size().cast("string"))).otherwise(none).alias("bbox"),
     )
 
 
@@ -164,14 +164,14 @@ def typed_blocks(spark, d):
 def block_texts(spark, d):
     """What each typed block says."""
     b = G.to_struct(_raw_blocks(spark, d))
-    return b.select("p_partkey", T.block_text(F.col("t"), NONE, F.col("md"), F.col("tex"), F.col("caption"), F.col("footnote"), F.col("id")).alias("said"))
+    return b.select("p_partkey", T.block_text(F.col("t"), no_text(), F.col("md"), F.col("tex"), F.col("caption"), F.col("footnote"), F.col("id")).alias("said"))
 
 
 @query("SELECT p_partkey, CASE p_partkey % 8 WHEN 2 THEN 'eq-ch01-' || p_size || '.1' WHEN 3 THEN 'fig-' || p_size || '.' || p_partkey WHEN 4 THEN 'fig-ch01-' || p_partkey WHEN 5 THEN 'tbl-' || p_size || '.2' WHEN 6 THEN 'tbl-ch01-' || p_partkey END AS id FROM part WHERE p_partkey % 8 BETWEEN 2 AND 6")
 def media_ids(spark, d):
     """Reader ids by caption, label or place."""
     b = G.to_struct(_raw_blocks(spark, d)).where("t <> 'p'")
-    return b.select("p_partkey", G.media_id(F.col("t"), F.col("caption"), F.col("label"), F.lit("ch01"), F.lit("body"), K).alias("id"))
+    return b.select("p_partkey", G.media_id(F.col("t"), F.col("caption"), F.col("label"), F.lit("ch01"), F.lit("body"), p_key()).alias("id"))
 
 
 @query("""
@@ -180,22 +180,22 @@ def media_ids(spark, d):
 def semantic_ids(spark, d):
     """Type and id that a reader sees."""
     b = G.to_struct(_raw_blocks(spark, d)).where("t <> 'p'")
-    t, c, i = F.col("t"), F.col("caption"), F.coalesce("id", _s("fig-ch01-", K))
+    t, c, i = F.col("t"), F.col("caption"), F.coalesce("id", _s("fig-ch01-", p_key()))
     return b.select("p_partkey", C.semantic_type(t, c, F.when(t == "fig", i).otherwise(F.col("id"))).alias("type"), C.semantic_id(t, c, F.when(t != "eq", i), F.col("label"), F.col("tex")).alias("id"))
 
 
 @query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'fig-' || p_size || '.' || p_partkey WHEN 1 THEN 'tbl-A' || p_size || '.2b' WHEN 2 THEN 'fig-ch01-' || p_partkey ELSE 'eq-' || p_size || '-1' END AS id FROM part")
 def canonical_ids(spark, d):
-    return _parts(spark, d).select("p_partkey", N.canonical_id(_turn(K, _s("fig-", SIZE, "–", K), _s("tbl-A", SIZE, "-2b"), _s("fig-ch01-", K), _s("eq-", SIZE, "-1"))).alias("id"))
+    return _parts(spark, d).select("p_partkey", N.canonical_id(_turn(p_key(), _s("fig-", p_size(), "–", p_key()), _s("tbl-A", p_size(), "-2b"), _s("fig-ch01-", p_key()), _s("eq-", p_size(), "-1"))).alias("id"))
 
 
 @query("SELECT p_brand AS slug, 'a' || p_partkey AS anchor, 'figure' AS type, 'f' || p_size AS id FROM part WHERE p_partkey % 3 <> 2 UNION ALL SELECT p_brand, 'a' || p_partkey, 'table', 't' || p_size FROM part WHERE p_partkey % 3 = 1")
 def catalogue_aliases(spark, d):
     """Rows of alias lists with an id; a missing type is figure."""
     kind = "array<struct<type:string,id:string>>"
-    one, two = F.struct(NONE.alias("type"), _s(" f", SIZE, " ").alias("id")), F.struct(F.lit("table").alias("type"), _s("t", SIZE).alias("id"))
-    rows = _turn(K, F.array(one, F.struct(F.lit("figure").alias("type"), F.lit(" ").alias("id"))), F.array(one, two), F.array().cast(kind))
-    return C.aliases(_parts(spark, d).select(BRAND.alias("slug"), _s("a", K).alias("anchor"), rows.alias("aliases"))).select("slug", "anchor", "type", "id")
+    one, two = F.struct(no_text().alias("type"), _s(" f", p_size(), " ").alias("id")), F.struct(F.lit("table").alias("type"), _s("t", p_size()).alias("id"))
+    rows = _turn(p_key(), F.array(one, F.struct(F.lit("figure").alias("type"), F.lit(" ").alias("id"))), F.array(one, two), F.array().cast(kind))
+    return C.aliases(_parts(spark, d).select(p_brand().alias("slug"), _s("a", p_key()).alias("anchor"), rows.alias("aliases"))).select("slug", "anchor", "type", "id")
 
 
 @query("""
@@ -207,9 +207,9 @@ def flattened_chunks(spark, d):
         return F.array(*[F.struct(t.alias("text")) for t in texts]) if texts else F.array().cast("array<struct<text:string>>")
 
     def problem(body, solution):
-        return F.struct(SIZE.cast("string").alias("num"), body.alias("body"), solution.alias("solution"))
+        return F.struct(p_size().cast("string").alias("num"), body.alias("body"), solution.alias("solution"))
 
-    c = _parts(spark, d).select(BRAND.alias("slug"), _s("ch", K).alias("stem"), blocks(NAME).alias("body"), F.array(problem(blocks(F.lit("q")), blocks(TYPE)), problem(blocks(F.lit("again")), blocks())).alias("problems"))
+    c = _parts(spark, d).select(p_brand().alias("slug"), _s("ch", p_key()).alias("stem"), blocks(p_name()).alias("body"), F.array(problem(blocks(F.lit("q")), blocks(p_type())), problem(blocks(F.lit("again")), blocks())).alias("problems"))
     out = G.flatten_chunks(c)
     return out.select("slug", F.substr("stem", F.lit(3)).cast("long").alias("stem"), F.regexp_replace("locator", "^ch[0-9]+", "ch").alias("place"), "occ", "text")
 
@@ -228,8 +228,8 @@ def split_items_machine(spark, d):
 
 @query("SELECT p_brand AS slug, kind, min(p_partkey) AS pos FROM (SELECT *, CASE p_size % 4 WHEN 0 THEN 'index' WHEN 1 THEN 'bibliography' END AS kind FROM part) WHERE kind IS NOT NULL GROUP BY 1, 2 UNION ALL SELECT p_brand, 'appendix', p_partkey FROM part WHERE p_size % 4 = 2")
 def boundary_headings(spark, d):
-    text = F.when(SIZE % 4 == 0, " Subject Index").when(SIZE % 4 == 1, "REFERENCES").when(SIZE % 4 == 2, _s("Appendix ", NAME)).otherwise(NAME)
-    return G.boundaries(_parts(spark, d).select(BRAND.alias("slug"), K.alias("pos"), text.alias("text")), ["slug"], "pos")
+    text = F.when(p_size() % 4 == 0, " Subject Index").when(p_size() % 4 == 1, "REFERENCES").when(p_size() % 4 == 2, _s("Appendix ", p_name())).otherwise(p_name())
+    return G.boundaries(_parts(spark, d).select(p_brand().alias("slug"), p_key().alias("pos"), text.alias("text")), ["slug"], "pos")
 
 
 # Formulas, snippets and settings.
@@ -240,14 +240,14 @@ def boundary_headings(spark, d):
 """)
 def repaired_tex(spark, d):
     """Doubled scripts, conditional times, group noise, delimiters, angles and tags."""
-    raw = _turn(K, _s("a^{", SIZE, "}^{", NAME, "}"), _s("x_{1}_{", K, "}"), _s("a \\ifmmode\\times\\else\\texttimes\\fi ", SIZE), _s("f\\mathopen{}\\mathclose\\bgroup ", SIZE, "\\aftergroup\\egroup"), _s("\\(", SIZE, "\\)"), _s("\\underline{\\left/ ", SIZE, " \\left. \\right.}"), _s("x \\tag{$", SIZE, "$}"), NAME)
+    raw = _turn(p_key(), _s("a^{", p_size(), "}^{", p_name(), "}"), _s("x_{1}_{", p_key(), "}"), _s("a \\ifmmode\\times\\else\\texttimes\\fi ", p_size()), _s("f\\mathopen{}\\mathclose\\bgroup ", p_size(), "\\aftergroup\\egroup"), _s("\\(", p_size(), "\\)"), _s("\\underline{\\left/ ", p_size(), " \\left. \\right.}"), _s("x \\tag{$", p_size(), "$}"), p_name())
     return _parts(spark, d).select("p_partkey", M.normalized(raw).alias("tex"))
 
 
 @query(r"SELECT p_partkey, p_name || CASE p_partkey % 3 WHEN 0 THEN ' $a^{1 ' || p_size || '}$ b^{1}^{2}' WHEN 1 THEN ' $$x_{1 2}$$ end' ELSE ' a^{1}^{2}' END AS md FROM part")
 def repaired_inline(spark, d):
     """Repair inside dollar regions only."""
-    raw = _s(NAME, _turn(K, _s(" $a^{1}^{", SIZE, "}$ b^{1}^{2}"), F.lit(" $$x_{1}_{2}$$ end"), F.lit(" a^{1}^{2}")))
+    raw = _s(p_name(), _turn(p_key(), _s(" $a^{1}^{", p_size(), "}$ b^{1}^{2}"), F.lit(" $$x_{1}_{2}$$ end"), F.lit(" a^{1}^{2}")))
     return _parts(spark, d).select("p_partkey", M.normalize_md(raw).alias("md"))
 
 
@@ -257,7 +257,7 @@ def repaired_inline(spark, d):
 """)
 def located_formulas(spark, d):
     """Places of inline and display formulas; a dollar that does not close on its line opens none."""
-    raw = _turn(K, _s(NAME, " $", SIZE, "$ end"), _s("$$", NAME, "$$ - \\[y\\]"), _s(NAME, " costs $", SIZE, "\nand $"))
+    raw = _turn(p_key(), _s(p_name(), " $", p_size(), "$ end"), _s("$$", p_name(), "$$ - \\[y\\]"), _s(p_name(), " costs $", p_size(), "\nand $"))
     r = _parts(spark, d).select("p_partkey", F.explode(M.math_regions(raw)).alias("r"))
     return r.select("p_partkey", F.col("r.start").cast("long").alias("start"), F.col("r.stop").cast("long").alias("stop"), F.col("r.inner").alias("inner_"), "r.display")
 
@@ -265,28 +265,28 @@ def located_formulas(spark, d):
 @query(r"SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'left=2 right=1' WHEN 1 THEN NULL ELSE 'left=0 right=1' END AS fault, p_partkey % 3 = 2 AS leaks FROM part")
 def formula_faults(spark, d):
     """left without right, and TeX outside formulas."""
-    raw = _turn(K, _s("$\\left( \\left[ ", SIZE, " \\right)$"), _s("$\\left( ", NAME, " \\right)$"), _s(NAME, " \\right) "))
+    raw = _turn(p_key(), _s("$\\left( \\left[ ", p_size(), " \\right)$"), _s("$\\left( ", p_name(), " \\right)$"), _s(p_name(), " \\right) "))
     return _parts(spark, d).select("p_partkey", M.left_right_fault(raw).alias("fault"), M.leaks_tex(raw).alias("leaks"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'Thé <mark>vénin</mark> &amp; ' || p_name ELSE p_name || ' none' END AS snippet, p_size % 2 = 0 AS hit FROM part")
 def marked_snippets(spark, d):
     """Hits are found in the folded text and marked in the original; the verification takes the folded text."""
-    raw = F.when(SIZE % 2 == 0, _s("Thé  vénin & ", NAME)).otherwise(_s(NAME, " none"))
+    raw = F.when(p_size() % 2 == 0, _s("Thé  vénin & ", p_name())).otherwise(_s(p_name(), " none"))
     return _parts(spark, d).select("p_partkey", T.snippet(["venin"])(raw).alias("snippet"), T.matches_all(T.fold(raw), ["the", "venin"]).alias("hit"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_type IN ('SMALL', 'LARGE') THEN p_type ELSE 'SMALL' END AS size, CASE WHEN p_size > 25 THEN CAST(p_size AS DOUBLE) WHEN p_size > 10 THEN 0.5 ELSE 0.0 END AS ratio, CASE WHEN p_retailprice < 1024 THEN CAST(round(p_retailprice, 1) AS VARCHAR) || 'B' ELSE CAST(round(p_retailprice / 1024.0, 1) AS VARCHAR) || 'KB' END AS human FROM part")
 def reader_settings(spark, d):
     """A setting that is not allowed falls back; the furthest place counts before the scroll; sizes for people."""
-    return _parts(spark, d).select("p_partkey", web.setting(TYPE, ["SMALL", "LARGE"], "SMALL").alias("size"), web.progress_ratio(F.when(SIZE > 25, SIZE.cast("double")), F.when(SIZE > 10, F.lit(0.5))).alias("ratio"), N.human_bytes(F.col("p_retailprice")).alias("human"))
+    return _parts(spark, d).select("p_partkey", web.setting(p_type(), ["SMALL", "LARGE"], "SMALL").alias("size"), web.progress_ratio(F.when(p_size() > 25, p_size().cast("double")), F.when(p_size() > 10, F.lit(0.5))).alias("ratio"), N.human_bytes(F.col("p_retailprice")).alias("human"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_size < 3 THEN 0 WHEN p_size <= 15 THEN 1 WHEN p_size <= 35 THEN 2 ELSE 3 END AS at, CASE p_partkey % 2 WHEN 0 THEN p_size * 1000000 + p_partkey * 100 + 2 END AS key FROM part")
 def nearest_and_keys(spark, d):
     """The nearest step (1, 5, 25, 45; the first of equals), and the sort key of a number."""
-    k = N.number_key(F.when(K % 2 == 0, _s(SIZE, ".", K, "b")).otherwise(NAME))
-    at = N.nearest_index(F.array(*map(F.lit, (1, 4, 26, 45))), SIZE)
+    k = N.number_key(F.when(p_key() % 2 == 0, _s(p_size(), ".", p_key(), "b")).otherwise(p_name()))
+    at = N.nearest_index(F.array(*map(F.lit, (1, 4, 26, 45))), p_size())
     return _parts(spark, d).select("p_partkey", at.alias("at"), (k["a"].cast("long") * 1_000_000 + k["b"] * 100 + k["c"]).alias("key"))
 
 
@@ -296,7 +296,7 @@ def scored_formulas(spark, d):
     import sys
 
     code = "import sys, json\nfor l in sys.stdin:\n    v = json.loads(l)\n    if 'r' not in v['s']:\n        print(json.dumps({'i': v['i'], 'ok': True}))\n    else:\n        print('noise')"
-    out = external.scored(_parts(spark, d).select(NAME.alias("tex"), (SIZE % 2 == 0).alias("display")), [sys.executable, "-c", code])
+    out = external.scored(_parts(spark, d).select(p_name().alias("tex"), (p_size() % 2 == 0).alias("display")), [sys.executable, "-c", code])
     return out.select("tex", "display", F.when(F.col("ok"), "ok").otherwise("none").alias("said"))
 
 
@@ -309,38 +309,38 @@ def scored_formulas(spark, d):
 """)
 def repaired_captions(spark, d):
     """Own reference, then context, then a semantic id, else a made caption; and whether a repair is due."""
-    own, near = _turn(K, _s("Figure ", SIZE, ".1 ", NAME), NAME, NAME, NAME), _turn(K, NONE, _s("see Fig. ", SIZE, ".2 near ", NAME), NONE, NONE)
-    ident, caption = F.when(K % 4 == 2, _s("fig-", SIZE, ".3")).when(K % 4 == 3, "fig-ch01-4"), F.when(K % 4 == 2, "kept")
-    made = Q.made_caption("fig", F.lit("problem"), SIZE.cast("string"), F.lit(2))
+    own, near = _turn(p_key(), _s("Figure ", p_size(), ".1 ", p_name()), p_name(), p_name(), p_name()), _turn(p_key(), no_text(), _s("see Fig. ", p_size(), ".2 near ", p_name()), no_text(), no_text())
+    ident, caption = F.when(p_key() % 4 == 2, _s("fig-", p_size(), ".3")).when(p_key() % 4 == 3, "fig-ch01-4"), F.when(p_key() % 4 == 2, "kept")
+    made = Q.made_caption("fig", F.lit("problem"), p_size().cast("string"), F.lit(2))
     i, c, s = Q.repaired("fig", Q.reference("fig", own), Q.reference("fig", near), ident, caption, made)
-    return _parts(spark, d).select("p_partkey", s.alias("source"), i.alias("id"), c.alias("caption"), Q.needs_repair(caption, ident, NONE, own).alias("needs"))
+    return _parts(spark, d).select("p_partkey", s.alias("source"), i.alias("id"), c.alias("caption"), Q.needs_repair(caption, ident, no_text(), own).alias("needs"))
 
 
 @query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'fig' WHEN 1 THEN 'table' END AS kind, CASE p_partkey % 3 WHEN 0 THEN p_size || '.1' WHEN 1 THEN p_size || '.2' END AS num, CASE WHEN p_partkey % 3 < 2 THEN p_name END AS caption, CASE p_partkey % 3 WHEN 0 THEN 12 + greatest(0, 8 - 2 * (p_size % 5)) + 6 ELSE greatest(0, 8 - 2 * (p_size % 5)) END AS score FROM part")
 def leading_references(spark, d):
     """A text that begins with a reference, and how well it fits a figure at a distance."""
-    text = _turn(K, _s(" Figure ", SIZE, "-1: ", NAME), _s("Table ", SIZE, ".2 ", NAME), _s(NAME, " Figure ", SIZE, ".1"))
-    return _parts(spark, d).withColumn("r", Q.leading_reference(text)).select("p_partkey", "r.kind", "r.num", "r.caption", Q.score("fig", text, SIZE % 5).alias("score"))
+    text = _turn(p_key(), _s(" Figure ", p_size(), "-1: ", p_name()), _s("Table ", p_size(), ".2 ", p_name()), _s(p_name(), " Figure ", p_size(), ".1"))
+    return _parts(spark, d).withColumn("r", Q.leading_reference(text)).select("p_partkey", "r.kind", "r.num", "r.caption", Q.score("fig", text, p_size() % 5).alias("score"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 2 END AS n, 'f' || p_size AS first FROM part")
 def added_aliases(spark, d):
     """An alias that is there already is not added."""
-    have = F.array(F.struct(F.lit("figure").alias("type"), _s("f", SIZE).alias("id"), F.lit("old").alias("source")))
-    out = Q.with_alias(have, F.lit("figure"), F.when(K % 2 == 0, _s("f", SIZE)).otherwise(_s("g", SIZE)), F.lit("new"))
+    have = F.array(F.struct(F.lit("figure").alias("type"), _s("f", p_size()).alias("id"), F.lit("old").alias("source")))
+    out = Q.with_alias(have, F.lit("figure"), F.when(p_key() % 2 == 0, _s("f", p_size())).otherwise(_s("g", p_size())), F.lit("new"))
     return _parts(spark, d).select("p_partkey", F.size(out).alias("n"), F.element_at(out, 1)["id"].alias("first"))
 
 
 @query("SELECT p_brand, p_size, pos, row_number() OVER (PARTITION BY p_brand ORDER BY pos) AS k FROM (SELECT p_brand, p_size, min(p_partkey) AS pos FROM part GROUP BY 1, 2)")
 def distinct_references(spark, d):
-    return Q.distinct_refs(_parts(spark, d).select("p_brand", "p_size", K.alias("pos")), ["p_brand"], "p_size", "pos").select("p_brand", "p_size", "pos", F.col("k").cast("long").alias("k"))
+    return Q.distinct_refs(_parts(spark, d).select("p_brand", "p_size", p_key().alias("pos")), ["p_brand"], "p_size", "pos").select("p_brand", "p_size", "pos", F.col("k").cast("long").alias("k"))
 
 
 @query("SELECT p_partkey * 1.0 AS ord, p_name AS text FROM part UNION ALL SELECT p_partkey + 0.5, 'after ' || p_name FROM part WHERE p_size > 40")
 def inserted_blocks(spark, d):
     """Rows put after others by a fractional order."""
     p = _parts(spark, d)
-    return C.insert_after(p.select(K.alias("ord"), NAME.alias("text")), p.where(SIZE > 40).select(K.alias("ord"), _s("after ", NAME).alias("text")))
+    return C.insert_after(p.select(p_key().alias("ord"), p_name().alias("text")), p.where(p_size() > 40).select(p_key().alias("ord"), _s("after ", p_name()).alias("text")))
 
 
 # Proposals, health, listings.
@@ -398,7 +398,7 @@ def proposals_shown(spark, d):
 def linted_proposals(spark, d):
     """Shape of ids, domains, statuses, resolutions and unblocks."""
     p = _proposals(spark, d).withColumn("k", F.col("id")).withColumn("id", F.when(F.col("k") % 7 == 0, F.col("k").cast("string")).otherwise(_s("P-2024-01-01-n", F.col("k"))))
-    p = p.withColumn("resolution", NONE).withColumn("type", F.lit("bug")).withColumn("unblock_kind", F.when(F.col("k") % 2 == 0, "rule"))
+    p = p.withColumn("resolution", no_text()).withColumn("type", F.lit("bug")).withColumn("unblock_kind", F.when(F.col("k") % 2 == 0, "rule"))
     return R.lint(p, {"math": ["bug"], "catalog": ["bug"], "sol": ["bug"]}, ["rule"], ["R1"]).select(F.regexp_extract("id", "([0-9]+)$", 1).cast("long").alias("k"), "fault")
 
 
@@ -437,7 +437,7 @@ def kept_history(spark, d):
 def provider_chains(spark, d):
     """A chain with an unknown provider, or none at all, is not valid."""
     brands = [f"Brand#{k}" for k in range(100)]
-    chain = _turn(K, F.array(BRAND, TYPE), F.array(BRAND, F.lit("unknown")), F.array().cast("array<string>"))
+    chain = _turn(p_key(), F.array(p_brand(), p_type()), F.array(p_brand(), F.lit("unknown")), F.array().cast("array<string>"))
     return _parts(spark, d).select("p_partkey", F.array_join(R.valid_chain(chain, [*brands, "ECONOMY", "PROMO", "MEDIUM", "LARGE", "STANDARD", "SMALL"]), ">").alias("chain"))
 
 
@@ -449,20 +449,20 @@ def entry_times(spark, d):
     e = read(spark, d, "events")
     own = F.when(F.col("event_type") != "error", F.date_trunc("second", "ts").cast("string"))
     a, b = (F.timestamp_seconds(F.col("event_id") + k).cast("string") for k in (5, 1))
-    return e.select("event_id", F.unix_micros(R.entry_time(own, a, b, NONE)).alias("at"), _turn(F.col("event_id"), *since).cast("long").alias("since"))
+    return e.select("event_id", F.unix_micros(R.entry_time(own, a, b, no_text())).alias("at"), _turn(F.col("event_id"), *since).cast("long").alias("since"))
 
 
 @query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'block:companion' WHEN 2 THEN 'block:no_overlap,advisory:title_mismatch' ELSE '' END AS reasons FROM part")
 def resolution_checks(spark, d):
     """A companion or a title without overlap blocks a main work only."""
-    found = _turn(K, NAME, _s(NAME, " Study Guide"), F.lit("Botany"), F.lit("Botany"))
-    return _parts(spark, d).select("p_partkey", F.array_join(U.resolution_check(F.when(K % 4 == 3, "solution").otherwise("main"), NAME, found), ",").alias("reasons"))
+    found = _turn(p_key(), p_name(), _s(p_name(), " Study Guide"), F.lit("Botany"), F.lit("Botany"))
+    return _parts(spark, d).select("p_partkey", F.array_join(U.resolution_check(F.when(p_key() % 4 == 3, "solution").otherwise("main"), p_name(), found), ",").alias("reasons"))
 
 
 @query("SELECT p_size AS field_id, count(DISTINCT p_brand) AS subjects, count(*) AS books, min(p_partkey) AS first FROM part GROUP BY 1")
 def nested_catalogue(spark, d):
     """field, then subjects, then books, each in order."""
-    w = _parts(spark, d).select(SIZE.alias("field_id"), BRAND.alias("subject"), K.alias("rank"), K.cast("string").alias("slug"), NAME.alias("title"), TYPE.alias("state"))
+    w = _parts(spark, d).select(p_size().alias("field_id"), p_brand().alias("subject"), p_key().alias("rank"), p_key().cast("string").alias("slug"), p_name().alias("title"), p_type().alias("state"))
     n = U.nested(w)
     return n.select("field_id", F.size("sublists").cast("long").alias("subjects"), F.aggregate("sublists", F.lit(0).cast("long"), lambda a, s: a + F.size(s["books"])).alias("books"), F.get(F.get("sublists", F.lit(0))["books"], F.lit(0))["rank"].alias("first"))
 
@@ -511,16 +511,16 @@ def provider_limits(spark, d):
 def rule_ranges(spark, d):
     """Chapter ranges against the blocks of their book."""
     p = _parts(spark, d)
-    start, stop, problems = _turn(K, F.lit(5), F.lit(1), F.lit(1), F.lit(60), F.lit(1)), _turn(K, F.lit(5), F.lit(99), F.lit(9), F.lit(50), F.lit(9)), F.when(K % 5 == 2, 12)
-    return V.range_faults(p.select(K.alias("slug"), F.lit(1).alias("num"), start.alias("start"), problems.alias("problems"), stop.alias("stop")), p.select(K.alias("slug"), F.lit(50).alias("n_blocks")))
+    start, stop, problems = _turn(p_key(), F.lit(5), F.lit(1), F.lit(1), F.lit(60), F.lit(1)), _turn(p_key(), F.lit(5), F.lit(99), F.lit(9), F.lit(50), F.lit(9)), F.when(p_key() % 5 == 2, 12)
+    return V.range_faults(p.select(p_key().alias("slug"), F.lit(1).alias("num"), start.alias("start"), problems.alias("problems"), stop.alias("stop")), p.select(p_key().alias("slug"), F.lit(50).alias("n_blocks")))
 
 
 @query("SELECT p_partkey AS slug, 1 AS num FROM part WHERE p_size % 3 = 0")
 def rule_anchors(spark, d):
     """Chapters without a problems index that hold both an item and a problems heading."""
     p = _parts(spark, d)
-    blocks = p.select(K.alias("slug"), F.posexplode(F.array(F.lit("x"), _s("1. ", NAME), F.when(SIZE % 3 == 0, "Problems").otherwise(BRAND), F.lit("y"))).alias("idx", "text")).withColumn("type", F.lit("text"))
-    chapters = p.select(K.alias("slug"), F.lit(1).alias("num"), F.lit(0).alias("start"), F.lit(None).cast("int").alias("problems"), F.lit(4).alias("stop"))
+    blocks = p.select(p_key().alias("slug"), F.posexplode(F.array(F.lit("x"), _s("1. ", p_name()), F.when(p_size() % 3 == 0, "Problems").otherwise(p_brand()), F.lit("y"))).alias("idx", "text")).withColumn("type", F.lit("text"))
+    chapters = p.select(p_key().alias("slug"), F.lit(1).alias("num"), F.lit(0).alias("start"), F.lit(None).cast("int").alias("problems"), F.lit(4).alias("stop"))
     return V.unanchored(chapters, blocks, r"^[0-9]+\. ", "^Problems$")
 
 
