@@ -17,8 +17,8 @@ bytes.  A window is judged at the first border inside it: equal bytes before
 the border, common prefix after it.  Nothing here compares all pairs.
 
 An anchor that more than `HOT` segments have (a line in a third of all texts)
-would make one shard too large for a task: its windows are spread by their own
-hashes and counted with a map-side sum instead.
+would make one shard too large for a task: its distinct contents are spread as
+windows by their own hashes and counted with a map-side sum instead.
 """
 
 from __future__ import annotations
@@ -318,7 +318,11 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     size = open_.agg(F.sum(F.col("last") - F.col("first") + LENGTH)).first()[0] or 0
     shards = max(1, -(-size // SHARD_BYTES))
     if any_hot:
-        open_ = open_.unionByName(asked.where("what = 0").join(often, "anchor", "left_semi").select(*NAMES))
+        crowd = asked.where("what = 0").join(often, "anchor", "left_semi")
+        # equal contents collapse, map-side first, before any window is spread
+        once = crowd.groupBy("anchor", "content").agg(F.sum(F.col("many") + 1).alias("n"), F.min(F.struct("doc_id", "rid", "first", "last")).alias("one"))
+        once = staged(once, "hot-contents")
+        open_ = open_.unionByName(once.select(F.lit(0).alias("what"), "anchor", "content", "one.*", (F.col("n") > 1).cast("int").alias("many")).select(*NAMES))
     wanted = open_.groupBy("doc_id", "rid").agg(F.collect_list(F.struct("what", "anchor", "first", "last", "many")).alias("wanted"))
     cut = own.join(wanted.hint("shuffle_hash"), ["doc_id", "rid"]).select("doc_id", "rid", "text", "wanted").mapInArrow(_cut, CUT)
     cut = staged(cut, "cut") if any_hot else cut
@@ -326,7 +330,8 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     found = texts_.groupBy("shard").applyInArrow(_array, RANGES)
     ranges = met.where("what = 1").select("doc_id", "rid", "first", "last").unionByName(found)
     if any_hot:
-        ranges = ranges.unionByName(_spread(cut.where("content is null")))
+        copies = crowd.join(once.where("n > 1").select("anchor", "content"), ["anchor", "content"], "left_semi").select("doc_id", "rid", "first", "last")
+        ranges = ranges.unionByName(copies).unionByName(_spread(cut.where("content is null")))
     ranges = staged(ranges, "ranges")
     per_doc = ranges.groupBy("doc_id", "rid").agg(F.collect_list(F.struct("first", "last")).alias("found"))
     return own.join(per_doc.hint("shuffle_hash"), ["doc_id", "rid"], "left").select(given("doc_id"), "text", "found").mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, spans array<long>, kept binary")
