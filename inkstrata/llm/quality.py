@@ -1,9 +1,10 @@
 """Supervised subword embeddings for document quality.
 
-Words, word pairs and byte 4-grams of the lower-cased whole text are hashed to
-rows of one embedding table (all pairs of a word with itself share a row, so
-repetition shows whatever the word); a document is the average of its rows; a softmax layer reads
-that average.  Tables and layer are learned by numpy stochastic gradient
+Words, word pairs and character n-grams (3 to 5 characters, of a word and the
+blanks at its ends) of the lower-cased whole text are hashed to rows of one
+embedding table (all pairs of a word with itself share a learned row, so
+repetition shows whatever the word); a document is the average of its rows; a
+softmax layer reads that average.  Tables and layer are learned by numpy stochastic gradient
 descent on a bounded sample of labelled rows (`SAMPLE`, smallest hash of
 doc_id first).  Because the softmax reads a plain average, scoring needs one
 number per row, so the whole corpus is scored in one map pass.
@@ -26,31 +27,43 @@ BITS = 16
 DIM = 16
 EPOCHS = 4
 RATE = 0.5
-GRAM = 4
+GRAMS = (3, 4, 5)
 FOLDS = 5
 THRESHOLD = 0.3
 SLICE = 1 << 20
+#: Which of four bytes belong to a character of that many bytes.
+MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(rows of the embedding table, index of the first one of each document or -1) by feature family."""
     low = lower_ascii(data)
-    starts, ends, doc = runs(~((low == 32) | ((low >= 9) & (low <= 13))), offsets)
+    blank = (low == 32) | ((low >= 9) & (low <= 13))
+    starts, ends, doc = runs(~blank, offsets)
     h = span_hashes(low, starts, ends, 3)
     yield (h >> U64(64 - BITS)).astype(np.int64), np.searchsorted(starts, offsets)
     second = np.flatnonzero(doc[1:] == doc[:-1]) + 1
     pair = mix(h[second - 1] * GOLDEN + h[second]) >> U64(64 - BITS)
     rows = np.where(h[second] == h[second - 1], 0, np.maximum(pair, U64(1)).astype(np.int64)) + (2 << BITS)
     yield rows, np.searchsorted(starts[second], offsets)
-    n = max(len(low) - GRAM + 1, 0)
-    padded = np.concatenate([low, np.zeros(GRAM, np.uint8)])
-    grams = np.ndarray((n,), "<u4", padded.data, strides=(1,))
-    keep = np.ones(len(low) + 1, bool)
-    for k in range(1, GRAM):
-        keep[np.maximum(offsets[1:] - k, 0)] = False  # a gram ends inside its document
-    at = np.flatnonzero(keep[:n])
-    rows = ((grams[at] * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)).astype(np.int64) + (1 << BITS)
-    yield rows, np.searchsorted(at, offsets)
+    at = np.flatnonzero((low & 0xC0) != 0x80)  # characters
+    wide = np.diff(at, append=len(low))
+    four = np.ndarray((len(low),), "<u4", np.concatenate([low, np.zeros(4, np.uint8)]).data, strides=(1,))
+    code = (four[at] & MASKS[np.minimum(wide, 4)]).astype(U64)
+    code[blank[at]] = U64(32)
+    before = np.concatenate([[0], np.cumsum(blank[at])])
+    end = np.searchsorted(at, offsets)[1:]  # characters before the end of each document
+    room = np.repeat(end, np.diff(np.concatenate([[0], end]))) - np.arange(len(at))
+    grown = code
+    for n in range(2, GRAMS[-1] + 1):
+        grown = grown[: max(len(at) - n + 1, 0)] * GOLDEN + code[n - 1 :]
+        if n < GRAMS[0]:
+            continue
+        k = len(grown)
+        inner = before[n - 1 : n - 1 + k] - before[1 : 1 + k]  # blanks between the first and the last character
+        keep = np.flatnonzero((inner == 0) & (room[:k] >= n))
+        rows = (grown[keep] * GOLDEN >> U64(64 - BITS)).astype(np.int64) + (1 << BITS)
+        yield rows, np.searchsorted(at[keep], offsets)
 
 
 def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:

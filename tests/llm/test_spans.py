@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import time
 import zlib
 from collections import Counter
 
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
 from inkstrata.llm import boosting, pii, quality, secrets
+from inkstrata.llm._bytes import GOLDEN, utf8
 
 SF = "/root/testdata/sf0.001"
 PLANTED = [
@@ -157,6 +160,25 @@ def test_boosting_learns_xor_and_calibrates():
     assert {x for x, _, _ in rows_off if boosting.predict(model, x) >= t} == {(0, 1), (1, 0)}
 
 
+def test_character_grams_against_plain_version():
+    rnd = random.Random(3)
+    texts = ["", "a", "Ab c", "Éa bé  ç", "日本語 x\n y", "😀😀a 😀", "   ", None] + ["".join(rnd.choice("abC é日😀\n") for _ in range(rnd.randrange(30))) for _ in range(200)]
+    families = list(quality.features(*utf8(pa.array(texts))))[2:]
+    assert len(families) == len(quality.GRAMS)
+    for n, (rows, first) in zip(quality.GRAMS, families, strict=True):
+        for i, text in enumerate(texts):
+            low = "".join(c.lower() if c.isascii() else c for c in text or "")
+            want = []
+            for k in range(len(low) - n + 1):
+                gram = low[k : k + n]
+                if not re.search(r"[ \n]", gram[1:-1]):
+                    value = 0
+                    for c in gram:
+                        value = (value * int(GOLDEN) + (32 if c == "\n" else int.from_bytes(c.encode(), "little"))) % 2**64
+                    want.append((value * int(GOLDEN) % 2**64 >> 64 - quality.BITS) + (1 << quality.BITS))
+            assert rows[first[i] : first[i + 1]].tolist() == want
+
+
 def test_quality_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.01"
     labels = {r["doc_id"]: r["quality"] for r in pq.read_table(f"{sf}/labels.parquet").to_pylist()}
