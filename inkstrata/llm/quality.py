@@ -104,14 +104,13 @@ def train(bags: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 11) -> tup
     table_ = rng.normal(0, 1 / DIM, (3 << BITS, DIM)).astype(np.float32)
     layer = rng.normal(0, 1 / DIM, (2, DIM)).astype(np.float32)
     bias = np.array([0.0, prior], np.float32)
-    shares = [(c / c.sum() if len(c) else c).astype(np.float32) for _, c, _ in bags]
     steps, done = EPOCHS * len(bags), 0
     for _ in range(EPOCHS):
         for i in rng.permutation(len(bags)):
-            rows, _, y = bags[i]
+            rows, counts, y = bags[i]
             rate = RATE * (1 - done / steps)
             done += 1
-            share = shares[i]
+            share = (counts / max(counts.sum(), 1)).astype(np.float32)
             mean = share @ table_[rows] if len(rows) else np.zeros(DIM, np.float32)
             logit = layer @ mean + bias
             p = np.exp(logit - logit.max())
