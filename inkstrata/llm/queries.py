@@ -12,6 +12,7 @@ from inkstrata.llm.quality import op2_quality
 from inkstrata.llm.secrets import op10_secrets
 from inkstrata.llm.simhash import op3_simhash
 from inkstrata.llm.substring_dedup import op9_suffix_dedup
+from inkstrata.llm.whitening import op11_whitening
 
 QUERIES = {
     "op1_packing": op1_packing,
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_katz": op8_katz,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_secrets": op10_secrets,
+    "op11_whitening": op11_whitening,
 }
 
 #: The contamination contract in plain SQL: every window of every item against every place of every document.
