@@ -6,6 +6,7 @@ from inkstrata.llm.decontaminate import op5_winnowing
 from inkstrata.llm.embedding_dedup import op6_embeddings
 from inkstrata.llm.html_render import op4_html
 from inkstrata.llm.katz import op8_katz
+from inkstrata.llm.licenses import op12_licenses
 from inkstrata.llm.packing import op1_packing
 from inkstrata.llm.pii import op7_pii
 from inkstrata.llm.quality import op2_quality
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_secrets": op10_secrets,
     "op11_whitening": op11_whitening,
+    "op12_licenses": op12_licenses,
 }
 
 #: The contamination contract in plain SQL: every window of every item against every place of every document.
