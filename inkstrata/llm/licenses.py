@@ -5,9 +5,10 @@ Native DataFrame functions only.
 1. How many documents hold each licence word is counted over all documents:
    the words of the templates are a fixed vocabulary, so that is one small
    count per word.
-2. The index posts, for every template, its `RARE` words of highest inverse
-   document frequency with their places, and for every phrase the rarest of
-   its words alone.
+2. The index posts, for every template, its words of highest inverse document
+   frequency with their places (a third of its words, `RARE` at most), and for
+   every phrase the rarest of its words alone.  A template with a mandatory
+   word that no document holds can stand nowhere and is not posted.
 3. Each file looks its words up: those that are posted are its highest-IDF
    licence words.  A posting says where the template would start; postings
    that agree on the start within `SLACK` words are votes for one place, so
@@ -32,7 +33,9 @@ SLACK = 4
 SHARE = 0.5
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]++"
+#: What stands between words: ASCII but digits and small letters.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+KELVIN = "\u212a"
 
 # The base phrases and their labels.
 BASE = [
@@ -114,8 +117,14 @@ def vocabulary(found: list[Entry]) -> list[str]:
 
 
 def words_of(text: Column) -> Column:
-    """Words of a whole text, A-Z in lower case."""
-    return F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORD), F.lit(0))
+    """Words of a whole text, A-Z in lower case.
+
+    lower() is used for its speed: other letters that it changes stay outside
+    ASCII and licence words are ASCII.  The Kelvin sign alone becomes a k, so
+    texts with it are translated.
+    """
+    low = F.when(text.contains(KELVIN), F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
+    return F.array_remove(F.split(low, BETWEEN), "")
 
 
 def literal(words: list[str]) -> Column:
@@ -128,10 +137,15 @@ def frequencies(docs: DataFrame, vocab: list[str]) -> dict[str, int]:
     return {r["word"]: r["n"] for r in held.groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
+def posted_words(e: Entry, rare: int = RARE) -> int:
+    return min(rare, max(2, -(-len(set(e.words)) // 3)))
+
+
 def postings(found: list[Entry], df: dict[str, int], rare: int = RARE) -> list[dict]:
     """The index.  The fewer documents hold a word, the higher its IDF; equal words go by length, then name.
 
-    Words that no document holds come last: looking them up finds nothing.
+    Words that no document holds come last: looking them up finds nothing, and
+    a template whose mandatory phrase has one is left out.
     key null: a vote of a rare word, `rel` its place in the passage.  Otherwise
     the rarest word of key number `key`, which starts at place `at` of the passage.
     """
@@ -141,12 +155,14 @@ def postings(found: list[Entry], df: dict[str, int], rare: int = RARE) -> list[d
         return (df.get(w, 0) == 0, df.get(w, 0), -len(w), w)
 
     for i, e in enumerate(found):
-        order = sorted(set(e.words), key=common)
+        if any(w not in df for _, phrase in e.keys for w in phrase):
+            continue
+        order = sorted(set(e.words), key=common)[: posted_words(e, rare)]
         for k, (at, phrase) in enumerate(e.keys):
             word = min(phrase, key=common)
-            out.append({"word": word, "entry": i, "label": e.label, "base": e.base, "rel": at + phrase.index(word), "key": k, "at": at, "phrase": list(phrase), "keys": len(e.keys), "votes": len(order[:rare])})
+            out.append({"word": word, "entry": i, "label": e.label, "base": e.base, "rel": at + phrase.index(word), "key": k, "at": at, "phrase": list(phrase), "keys": len(e.keys), "votes": len(order)})
         if not e.base:
-            out += [{"word": w, "entry": i, "label": e.label, "base": False, "rel": r, "key": None, "at": 0, "phrase": [], "keys": len(e.keys), "votes": len(order[:rare])} for r, w in enumerate(e.words) if w in order[:rare]]
+            out += [{"word": w, "entry": i, "label": e.label, "base": False, "rel": r, "key": None, "at": 0, "phrase": [], "keys": len(e.keys), "votes": len(order)} for r, w in enumerate(e.words) if w in order]
     return out
 
 
@@ -184,7 +200,7 @@ def matches(docs: DataFrame, found: list[Entry] | None = None, rare: int = RARE,
     found = entries() if found is None else found
     own = texts(docs)
     index = postings(found, frequencies(own, vocabulary(found)), rare)
-    around = max(len(p["phrase"]) for p in index) - 1
+    around = max((len(p["phrase"]) for p in index), default=1) - 1
     # a fixed number of rows: the templates' rare words
     table_ = docs.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(index)), POSTING))).withColumnRenamed("word", "posted")
     rows = hits(own, sorted({p["word"] for p in index}), around)

@@ -36,7 +36,7 @@ def plain_labels(texts):
     for t in texts:
         w, got = words(t), {}
         for e in found:
-            rare = sorted(set(e.words), key=lambda x: (x not in df, df.get(x, 0), -len(x), x))[: L.RARE]
+            rare = sorted(set(e.words), key=lambda x: (x not in df, df.get(x, 0), -len(x), x))[: L.posted_words(e)]
             if e.base:
                 if any(w[k : k + len(e.words)] == list(e.words) for k in range(len(w))):
                     got[e.label] = 1.0
@@ -82,6 +82,7 @@ TEXTS = [
     "this is Free and unencumbered software, released into the public domain.",
     "mit " * 2000 + "under the mit",
     "CC BY NCé and ÀCC BY NC",
+    "dedicated the wor\u212a to the public domain; dedicated the wor\u212a; LİCENSE ÄÖ wor\u212a",
     "",
     None,
 ]
@@ -92,7 +93,7 @@ def test_planted_texts(spark):
     for k, (t, (labels, score)) in enumerate(zip(TEXTS, plain_labels(TEXTS), strict=True)):
         assert (got[k]["n_words"], got[k]["n_base"], got[k]["first_word"], got[k]["last_word"], got[k]["base_labels"]) == plain(t)
         assert (got[k]["labels"], got[k]["score"]) == (labels, pytest.approx(score))
-    assert [got[k]["labels"] for k in range(len(TEXTS))] == ["mit", "", "mit", "", "mit", "apache-2,cc-by-nc", "unlicense", "", "", "", ""]
+    assert [got[k]["labels"] for k in range(len(TEXTS))] == ["mit", "", "mit", "", "mit", "apache-2,cc-by-nc", "unlicense", "", "", "", "", ""]
 
 
 def test_rarest_words_follow_the_corpus():
