@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from inkstrata.functions import text as T
 
 COMMON_RATIO = 0.6
+#: Chunk ids of one posting list span so many numbers at most.
+SPAN = 1 << 16
 
 
 def postings(chunks: DataFrame, key: list[str], text: str = "text", prefixes: list[str] | None = None) -> DataFrame:
@@ -24,14 +26,30 @@ def cutoff(n: Column, ratio: float = COMMON_RATIO) -> Column:
     return F.when(n > 5, F.greatest(F.lit(3), F.floor(n * ratio))).otherwise(n + 1)
 
 
+def segments(found: DataFrame, book: str, chunk: str) -> DataFrame:
+    """Postings (book, chunk, token) as bounded lists: book, token, segment, offsets.
+
+    Chunk ids are whole numbers; a segment holds those of one range of `SPAN`,
+    ascending, as offsets from the start of the range.
+    """
+    segment = F.floor(F.col(chunk) / SPAN).cast("long")
+    offset = (F.col(chunk) - segment * SPAN).cast("int")
+    one = found.select(book, "token", segment.alias("segment"), offset.alias("offset")).groupBy(book, "token", "segment")
+    return one.agg(F.array_sort(F.collect_set("offset")).alias("offsets"))
+
+
 def index(chunks: DataFrame, book: str, chunk: str, text: str = "text") -> DataFrame:
-    """book, token, df, common, chunks (null for common tokens)."""
+    """book, token, df, common, segment, offsets; a common token has one row, without a segment.
+
+    The texts are cut into tokens once: the document frequency is the sum over
+    a token's segments.
+    """
     sizes = chunks.groupBy(book).agg(F.countDistinct(chunk).alias("n"))
-    found = postings(chunks, [book, chunk], text)
-    df = found.groupBy(book, "token").agg(F.count(F.lit(1)).alias("df")).join(sizes, book).select(book, "token", "df", (F.col("df") >= cutoff(F.col("n"))).alias("common"))
-    # common tokens leave before any list is gathered
-    lists = found.join(df.where(~F.col("common")).select(book, "token"), [book, "token"], "left_semi").groupBy(book, "token").agg(F.sort_array(F.collect_list(chunk)).alias("chunks"))
-    return df.join(lists, [book, "token"], "left")
+    token = Window.partitionBy(book, "token")
+    lists = segments(postings(chunks, [book, chunk], text), book, chunk)
+    counted = lists.withColumn("df", F.sum(F.size("offsets")).over(token)).withColumn("_first", F.min("segment").over(token)).join(sizes, book)
+    rows = counted.withColumn("common", F.col("df") >= cutoff(F.col("n"))).where(~F.col("common") | (F.col("segment") == F.col("_first")))
+    return rows.select(book, "token", "df", "common", F.when(~F.col("common"), F.col("segment")).alias("segment"), F.when(~F.col("common"), F.col("offsets")).alias("offsets"))
 
 
 def document_frequency(chunks: DataFrame, book: str, text: str = "text") -> DataFrame:
@@ -48,9 +66,13 @@ def candidates(chunks: DataFrame, book: str, chunk: str, terms: list[str], text:
     prefix among the rare tokens, else by prefix among the common ones (all).
     Only tokens that begin with a term leave the scan, so the lists stay short.
     """
+    return scored(postings(chunks, [book, chunk], text, terms), chunks.select(book, chunk).distinct(), book, chunk, terms)
+
+
+def scored(parts: DataFrame, base: DataFrame, book: str, chunk: str, terms: list[str]) -> DataFrame:
+    """The same from postings (book, chunk, token) of tokens that begin with a term and the list of chunks (book, chunk)."""
     n = len(terms)
-    parts = postings(chunks, [book, chunk], text, terms)
-    sizes = chunks.groupBy(book).agg(F.countDistinct(chunk).alias("n"))
+    sizes = base.groupBy(book).agg(F.count(F.lit(1)).alias("n"))
     df = parts.groupBy(book, "token").agg(F.count(F.lit(1)).alias("df")).join(sizes, book).select(book, "token", (F.col("df") >= cutoff(F.col("n"))).alias("common"))
     term = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(t).alias("term")) for k, t in enumerate(terms)]))
     asked = df.withColumn("q", term).where(F.col("token").startswith(F.col("q.term"))).select(book, "token", "common", "q.k", (F.col("token") == F.col("q.term")).alias("exact"))
@@ -62,8 +84,8 @@ def candidates(chunks: DataFrame, book: str, chunk: str, terms: list[str], text:
     full = known.groupBy(book).agg(F.count(F.lit(1)).alias("terms"), F.sum((F.col("mode") == "all").cast("int")).alias("everywhere")).where(F.col("terms") == n)
     used = asked.join(known, [book, "k"]).where((F.col("mode") == "exact") & F.col("exact") | (F.col("mode") == "prefix") & ~F.col("common")).select(book, "k", "token")
     hits = parts.join(used, [book, "token"]).groupBy(book, chunk).agg(F.countDistinct("k").alias("own"))
-    base = chunks.select(book, chunk).distinct().join(full, book).join(hits, [book, chunk], "left")
-    return base.select(book, chunk, (F.coalesce("own", F.lit(0)) + F.col("everywhere")).cast("long").alias("score")).where("score > 0")
+    found = base.join(full, book).join(hits, [book, chunk], "left")
+    return found.select(book, chunk, (F.coalesce("own", F.lit(0)) + F.col("everywhere")).cast("long").alias("score")).where("score > 0")
 
 
 def _any(conditions: list[Column]) -> Column:

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from inkstrata.functions import text as T
 from inkstrata.operators import search as S
+from inkstrata.operators import stored as X
 from inkstrata.plans.registry import query
-from inkstrata.sources import read
+from inkstrata.sources import read, shared_dir
 
 TERMS = ["ther", "onen", "th"]
+STORED_TERMS = ["ch", "enen", "con"]
 
 TOKENS = r"""
     tok AS (SELECT DISTINCT lang, doc_id, token FROM (SELECT lang, doc_id, unnest(regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+')) AS token FROM documents)
@@ -22,7 +26,8 @@ TOKENS = r"""
 @query(f"WITH {TOKENS} SELECT lang, token, df, df >= cut AS common, CASE WHEN df < cut THEN first_chunk END AS first_chunk, CASE WHEN df < cut THEN df END AS n_chunks FROM df")
 def search_index_postings(spark, d):
     ix = S.index(read(spark, d, "documents"), "lang", "doc_id")
-    return ix.select("lang", "token", "df", "common", F.get("chunks", F.lit(0)).alias("first_chunk"), F.when(~F.col("common"), F.size("chunks").cast("long")).alias("n_chunks"))
+    first = F.min(F.col("segment") * S.SPAN + F.get("offsets", F.lit(0)))
+    return ix.groupBy("lang", "token", "df", "common").agg(first.alias("first_chunk"), F.sum(F.when(F.col("offsets").isNotNull(), F.size("offsets"))).alias("n_chunks"))
 
 
 @query(f"WITH {TOKENS} SELECT lang, token, df FROM df WHERE df >= cut")
@@ -30,9 +35,8 @@ def search_common_tokens(spark, d):
     return S.document_frequency(read(spark, d, "documents"), "lang").where("common").select("lang", "token", "df")
 
 
-@query(f"""
-    WITH {TOKENS},
-    q AS (SELECT * FROM (VALUES (0, 'ther'), (1, 'onen'), (2, 'th')) v(k, term)),
+RANKED = """
+    q AS (SELECT * FROM (VALUES (0, '{0}'), (1, '{1}'), (2, '{2}')) v(k, term)),
     asked AS (SELECT d.lang, q.k, d.token, d.df >= d.cut AS common, d.token = q.term AS exact FROM df d JOIN q ON starts_with(d.token, q.term)),
     mode AS (SELECT lang, k, CASE WHEN bool_or(exact AND NOT common) THEN 'exact' WHEN bool_or(exact AND common) THEN 'all' WHEN bool_or(NOT common) THEN 'prefix' ELSE 'all' END AS mode FROM asked GROUP BY lang, k),
     full_ AS (SELECT lang, count(*) FILTER (mode = 'all') AS everywhere FROM mode GROUP BY lang HAVING count(*) = 3),
@@ -41,11 +45,58 @@ def search_common_tokens(spark, d):
     s AS (SELECT d.lang, d.doc_id, coalesce(own, 0) + everywhere AS score FROM documents d JOIN full_ f ON d.lang = f.lang LEFT JOIN hits h ON h.lang = d.lang AND h.doc_id = d.doc_id),
     r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
     SELECT lang, doc_id, score, rank FROM r WHERE rank <= 12
-""")
+"""
+
+
+@query(f"WITH {TOKENS}, {RANKED.format(*TERMS)}")
 def search_ranked_candidates(spark, d):
     return S.ranked(S.candidates(read(spark, d, "documents"), "lang", "doc_id", TERMS), "lang", "doc_id", 12)
 
 
+#: Documents after a second batch: those with a label of low quality come again in other words, toxic ones are gone.
+CHANGED = """changed AS (SELECT d.lang, d.doc_id, CASE WHEN l.toxic = 1 THEN NULL WHEN l.quality = 0 THEN concat('again ', replace(text, 'e', 'o')) ELSE text END AS text FROM documents d LEFT JOIN (SELECT doc_id, max(toxic) AS toxic, min(quality) AS quality FROM labels GROUP BY doc_id) l ON l.doc_id = d.doc_id),
+    now AS (SELECT * FROM changed WHERE text IS NOT NULL)"""
+
+
+def _first_batch(spark, d):
+    path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    docs = read(spark, d, "documents").select("lang", "doc_id", "text")
+    X.add(docs, path, 0, "lang", "doc_id")
+    return path, docs
+
+
+def _second_batch(spark, d, path, docs):
+    """Adds the changed rows alone to the stored index."""
+    marks = read(spark, d, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality")).where("toxic = 1 OR quality = 0")
+    text = F.when(F.col("toxic") == 1, F.lit(None)).otherwise(F.concat(F.lit("again "), F.translate("text", "e", "o")))
+    X.add(docs.join(marks, "doc_id").withColumn("text", text), path, 1, "lang", "doc_id")
+
+
+@query(f"WITH {TOKENS}, {RANKED.format(*STORED_TERMS)}")
+def stored_search(spark, d):
+    """The same search from the stored index: the buckets of three terms are read, no text is."""
+    path, _ = _first_batch(spark, d)
+    return S.ranked(X.candidates(spark, path, "lang", "doc_id", STORED_TERMS), "lang", "doc_id", 12)
+
+
+@query(f"WITH {CHANGED}, {TOKENS.replace('documents', 'now')}, {RANKED.replace('documents', 'now').format(*STORED_TERMS)}")
+def maintained_search(spark, d):
+    """The search after a second batch of changed and deleted documents, as over an index made anew."""
+    path, docs = _first_batch(spark, d)
+    _second_batch(spark, d, path, docs)
+    return S.ranked(X.candidates(spark, path, "lang", "doc_id", STORED_TERMS), "lang", "doc_id", 12)
+
+
+@query(f"WITH {CHANGED}, {TOKENS.replace('documents', 'now')} SELECT lang, token, count(*) AS df, min(doc_id) AS first_chunk, max(doc_id) AS last_chunk, sum(doc_id) AS ids FROM tok GROUP BY lang, token")
+def compacted_index(spark, d):
+    """Every posting after the second batch, from an index written anew without what was replaced."""
+    path, docs = _first_batch(spark, d)
+    _second_batch(spark, d, path, docs)
+    X.compact(spark, path, f"{path}-compact", "lang", "doc_id")
+    found = X.postings(spark, f"{path}-compact", "lang", "doc_id")
+    return found.groupBy("lang", "token").agg(F.count(F.lit(1)).alias("df"), F.min("doc_id").alias("first_chunk"), F.max("doc_id").alias("last_chunk"), F.sum("doc_id").alias("ids"))
+
+
 @query("SELECT doc_id, lang FROM documents WHERE contains(strip_accents(lower(text)), 'ther') AND contains(strip_accents(lower(text)), 'onen') AND contains(strip_accents(lower(text)), 'th')")
 def search_verified_hits(spark, d):
     return S.verified(read(spark, d, "documents"), TERMS).select("doc_id", "lang")
