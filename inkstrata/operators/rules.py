@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import json
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as Ty
+
+try:
+    import yaml
+except ImportError:  # rule files alone need it
+    yaml = None
 
 # The keys and noise types that a rule set may name.
 REQUIRED = ["slug", "title", "body_start_page", "appendices_start_page", "chapters", "section_re", "subsection_re", "heading_priority", "problem_start_re", "problem_chapter_must_match", "equation_strip_dollar", "equation_label_re"]
@@ -17,6 +25,9 @@ NOISE = {"header", "page_number", "footer", "page_footnote", "aside_text", "ref_
 GROUPS = {"section_re": 2, "subsection_re": 2, "problem_start_re": 1, "example_start_re": 1}
 
 
+CHECKED = Ty.StructType([Ty.StructField("rule", Ty.StringType()), Ty.StructField("faults", Ty.ArrayType(Ty.StringType())), Ty.StructField("error", Ty.StringType())])
+
+
 def faults(rule: dict) -> list[str]:
     """Everything wrong with one rule set that can be said without its blocks."""
     out = [f"missing {k}" for k in REQUIRED if k not in rule]
@@ -54,6 +65,26 @@ def faults(rule: dict) -> list[str]:
     return out
 
 
+@F.pandas_udf(CHECKED)
+def checked(files: pd.Series) -> pd.DataFrame:
+    """A YAML text as JSON with its faults, or why it is no rule set; a scalar heading level becomes a list."""
+    if yaml is None:
+        raise ModuleNotFoundError("rule files are YAML: PyYAML is needed to read them")
+
+    def one(text: str) -> tuple[str | None, list[str] | None, str | None]:
+        try:
+            rule = yaml.safe_load(text or "")
+            if not isinstance(rule, dict):
+                return None, None, "no mapping"
+            wrong = faults(rule)
+            levels = rule.get("heading_text_level", 1)
+            return json.dumps(rule | {"heading_text_level": levels if isinstance(levels, list) else [levels]}, default=str), wrong, None
+        except (yaml.YAMLError, AttributeError, TypeError, ValueError) as e:
+            return None, None, f"does not parse: {type(e).__name__}"
+
+    return pd.DataFrame([one(t) for t in files], columns=["rule", "faults", "error"])
+
+
 def range_faults(chapters: DataFrame, sizes: DataFrame) -> DataFrame:
     """slug, num, fault: chapter indexes (start, problems, stop) against the number of blocks of the book."""
     c, p, s, n = (F.col(x) for x in ("start", "problems", "stop", "n_blocks"))

@@ -1,7 +1,7 @@
 """A search index kept as files: posting segments by token bucket, added to batch by batch.
 
     postings/batch=N/bucket=K   book, token, segment, offsets
-    chunks/batch=N              book, chunk: the live chunks that came with a batch
+    chunks/batch=N              book, chunk, gone, parts: the chunks that came with a batch
     replaced/batch=N            chunk, was: earlier versions that batch N took out
 
 A segment holds the chunks of one token whose ids lie in one range of
@@ -48,19 +48,29 @@ def _held(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def add(batch: DataFrame, path: str, number: int, book: str, chunk: str, text: str = "text", buckets: int = BUCKETS) -> dict[str, int]:
-    """Write batch `number`: its postings, its live chunks and what it replaces.  Gives the rows of each.
+    """Write batch `number`: its postings, its chunks and what it replaces.  Gives the rows read and of each part.
 
     The columns book and chunk keep their names; a book is a string, a chunk a
-    whole number.  Rows of one batch with equal ids are parts of one chunk.
+    whole number.  Rows of one batch with equal ids are parts of one chunk,
+    which is gone where all their texts are null; rows without an id are counted and
+    cannot be found.
     """
     spark = batch.sparkSession
-    own = batch.select(F.col(book).cast("string").alias(book), F.col(chunk).cast("long").alias(chunk), F.col(text).cast("string").alias(text)).where(F.col(chunk).isNotNull())
-    live = own.where(F.col(text).isNotNull())
-    gathered(S.postings(live, [book, chunk], text), book, chunk, buckets).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/batch={number}")
-    live.select(book, chunk).distinct().write.mode("overwrite").parquet(f"{path}/chunks/batch={number}")
-    earlier = _held(spark, f"{path}/chunks", f"{book} string, {chunk} long, batch int").where(F.col("batch") < number)
-    earlier.join(own.select(chunk).distinct(), chunk, "left_semi").select(chunk, F.col("batch").alias("was")).write.mode("overwrite").parquet(f"{path}/replaced/batch={number}")
-    return {part: spark.read.parquet(f"{path}/{part}/batch={number}").count() for part in ("postings", "chunks", "replaced")}
+    own = batch.select(F.col(book).cast("string").alias(book), F.col(chunk).cast("long").alias(chunk), F.col(text).cast("string").alias(text))
+    found = S.postings(own.where(F.col(chunk).isNotNull()), [book, chunk], text)
+    gathered(found, book, chunk, buckets).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/batch={number}")
+    own.groupBy(book, chunk).agg(F.bool_and(F.col(text).isNull()).alias("gone"), F.count(F.lit(1)).alias("parts")).write.mode("overwrite").parquet(f"{path}/chunks/batch={number}")
+    chunks = _held(spark, f"{path}/chunks", _chunks(book, chunk)).where(F.col(chunk).isNotNull())
+    fresh = chunks.where(F.col("batch") == number).select(chunk).distinct()
+    earlier = chunks.where(F.col("batch") < number).select(chunk, F.col("batch").alias("was"))
+    earlier.join(fresh, chunk, "left_semi").write.mode("overwrite").parquet(f"{path}/replaced/batch={number}")
+    counts = spark.read.parquet(f"{path}/chunks/batch={number}").agg(F.sum("parts").alias("read"), F.count(chunk).alias("chunks")).first()
+    rows = {part: spark.read.parquet(f"{path}/{part}/batch={number}").count() for part in ("postings", "replaced")}
+    return {"read": counts["read"] or 0, "chunks": counts["chunks"], **rows}
+
+
+def _chunks(book: str, chunk: str) -> str:
+    return f"{book} string, {chunk} long, gone boolean, parts long, batch int"
 
 
 def _current(rows: DataFrame, path: str, chunk: str) -> DataFrame:
@@ -70,7 +80,9 @@ def _current(rows: DataFrame, path: str, chunk: str) -> DataFrame:
 
 
 def live_chunks(spark: SparkSession, path: str, book: str, chunk: str) -> DataFrame:
-    return _current(_held(spark, f"{path}/chunks", f"{book} string, {chunk} long, batch int"), path, chunk).select(book, chunk)
+    """(book, chunk) of every chunk that is there."""
+    held = _held(spark, f"{path}/chunks", _chunks(book, chunk)).where(~F.col("gone") & F.col(chunk).isNotNull())
+    return _current(held, path, chunk).select(book, chunk)
 
 
 def postings(spark: SparkSession, path: str, book: str, chunk: str, terms: list[str] | None = None, buckets: int = BUCKETS) -> DataFrame:
@@ -95,5 +107,5 @@ def candidates(spark: SparkSession, path: str, book: str, chunk: str, terms: lis
 def compact(spark: SparkSession, path: str, to: str, book: str, chunk: str, buckets: int = BUCKETS) -> None:
     """The live postings and chunks of an index as the one batch of a new one."""
     gathered(postings(spark, path, book, chunk), book, chunk, buckets).write.mode("overwrite").partitionBy("bucket").parquet(f"{to}/postings/batch=0")
-    live_chunks(spark, path, book, chunk).write.mode("overwrite").parquet(f"{to}/chunks/batch=0")
+    live_chunks(spark, path, book, chunk).select(book, chunk, F.lit(False).alias("gone"), F.lit(1).cast("long").alias("parts")).write.mode("overwrite").parquet(f"{to}/chunks/batch=0")
 

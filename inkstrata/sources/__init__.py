@@ -52,8 +52,8 @@ def valid_slug(c: Column) -> Column:
 
 
 def slug_of(path: Column, depth: int = 2) -> Column:
-    """The folder `depth` levels up that a file lies in."""
-    return F.element_at(F.split(path, "/"), -depth)
+    """The folder `depth` levels up that a file lies in; a partition folder counts by its value."""
+    return F.regexp_replace(F.element_at(F.split(path, "/"), -depth), "^[a-z_]+=", "")
 
 
 def blocks(spark: SparkSession, glob: str) -> DataFrame:
@@ -62,6 +62,50 @@ def blocks(spark: SparkSession, glob: str) -> DataFrame:
     return raw.where(valid_slug(F.col("slug"))).select("slug", F.posexplode("blocks").alias("idx", "b")).select("slug", "idx", "b.*")
 
 
+def variant_blocks(raw: DataFrame) -> DataFrame:
+    """Blocks of per-book JSON arrays (slug, value) whose fields may have any type: slug, idx, type, text, list_items, bbox, table_body.
+
+    A field counts where it has the type it should: texts are strings, list items
+    the strings among them, a box the numbers among its entries, also
+    those written as strings.  A table body that is no string stays as JSON.
+    Texts that are no JSON array give no row.
+    """
+    parsed = raw.select("slug", F.try_parse_json("value").alias("book"))
+    parsed = parsed.where(F.schema_of_variant("book").startswith("ARRAY"))
+    rows = parsed.lateralJoin(raw.sparkSession.tvf.variant_explode(F.col("book").outer())).select("slug", F.col("pos").alias("idx"), F.col("value").alias("b"))
+
+    def kind(path: str) -> Column:
+        return F.schema_of_variant(F.try_variant_get("b", f"$.{path}", "variant"))
+
+    def string(path: str) -> Column:
+        return F.when(kind(path) == "STRING", F.try_variant_get("b", f"$.{path}", "string"))
+
+    def entries(path: str) -> Column:
+        return F.coalesce(F.try_variant_get("b", f"$.{path}", "array<variant>"), F.array().cast("array<variant>"))
+
+    items = F.transform(F.filter(entries("list_items"), lambda v: F.schema_of_variant(v) == "STRING"), lambda v: v.cast("string"))
+    box = F.filter(F.transform(entries("bbox"), lambda v: F.try_variant_get(v, "$", "string").try_cast("double")), lambda x: x.isNotNull())
+    body = F.coalesce(string("table_body"), F.when(kind("table_body").isNotNull() & (kind("table_body") != "VOID"), F.to_json(F.try_variant_get("b", "$.table_body", "variant"))))
+    return rows.select("slug", "idx", string("type").alias("type"), string("text").alias("text"), items.alias("list_items"), box.alias("bbox"), body.alias("table_body"))
+
+
+def rule_files(spark: SparkSession, glob: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """(rule sets, quarantined files) of per-book YAML files, one task reads many, none is held by the driver.
+
+    Rule sets: slug (the file's folder), the fields of schema, and faults, what
+    `rules.faults` says of each.  A file whose folder is no slug, that does not parse or
+    is no mapping is quarantined with its text and the reason.
+    """
+    from inkstrata.operators.rules import checked
+
+    raw = spark.read.text(glob, wholetext=True).select(slug_of(F.col("_metadata.file_path")).alias("folder"), "value")
+    seen = raw.withColumn("c", checked("value"))
+    bad = F.when(~valid_slug(F.col("folder")), "invalid slug").otherwise(F.col("c.error"))
+    seen = seen.withColumn("reason", bad)
+    good = seen.where("reason is null").select(F.col("folder").alias("slug"), F.from_json("c.rule", schema).alias("r"), F.col("c.faults").alias("faults"))
+    return good.select("slug", "r.*", "faults"), seen.where("reason is not null").select("folder", "reason", "value")
+
+
 def _fields() -> list[str]:
     out, depth, cur = [], 0, ""
     for ch in BLOCK_SCHEMA:

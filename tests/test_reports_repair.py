@@ -3,6 +3,7 @@ from __future__ import annotations
 import sys
 from datetime import datetime, timezone
 
+import pytest
 from pyspark.sql import functions as F
 
 from inkstrata.functions import external, web
@@ -131,3 +132,31 @@ def test_flatten_parse_and_headers(spark):
     assert lv["level"] == 1
     heads = spark.createDataFrame([("s", 5, "Index"), ("s", 3, "References"), ("s", 4, "Appendix A"), ("s", 7, "Index")], "k string, o int, text string")
     assert sorted((r["kind"], r["o"]) for r in G.boundaries(heads, ["k"], "o").collect()) == [("appendix", 4), ("bibliography", 3), ("index", 5)]
+
+
+def test_scorer_starts_once_for_each_partition(spark, tmp_path):
+    log = tmp_path / "starts"
+    code = f"import sys, json\nopen({str(log)!r}, 'a').write('x')\nfor l in sys.stdin:\n  v = json.loads(l)\n  print(json.dumps({{'i': v['i'], 'ok': len(v['s']) % 2 == 0, 'err': v['s'][-2:]}}), flush=True)"
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        df = spark.range(3000).selectExpr("concat('f', id) AS tex", "id % 2 = 0 AS display")
+        got = external.scored(df, [sys.executable, "-c", code]).collect()
+        parts = external.scored(df, [sys.executable, "-c", code]).rdd.getNumPartitions()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted((r["tex"], r["display"], r["ok"], r["err"]) for r in got) == sorted((f"f{k}", k % 2 == 0, len(f"f{k}") % 2 == 0, f"f{k}"[-2:]) for k in range(3000))
+    assert 0 < len(log.read_text()) <= parts
+
+
+@pytest.mark.parametrize(("code", "said"), [("import sys; sys.stdin.readline(); sys.stderr.write('no renderer'); sys.exit(3)", "no renderer"), ("import time; time.sleep(60)", "said nothing")])
+def test_scorer_failures_fail_the_task(spark, code, said):
+    df = spark.range(5).selectExpr("concat('f', id) AS tex", "true AS display").coalesce(1)
+    with pytest.raises(Exception, match=said):
+        external.scored(df, [sys.executable, "-c", code], timeout_s=2).collect()
+
+
+def test_scorer_that_ends_early_leaves_the_rest_open(spark):
+    df = spark.range(20_000).selectExpr("concat('formula ', id) AS tex", "true AS display")
+    code = "import sys, json\nv = json.loads(sys.stdin.readline())\nprint(json.dumps({'i': v['i'], 'ok': True}))"
+    got = external.scored(df, [sys.executable, "-c", code]).groupBy("ok").count().collect()
+    assert {r["ok"]: r["count"] > 0 for r in got} == {True: True, None: True} and sum(r["count"] for r in got) == 20_000
