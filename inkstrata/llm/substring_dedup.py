@@ -109,7 +109,7 @@ def _meet(rows: pa.Table) -> pa.Table:
     order = np.lexsort((ask["rid"], ask["doc_id"], ask["content"], ask["anchor"]))
     ask = {n: v[order] for n, v in ask.items()}
     if not len(order):
-        return rows.filter(pa.array(done))
+        return rows.filter(pa.array(done)).select(NAMES)
     new_anchor = np.concatenate([[True], ask["anchor"][1:] != ask["anchor"][:-1]])
     new = new_anchor | np.concatenate([[True], ask["content"][1:] != ask["content"][:-1]])
     which = np.cumsum(new) - 1
@@ -130,14 +130,19 @@ CUT = "anchor long, doc_id long, rid long, first int, many int, content binary,
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Wanted segments of each document: what 2 by content, what 0 (hot anchors) as one hash per window."""
+    """Wanted segments of each document, once for rows that repeat: what 2 by content, what 0 (hot anchors) as one hash per window."""
     names = [x.split()[0] for x in CUT.split(", ")]
     types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64())
     w = LENGTH - GRAM + 1
+    done: set[tuple[int, int]] = set()
     for batch in batches:
         data, offsets = utf8(batch.column(2))
         out: list[tuple] = []
+        rows = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
         for i, wanted in enumerate(batch.column(3).to_pylist()):
+            if rows[i] in done:  # a repeated row has the same contents
+                continue
+            done.add(rows[i])
             body, doc_id, rid = data[offsets[i] : offsets[i + 1]], batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
             for s in wanted:
                 part = body[s["first"] : s["last"] + LENGTH]
@@ -333,7 +338,8 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
         copies = crowd.join(once.where("n > 1").select("anchor", "content"), ["anchor", "content"], "left_semi").select("doc_id", "rid", "first", "last")
         ranges = ranges.unionByName(copies).unionByName(_spread(cut.where("content is null")))
     ranges = staged(ranges, "ranges")
-    per_doc = ranges.groupBy("doc_id", "rid").agg(F.collect_list(F.struct("first", "last")).alias("found"))
+    # rows that repeat give the same ranges, which count once, or each would get the ranges of all
+    per_doc = ranges.groupBy("doc_id", "rid").agg(F.collect_set(F.struct("first", "last")).alias("found"))
     return own.join(per_doc.hint("shuffle_hash"), ["doc_id", "rid"], "left").select(given("doc_id"), "text", "found").mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, spans array<long>, kept binary")
 
 

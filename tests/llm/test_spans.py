@@ -270,3 +270,11 @@ def test_redaction_of_many_spans_and_of_rows_without_id(spark):
     got = {(r["doc_id"], r["text"], r["n_chars"]) for r in pii.redact(df).collect()}
     long = "日本 [IP] [EMAIL] " * n
     assert got == {(None, "x [EMAIL] y", 11), (1, long, len(long)), (2, "none", 7), (None, None, None)}
+
+
+def test_a_long_key_is_judged_as_a_whole(spark):
+    access, key, more = "ASIAQWERTYUIOP123456", "B9xYzKqWpLmNvTr0", "g" * 10_000
+    rows = [f"https://db.example.com {access} with {key}{more}", f"https://db.example.com {access} with {more}{key}", f"https://db.example.com {access} with {more}"]
+    got = {r["doc_id"]: [(s["kind"], s["end"] - s["start"]) for s in r["spans"]] for r in secrets.find(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    pair = [("access", len(access)), ("assign", len(key) + len(more))]
+    assert got == {0: pair, 1: pair, 2: []}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -68,3 +69,18 @@ def test_removal_against_all_windows(spark, tmp_path, monkeypatch, shard, hot):
 
 def test_empty(spark):
     assert S.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_repeated_rows_cost_as_much_as_copies_with_ids_of_their_own(spark):
+    text, n = "".join(random.Random(3).choice("abcdefgh ") for _ in range(3500)), 8000
+
+    def seconds(same):
+        df = spark.range(n).selectExpr(f"{'7L' if same else 'id'} AS doc_id", f"'{text}' AS text")
+        began = time.time()
+        got = S.remove_repeats(df).groupBy("n_removed").count().collect()
+        assert [(r["n_removed"], r["count"]) for r in got] == [(3500, n)]
+        return time.time() - began
+
+    seconds(True)
+    own, same = seconds(False), seconds(True)
+    assert same < 2 * own + 2
