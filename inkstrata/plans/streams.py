@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from datetime import timedelta
 
 from pyspark.sql import functions as F
 
 from inkstrata.plans.registry import ORACLE_SQL, query
 from inkstrata.plans import state  # noqa: F401  registers the batch twins
 from inkstrata.sources import read, shared_dir
-from inkstrata.streaming import changes
+from inkstrata.streaming import changes, leases
+
 
 def _events(spark, d):
     batch = read(spark, d, "events")
@@ -31,3 +33,27 @@ def stream_stage_changes(spark, d):
 def stream_first_seen(spark, d):
     seen = changes.first_seen(_events(spark, d), "user_id", "ts")
     return changes.drain(seen, f"s{uuid.uuid4().hex}", "complete", _checkpoint(spark)).select("user_id", F.unix_micros("first_seen").alias("first_us"))
+
+
+#: A lease of twelve hours for each user, kept by any event but an error, which closes it.
+LEASES = """
+    WITH w AS (SELECT user_id, epoch_us(ts) AS tu, event_type AS label, lag(epoch_us(ts)) OVER u AS prev_at, lag(event_type) OVER u AS prev, lead(epoch_us(ts)) OVER u AS next_at FROM events WINDOW u AS (PARTITION BY user_id ORDER BY ts, event_type)),
+    o AS (SELECT *, tu + 43200000000 AS until, label <> 'error' AND (prev_at IS NULL OR prev = 'error' OR tu > prev_at + 43200000000) AS opens, (SELECT max(epoch_us(ts)) // 1000 FROM events) AS watermark FROM w),
+    g AS (SELECT *, sum(CAST(opens AS INT)) OVER (PARTITION BY user_id ORDER BY tu, label ROWS UNBOUNDED PRECEDING) AS lease FROM o),
+    l AS (SELECT user_id, lease, count(*) AS beats, array_to_string(list_reverse(list_slice(list(label ORDER BY tu DESC, label DESC), 1, 5)), ',') AS recent FROM g WHERE label <> 'error' GROUP BY user_id, lease),
+    e AS (SELECT user_id, lease, 'closed' AS event, tu AS at_us FROM g WHERE label = 'error' AND prev <> 'error' AND tu <= prev_at + 43200000000
+          UNION ALL SELECT user_id, lease, 'lapsed', until FROM g WHERE label <> 'error' AND (next_at > until OR (next_at IS NULL AND (until + 999) // 1000 <= watermark)))
+    SELECT user_id, 'opened' AS event, tu AS at_us, CAST(0 AS BIGINT) AS beats, '' AS recent FROM g WHERE opens
+    UNION ALL SELECT e.user_id, e.event, e.at_us, l.beats, l.recent FROM e JOIN l ON l.user_id = e.user_id AND l.lease = e.lease
+"""
+
+
+@query(LEASES)
+def stream_leases(spark, d):
+    """Leases by event time: opened, closed, or lapsed once the watermark has passed their end, with their last five events."""
+    before = leases.provided(spark)
+    try:
+        told = leases.lease_events(_events(spark, d), "user_id", "ts", "event_type", timedelta(hours=12), "0 seconds", ending="error", cap=5)
+        return changes.drain(told, f"s{uuid.uuid4().hex}", "append", _checkpoint(spark))
+    finally:
+        leases.restored(spark, before)

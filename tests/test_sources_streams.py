@@ -1,12 +1,13 @@
 from __future__ import annotations
 
 import json
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
 
 from inkstrata import sources as S
-from inkstrata.streaming import changes
+from inkstrata.streaming import changes, leases
 
 
 def put(path, text):
@@ -81,3 +82,26 @@ def test_stream_windows_and_sessions(spark, feed):
     assert w.agg(F.sum("n")).first()[0] == 15
     s = changes.drain(changes.sessions(stream, "user", "at", "5 minutes", "3 hours"), "t_ses", "complete", f"{tmp}/c5")
     assert {(r["user"], r["events"]) for r in s.collect()} == {(1, 12), (2, 3)}
+
+
+def test_a_lease_lapses_without_an_event_of_its_key(spark, tmp_path):
+    form, t0 = "who string, at timestamp, label string", datetime(2024, 1, 1, tzinfo=timezone.utc)
+
+    def told(rows):
+        spark.createDataFrame([(k, t0 + timedelta(minutes=m), x) for k, m, x in rows], form).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(form).parquet(f"{tmp_path}/in")
+        out = changes.drain(leases.lease_events(stream, "who", "at", "label", timedelta(minutes=10), "0 seconds", ending="end", cap=2), "leases", "append", f"{tmp_path}/checkpoint")
+        return sorted((r["who"], r["event"], round((r["at_us"] / 1e6 - t0.timestamp()) / 60), r["beats"], r["recent"]) for r in out.collect())
+
+    before = spark.conf.get(leases.PROVIDER, None)
+    was = leases.provided(spark)
+    try:
+        assert told([("a", 0, "x"), ("a", 5, "y"), ("b", 1, "x"), ("b", 2, None), ("b", 3, "z"), ("c", 4, "end")]) == [("a", "opened", 0, 0, ""), ("b", "opened", 1, 0, "")]
+        # only c is heard of: b ends at 13, a at 15
+        assert told([("c", 14, "x")]) == [("b", "lapsed", 13, 3, ",z"), ("c", "opened", 14, 0, "")]
+        # a is kept alive before the watermark passes its end
+        assert told([("a", 14.5, "w"), ("c", 20, "end")]) == [("c", "closed", 20, 1, "x")]
+        assert told([("c", 40, "x")]) == [("a", "lapsed", 24, 3, "y,w"), ("c", "opened", 40, 0, "")]
+    finally:
+        leases.restored(spark, was)
+    assert spark.conf.get(leases.PROVIDER, None) == before
