@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
+from bisect import bisect_left
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -46,6 +47,12 @@ IMPLIED = {
 }
 SCOPE = frozenset("td th caption table html body".split())
 
+#: Layout is bounded, text is not: levels that still indent, characters that a table column is padded to,
+#: columns up to which spans count.  Without them a short page of deep lists or wide cells becomes mostly blanks.
+LEVELS = 40
+PADDED = 120
+SPANNED = 1000
+
 
 class Node:
     __slots__ = ("attrs", "kids", "tag")
@@ -58,22 +65,19 @@ def tree(page: str) -> Node:
     """The element tree of a page; text is str among the kids."""
     root = Node("#root", {})
     stack, at, n = [root], 0, len(page)
-    open_: Counter[str] = Counter()
+    places: defaultdict[str, list[int]] = defaultdict(list)  # where each tag stands in the stack
 
     def close(tags: tuple[str, ...], stops: tuple[str, ...] | frozenset[str]) -> bool:
-        if not any(open_[t] for t in tags):
+        """End the innermost of the tags unless one of the stops lies inside it: two lookups, not a walk down the stack."""
+        first = max((places[t][-1] for t in tags if places[t]), default=0)
+        if not first or first < max((places[t][-1] for t in stops if places[t]), default=0):
             return False
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in tags:
-                first = k
-                while first > 1 and stack[first - 1].tag in tags and len(tags) > 1:
-                    first -= 1
-                open_.subtract(x.tag for x in stack[first:])
-                del stack[first:]
-                return True
-            if stack[k].tag in stops:
-                return False
-        return False
+        while first > 1 and stack[first - 1].tag in tags and len(tags) > 1:
+            first -= 1
+        for node in stack[first:]:
+            places[node.tag].pop()
+        del stack[first:]
+        return True
 
     def say(text: str) -> None:
         if text:
@@ -113,8 +117,8 @@ def tree(page: str) -> Node:
             at = end.end() if end else n
             continue
         if not m[3].endswith("/") or tag not in ("svg", "math"):
+            places[tag].append(len(stack))
             stack.append(node)
-            open_[tag] += 1
     return root
 
 
@@ -158,9 +162,9 @@ class Flow:
         if self.gap == 2 and self.lines:
             self.lines.append("")
         self.gap = 1
-        lead = "".join(self.indent)
+        lead = "".join(self.indent[:LEVELS])
         if self.marker:
-            lead = lead[: len(lead) - len(self.marker)] + self.marker
+            lead = lead[: max(0, len(lead) - len(self.marker))] + self.marker
             self.marker = ""
         self.lines.append((lead + line).rstrip())
 
@@ -190,7 +194,7 @@ def grid(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
             while held.get(at, 0):
                 at += 1
             out.append((at, cols, lines))
-            if down > 1:
+            if down > 1 and at < SPANNED:
                 later |= {k: down for k in range(at, at + cols)}
             at += cols
         held = {k: v - 1 for k, v in (held | later).items() if v > 1}
@@ -200,6 +204,7 @@ def grid(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
         covered = [k for k in range(c, c + cols) if k in wide] or [c]
         have = sum(wide.get(k, 0) for k in covered) + 3 * (len(covered) - 1)
         wide[covered[-1]] = wide.get(covered[-1], 0) + max(0, max(map(len, lines)) - have)
+    wide = {c: min(w, PADDED) for c, w in wide.items()}
     shown = sorted(wide)
     if len(shown) < 2:
         return [line for row in placed for *_, lines in row for line in lines]
@@ -208,10 +213,10 @@ def grid(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
         for k in range(max((len(lines) for *_, lines in row), default=0)):
             parts, at = [], 0
             for c, cols, lines in row:
-                mine = [x for x in shown if c <= x < c + cols]
+                mine = shown[bisect_left(shown, c) : bisect_left(shown, c + cols)]
                 if not mine:
                     continue
-                parts += [" " * wide[x] for x in shown if at <= x < c]
+                parts += [" " * wide[x] for x in shown[bisect_left(shown, at) : bisect_left(shown, c)]]
                 parts.append((lines[k] if k < len(lines) else "").ljust(sum(wide[x] for x in mine) + 3 * (len(mine) - 1)))
                 at = c + cols
             text.append(" | ".join(parts).rstrip())
@@ -301,6 +306,8 @@ def _render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url and the visible text of every page; null and empty pages give an empty text.
 
+    Time and output stay in proportion to the page: lists indent up to `LEVELS`
+    deep, table columns are padded up to `PADDED` characters; no text is cut.
     Broken markup never fails: unmatched end tags are dropped, open elements
     end with the page, a comment or raw element without an end takes the rest.
     """

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import re
+import time
 from collections import Counter
 from html.parser import HTMLParser
 
@@ -47,6 +48,31 @@ def test_depth_and_length():
     assert render("<" * 20_000).startswith("<")
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<ul><li>x" * 40_000,
+        "<ol><li>x<blockquote>" * 20_000,
+        "<b><table><tr><td>" + "<span>" * 40_000 + "</b>" * 40_000 + "x",
+        "<table><tr><td>" + "<i>" * 20_000 + "</p></td><td>x" * 20_000,
+        "<table>" + "<tr><td colspan=1000 rowspan=1000>x" * 2_000,
+        "<table><tr><td>" + "w" * 50_000 + "<td>x" + "<tr><td>a<td>x" * 20_000,
+    ],
+)
+def test_broken_pages_cost_in_proportion(page):
+    began = time.time()
+    text = render(page)
+    assert time.time() - began < 4 and len(text) < 12 * len(page)
+    assert text.count("x") == re.sub("<[^>]*>", "", page).count("x")
+
+
+def test_deep_lists_and_wide_cells_keep_their_text():
+    deep = "".join(f"<ul><li>w{k}" for k in range(60))
+    lines = render(deep).split("\n")
+    assert [x.strip() for x in lines] == [f"- w{k}" for k in range(60)] and lines[5] == "  " * 5 + "- w5"
+    assert render(f"<table><tr><td>{'a' * 200}<td>b<tr><td>c<td>d</table>") == f"{'a' * 200} | b\n{'c'.ljust(120)} | d"
+
+
 def test_pages(spark):
     sf = "/root/testdata/sf0.001"
     pages = {r["page_id"]: r["html"] for r in pq.read_table(f"{sf}/pages.parquet").to_pylist()}
