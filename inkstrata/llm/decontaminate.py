@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -236,7 +237,11 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[Block]:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Rows of docs without any hit, with all their columns; each block is one map pass."""
+    """Rows of docs without any hit, with all their columns.
+
+    Each block is one map pass; where there are several, the rows that are left
+    are written after each, so neither the driver nor a plan holds two blocks.
+    """
     at = docs.columns.index("text")
 
     def keep(block: Block) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -251,8 +256,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES)
         return run
 
     schema = docs.schema
+    several = False
     for block in _blocks(benchmark, block_bytes):
-        docs = docs.mapInArrow(keep(block), schema)
+        docs = (staged(docs, "winnow-left") if several else docs).mapInArrow(keep(block), schema)
+        several = True
     return docs
 
 
@@ -270,8 +277,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOC
         return own.mapInArrow(_pass(one), FOUND)
     numbered = staged(own.withColumn("row", F.monotonically_increasing_id()), "winnow").select("row", "text", "doc_id")
     out = None
-    for block in (one, more, *blocks):
+    for block in chain((one, more), blocks):  # each is asked for once the one before has been written
         found = numbered.select("row", "text").mapInArrow(_pass(block), FOUND).withColumnRenamed("doc_id", "row")
+        # rows without a hit say their number of words once, with the first block
+        found = staged(found if out is None else found.where("size(items) > 0"), "winnow-found")
         out = found if out is None else out.unionByName(found)
     out = out.join(numbered.select("row", "doc_id"), "row")
     return out.groupBy("row").applyInArrow(_merge, "row long, " + FOUND).drop("row")

@@ -72,8 +72,9 @@ def _dealt(chunks: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            chunk = (mix(ids.astype(np.int64).view(U64) * GOLDEN) % U64(chunks)).astype(np.int64)
+            # id and text: many rows without an id, or with the same one, are dealt like others
+            ids, said = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64).view(U64) for k in (0, 3))
+            chunk = (mix(mix(ids * GOLDEN) + said) % U64(chunks)).astype(np.int64)
             rows = []
             for c in np.unique(chunk):
                 part = batch.filter(pa.array(chunk == c))
@@ -276,14 +277,14 @@ def score(docs: DataFrame, train, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
 
     train: boolean column over doc_id of the documents to learn from.  A text
     is its words and one end token; null and blank texts are the end token
-    alone.  Repeated rows count and are scored each.  A null
-    doc_id is held out.  Without training
+    alone.  Repeated rows count and are scored each; those equal in id and text
+    share a chunk.  A null doc_id is held out.  Without training
     documents every token is unknown and each score is zero.
     """
     own = texts(docs.withColumn("doc_id", F.col("doc_id").cast("long"))).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text", F.coalesce(train, F.lit(False)).alias("train"))
     size = own.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     chunks = max(1, -(-size // chunk_bytes))
-    dealt = own.mapInArrow(_dealt(chunks), DEALT)
+    dealt = own.withColumn("said", F.xxhash64("text")).mapInArrow(_dealt(chunks), DEALT)
     asked = dealt.groupBy("chunk").applyInArrow(_ask(-(-chunks // 2)), ASKED)
     answers = staged(asked.groupBy("ord", "range").applyInArrow(_answer, ANSWER), "counts")
     stats = {(r["ord"], r["c"]): r["n"] for r in answers.where("chunk is null").groupBy("ord", "c").agg(F.sum("n").alias("n")).collect()}

@@ -156,11 +156,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
     """Learn from at most `sample` labelled documents outside the held-out fold.
 
     Null labels and labels without a document are skipped; of repeated labels
-    of a document the largest counts; repeated documents count each.
+    of a document the largest counts; of several documents with one id one
+    counts (the smallest hash of its text), so `sample` bounds the rows too.
     """
     own = labels.where("quality is not null and doc_id is not null").where(~held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("quality"))
     some = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    bags = texts(docs).join(F.broadcast(some), "doc_id").select("doc_id", "text", "quality").mapInArrow(_bags, "doc_id long, rows binary, counts binary, quality int")
+    chosen = texts(docs).join(F.broadcast(some), "doc_id").groupBy("doc_id", "quality").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    bags = chosen.select("doc_id", "text", "quality").mapInArrow(_bags, "doc_id long, rows binary, counts binary, quality int")
     read = [(r["doc_id"], np.frombuffer(r["rows"], "<i4"), np.frombuffer(r["counts"], "<i4"), int(r["quality"] > 0)) for r in bags.toLocalIterator(prefetchPartitions=True)]
     read.sort(key=lambda r: (r[0], r[1].tobytes()))
     return train([r[1:] for r in read])
