@@ -157,12 +157,14 @@ def provider_health(workers: DataFrame, chain: list[str]) -> DataFrame:
     return j.withColumn("status", F.when(F.col("workers") == 0, "idle").when(F.col("failures") * 2 > F.col("workers"), "degraded").when((F.col("ord") > 0) & (first == 0), "fallback").otherwise("ok"))
 
 
-def quota_slots(accounts: DataFrame, picks: DataFrame, order: list[str]) -> DataFrame:
-    """The first picks zipped with the free slots of the accounts, in order of account."""
+def quota_slots(accounts: DataFrame, picks: DataFrame, order: list[str], coarse: Column) -> DataFrame:
+    """The first picks zipped with the free slots of the accounts, in order of account: both sides are ranked where they are, and meet by rank.
+
+    coarse: a value that never falls along the order and has few distinct ones.
+    """
     slots = accounts.where("remaining > 0").withColumn("slot", F.explode(F.sequence(F.lit(1), F.col("remaining").cast("int"))))
     slots = global_rank(slots, [F.col("account")], [F.col("slot")], "_k")
-    most = accounts.agg(F.sum(F.greatest("remaining", F.lit(0)))).first()[0] or 0  # quotas are few, so the picks that fit are too
-    mine = picks.orderBy(*order).limit(int(most)).withColumn("_k", F.row_number().over(Window.orderBy(*order)))
+    mine = global_rank(picks, [coarse], [F.col(c) for c in order], "_k")
     return mine.join(slots.select("_k", "account", "slot"), "_k").drop("_k")
 
 

@@ -75,12 +75,13 @@ def audit_findings(spark, d):
 
 
 @query("""
-    WITH a AS (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice) AS k, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem WHERE l_returnflag = 'A'),
-    b AS (SELECT l_orderkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_suppkey, l_partkey, l_quantity, l_extendedprice) AS k, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem WHERE l_returnflag = 'R')
+    WITH a AS (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice) AS k, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem WHERE l_returnflag = 'A' OR (l_returnflag = 'N' AND l_linenumber % 2 = 0)),
+    b AS (SELECT l_orderkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_suppkey, l_partkey, l_quantity, l_extendedprice) AS k, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem WHERE NOT (l_returnflag = 'A' OR (l_returnflag = 'N' AND l_linenumber % 2 = 0)))
     SELECT a.l_orderkey, a.l_partkey, b.l_suppkey FROM a JOIN b USING (l_orderkey, k, n)
 """)
 def zip_groups(spark, d):
-    rows = read(spark, d, "lineitem")
-    a = rows.where("l_returnflag = 'A'").select("l_orderkey", "l_partkey", F.struct("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice").alias("oa"))
-    b = rows.where("l_returnflag = 'R'").select("l_orderkey", "l_suppkey", F.struct("l_suppkey", "l_partkey", "l_quantity", "l_extendedprice").alias("ob"))
+    """Every line item is on one side; groups of equal size are zipped by their order."""
+    rows = read(spark, d, "lineitem").withColumn("left", F.expr("l_returnflag = 'A' OR (l_returnflag = 'N' AND l_linenumber % 2 = 0)"))
+    a = rows.where("left").select("l_orderkey", "l_partkey", F.struct("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice").alias("oa"))
+    b = rows.where("NOT left").select("l_orderkey", "l_suppkey", F.struct("l_suppkey", "l_partkey", "l_quantity", "l_extendedprice").alias("ob"))
     return C.zip_by_ordinal(a, b, ["l_orderkey"], "oa", "ob").select("l_orderkey", "l_partkey", "l_suppkey")

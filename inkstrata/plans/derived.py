@@ -119,13 +119,13 @@ def locator_targets(spark, d):
 
 
 @query("""
-    WITH c AS (SELECT p_brand, p_size || '.1' AS num, arg_min(p_partkey, p_partkey) AS pos, arg_min(p_name, p_partkey) AS src FROM part WHERE p_partkey % 3 < 2 GROUP BY 1, 2), w AS (SELECT DISTINCT p_brand, p_size || '.1' AS base, p_partkey % 2 = 1 AS lettered FROM part)
+    WITH c AS (SELECT p_brand, p_size || '.1' AS num, arg_min(p_partkey, p_partkey) AS pos, arg_min(p_name, p_partkey) AS src FROM part GROUP BY 1, 2), w AS (SELECT DISTINCT p_brand, (p_size + 1) || '.1' AS base, p_partkey % 2 = 1 AS lettered FROM part)
     SELECT w.p_brand AS slug, base || CASE WHEN lettered THEN 'b' ELSE '' END AS ref, pos, src FROM w LEFT JOIN c ON c.p_brand = w.p_brand AND c.num = w.base
 """)
 def caption_candidates(spark, d):
-    p = _parts(spark, d).select(p_brand().alias("slug"), F.lit("figure").alias("kind"), _s(p_size(), ".1").alias("num"), p_key().alias("pos"), p_name().alias("src"))
-    wanted = p.select("slug", "kind", F.concat("num", F.when(F.col("pos") % 2 == 1, "b").otherwise("")).alias("ref")).distinct()
-    return C.caption_candidates(p.where("pos % 3 < 2"), wanted, ["slug"]).select("slug", "ref", "pos", "src")
+    p = _parts(spark, d).select(p_brand().alias("slug"), F.lit("figure").alias("kind"), _s(p_size(), ".1").alias("num"), p_key().alias("pos"), p_name().alias("src"), p_size().alias("size"))
+    wanted = p.select("slug", "kind", F.concat(F.col("size") + 1, F.lit(".1"), F.when(F.col("pos") % 2 == 1, "b").otherwise("")).alias("ref")).distinct()
+    return C.caption_candidates(p.drop("size"), wanted, ["slug"]).select("slug", "ref", "pos", "src")
 
 
 @query(r"SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'x = ' || p_size WHEN 1 THEN p_name WHEN 2 THEN p_name || ' $ b' ELSE '\alpha' END AS tex, CASE p_partkey % 4 WHEN 0 THEN p_size || '.' || p_partkey WHEN 3 THEN p_size || '.' || p_partkey || 'a' END AS label FROM part")

@@ -89,12 +89,12 @@ def page_triage(spark, d):
     return U.triage(pages)
 
 
-@query("SELECT CAST(c_custkey AS VARCHAR) || '_sol' AS slug FROM customer WHERE c_custkey % 3 = 0 AND c_custkey % 2 = 1")
+@query("SELECT DISTINCT CAST(o_custkey * 2 AS VARCHAR) || '_sol' AS slug FROM orders WHERE o_custkey * 2 NOT IN (SELECT c_custkey FROM customer)")
 def orphan_solutions(spark, d):
-    k = F.col("c_custkey")
-    c = read(spark, d, "customer")
-    u = c.where(k % 2 == 0).select(k.cast("string").alias("slug")).union(c.where(k % 3 == 0).select(F.concat(k.cast("string"), F.lit("_sol"))))
-    return U.orphans(u).select("slug")
+    """Customers are works; each order brings the solutions of the work with twice its customer's number, if there is one."""
+    works = read(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("slug"))
+    solutions = read(spark, d, "orders").select(F.concat((F.col("o_custkey") * 2).cast("string"), F.lit("_sol")).alias("slug")).distinct()
+    return U.orphans(works.union(solutions)).select("slug")
 
 
 @query("SELECT count(*) FILTER (o_orderstatus = 'O' OR (o_orderstatus = 'P' AND NOT (o_orderdate > TIMESTAMP '2001-01-01' - INTERVAL 90 DAY))) AS remaining FROM orders")
@@ -152,11 +152,11 @@ def pattern_samples(spark, d):
     return G.samples(docs, ["book"], "doc_id", "[0-9]{2,}", 5)
 
 
-@query("SELECT l_orderkey AS slug, l_linenumber AS chunk_key, l_partkey AS anchor FROM lineitem WHERE l_returnflag = 'A' AND l_partkey % 3 > 0 GROUP BY 1, 2, 3 HAVING count(*) = 1")
+@query("SELECT l_orderkey AS slug, l_linenumber AS chunk_key, l_partkey AS anchor FROM lineitem WHERE l_partkey % 3 > 0 GROUP BY 1, 2, 3 HAVING count(*) = 1")
 def missing_anchor_entries(spark, d):
-    rows = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("slug"), F.col("l_linenumber").alias("chunk_key"), F.col("l_partkey").alias("anchor"), "l_returnflag").where("l_returnflag = 'A'")
+    rows = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("slug"), F.col("l_linenumber").alias("chunk_key"), F.col("l_partkey").alias("anchor"))
     once = rows.groupBy("slug", "chunk_key", "anchor").agg(F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")
-    return C.missing_anchors(once, rows.where("anchor % 3 = 0").select("slug", "chunk_key", F.col("anchor").alias("id")))
+    return C.missing_anchors(once, rows.select("slug", "chunk_key", F.when(F.col("anchor") % 3 == 0, F.col("anchor")).alias("id")))
 
 
 @query("SELECT p_partkey, CASE WHEN instr(p_name, 'r') = 0 THEN p_name WHEN p_size % 2 = 0 THEN replace(p_name, 'r', 'RR') ELSE left(p_name, instr(p_name, 'r') - 1) || 'RR' || substr(p_name, instr(p_name, 'r') + 1) END AS text FROM part")

@@ -136,8 +136,8 @@ def override_merge_counts_whole(spark, d):
     return O.merge_overrides(base, read(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")))[1]
 
 
-@query("SELECT conv_id, turn, instr(text, substr(text, 11, 20)) AS at FROM conversations WHERE length(text) > 40")
+@query("SELECT conv_id, turn, instr(text, substr(text, 11, 20)) AS at FROM conversations")
 def quote_locate(spark, d):
-    c = read(spark, d, "conversations").where(F.length("text") > 40)
+    c = read(spark, d, "conversations")
     quote = F.substr("text", F.lit(11), F.lit(20))
     return c.select("conv_id", "turn", O.locate_quote(F.col("text"), F.lit("\x00"), quote, F.lit(None).cast("string")).cast("long").alias("at"))

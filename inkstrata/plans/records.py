@@ -33,16 +33,14 @@ def _folder(spark, name: str) -> str:
 # Readers: files are written from a whole table first, broken and foreign ones among them.
 
 
-@query("SELECT lower(p_type) AS slug, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) - 1 AS idx, CASE WHEN p_size % 2 = 0 THEN 'text' ELSE 'list' END AS type, CASE WHEN p_size % 2 = 0 THEN p_name END AS text, CASE WHEN p_size % 2 = 1 THEN p_brand || '|' || p_name END AS items FROM part")
+@query("SELECT 'b' || (p_partkey // 500) AS slug, row_number() OVER (PARTITION BY p_partkey // 500 ORDER BY p_partkey) - 1 AS idx, CASE WHEN p_size % 2 = 0 THEN 'text' ELSE 'list' END AS type, CASE WHEN p_size % 2 = 0 THEN p_name END AS text, CASE WHEN p_size % 2 = 1 THEN p_brand || '|' || p_name END AS items FROM part")
 def unified_blocks(spark, d):
-    """One JSON array per book (a book per part type); folders with bad names and texts that are no JSON give nothing."""
+    """One JSON array per book (a book is a range of 500 keys); folders with bad names and texts that are no JSON give nothing."""
     path, p = _folder(spark, "unified"), _parts(spark, d)
     block = F.struct(p_key().alias("k"), F.when(p_size() % 2 == 0, "text").otherwise("list").alias("type"), F.when(p_size() % 2 == 0, p_name()).alias("text"), F.when(p_size() % 2 == 1, F.array(p_brand(), p_name())).alias("list_items"))
-    books = p.groupBy(p_type()).agg(F.to_json(F.array_sort(F.collect_list(block))).alias("value"))
-    for (kind,) in p.select(p_type()).distinct().collect():  # a fixed vocabulary
-        books.where(p_type() == kind).select("value").coalesce(1).write.text(f"{path}/{kind.lower()}")
-        books.where(p_type() == kind).select("value").coalesce(1).write.text(f"{path}/Bad {kind}")
-    books.select(F.lit('[{"type": ').alias("value")).limit(1).coalesce(1).write.text(f"{path}/broken")
+    books = p.groupBy(F.floor(p_key() / 500).alias("book")).agg(F.to_json(F.array_sort(F.collect_list(block))).alias("value"))
+    copies = F.explode(F.array(*[F.struct(F.concat(F.lit(name), F.col("book").cast("string")).alias("slug"), value.alias("value")) for name, value in (("b", F.col("value")), ("Bad ", F.col("value")), ("broken", F.lit('[{"type": ')))]))
+    books.select(copies.alias("c")).select("c.*").write.partitionBy("slug").text(path)
     return src.blocks(spark, f"{path}/*/part-*").select("slug", F.col("idx").cast("long").alias("idx"), "type", "text", F.array_join("list_items", "|").alias("items")).where("idx is not null")
 
 
@@ -69,10 +67,9 @@ def session_lines(spark, d):
 def listed_books(spark, d):
     """Book records whose own slug is that of their folder; the promo folder holds records of another."""
     path, p = _folder(spark, "books"), _parts(spark, d)
-    for (kind,) in p.select(p_type()).distinct().collect():  # a fixed vocabulary
-        slug = F.lit(kind.lower()) if kind != "PROMO" else F.lit("other")
-        p.where(p_type() == kind).agg(F.count(F.lit(1)).alias("books")).select(slug.alias("slug"), "books").coalesce(1).write.json(f"{path}/{kind.lower()}/bake")
-    return src.books(spark, f"{path}/*/bake/part-*", "slug string, books long")
+    own = F.when(p_type() == "PROMO", "other").otherwise(F.lower(p_type()))
+    p.groupBy(F.lower(p_type()).alias("folder"), own.alias("slug")).agg(F.count(F.lit(1)).alias("books")).withColumn("part", F.lit("bake")).write.partitionBy("folder", "part").json(path)
+    return src.books(spark, f"{path}/*/*/part-*", "slug string, books long")
 
 
 @query("SELECT n_name AS slug, CASE n_regionkey WHEN 0 THEN '1' WHEN 1 THEN '1,2' WHEN 2 THEN '3' END AS levels FROM nation")

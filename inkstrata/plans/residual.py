@@ -34,24 +34,25 @@ def multiset_containment(spark, d):
     return R.containment(s, o, ["unit"])
 
 
-HALVES = "b AS (SELECT DISTINCT user_id, event_type FROM events WHERE event_id % 2 = 0 AND value > 20), a AS (SELECT DISTINCT user_id, event_type FROM events WHERE event_id % 2 = 1 AND value > 30)"
+HALVES = "e AS (SELECT *, CAST(floor(value) AS BIGINT) AS place FROM events), b AS (SELECT DISTINCT user_id, event_type, place FROM e WHERE event_id % 2 = 0), a AS (SELECT DISTINCT user_id, event_type, place FROM e WHERE event_id % 2 = 1)"
 
 
-@query(f"WITH {HALVES} SELECT user_id, event_type, CASE WHEN a.x IS NULL THEN 'fixed' WHEN b.x IS NULL THEN 'collateral' ELSE 'still_bad' END AS change FROM (SELECT *, 1 AS x FROM b) b FULL JOIN (SELECT *, 1 AS x FROM a) a USING (user_id, event_type)")
+@query(f"WITH {HALVES} SELECT user_id, event_type, place, CASE WHEN a.x IS NULL THEN 'fixed' WHEN b.x IS NULL THEN 'collateral' ELSE 'still_bad' END AS change FROM (SELECT *, 1 AS x FROM b) b FULL JOIN (SELECT *, 1 AS x FROM a) a USING (user_id, event_type, place)")
 def report_diff(spark, d):
-    e = read(spark, d, "events")
-    return R.diff(e.where("event_id % 2 = 0 AND value > 20"), e.where("event_id % 2 = 1 AND value > 30"), ["user_id", "event_type"])
+    """Every event is a bad place of the report before (even ids) or after (odd ones)."""
+    e = read(spark, d, "events").withColumn("place", F.floor("value").cast("long"))
+    return R.diff(e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1"), ["user_id", "event_type", "place"])
 
 
 @query("""
-    WITH b AS (SELECT user_id, count(*) AS b FROM events WHERE event_id % 2 = 0 GROUP BY 1), a AS (SELECT user_id, count(*) AS a FROM events WHERE event_id % 2 = 1 AND value > 1 GROUP BY 1)
+    WITH b AS (SELECT user_id, count(*) AS b FROM events WHERE event_id % 2 = 0 GROUP BY 1), a AS (SELECT user_id, count(*) AS a FROM events WHERE event_id % 2 = 1 GROUP BY 1)
     SELECT sum(coalesce(b, 0)) AS before_occ, sum(coalesce(a, 0)) AS after_occ, count(*) FILTER (coalesce(a, 0) > coalesce(b, 0)) AS regressed, sum(coalesce(a, 0)) - sum(coalesce(b, 0)) AS delta,
       sum(coalesce(a, 0)) < sum(coalesce(b, 0)) AND count(*) FILTER (coalesce(a, 0) > coalesce(b, 0)) = 0 AS ok FROM b FULL JOIN a USING (user_id)
 """.replace("sum(coalesce(b, 0)) AS before_occ", "CAST(sum(coalesce(b, 0)) AS BIGINT) AS before_occ").replace("sum(coalesce(a, 0)) AS after_occ", "CAST(sum(coalesce(a, 0)) AS BIGINT) AS after_occ").replace("sum(coalesce(a, 0)) - sum(coalesce(b, 0)) AS delta", "CAST(sum(coalesce(a, 0)) - sum(coalesce(b, 0)) AS BIGINT) AS delta"))
 def regression_gate(spark, d):
     e = read(spark, d, "events").withColumnRenamed("user_id", "slug")
     b = e.where("event_id % 2 = 0").groupBy("slug").agg(F.count(F.lit(1)).alias("occ"))
-    a = e.where("event_id % 2 = 1 AND value > 1").groupBy("slug").agg(F.count(F.lit(1)).alias("occ"))
+    a = e.where("event_id % 2 = 1").groupBy("slug").agg(F.count(F.lit(1)).alias("occ"))
     return R.gate(b, a)
 
 

@@ -111,13 +111,13 @@ def provider_health(spark, d):
 
 
 @query("""
-    WITH s AS (SELECT s_suppkey AS account, unnest(generate_series(1, s_suppkey % 4)) AS slot FROM supplier WHERE s_suppkey % 4 > 0), k AS (SELECT *, row_number() OVER (ORDER BY account, slot) AS k FROM s), p AS (SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS k FROM customer WHERE c_acctbal > 5000)
+    WITH s AS (SELECT s_suppkey AS account, unnest(generate_series(1, s_suppkey % 4)) AS slot FROM supplier WHERE s_suppkey % 4 > 0), k AS (SELECT *, row_number() OVER (ORDER BY account, slot) AS k FROM s), p AS (SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS k FROM customer)
     SELECT c_custkey, account, slot FROM p JOIN k USING (k)
 """)
 def quota_slots(spark, d):
     a = read(spark, d, "supplier").select(F.col("s_suppkey").alias("account"), (F.col("s_suppkey") % 4).alias("remaining"))
-    p = read(spark, d, "customer").where("c_acctbal > 5000").withColumn("o", -F.col("c_acctbal"))
-    return P.quota_slots(a, p, ["o", "c_custkey"]).select("c_custkey", "account", F.col("slot").cast("long").alias("slot"))
+    p = read(spark, d, "customer").withColumn("o", -F.col("c_acctbal"))
+    return P.quota_slots(a, p, ["o", "c_custkey"], F.floor(F.col("o") / 100)).select("c_custkey", "account", F.col("slot").cast("long").alias("slot"))
 
 
 @query("SELECT o_orderpriority AS domain, count(*) AS total, count(*) FILTER (o_orderstatus = 'O') AS actionable, count(*) FILTER (o_orderstatus = 'P') AS parked, count(*) FILTER (o_orderstatus = 'F') AS terminal, grouping(o_orderpriority) = 1 AS is_total FROM orders GROUP BY ROLLUP (o_orderpriority)")
