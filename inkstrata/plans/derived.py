@@ -246,10 +246,14 @@ def extract_solutions(spark, d):
     return out.select("slug", F.col("ch").cast("long").alias("ch"), "num", "solution")
 
 
-@query(r"SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '· ^ { · } ^ { · }' WHEN 1 THEN '\frac { · } { · } · \left ·' WHEN 2 THEN '\alpha _ { · }' ELSE '' END AS skeleton FROM part")
+@query(r"""
+    WITH t AS (SELECT doc_id, regexp_extract_all(translate(text, 'kzjxwy', '\^_{}&'), '(?s)\\[a-zA-Z@]+|\\.|\\$|[\^_{}&]|[^\\\^_{}&]+') AS parts FROM documents)
+    SELECT doc_id, array_to_string(list_transform(list_filter(parts, lambda p: trim(regexp_replace(p, '\s+', ' ', 'g')) <> ''), lambda p: CASE WHEN regexp_matches(p, '^[\\\^_{}&]') THEN p ELSE '·' END), ' ') AS skeleton FROM t
+""")
 def formula_skeletons(spark, d):
-    tex = _turn(p_key(), _s("a^{", p_size(), "}^{", p_name(), "}"), _s("\\frac{", p_size(), "}{", p_key(), "} + \\left( r"), _s("\\alpha_{", p_key(), "}"), F.lit(""))
-    return _parts(spark, d).select("p_partkey", M.skeleton(tex).alias("skeleton"))
+    """Every text with six of its letters read as TeX's structure characters."""
+    tex = F.translate("text", "kzjxwy", "\\^_{}&")
+    return read(spark, d, "documents").select("doc_id", M.skeleton(tex).alias("skeleton"))
 
 
 def _findings(spark, d):
@@ -272,18 +276,44 @@ def token_signals(spark, d):
 
 
 @query(r"""
-    SELECT event_id, ['double_script', 'math_mode', 'alignment', 'missing_brace', 'left_right', 'undefined_macro', 'other'][event_id % 7 + 1] AS category, CASE event_id % 7 WHEN 5 THEN '\' || event_type END AS macro FROM events
+    WITH e AS (SELECT event_id, concat_ws('; ', CASE WHEN event_id % 2 = 0 AND value > 30 THEN 'Double superscript at ' || event_id END, CASE WHEN user_id % 3 = 0 THEN 'Missing $ inserted' END, CASE WHEN value < 5 THEN 'Misplaced alignment tab' END,
+                      CASE WHEN event_id % 7 = 0 THEN 'Missing } inserted' END, CASE WHEN user_id % 5 = 0 THEN 'Extra \left' END, CASE WHEN event_type = 'signup' AND value > 10 THEN 'Undefined control sequence \u' || CAST(user_id AS VARCHAR) || ' or \' || event_type END, props) AS err FROM events),
+    m AS (SELECT *, lower(err) AS low, nullif(regexp_extract(err, '[Uu]ndefined control sequence\s*(\\[A-Za-z@]+|\\.)', 1), '') AS macro FROM e)
+    SELECT event_id, CASE WHEN macro IS NOT NULL THEN 'undefined_macro' WHEN contains(low, 'double superscript') OR contains(low, 'double subscript') OR contains(low, 'double exponent') THEN 'double_script' WHEN contains(low, 'missing $') OR contains(low, 'math mode') THEN 'math_mode'
+      WHEN contains(low, 'extra alignment') OR contains(low, 'misplaced alignment') THEN 'alignment' WHEN contains(low, 'missing {') OR contains(low, 'missing }') OR contains(low, 'argument') THEN 'missing_brace' WHEN contains(low, '\left') OR contains(low, '\right') THEN 'left_right' ELSE 'other' END AS category, macro FROM m
 """)
 def error_categorize(spark, d):
-    k = F.col("event_id")
-    err = _turn(k, _s("Double superscript at ", k), _s("Missing $ inserted near ", F.col("event_type")), _s("Misplaced alignment tab ", k), F.lit("Missing } inserted"), _s("Extra \\left after ", k), _s("undefined control sequence \\", F.col("event_type")), F.col("event_type"))
+    """Messages with several faults each: the first class that fits counts."""
+    e, v, u = F.col("event_id"), F.col("value"), F.col("user_id")
+    said = [
+        F.when((e % 2 == 0) & (v > 30), _s("Double superscript at ", e)),
+        F.when(u % 3 == 0, "Missing $ inserted"),
+        F.when(v < 5, "Misplaced alignment tab"),
+        F.when(e % 7 == 0, "Missing } inserted"),
+        F.when(u % 5 == 0, "Extra \\left"),
+        F.when((F.col("event_type") == "signup") & (v > 10), _s("Undefined control sequence \\u", u, " or \\", F.col("event_type"))),
+        F.col("props"),
+    ]
+    err = F.concat_ws("; ", *said)
     return read(spark, d, "events").select("event_id", M.category(err).alias("category"), M.macro(err).alias("macro"))
 
 
-@query(r"SELECT p_partkey, ['empty_shell', NULL, 'tex_primitive', NULL, NULL][p_partkey % 5 + 1] AS fault FROM part")
+#: Pieces that three numbers of an event choose from; the SQL judges what they make.
+PIECES = ["\\mathrm{", "}", "\\left.", "\\right.", "x", "\\def", " ", "\\quad", "\\alpha", "~", "$", "$$"]
+
+
+@query(rf"""
+    WITH p AS (SELECT event_id, [{", ".join("'" + x + "'" for x in PIECES)}] AS p, CAST(floor(value) AS BIGINT) AS v, user_id AS u FROM events),
+    n AS (SELECT event_id, trim('$' || p[event_id % 12 + 1] || p[(event_id + v) % 12 + 1] || p[(event_id * u + v) % 12 + 1] || '$') AS new FROM p),
+    s AS (SELECT event_id, CASE WHEN regexp_matches(new, '(?s)^\$\$.*\$\$$') AND length(new) > 3 THEN substr(new, 3, length(new) - 4) ELSE substr(new, 2, length(new) - 2) END AS s FROM n)
+    SELECT event_id, CASE WHEN regexp_matches(s, '{M.PRIMITIVES}') THEN 'tex_primitive' WHEN regexp_replace(regexp_replace(regexp_replace(s, '{M.WRAPPERS}', '', 'g'), '{M.CONTROL}', '§', 'g'), '[\^_{{}}&~\\,;:!\s]', '', 'g') = '' THEN 'empty_shell' END AS fault FROM s
+""")
 def semantic_faults(spark, d):
-    new = _turn(p_key(), F.lit(r"$\mathrm{}$"), _s("$N_{", p_size(), "}$"), _s("\\def\\x{", p_key(), "}"), F.lit(r"\[\left. \right.\]"), _s("$$", p_name(), "\\complement$$"))
-    return _parts(spark, d).select("p_partkey", M.semantic_fault(new).alias("fault"))
+    """Replacements put together from an event's numbers: shells of wrappers and blanks, and primitives, must not be taken."""
+    e, v, u = F.col("event_id"), F.floor("value"), F.col("user_id")
+    p = F.array(*[F.lit(x) for x in PIECES])
+    new = F.concat(F.lit("$"), *[F.get(p, (k % 12).cast("int")) for k in (e, e + v, e * u + v)], F.lit("$"))
+    return read(spark, d, "events").select("event_id", M.semantic_fault(new).alias("fault"))
 
 
 @query("SELECT p_partkey, unnest(list_distinct(['熱力', '力學', '場'] || string_split(p_name, ' ') || [lower(p_type)])) AS token FROM part")
@@ -315,11 +345,22 @@ def elapsed_seconds(spark, d):
     return _parts(spark, d).select("p_partkey", N.elapsed(_turn(p_key(), _s(p_size(), ":07"), _s(p_key(), ":00:01"), _s(p_size(), "-03:00:00"), p_name())).cast("long").alias("seconds"))
 
 
-@query("SELECT p_partkey, CAST([1.0, 0.6, 0.3, 0.0][p_partkey % 4 + 1] AS DOUBLE) AS confidence FROM part")
+TITLES = "t AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(url, '//([^.]*)', 1) AS host FROM pages)"
+
+
+@query(f"""
+    WITH {TITLES},
+    j AS (SELECT a.page_id, list_distinct(list_filter(regexp_extract_all(lower(a.title), '[a-z0-9]+'), lambda w: length(w) >= 3 AND w NOT IN ({", ".join("'" + w + "'" for w in T.MATCH_STOP)}))) AS want,
+            list_distinct(regexp_extract_all(lower(b.title), '[a-z0-9]+')) AS has, list_distinct(list_filter(list_transform(regexp_extract_all(a.host || ' ' || right(a.title, 12), '[A-Za-z]{{3,}}'), lambda w: lower(w)), lambda w: w NOT IN ({", ".join("'" + w + "'" for w in T.NAME_DROP)}))) AS names,
+            regexp_extract_all(lower(b.host || ' ' || b.title), '[a-z0-9_]+') AS hay FROM t a JOIN t b ON b.page_id = a.page_id + 1)
+    SELECT page_id, CASE WHEN len(want) = 0 THEN 0 ELSE round(0.6 * (len(list_intersect(want, has)) / greatest(len(want), 1)) + 0.4 * CAST(list_has_any(names, hay) AS INT), 3) END AS confidence FROM j
+""")
 def match_confidence(spark, d):
-    who, found_by = _turn(p_key(), F.lit("Alan Oppenheim"), F.lit("Hall"), F.lit("Clayden"), F.lit("")), _turn(p_key(), F.lit("Oppenheim, Willsky"), F.lit("Marshall"), F.lit("X"), F.lit(""))
-    found = _turn(p_key(), _s(p_name(), " & more"), _s("The ", p_name()), _s(F.element_at(F.split(p_name(), " "), 1), " of food"), F.lit("algebra"))
-    return _parts(spark, d).select("p_partkey", T.confidence(p_name(), who, found, found_by).alias("confidence"))
+    """Each page's title and host (as its author) against those of the next page."""
+    t = read(spark, d, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.regexp_extract("url", "//([^.]*)", 1).alias("host"))
+    after = t.select((F.col("page_id") - 1).alias("page_id"), F.col("title").alias("found"), F.col("host").alias("by"))
+    author = F.concat("host", F.lit(" "), F.right("title", F.lit(12)))
+    return t.join(after, "page_id").select("page_id", T.confidence(F.col("title"), author, F.col("found"), F.col("by")).alias("confidence"))
 
 
 @query("SELECT CAST(p_partkey AS VARCHAR) AS slug, p_partkey AS cid FROM part WHERE p_partkey % 3 = 0")
