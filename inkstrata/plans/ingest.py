@@ -102,7 +102,7 @@ def similar_titles(spark, d):
 
 @query("""
     WITH RECURSIVE w AS (SELECT doc_id, source, n_chars, lag(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS before, max(doc_id) OVER (PARTITION BY source) AS last FROM documents),
-    l AS (SELECT doc_id, CASE WHEN before IS NULL AND n_chars % 2 = 0 THEN last WHEN n_chars % 11 > 0 THEN before END AS parent FROM w),
+    l AS (SELECT doc_id, CASE WHEN before IS NULL AND n_chars % 2 = 0 THEN last WHEN n_chars % 101 > 0 THEN before END AS parent FROM w),
     t AS (SELECT doc_id, doc_id AS root, CAST(0 AS BIGINT) AS depth FROM l WHERE parent IS NULL UNION ALL SELECT l.doc_id, t.root, t.depth + 1 FROM l JOIN t ON l.parent = t.doc_id)
     SELECT l.doc_id, t.root, t.depth, CASE WHEN t.root IS NULL THEN 'cycle' WHEN t.depth = 0 THEN 'root' ELSE 'derived' END AS status FROM l LEFT JOIN t ON t.doc_id = l.doc_id
 """)
@@ -110,5 +110,5 @@ def record_lineage(spark, d):
     """Each document is made from the one before it of its source, unless its length says it begins anew; some first ones name the last: a cycle."""
     of = Window.partitionBy("source")
     w = read(spark, d, "documents").select("doc_id", "n_chars", F.lag("doc_id").over(of.orderBy("doc_id")).alias("before"), F.max("doc_id").over(of).alias("last"))
-    parent = F.when(F.col("before").isNull() & (F.col("n_chars") % 2 == 0), F.col("last")).when(F.col("n_chars") % 11 > 0, F.col("before"))
+    parent = F.when(F.col("before").isNull() & (F.col("n_chars") % 2 == 0), F.col("last")).when(F.col("n_chars") % 101 > 0, F.col("before"))
     return A.lineage(w.select("doc_id", parent.alias("parent")), "doc_id", "parent")
