@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkstrata.functions import numbers as N
+
 
 def every_key(key: str, *frames: DataFrame) -> DataFrame:
     """The distinct non-null keys of all frames."""
@@ -54,3 +56,9 @@ def select_proposed(proposals: DataFrame, **equal: str | None) -> DataFrame:
     for c, v in equal.items():
         out = out.where(F.col(c) == v) if v is not None else out
     return out
+
+
+def annotations(rows: DataFrame, slug: str, key: str, created: str) -> DataFrame:
+    """Notes of each book in reading order: by the numbers in their keys, piece by piece, then by time; place counts from 1."""
+    order = Window.partitionBy(slug).orderBy(N.number_tuple(F.col(key)), created, key)
+    return rows.withColumn("place", F.row_number().over(order).cast("long"))

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from inkstrata.functions import numbers as N
@@ -174,66 +173,93 @@ def rebuild_ranges(counts: DataFrame, keys: list[str], overlap: int) -> DataFram
     return counts.withColumn("start", start).withColumn("stop", F.col("start") + F.col("pages") - 1)
 
 
-def split_items(blocks: list[dict], start: re.Pattern, chapter: int, *, level: int = 1, must_match: bool = False, section: re.Pattern | None = None, end: re.Pattern | None = None, solution: re.Pattern | None = None, namespace: bool = False) -> list[dict]:
+class ItemMachine:
+    """The owner of each block, block by block in order; see `split_items`."""
+
+    def __init__(self, start: re.Pattern, chapter: int, *, level: int = 1, must_match: bool = False, section: re.Pattern | None = None, end: re.Pattern | None = None, solution: re.Pattern | None = None, namespace: bool = False) -> None:
+        self.start, self.chapter, self.level, self.must_match = start, chapter, level, must_match
+        self.section, self.end, self.solution, self.namespace = section, end, solution, namespace
+        self.open_num: str | None = None
+        self.part, self.top, self.space, self.over = "body", 0, str(chapter), False
+        self.used: dict[str, set[str]] = {}
+
+    def _number(self, raw: str | None) -> str | None:
+        """The number of an item start, or null where it is not accepted."""
+        num = re.sub(r"\s+", "", raw) if raw is not None else None
+        pieces = re.findall(r"\d+", num or "")
+        last = int(pieces[-1]) if num and num.split(".")[-1].isdigit() else None
+        if raw is not None and self.must_match and not (num.split(".")[0].isdigit() and int(num.split(".")[0]) == self.chapter):
+            return None
+        if last is not None and 0 < self.top >= last:
+            return None
+        mine = self.used.setdefault(self.space, set())
+        if num is None:
+            num = str(next(k for k in range(1, len(mine) + 2) if str(k) not in mine))
+        elif last is not None:
+            self.top = max(self.top, last)
+        mine.add(num)
+        return num
+
+    def feed(self, b: dict) -> dict | None:
+        """The row of one block, null where it belongs to no item."""
+        text = (b.get("text") or "").strip()
+        at_level = b.get("type") == "text" and b.get("text_level") == self.level
+        self.over = self.over or (self.end is not None and at_level and bool(self.end.match(text)))
+        if self.over:
+            return None
+        if self.solution is not None and self.open_num is not None and at_level and self.solution.match(text):
+            self.part = "solution"
+            return None
+        found = self.section.match(text) if self.section is not None and at_level else None
+        if found and (self.namespace or self.open_num is not None):
+            self.open_num, self.part = None, "body"
+            if self.namespace:
+                self.space, self.top = re.sub(r"\s+", "", found.group(1)) or self.space, 0
+            return None
+        hit = self.start.match(text) if text and b.get("type") in ("text", "list") else None
+        num = self._number(hit.group(1)) if hit else None
+        if num is not None:
+            self.open_num, self.part = f"{self.space}.{num}" if self.namespace else num, "body"
+            return {"num": self.open_num, "part": self.part, "idx": b["idx"], "text": text[hit.end() :].strip()}
+        if self.open_num is not None and text:
+            return {"num": self.open_num, "part": self.part, "idx": b["idx"], "text": text}
+        return None
+
+
+def split_items(blocks: list[dict], start: re.Pattern, chapter: int, **rules) -> list[dict]:
     """Owner of each block by an explicit event machine; blocks: text, type, text_level, idx in order.
 
-    Yields rows (num, part, idx, text): part is body or solution.  Events in
+    Gives rows (num, part, idx, text): part is body or solution.  Events in
     order of precedence: end of the region, solution heading, section heading
     (closes the item; with a namespace also names it and restarts the numbers),
     then an item start, accepted if its number exceeds the largest so far.
     """
-    out: list[dict] = []
-    open_num, part, top, space = None, "body", 0, str(chapter)
-    used: dict[str, set[str]] = {}
-    for b in blocks:
-        text = (b.get("text") or "").strip()
-        at_level = b.get("type") == "text" and b.get("text_level") == level
-        if end is not None and at_level and end.match(text):
-            break
-        if solution is not None and open_num is not None and at_level and solution.match(text):
-            part = "solution"
-            continue
-        found = section.match(text) if section is not None and at_level else None
-        if found and (namespace or open_num is not None):
-            open_num, part = None, "body"
-            if namespace:
-                space, top = re.sub(r"\s+", "", found.group(1)) or space, 0
-            continue
-        hit = start.match(text) if text and b.get("type") in ("text", "list") else None
-        if hit:
-            raw = hit.group(1)
-            num = re.sub(r"\s+", "", raw) if raw is not None else None
-            pieces = re.findall(r"\d+", num or "")
-            last = int(pieces[-1]) if num and num.split(".")[-1].isdigit() else None
-            wrong = raw is not None and must_match and not (num.split(".")[0].isdigit() and int(num.split(".")[0]) == chapter)
-            if not wrong and not (last is not None and 0 < top >= last):
-                mine = used.setdefault(space, set())
-                if num is None:
-                    num = str(next(k for k in range(1, len(mine) + 2) if str(k) not in mine))
-                elif last is not None:
-                    top = max(top, last)
-                mine.add(num)
-                open_num, part = f"{space}.{num}" if namespace else num, "body"
-                out.append({"num": open_num, "part": part, "idx": b["idx"], "text": text[hit.end() :].strip()})
-                continue
-        if open_num is not None and text:
-            out.append({"num": open_num, "part": part, "idx": b["idx"], "text": text})
-    return out
+    machine = ItemMachine(start, chapter, **rules)
+    return [row for b in blocks if (row := machine.feed(b)) is not None]
 
 
 def split_items_exact(blocks: DataFrame, keys: list[str], chapter: str, make: Callable[[], dict]) -> DataFrame:
-    """The event machine per chapter, for books whose events depend on each other; chapters are bounded groups."""
-    fields = ", ".join(f"{k} {dict(blocks.dtypes)[k]}" for k in keys)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("idx")
-        recs = [{k: (None if pd.isna(v) else v) for k, v in r.items()} for r in rows[["idx", "type", "text", "text_level"]].to_dict("records")]
-        out = pd.DataFrame(split_items(recs, chapter=int(rows[chapter].iloc[0]), **make()), columns=["num", "part", "idx", "text"])
-        for k in reversed(keys):
-            out.insert(0, k, rows[k].iloc[0])
-        return out
-
-    return blocks.groupBy(*keys).applyInPandas(run, f"{fields}, num string, part string, idx long, text string")
+    """The event machine per chapter, for books whose events depend on each other.
+
+    A table function: Spark brings the blocks of a chapter together in order of
+    idx and each is answered as it comes, so no chapter is ever held.
+    """
+    kinds = dict(blocks.dtypes)
+    fields = ", ".join(f"{k} {kinds[k]}" for k in keys)
+
+    class Items:
+        def __init__(self) -> None:
+            self.machine = None
+
+        def eval(self, row: Row) -> Iterator[tuple]:
+            if self.machine is None:
+                self.machine = ItemMachine(chapter=int(row[chapter]), **make())
+            out = self.machine.feed({k: row[k] for k in ("idx", "type", "text", "text_level")})
+            if out is not None:
+                yield (*[row[k] for k in keys], out["num"], out["part"], out["idx"], out["text"])
+
+    split = F.udtf(Items, returnType=f"{fields}, num string, part string, idx long, text string")
+    return split(blocks.select(*dict.fromkeys([*keys, chapter, "idx", "type", "text", "text_level"])).asTable().partitionBy(*keys).orderBy("idx"))
 
 
 def split_items_fast(blocks: DataFrame, keys: list[str], order: str, start: str, stop: str) -> DataFrame:

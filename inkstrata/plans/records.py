@@ -512,6 +512,14 @@ def rule_ranges(spark, d):
     return V.range_faults(p.select(p_key().alias("slug"), F.lit(1).alias("num"), start.alias("start"), problems.alias("problems"), stop.alias("stop")), p.select(p_key().alias("slug"), F.lit(50).alias("n_blocks")))
 
 
+@query("SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey % 12, month(o_orderdate), o_orderdate, o_orderkey) AS place FROM orders")
+def annotations_in_order(spark, d):
+    """Notes of each reader by chapter and section number, so 2.10 stands after 2.9, then by date."""
+    key = F.concat_ws(".", (F.col("o_orderkey") % 12).cast("string"), F.month("o_orderdate").cast("string"))
+    o = read(spark, d, "orders").select("o_custkey", "o_orderkey", key.alias("key"), F.struct("o_orderdate", "o_orderkey").alias("created"))
+    return L.annotations(o, "o_custkey", "key", "created").select("o_custkey", "o_orderkey", "place")
+
+
 @query("SELECT p_partkey AS slug, 1 AS num FROM part WHERE p_size % 3 = 0")
 def rule_anchors(spark, d):
     """Chapters without a problems index that hold both an item and a problems heading."""
@@ -521,14 +529,17 @@ def rule_anchors(spark, d):
     return V.unanchored(chapters, blocks, r"^[0-9]+\. ", "^Problems$")
 
 
-@query("SELECT user_id, least(count(*), 20) AS n FROM events GROUP BY user_id")
+@query("""
+    WITH r AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events)
+    SELECT user_id, count(*) AS n, '["' || string_agg(event_type, '", "' ORDER BY event_id) || '"]' AS recent FROM r WHERE k <= 20 GROUP BY user_id
+""")
 def stream_recent(spark, d):
-    """The bounded tail of each key, as a stream."""
+    """The bounded tail of each key, as a stream: what the last batch of a key leaves."""
     batch = read(spark, d, "events")
     raw = spark.readStream.schema(spark.read.parquet(f"{d}/events.parquet").schema).parquet(f"{d}/events.parquet*")
     stream = raw.select(*[F.col(c).cast(t).alias(c) for c, t in batch.dtypes]).select("user_id", "event_id", "event_type")
     kept = changes.recent(stream, "user_id", "event_id", "event_type", 20)
-    return changes.drain(kept, f"r{uuid.uuid4().hex}", "update", _folder(spark, "stream")).groupBy("user_id").agg(F.max("n").cast("long").alias("n"))
+    return changes.drain(kept, f"r{uuid.uuid4().hex}", "update", _folder(spark, "stream")).groupBy("user_id").agg(F.max_by("n", "upto").cast("long").alias("n"), F.max_by("recent", "upto").alias("recent"))
 
 
 @query("SELECT event_type, epoch_us(time_bucket(INTERVAL 1 DAY, ts)) AS day_us, count(*) AS n FROM events GROUP BY 1, 2")

@@ -39,18 +39,19 @@ def first_seen(stream: DataFrame, key: str, at: str) -> DataFrame:
 
 
 def recent(stream: DataFrame, key: str, order: str, value: str, most: int = 200) -> DataFrame:
-    """The last `most` values of each key as one JSON list; state is bounded."""
+    """The last `most` values of each key as one JSON list, and the order of the newest; state is bounded."""
     kinds = dict(stream.dtypes)
 
     def run(group, parts: Iterator[pd.DataFrame], state: GroupState):
         import json
 
         held = json.loads(state.get[0]) if state.exists else []
-        held = (held + [str(v) for v in _rows(parts, [order])[value]])[-most:]
+        rows = _rows(parts, [order])
+        held = (held + [str(v) for v in rows[value]])[-most:]
         state.update((json.dumps(held),))
-        yield pd.DataFrame([(group[0], json.dumps(held), len(held))], columns=[key, "recent", "n"])
+        yield pd.DataFrame([(group[0], json.dumps(held), len(held), rows[order].iloc[-1])], columns=[key, "recent", "n", "upto"])
 
-    return stream.groupBy(key).applyInPandasWithState(run, f"{key} {kinds[key]}, recent string, n int", "held string", "update", GroupStateTimeout.NoTimeout)
+    return stream.groupBy(key).applyInPandasWithState(run, f"{key} {kinds[key]}, recent string, n int, upto {kinds[order]}", "held string", "update", GroupStateTimeout.NoTimeout)
 
 
 def sessions(stream: DataFrame, key: str, at: str, gap: str, late: str) -> DataFrame:
