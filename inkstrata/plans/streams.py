@@ -57,3 +57,13 @@ def stream_leases(spark, d):
         return changes.drain(told, f"s{uuid.uuid4().hex}", "append", _checkpoint(spark))
     finally:
         leases.restored(spark, before)
+
+
+@query("""
+    WITH c AS (SELECT event_type, time_bucket(INTERVAL 6 HOUR, ts) AS start, count(*) AS n FROM events GROUP BY 1, 2), w AS (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR AS watermark FROM events)
+    SELECT event_type, epoch_us(start) AS start_us, n FROM c, w WHERE start + INTERVAL 6 HOUR <= watermark
+""")
+def stream_closed_windows(spark, d):
+    """Counts of six hours and type, told once no row can change them: the watermark, an hour behind, has passed their end."""
+    counted = changes.windowed(_events(spark, d), "ts", "6 hours", "1 hour", "event_type")
+    return changes.drain(counted, f"s{uuid.uuid4().hex}", "append", _checkpoint(spark)).select("event_type", F.unix_micros("start").alias("start_us"), "n")

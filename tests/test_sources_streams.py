@@ -105,3 +105,17 @@ def test_a_lease_lapses_without_an_event_of_its_key(spark, tmp_path):
     finally:
         leases.restored(spark, was)
     assert spark.conf.get(leases.PROVIDER, None) == before
+
+
+def test_late_rows_do_not_open_closed_windows(spark, tmp_path):
+    form, t0 = "kind string, at timestamp", datetime(2024, 1, 1, tzinfo=timezone.utc)
+
+    def closed(*minutes):
+        spark.createDataFrame([("a", t0 + timedelta(minutes=m)) for m in minutes], form).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(form).parquet(f"{tmp_path}/in")
+        out = changes.drain(changes.windowed(stream, "at", "10 minutes", "5 minutes", "kind"), "windows", "append", f"{tmp_path}/checkpoint")
+        return sorted((round((r["start"].replace(tzinfo=timezone.utc) - t0).total_seconds() / 60), r["n"]) for r in out.select(F.col("start").cast("timestamp_ntz").alias("start"), "n").collect())
+
+    assert closed(1, 2, 12) == []
+    assert closed(3, 16) == [(0, 3)]  # in time: the watermark stands at 7
+    assert closed(4, 40) == [(10, 2)]  # too late: the first window is closed
