@@ -340,9 +340,20 @@ def split_items(spark, d):
     return G.split_items_fast(_items(spark, d), ["slug"], "idx", r"^(?:Problem )?([0-9]+)\.? ", "^Section").select("slug", "idx", "num", "text")
 
 
-@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_size * 60 + 7 WHEN 1 THEN p_partkey * 3600 + 1 WHEN 2 THEN p_size * 86400 + 10800 END AS seconds FROM part")
+#: Times as a process list writes them, and not quite: the numbers of an event choose the form.
+CLOCK = r"^(?:(?:(\d+)-)?(\d+):)?(\d+):(\d+)$"
+
+
+@query(rf"""
+    WITH t AS (SELECT event_id, CAST(extract(day FROM ts) AS VARCHAR) AS d, lpad(CAST(extract(hour FROM ts) AS VARCHAR), 2, '0') AS h, lpad(CAST(extract(minute FROM ts) AS VARCHAR), 2, '0') AS m, lpad(CAST(extract(second FROM ts) AS VARCHAR), 2, '0') AS s, user_id AS u, CAST(floor(value) AS BIGINT) AS v FROM events),
+    r AS (SELECT event_id, trim(CASE WHEN u % 3 = 0 AND v % 4 < 3 THEN d || '-' ELSE '' END || CASE WHEN v % 2 = 0 THEN h || ':' ELSE ' ' END || CASE WHEN v % 7 > 0 THEN m || ':' ELSE m END || s || CASE WHEN u % 11 = 10 THEN 's' ELSE '' END) AS raw FROM t)
+    SELECT event_id, raw, CASE WHEN regexp_matches(raw, '{CLOCK}') THEN coalesce(try_cast(regexp_extract(raw, '{CLOCK}', 1) AS BIGINT), 0) * 86400 + coalesce(try_cast(regexp_extract(raw, '{CLOCK}', 2) AS BIGINT), 0) * 3600 + CAST(regexp_extract(raw, '{CLOCK}', 3) AS BIGINT) * 60 + CAST(regexp_extract(raw, '{CLOCK}', 4) AS BIGINT) END AS seconds FROM r
+""")
 def elapsed_seconds(spark, d):
-    return _parts(spark, d).select("p_partkey", N.elapsed(_turn(p_key(), _s(p_size(), ":07"), _s(p_key(), ":00:01"), _s(p_size(), "-03:00:00"), p_name())).cast("long").alias("seconds"))
+    t, u, v = F.col("ts"), F.col("user_id"), F.floor("value")
+    h, m, s = (F.lpad(f(t).cast("string"), 2, "0") for f in (F.hour, F.minute, F.second))
+    raw = F.concat(F.when((u % 3 == 0) & (v % 4 < 3), _s(F.dayofmonth(t), "-")).otherwise(""), F.when(v % 2 == 0, F.concat(h, F.lit(":"))).otherwise(" "), F.when(v % 7 > 0, F.concat(m, F.lit(":"))).otherwise(m), s, F.when(u % 11 == 10, "s").otherwise(""))
+    return read(spark, d, "events").select("event_id", F.trim(raw).alias("raw"), N.elapsed(raw).cast("long").alias("seconds"))
 
 
 TITLES = "t AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(url, '//([^.]*)', 1) AS host FROM pages)"
@@ -390,9 +401,13 @@ def edition_normalize(spark, d):
     return _parts(spark, d).select("p_partkey", T.edition(_turn(p_key(), p_size().cast("string"), _s(p_size(), "th International Edition"), F.lit("Second Edition"), p_name(), F.lit(""))).alias("edition"))
 
 
-@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_name || '; ' || p_type WHEN 1 THEN p_name || '; ' || p_type WHEN 2 THEN p_name || '; ' || p_type || ', ' || p_brand ELSE p_name END AS author FROM part")
+@query(r"""
+    WITH a AS (SELECT conv_id, turn, regexp_replace(trim(text, ' '), '\s+and\s+', '; ', 'g') AS a FROM conversations)
+    SELECT conv_id, turn, CASE WHEN contains(a, ', ') AND NOT contains(a, '; ') THEN replace(a, ', ', '; ') ELSE a END AS author FROM a
+""")
 def author_normalize(spark, d):
-    return _parts(spark, d).select("p_partkey", T.author(_turn(p_key(), _s(p_name(), " and ", p_type()), _s(p_name(), ", ", p_type()), _s(p_name(), "; ", p_type(), ", ", p_brand()), _s(" ", p_name(), " "))).alias("author"))
+    """Every turn read as a list of names: its commas separate only where no `and` does."""
+    return read(spark, d, "conversations").select("conv_id", "turn", T.author(F.col("text")).alias("author"))
 
 
 @query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'chapter_gap(2->' || (p_size + 6) || '),companion' WHEN 1 THEN '' WHEN 2 THEN 'partial_source(starts@' || (p_size + 1) || '),title_mismatch(0%)' ELSE 'no_problems_extracted' END AS flags FROM part")
@@ -413,13 +428,21 @@ def roman_numbers(spark, d):
     return read(spark, d, "orders").select("o_orderkey", N.roman(text).cast("long").alias("n"))
 
 
-@query("""
-    SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_size || '.' || p_partkey || 'B' WHEN 1 THEN p_size || '.' || p_partkey || 'c' WHEN 2 THEN p_size || '.' || p_partkey ELSE p_type END AS canonical, CASE WHEN p_partkey % 4 < 2 THEN p_size || '.' || p_partkey END AS parent,
-      CASE p_partkey % 4 WHEN 0 THEN p_size || '–' || p_partkey || 'B' WHEN 1 THEN p_size || '-' || p_partkey || 'c' WHEN 2 THEN p_size || '-' || p_partkey ELSE p_type END AS dashed FROM part
-""")
+#: Pieces of catalogue numbers; three numbers of an event choose four of them.
+NUMBER_PIECES = ["-", "–", "—", ".", "A", "b", " ", "7", "12", "3", "10"]
+NUMBER_RAW = f"n AS (SELECT event_id, p[event_id % 11 + 1] || p[(event_id + v) % 11 + 1] || p[(event_id * u + v) % 11 + 1] || p[(v * 5 + u) % 11 + 1] AS raw FROM (SELECT event_id, user_id AS u, CAST(floor(value) AS BIGINT) AS v, {NUMBER_PIECES} AS p FROM events))"
+
+
+def number_raw() -> Column:
+    e, v, u = F.col("event_id"), F.floor("value"), F.col("user_id")
+    p = F.array(*[F.lit(x) for x in NUMBER_PIECES])
+    return F.concat(*[F.get(p, (k % 11).cast("int")) for k in (e, e + v, e * u + v, v * 5 + u)])
+
+
+@query(f"WITH {NUMBER_RAW}, c AS (SELECT *, regexp_replace(trim(raw), '[-–—]', '.', 'g') AS canonical FROM n) SELECT event_id, canonical, nullif(regexp_extract(canonical, '^(.+[0-9])[a-zA-Z]$', 1), '') AS parent, regexp_replace(raw, '[.-]', '-', 'g') AS dashed FROM c")
 def canonical_numbers(spark, d):
-    raw = _turn(p_key(), _s(p_size(), "–", p_key(), "B"), _s(p_size(), "-", p_key(), "c"), _s(p_size(), ".", p_key()), p_type())
-    return _parts(spark, d).select("p_partkey", N.canonical(raw).alias("canonical"), N.parent(raw).alias("parent"), N.dashed(raw).alias("dashed"))
+    raw = number_raw()
+    return read(spark, d, "events").select("event_id", N.canonical(raw).alias("canonical"), N.parent(raw).alias("parent"), N.dashed(raw).alias("dashed"))
 
 
 @query("SELECT CAST(c_custkey AS VARCHAR) AS slug, 'main' AS kind, NULL AS \"of\" FROM customer UNION ALL SELECT c_custkey || '_sol', 'solution', CAST(c_custkey AS VARCHAR) FROM customer WHERE c_acctbal > 0")

@@ -20,7 +20,7 @@ from inkstrata.operators import rules as V
 from inkstrata.operators import segment as G
 from inkstrata.operators import state as P
 from inkstrata.operators import universe as U
-from inkstrata.plans.derived import _items, _parts, _s, _turn, no_text, p_brand, p_key, p_name, p_size, p_type
+from inkstrata.plans.derived import NUMBER_RAW, _items, _parts, _s, _turn, no_text, number_raw, p_brand, p_key, p_name, p_size, p_type
 from inkstrata.plans.registry import query
 from inkstrata.sources import read
 from inkstrata.streaming import changes
@@ -181,9 +181,14 @@ def semantic_ids(spark, d):
     return b.select("p_partkey", C.semantic_type(t, c, F.when(t == "fig", i).otherwise(F.col("id"))).alias("type"), C.semantic_id(t, c, F.when(t != "eq", i), F.col("label"), F.col("tex")).alias("id"))
 
 
-@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'fig-' || p_size || '.' || p_partkey WHEN 1 THEN 'tbl-A' || p_size || '.2b' WHEN 2 THEN 'fig-ch01-' || p_partkey ELSE 'eq-' || p_size || '-1' END AS id FROM part")
+@query(f"""
+    WITH {NUMBER_RAW}, i AS (SELECT event_id, ['fig-', 'tbl-', 'eq-', 'fig-ch', 'tbl-app'][event_id % 5 + 1] || raw AS id FROM n)
+    SELECT event_id, CASE WHEN regexp_matches(id, '^(fig|tbl)-') AND NOT regexp_matches(id, '{N.FALLBACK}') THEN left(id, 4) || regexp_replace(substr(id, 5), '[-–—]', '.', 'g') ELSE id END AS id FROM i
+""")
 def canonical_ids(spark, d):
-    return _parts(spark, d).select("p_partkey", N.canonical_id(_turn(p_key(), _s("fig-", p_size(), "–", p_key()), _s("tbl-A", p_size(), "-2b"), _s("fig-ch01-", p_key()), _s("eq-", p_size(), "-1"))).alias("id"))
+    """Ids put together from an event's numbers: positional ones stay, the others get a canonical number."""
+    kind = F.get(F.array(*map(F.lit, ("fig-", "tbl-", "eq-", "fig-ch", "tbl-app"))), (F.col("event_id") % 5).cast("int"))
+    return read(spark, d, "events").select("event_id", N.canonical_id(F.concat(kind, number_raw())).alias("id"))
 
 
 @query("SELECT p_brand AS slug, 'a' || p_partkey AS anchor, 'figure' AS type, 'f' || p_size AS id FROM part WHERE p_partkey % 3 <> 2 UNION ALL SELECT p_brand, 'a' || p_partkey, 'table', 't' || p_size FROM part WHERE p_partkey % 3 = 1")
