@@ -144,7 +144,7 @@ def page(items: DataFrame, order: list[str], offset: int, limit: int) -> DataFra
 def hydrate(rows: DataFrame, books: DataFrame) -> DataFrame:
     """Dictionary-encoded rows (book_idx, chapter, nums) to one row per problem; a leading * marks a solution."""
     flat = rows.select("book_idx", "chapter", F.explode("nums").alias("raw"))
-    return flat.join(F.broadcast(books) if books.isLocal() else books, "book_idx").withColumn("has_solution", F.col("raw").startswith("*")).withColumn("num", F.regexp_replace("raw", r"^\*", "")).drop("raw", "book_idx")
+    return flat.join(books, "book_idx").withColumn("has_solution", F.col("raw").startswith("*")).withColumn("num", F.regexp_replace("raw", r"^\*", "")).drop("raw", "book_idx")
 
 
 def late(keys: DataFrame, wide: DataFrame, on: list[str]) -> DataFrame:

@@ -72,7 +72,7 @@ def work_remaining(works: DataFrame, now: Column, days: int) -> DataFrame:
 
 def ordered(works: DataFrame, fields: DataFrame) -> DataFrame:
     """Rank by live field order, subject rank, book rank, main before solution."""
-    j = works.join(F.broadcast(fields) if fields.isLocal() else fields, "field_id", "left")
+    j = works.join(fields, "field_id", "left")
     return global_rank(j, [F.coalesce("field_order", F.lit(9999)), F.col("field_id")], [F.col("subject_rank"), F.col("book_rank"), (F.col("kind") != "main").cast("int"), F.col("slug")])
 
 
