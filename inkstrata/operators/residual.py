@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkstrata.functions import mathx as M
@@ -36,9 +36,13 @@ def groups(findings: DataFrame) -> DataFrame:
 
 def clusters(findings: DataFrame, examples: int = 3) -> DataFrame:
     """By category and by macro or skeleton: occurrences, distinct formulas, books, first examples."""
-    sig = F.coalesce("macro", M.skeleton(F.col("tex")))
-    agg = findings.withColumn("signature", sig).groupBy("category", "signature")
-    return agg.agg(F.sum("occ").alias("total_occ"), F.count_distinct("tex").alias("uniques"), F.count_distinct("slug").alias("books"), F.slice(F.array_sort(F.collect_set("tex")), 1, examples).alias("examples"))
+    keys = ["category", "signature"]
+    found = findings.withColumn("signature", F.coalesce("macro", M.skeleton(F.col("tex"))))
+    sums = found.groupBy(*keys).agg(F.sum("occ").alias("total_occ"), F.count_distinct("tex").alias("uniques"), F.count_distinct("slug").alias("books"))
+    # only the first of each cluster leave their tasks, so no cluster is gathered whole
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("tex"))
+    first = found.select(*keys, "tex").distinct().withColumn("_n", place).where(F.col("_n") <= examples)
+    return sums.join(first.groupBy(*keys).agg(F.array_sort(F.collect_list("tex")).alias("examples")), keys, "left")
 
 
 def token_signals(findings: DataFrame) -> DataFrame:

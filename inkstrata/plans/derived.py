@@ -257,20 +257,28 @@ def formula_skeletons(spark, d):
 
 
 def _findings(spark, d):
-    tex = _turn(p_key(), _s("a^{", p_key(), "}^{", p_size(), "}"), _s("\\foo{", p_key(), "}"), _s("\\left( ", p_key()), p_key().cast("string"))
-    err = _turn(p_key(), F.lit("Double superscript"), F.lit("Undefined control sequence \\foo"), F.lit("Missing \\right"), p_brand())
-    p = _parts(spark, d).select(p_brand().alias("slug"), tex.alias("tex"), p_size().alias("occ"), err.alias("err"))
+    """Every word of every document as a formula, six letters read as structure characters, with a message that follows from it."""
+    word = F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)))
+    f = read(spark, d, "documents").select(F.col("source").alias("slug"), word.alias("w")).select("slug", F.translate("w", "kzjxwy", "\\^_{}&").alias("tex"))
+    err = F.when(F.col("tex").startswith("\\"), _s("Undefined control sequence ", F.col("tex"))).when(F.col("tex").contains("^"), "Double superscript").when(F.col("tex").contains("&"), "Misplaced alignment tab").otherwise("near the end")
+    p = f.groupBy("slug", "tex").agg(F.count(F.lit(1)).alias("occ")).withColumn("err", err)
     return p.withColumn("category", M.category(F.col("err"))).withColumn("macro", M.macro(F.col("err")))
 
 
-@query(r"""
-    SELECT ['double_script', 'undefined_macro', 'left_right', 'other'][p_partkey % 4 + 1] AS category, ['· ^ { · } ^ { · }', '\foo', '\left ·', '·'][p_partkey % 4 + 1] AS signature, CAST(sum(p_size) AS BIGINT) AS total_occ, count(*) AS uniques, count(DISTINCT p_brand) AS books FROM part GROUP BY p_partkey % 4
-""")
+FINDINGS = r"""
+    w AS (SELECT source AS slug, translate(unnest(regexp_extract_all(text, '[A-Za-z]+')), 'kzjxwy', '\^_{}&') AS tex FROM documents),
+    g AS (SELECT slug, tex, count(*) AS occ FROM w GROUP BY slug, tex),
+    m AS (SELECT *, CASE WHEN starts_with(tex, '\') THEN nullif(regexp_extract('Undefined control sequence ' || tex, 'Undefined control sequence\s*(\\[A-Za-z@]+|\\.)', 1), '') END AS macro, list_filter(regexp_extract_all(tex, '(?s)\\[a-zA-Z@]+|\\.|\\$|[\^_{}&]|[^\\\^_{}&]+'), lambda p: trim(p) <> '') AS parts FROM g),
+    f AS (SELECT slug, tex, occ, macro, CASE WHEN macro IS NOT NULL THEN 'undefined_macro' WHEN starts_with(tex, '\') THEN 'other' WHEN contains(tex, '^') THEN 'double_script' WHEN contains(tex, '&') THEN 'alignment' ELSE 'other' END AS category,
+            array_to_string(list_transform(parts, lambda p: CASE WHEN regexp_matches(p, '^[\\\^_{}&]') THEN p ELSE '·' END), ' ') AS skeleton FROM m)"""
+
+
+@query(f"WITH {FINDINGS} SELECT category, coalesce(macro, skeleton) AS signature, CAST(sum(occ) AS BIGINT) AS total_occ, count(DISTINCT tex) AS uniques, count(DISTINCT slug) AS books, array_to_string(list_slice(list_sort(list(DISTINCT tex)), 1, 3), ' ') AS examples FROM f GROUP BY 1, 2")
 def skeleton_clusters(spark, d):
-    return X.clusters(_findings(spark, d)).select("category", "signature", "total_occ", "uniques", "books")
+    return X.clusters(_findings(spark, d)).withColumn("examples", F.array_join("examples", " "))
 
 
-@query(r"SELECT CASE p_partkey % 4 WHEN 1 THEN '\foo' ELSE '\left' END AS token, count(*) AS uniques, CAST(sum(p_size) AS BIGINT) AS occ, count(DISTINCT p_brand) AS books FROM part WHERE p_partkey % 4 IN (1, 2) GROUP BY 1")
+@query(rf"WITH {FINDINGS} SELECT token, count(DISTINCT tex) AS uniques, CAST(sum(occ) AS BIGINT) AS occ, count(DISTINCT slug) AS books FROM (SELECT slug, tex, occ, unnest(list_distinct(regexp_extract_all(tex, '\\[a-zA-Z@]+'))) AS token FROM f) GROUP BY token")
 def token_signals(spark, d):
     return X.token_signals(_findings(spark, d))
 
