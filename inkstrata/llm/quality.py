@@ -23,6 +23,8 @@ from inkstrata.llm._bytes import GOLDEN, U64, lower_ascii, mix, runs, slices, sp
 from inkstrata.llm._spark import table, texts
 
 SAMPLE = 6000
+#: Parts that the sample is read in.
+PARTS = 64
 BITS = 16
 DIM = 16
 EPOCHS = 4
@@ -162,7 +164,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
     own = labels.where("quality is not null and doc_id is not null").where(~held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("quality"))
     some = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     chosen = texts(docs).join(F.broadcast(some), "doc_id").groupBy("doc_id", "quality").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
-    bags = chosen.select("doc_id", "text", "quality").mapInArrow(_bags, "doc_id long, rows binary, counts binary, quality int")
+    # dealt anew, because the driver reads them a partition at a time
+    bags = chosen.select("doc_id", "text", "quality").repartition(PARTS, "doc_id").mapInArrow(_bags, "doc_id long, rows binary, counts binary, quality int")
     read = [(r["doc_id"], np.frombuffer(r["rows"], "<i4"), np.frombuffer(r["counts"], "<i4"), int(r["quality"] > 0)) for r in bags.toLocalIterator(prefetchPartitions=True)]
     read.sort(key=lambda r: (r[0], r[1].tobytes()))
     return train([r[1:] for r in read])
