@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from inkstrata.functions import numbers as N
 from inkstrata.functions import text as T
+from inkstrata.sources import merged
 
 WINDOW = 3
 GOOD = 16
@@ -40,8 +41,9 @@ def context(visuals: DataFrame, texts: DataFrame, keys: list[str], kind: str, wi
     scores GOOD is taken, else the best.  visuals: keys, idx; texts: keys, idx, text.
     """
     near = visuals.select(*keys, "idx", F.explode(F.sequence(F.lit(1), F.lit(window))).alias("d")).select(*keys, "idx", "d", F.explode(F.array(F.lit(-1), F.lit(1))).alias("side")).withColumn("at", F.col("idx") + F.col("d") * F.col("side"))
-    j = near.join(texts.select(*keys, F.col("idx").alias("at"), "text"), [*keys, "at"]).withColumn("r", reference(kind, F.col("text"))).where("r is not null")
-    j = j.withColumn("score", score(kind, F.col("text"), F.col("d")))
+    # at distance 4 a score holds no nearness: what the text alone says is judged once a text
+    said = texts.withColumn("r", reference(kind, F.col("text"))).where("r is not null").select(*keys, F.col("idx").alias("at"), "r", score(kind, F.col("text"), F.lit(4)).alias("_own"))
+    j = merged(near).join(said, [*keys, "at"]).withColumn("score", F.col("_own") + F.greatest(F.lit(0), 8 - 2 * F.col("d"))).drop("_own")
     place = F.col("d") * 2 + (F.col("side") > 0).cast("int")
     first = F.when(F.col("score") >= GOOD, F.struct(F.lit(0), place))
     rank = F.coalesce(first, F.struct(1000 - F.col("score"), place))
