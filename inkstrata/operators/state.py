@@ -231,8 +231,8 @@ def collectable(books: DataFrame, in_flight: DataFrame, now: Column, days: int)
 
 def capacity(manifest: DataFrame, now: Column, stale_s: int) -> DataFrame:
     """harvestable (not uploading) and occupied (ready, or uploading and fresh) uploads; no timestamp counts as old."""
-    age = F.coalesce(F.unix_timestamp(now) - F.unix_timestamp("submitted_at"), F.lit(float("inf")))
-    fresh = ~F.col("uploading") | (age < stale_s)
+    age = F.unix_micros(now) - F.unix_micros("submitted_at")
+    fresh = ~F.col("uploading") | F.coalesce(age < stale_s * 1_000_000, F.lit(False))
     return manifest.agg(F.count(F.lit(1)).alias("in_flight"), F.count_if(~F.col("uploading")).alias("harvestable"), F.count_if(fresh).alias("occupied"))
 
 

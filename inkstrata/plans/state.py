@@ -158,7 +158,7 @@ def file_changes(spark, d):
 
 @query("SELECT count(*) AS in_flight, count(*) FILTER (NOT u) AS harvestable, count(*) FILTER (NOT u OR ts > TIMESTAMP '2024-01-29 22:00:00') AS occupied FROM (SELECT *, event_type IN ('click', 'view') AS u, date_trunc('second', ts) AS ts FROM (SELECT event_type, ts FROM events)) q")
 def upload_capacity(spark, d):
-    m = read(spark, d, "events").select(F.col("event_type").isin("click", "view").alias("uploading"), F.date_trunc("second", "ts").alias("submitted_at"))
+    m = read(spark, d, "events").select(F.col("event_type").isin("click", "view").alias("uploading"), F.col("ts").alias("submitted_at"))
     return P.capacity(m, F.lit("2024-01-29 23:00:00").cast("timestamp"), 3600)
 
 

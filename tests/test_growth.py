@@ -1,10 +1,11 @@
-"""What must not grow with the data: sides that are broadcast, files, calls to the state store."""
+"""What shows only on larger tables: sides that are broadcast, files, calls to the state store, times between two seconds."""
 
 from __future__ import annotations
 
 import pytest
 
-from inkstrata.plans import QUERIES
+from inkstrata.plans import ORACLE_SQL, QUERIES
+from oracle import compare, connect
 
 SF = "/root/testdata/sf0.001"
 
@@ -13,3 +14,12 @@ SF = "/root/testdata/sf0.001"
 def test_nothing_that_grows_is_broadcast(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Join" in plan and "Broadcast" not in plan
+
+
+def test_upload_half_a_second_inside_the_limit_is_fresh(spark, tmp_path):
+    rows = [(1, "2024-01-29 22:00:00", "click"), (2, "2024-01-29 22:00:00.5", "click"), (3, "2024-01-29 21:59:59.9", "view"), (4, None, "view"), (5, None, "error"), (6, "2024-01-29 23:30:00", None)]
+    spark.createDataFrame(rows, "event_id long, at string, event_type string").selectExpr("event_id", "CAST(at AS timestamp_ntz) AS ts", "event_type").coalesce(1).write.parquet(str(tmp_path / "made"))
+    next((tmp_path / "made").glob("part-*")).rename(tmp_path / "events.parquet")
+    got = QUERIES["upload_capacity"](spark, str(tmp_path))
+    assert compare(got, ORACLE_SQL["upload_capacity"], connect(str(tmp_path))) == ""
+    assert got.first()["occupied"] == 3
