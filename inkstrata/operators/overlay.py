@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from inkstrata.functions import numbers as N
 from inkstrata.functions import text as T
+from inkstrata.sources import merged
 
 
 def anchor(**fields: Column) -> Column:
@@ -68,8 +69,8 @@ def merge_overrides(base: DataFrame, fresh: DataFrame, ident: str = "id") -> tup
 
 def unique_match(blocks: DataFrame, wanted: DataFrame, keys: list[str], on: str, idx: str = "idx") -> DataFrame:
     """Rows of wanted whose value is that of exactly one block of the key; ambiguous ones get null."""
-    once = blocks.groupBy(*keys, on).agg(F.count_distinct(idx).alias("_n"), F.min(idx).alias("match_idx"))
-    return wanted.join(once, [*keys, on], "left").withColumn("match_idx", F.when(F.col("_n") == 1, F.col("match_idx"))).drop("_n")
+    once = blocks.groupBy(*keys, on).agg(F.min(idx).alias("match_idx"), F.max(idx).alias("_last"))
+    return wanted.join(merged(once), [*keys, on], "left").withColumn("match_idx", F.when(F.col("_last") == F.col("match_idx"), F.col("match_idx"))).drop("_last")
 
 
 def realign(patches: DataFrame, blocks: DataFrame, keys: list[str]) -> DataFrame:
@@ -78,13 +79,13 @@ def realign(patches: DataFrame, blocks: DataFrame, keys: list[str]) -> DataFrame
     patches: keys, pid, a, english; blocks: keys, idx, text.  outcome: resolved,
     no_english, unmatched or dup.
     """
-    here = blocks.withColumn("a", anchor(md=F.col("text"))).withColumn("english", T.squeeze(F.col("text")))
-    by_hash = unique_match(here, patches.select(*keys, "pid", "a"), keys, "a").select(*keys, "pid", F.col("match_idx").alias("_h"))
-    by_text = unique_match(here, patches.select(*keys, "pid", T.squeeze(F.col("english")).alias("english")), keys, "english").select(*keys, "pid", F.col("match_idx").alias("_t"))
-    j = patches.join(by_hash, [*keys, "pid"]).join(by_text, [*keys, "pid"]).withColumn("new_idx", F.coalesce("_h", F.when(T.squeeze(F.col("english")) != "", F.col("_t"))))
+    here = blocks.withColumn("a", anchor(md=F.col("text"))).withColumn("_e", T.squeeze(F.col("text")))
+    by_hash = unique_match(here, patches.withColumn("_e", T.squeeze(F.col("english"))), keys, "a").withColumnRenamed("match_idx", "_h")
+    j = unique_match(here, by_hash, keys, "_e").withColumn("new_idx", F.coalesce("_h", F.when(F.col("_e") != "", F.col("match_idx"))))
     turn = F.row_number().over(Window.partitionBy(*keys, "new_idx").orderBy("pid"))
-    outcome = F.when(F.col("new_idx").isNull(), F.when(T.squeeze(F.col("english")) == "", "no_english").otherwise("unmatched")).when(turn > 1, "dup").otherwise("resolved")
-    return j.withColumn("outcome", outcome).withColumn("new_idx", F.when(F.col("outcome") == "resolved", F.col("new_idx"))).drop("_h", "_t")
+    outcome = F.when(F.col("new_idx").isNull(), F.when(F.col("_e") == "", "no_english").otherwise("unmatched")).when(turn > 1, "dup").otherwise("resolved")
+    out = j.withColumn("outcome", outcome)
+    return out.select(*patches.columns, F.when(F.col("outcome") == "resolved", F.col("new_idx")).alias("new_idx"), "outcome")
 
 
 def coverage(units: DataFrame, done: DataFrame, keys: list[str], stem: str, content: Column) -> DataFrame:
