@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from inkstrata.functions import numbers as N
 from inkstrata.functions import text as T
+from inkstrata.sources import merged
 
 
 def normalized(entries: DataFrame) -> DataFrame:
@@ -137,14 +138,14 @@ def gap_candidates(rows: DataFrame, wanted: DataFrame, keys: list[str], num: str
 
 def near_candidates(rows: DataFrame, wanted: DataFrame, keys: list[str], reach: int = 8) -> DataFrame:
     """The nearest unnumbered visual within `reach` blocks after the citing block, else before, under the same heading."""
-    j = wanted.join(rows.where("num is null"), [*keys, "heading"]).withColumn("d", F.col("pos") - F.col("cite_pos")).where(F.abs("d") <= reach)
+    j = wanted.join(merged(rows.where("num is null")), [*keys, "heading"]).withColumn("d", F.col("pos") - F.col("cite_pos")).where(F.abs("d") <= reach)
     rank = F.row_number().over(Window.partitionBy(*keys, "target").orderBy((F.col("d") < 0).cast("int"), F.abs("d")))
     return j.withColumn("_r", rank).where("_r = 1").select(*keys, "target", "pos")
 
 
 def sibling_candidates(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
     """A visual that shares the target's parent number, or whose number begins with the target."""
-    j = wanted.withColumn("_p", N.parent(F.col("target"))).join(rows.where("ref is not null"), keys)
+    j = wanted.withColumn("_p", N.parent(F.col("target"))).join(merged(rows.where("ref is not null")), keys)
     hit = j.where((F.col("_p") == N.parent(F.col("ref"))) | (F.col("_p") == F.col("ref")) | F.col("ref").startswith(F.col("target")))
     return hit.groupBy(*keys, "target").agg(F.min_by("pos", F.col("pos")).alias("pos"))
 
@@ -153,7 +154,7 @@ def first_of(wanted: DataFrame, keys: list[str], **sources: DataFrame) -> DataFr
     """The position of the first source that has one, with the source's name."""
     out = wanted
     for name, frame in sources.items():
-        out = out.join(frame.select(*keys, "target", F.col("pos").alias(f"_{name}")), [*keys, "target"], "left")
+        out = out.join(merged(frame.select(*keys, "target", F.col("pos").alias(f"_{name}"))), [*keys, "target"], "left")
     names = list(sources)
     source = F.coalesce(*[F.when(F.col(f"_{n}").isNotNull(), F.lit(n)) for n in names])
     return out.select(*wanted.columns, F.coalesce(*[F.col(f"_{n}") for n in names]).alias("pos"), source.alias("source"))

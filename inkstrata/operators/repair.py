@@ -77,8 +77,8 @@ def local_candidates(wanted: DataFrame, visuals: DataFrame, keys: list[str]) ->
     """A chapter-local number (3.12 as 12), else its number without a letter."""
     local = wanted.withColumn("_l", N.nullif_empty(F.regexp_extract("target", r"^[^.\-]+[.\-](.+)$", 1))).withColumn("_p", F.regexp_replace("_l", "[A-Za-z]$", ""))
     own = visuals.where("num is not null").groupBy(*keys, "num").agg(F.min("pos").alias("pos"))
-    a = local.join(own.withColumnRenamed("num", "_l").withColumnRenamed("pos", "_a"), [*keys, "_l"], "left")
-    b = a.join(own.withColumnRenamed("num", "_p").withColumnRenamed("pos", "_b"), [*keys, "_p"], "left")
+    a = local.join(merged(own.withColumnRenamed("num", "_l").withColumnRenamed("pos", "_a")), [*keys, "_l"], "left")
+    b = a.join(merged(own.withColumnRenamed("num", "_p").withColumnRenamed("pos", "_b")), [*keys, "_p"], "left")
     return b.select(*keys, "target", F.coalesce("_a", "_b").alias("pos")).where("pos is not null")
 
 

@@ -13,7 +13,7 @@ from oracle import compare, connect
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["context_references", "realigned_patches"])
+@pytest.mark.parametrize("name", ["context_references", "realigned_patches", "repair_sources"])
 def test_nothing_that_grows_is_broadcast(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Join" in plan and "Broadcast" not in plan
