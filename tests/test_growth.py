@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
 from pathlib import Path
 
 import pytest
@@ -47,3 +48,30 @@ def test_packed_rule_sets_read_as_files_of_their_own(spark, tmp_path):
     assert sorted(map(tuple, seen.where("reason is null").select("folder", "r.title", "faults").collect())) == sorted(map(tuple, good.select("slug", "title", "faults").collect()))
     want = sorted((r["folder"].replace("%20", " "), r["reason"], r["value"]) for r in bad.collect())
     assert sorted(map(tuple, seen.where("reason is not null").select("folder", "reason", "value").collect())) == want and len(want) == 4
+
+
+def test_lease_reads_and_writes_its_state_once_for_a_batch(spark):
+    from inkstrata.streaming.leases import Leases
+
+    calls, state = [], {}
+
+    class Handle:
+        def __getattr__(self, name):
+            def call(*args):
+                if name in ("getValueState", "getListState"):
+                    return self
+                calls.append(name)
+                if name == "update":
+                    state["v"] = args[0]
+                return {"get": state.get("v"), "exists": "v" in state, "listTimers": []}.get(name)
+
+            return call
+
+    one = Leases("k", 100, "end", 3)
+    one.init(Handle())
+    rows = [{"us": 10 * i, "at": datetime.fromtimestamp(i / 1e5, timezone.utc), "label": f"b{i}"} for i in range(50)]
+    told = list(one.handleInputRows((1,), iter(rows[::-1]), None))
+    assert [(r["event"], r["at_us"]) for r in told] == [("opened", 0)] and len(calls) <= 3
+    assert state["v"] == (590, 50, ["b47", "b48", "b49"])
+    (over,) = one.handleExpiredTimer((1,), None, None)
+    assert (over["event"], over["at_us"], over["beats"], over["recent"]) == ("lapsed", 590, 50, "b47,b48,b49")
