@@ -44,7 +44,7 @@ def _held(spark: SparkSession, path: str, schema: str) -> DataFrame:
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], schema).limit(0)  # known to be empty: joins with it fall away
 
 
 def add(batch: DataFrame, path: str, number: int, book: str, chunk: str, text: str = "text", buckets: int = BUCKETS) -> dict[str, int]:
@@ -95,10 +95,29 @@ def postings(spark: SparkSession, path: str, book: str, chunk: str, terms: list[
         if all(len(t) > 1 for t in terms):
             held = held.where(F.col("bucket").isin(*[bucket(F.lit(t), buckets) for t in terms]))
         held = held.where(reduce(Column.__or__, [F.col("token").startswith(t) for t in terms]))
+    return _live(held, path, book, chunk)
+
+
+def _live(held: DataFrame, path: str, book: str, chunk: str) -> DataFrame:
+    """(book, chunk, token) of stored segments, without what was replaced."""
     flat = held.select(book, "token", "batch", F.col("segment"), F.explode("offsets").alias("offset")).select(book, "token", "batch", (F.col("segment") * S.SPAN + F.col("offset")).alias(chunk))
     return _current(flat, path, chunk).select(book, chunk, "token")
 
 
+def segments(spark: SparkSession, path: str, book: str, chunk: str) -> DataFrame:
+    """Live postings as book, token, segment, offsets.
+
+    Segments none of whose chunks was replaced are taken as they are stored; only the
+    others are taken apart.  Those of several batches are put together.
+    """
+    held = _held(spark, f"{path}/postings", f"{book} string, {POSTINGS}")
+    gone = _held(spark, f"{path}/replaced", f"{chunk} long, was int, batch int").select(F.floor(F.col(chunk) / S.SPAN).cast("long").alias("segment"), F.col("was").alias("batch")).distinct()
+    whole = held.join(gone, ["segment", "batch"], "left_anti").select(book, "token", "segment", "offsets")
+    parts = S.segments(_live(held.join(gone, ["segment", "batch"], "left_semi"), path, book, chunk), book, chunk)
+    one = whole.unionByName(parts).groupBy(book, "token", "segment")
+    return one.agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("offsets")))).alias("offsets"))
+
+
 def candidates(spark: SparkSession, path: str, book: str, chunk: str, terms: list[str], buckets: int = BUCKETS) -> DataFrame:
     """book, chunk, score by the rules of `search.candidates`, from the stored index alone."""
     return S.scored(postings(spark, path, book, chunk, terms, buckets), live_chunks(spark, path, book, chunk), book, chunk, terms)

@@ -65,7 +65,7 @@ def run(spark: SparkSession, config: dict) -> dict[str, int]:
 def read(spark: SparkSession, config: dict) -> DataFrame:
     """The live index: one row per book, token and range of chunk ids, with the ids in order."""
     c = DEFAULTS | config
-    rows = search.segments(stored.postings(spark, c["index"], c["book"], c["chunk"], buckets=c["buckets"]), c["book"], c["chunk"])
+    rows = stored.segments(spark, c["index"], c["book"], c["chunk"])
     ids = F.transform("offsets", lambda x: x + F.col("segment") * search.SPAN)
     return rows.select(c["book"], "token", "segment", F.size("offsets").cast("long").alias("n"), F.array_join(ids, ",").alias("chunks"))
 

@@ -8,6 +8,7 @@ from pathlib import Path
 import pytest
 
 from inkstrata import sources as src
+from inkstrata.operators import search, stored
 from inkstrata.plans import ORACLE_SQL, QUERIES
 from oracle import compare, connect
 
@@ -75,3 +76,18 @@ def test_lease_reads_and_writes_its_state_once_for_a_batch(spark):
     assert state["v"] == (590, 50, ["b47", "b48", "b49"])
     (over,) = one.handleExpiredTimer((1,), None, None)
     assert (over["event"], over["at_us"], over["beats"], over["recent"]) == ("lapsed", 590, 50, "b47,b48,b49")
+
+
+def test_stored_segments_are_taken_whole_where_nothing_was_replaced(spark, tmp_path):
+    form, path = "lang string, doc_id long, text string", str(tmp_path / "index")
+    stored.add(spark.createDataFrame([("a", 1, "one two"), ("a", 2, "two"), ("a", 70000, "two three"), (None, 3, "two")], form), path, 0, "lang", "doc_id")
+
+    def same():
+        want = search.segments(stored.postings(spark, path, "lang", "doc_id"), "lang", "doc_id").collect()
+        got = stored.segments(spark, path, "lang", "doc_id").select("lang", "token", "segment", "offsets").collect()
+        return sorted(map(str, got)) == sorted(map(str, want)) and len(got) > 0
+
+    assert "Join" not in stored._current(spark.range(3).selectExpr("id AS doc_id", "0 AS batch"), str(tmp_path / "none"), "doc_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert same()
+    stored.add(spark.createDataFrame([("a", 2, "four"), ("b", 1, None), ("a", 5, "two")], form), path, 1, "lang", "doc_id")
+    assert same()
